@@ -66,3 +66,957 @@ def q_gmp_winrate(spark, d):
 def q_unknown_players(spark, d):
     w = warehouse(spark, d)
     return marts.unknown_players(w.matches, w.players, w.players_stat)
+
+
+# =========================================================================== operators
+# Single-operator queries over the role views. Engine side: DataFrame API;
+# oracle side: SQL over the same role views.
+
+from pyspark.sql import Window  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from matchmart.functions.lookup import region_name  # noqa: E402
+from matchmart.functions.numeric import (  # noqa: E402
+    avg2, bool_int, bool_sum, cond_sum, duration_bin_small, duration_category, minutes, pct2,
+    per_minute, round2, to_out, whole_minutes,
+)
+from matchmart.functions.text import coerce_int, normalize_text, null_if_empty_list  # noqa: E402
+from matchmart.operators import integrity  # noqa: E402
+from matchmart.operators.dedup import distinct_rows, duplicate_keys, first_per_key  # noqa: E402
+from matchmart.operators.joins import join_dim, left_join_children  # noqa: E402
+from matchmart.operators.ntile import ntile  # noqa: E402
+from matchmart.operators.quantiles import (  # noqa: E402
+    grouped_quantiles, merge_histograms, quantile_from_histogram, scalar_quantile,
+    value_histogram,
+)
+from matchmart.operators.reshape import (  # noqa: E402
+    cast_player_types, clean_players, players_wide_from_tables, rename_keys, split_players,
+    split_stat, unpivot_items,
+)
+from matchmart.sources import jsonl  # noqa: E402
+from matchmart.sources.roles import LINE_ORDER, table  # noqa: E402
+
+W = O.with_roles
+pm, r2, avg2_sql, pct2_sql, med = O.pm, O.r2, O.avg2, O.pct2, O.med
+
+
+def _wide(w):
+    return players_wide_from_tables(w.players, w.players_stat, w.player_items_wide)
+
+
+def _raw_lines(spark, d):
+    w = warehouse(spark, d)
+    return jsonl.documents_from_tables(w.matches, _wide(w))
+
+
+def _docs(spark, d, strict=False):
+    return jsonl.dedup_batch(jsonl.parse_lines(_raw_lines(spark, d), strict))
+
+
+_MATCH_SQL = """SELECT match_id, duration, first_blood_time, radiant_win,
+       CAST(region AS BIGINT) AS region FROM matches"""
+
+_WIDE_SQL = """SELECT p.match_id, p.player_slot, p.steam_id, p.personaname, s.assists, s.deaths,
+       s.denies, s.gold_per_min, CAST(p.hero_id AS INT) AS hero_id,
+       i.item_0, i.item_1, i.item_2, i.item_3, i.item_4, i.item_5, s.kills, s.xp_per_min,
+       p.is_radiant, CAST(p.win AS INT) AS win, s.last_hits, s.hero_damage, s.hero_healing,
+       s.tower_damage
+FROM players p
+LEFT JOIN players_stat s ON p.match_id = s.match_id AND p.player_slot = s.player_slot
+LEFT JOIN player_items_wide i ON p.match_id = i.match_id AND p.player_slot = i.player_slot"""
+
+
+# --------------------------------------------------------------------------- ingest
+
+@register("ingest_jsonl", W(["matches"], _MATCH_SQL))
+def q_ingest_jsonl(spark, d):
+    """Tolerant JSONL parse, batch key dedup, match projection."""
+    return jsonl.project_matches(_docs(spark, d))
+
+
+@register("ingest_jsonl_strict")
+def q_ingest_jsonl_strict(spark, d):
+    """Fail-fast parse of the same documents."""
+    return jsonl.project_matches(_docs(spark, d, strict=True))
+
+
+@register("project_match", W(["matches"], _MATCH_SQL))
+def q_project_match(spark, d):
+    """Nested-document projection without the batch dedup."""
+    parsed = jsonl.accepted(jsonl.parse_lines(_raw_lines(spark, d)))
+    return jsonl.project_matches(parsed)
+
+
+@register("explode_players", W(["matches", "players", "players_stat", "player_items_wide"],
+                               _WIDE_SQL + "\nWHERE p.match_id IN (SELECT match_id FROM matches)"))
+def q_explode_players(spark, d):
+    """One row per player from the nested list, with renames."""
+    return jsonl.explode_players(_docs(spark, d))
+
+
+@register("split_players", W(["players"], """
+SELECT match_id, player_slot, steam_id, lower(trim(personaname)) AS personaname,
+       CAST(hero_id AS INT) AS hero_id, is_radiant, win
+FROM players"""))
+def q_split_players(spark, d):
+    """Clean the flattened frame and keep the players columns."""
+    return split_players(clean_players(_wide(warehouse(spark, d))))
+
+
+@register("split_stat", W(["players", "players_stat"], """
+SELECT p.match_id, p.player_slot, s.kills, s.deaths, s.assists, s.denies, s.last_hits,
+       s.gold_per_min, s.xp_per_min, s.hero_damage, s.hero_healing, s.tower_damage
+FROM players p
+LEFT JOIN players_stat s ON p.match_id = s.match_id AND p.player_slot = s.player_slot"""))
+def q_split_stat(spark, d):
+    """Statistics columns of the flattened frame."""
+    return split_stat(clean_players(_wide(warehouse(spark, d))))
+
+
+_ITEMS_SQL = " UNION ALL ".join(
+    f"SELECT i.match_id, i.player_slot, '{k}' AS item_slot, nullif(i.item_{k}, 0) AS item_id "
+    f"FROM player_items_wide i JOIN players p "
+    f"ON p.match_id = i.match_id AND p.player_slot = i.player_slot"
+    for k in range(6))
+
+
+@register("unpivot_items", W(["players", "player_items_wide"], _ITEMS_SQL))
+def q_unpivot_items(spark, d):
+    """item_0..5 → (item_slot, item_id), 0 → NULL."""
+    return unpivot_items(clean_players(_wide(warehouse(spark, d))))
+
+
+@register("rename_keys", W(["heroes"], "SELECT hero_id, localized_name FROM heroes"))
+def q_rename_keys(spark, d):
+    """The hero list's ``id`` becomes the key ``hero_id``."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"),
+                                         F.col("n_name").alias("localized_name"))
+    return rename_keys(n, {"id": "hero_id"})
+
+
+@register("null_if_empty_list", W(["matches", "players"], """
+SELECT m.match_id,
+       CASE WHEN count(p.hero_id) FILTER (WHERE p.win) = 0 THEN NULL
+            ELSE to_json(list_sort(list(p.hero_id) FILTER (WHERE p.win))) END AS hint
+FROM matches m LEFT JOIN players p ON m.match_id = p.match_id
+GROUP BY m.match_id"""))
+def q_null_if_empty_list(spark, d):
+    """A JSON list column whose '[]' means "none" becomes NULL."""
+    w = warehouse(spark, d)
+    winners = (w.players.groupBy("match_id")
+               .agg(F.to_json(F.sort_array(F.collect_list(F.when(F.col("win"), F.col("hero_id")))))
+                    .alias("hint")))
+    m = w.matches.select("match_id").join(winners, "match_id", "left")
+    hint = F.coalesce(F.col("hint"), F.lit("[]"))
+    return m.select("match_id", null_if_empty_list(hint).alias("hint"))
+
+
+# --------------------------------------------------------------------------- filters / keys
+
+@register("anti_known_keys", W(["players"], """
+SELECT DISTINCT o_orderkey AS match_id FROM orders o
+WHERE NOT EXISTS (SELECT 1 FROM players p WHERE p.match_id = o.o_orderkey)"""))
+def q_anti_known_keys(spark, d):
+    """Page ids not yet known (anti join against loaded keys, batch dedup)."""
+    w = warehouse(spark, d)
+    page = table(spark, d, "orders").select(F.col("o_orderkey").alias("match_id")).distinct()
+    return page.join(w.players.select("match_id").distinct(), "match_id", "left_anti")
+
+
+@register("backlog_top_n", W(["players"], """
+SELECT DISTINCT o_orderkey AS match_id FROM orders o
+WHERE NOT EXISTS (SELECT 1 FROM players p WHERE p.match_id = o.o_orderkey)
+ORDER BY match_id DESC LIMIT 100"""))
+def q_backlog_top_n(spark, d):
+    """P10/O2: the next 100 ids to fetch, newest first (the limit is the feature)."""
+    return q_anti_known_keys(spark, d).orderBy(F.col("match_id").desc()).limit(100)
+
+
+@register("semi_matches_with_players", W(["matches", "players"], """
+SELECT m.* FROM matches m
+WHERE EXISTS (SELECT 1 FROM players p WHERE p.match_id = m.match_id)"""))
+def q_semi(spark, d):
+    """Keep matches that have players."""
+    w = warehouse(spark, d)
+    return integrity.with_children(w.matches, w.players, "match_id")
+
+
+@register("known_keys", W(["matches"], "SELECT match_id FROM matches"))
+def q_known_keys(spark, d):
+    """Key scan of the matches table (only the key column is read)."""
+    return warehouse(spark, d).matches.select("match_id")
+
+
+@register("min_key", W(["matches"], "SELECT min(match_id) AS min_match_id FROM matches"))
+def q_min_key(spark, d):
+    """Smallest id (the paging cursor)."""
+    return warehouse(spark, d).matches.agg(F.min("match_id").alias("min_match_id"))
+
+
+# --------------------------------------------------------------------------- expressions
+
+_BINS7_SQL = """CASE WHEN {x} <= 25 THEN '1 (<= 25)' WHEN {x} <= 30 THEN '2 (26-30)'
+ WHEN {x} <= 35 THEN '3 (31-35)' WHEN {x} <= 40 THEN '4 (36-40)'
+ WHEN {x} <= 45 THEN '5 (41-45)' WHEN {x} <= 50 THEN '6 (46-50)' ELSE '7 (>50)' END"""
+
+
+@register("duration_bins7", W(["matches"], f"""
+SELECT match_id, CAST(duration_min AS DOUBLE) AS duration_min,
+       {_BINS7_SQL.format(x="duration_min")} AS duration_category
+FROM (SELECT match_id, {pm("duration")} AS duration_min FROM matches) t"""))
+def q_duration_bins7(spark, d):
+    """7-bin scale over rounded minutes."""
+    m = warehouse(spark, d).matches.select("match_id", per_minute("duration").alias("dm"))
+    return m.select("match_id", to_out("dm").alias("duration_min"),
+                    duration_category("dm").alias("duration_category"))
+
+
+@register("duration_bins9", W(["matches"], f"""
+SELECT match_id, {O.bins9("duration")} AS duration_bin_small FROM matches"""))
+def q_duration_bins9(spark, d):
+    """9-bin scale over unrounded minutes."""
+    m = warehouse(spark, d).matches
+    return m.select("match_id", duration_bin_small("duration").alias("duration_bin_small"))
+
+
+@register("region_lookup", W(["matches"], f"""
+SELECT match_id, region, {O.REGION_CASE} AS region_name FROM matches"""))
+def q_region_lookup(spark, d):
+    """Code → name lookup with 'Unknown' for the rest (and NULL)."""
+    m = warehouse(spark, d).matches
+    return m.select("match_id", "region", region_name("region").alias("region_name"))
+
+
+@register("named_flag", W(["players"], """
+SELECT match_id, player_slot,
+       CASE WHEN steam_id IS NOT NULL AND personaname IS NOT NULL THEN 'named'
+            ELSE 'unknown' END AS is_named
+FROM players"""))
+def q_named_flag(spark, d):
+    """IS NOT NULL AND IS NOT NULL."""
+    p = warehouse(spark, d).players
+    named = F.col("steam_id").isNotNull() & F.col("personaname").isNotNull()
+    return p.select("match_id", "player_slot",
+                    F.when(named, F.lit("named")).otherwise(F.lit("unknown")).alias("is_named"))
+
+
+@register("team_win_flag", W(["matches", "players"], """
+SELECT p.match_id, p.player_slot,
+       CASE WHEN p.is_radiant = true AND m.radiant_win = true THEN 1
+            WHEN p.is_radiant = false AND m.radiant_win = false THEN 1 ELSE 0 END AS team_win
+FROM matches m JOIN players p ON m.match_id = p.match_id"""))
+def q_team_win_flag(spark, d):
+    """Side and result both known and equal → 1, else 0 (NULL → 0)."""
+    w = warehouse(spark, d)
+    j = w.matches.select("match_id", "radiant_win").join(
+        w.players.select("match_id", "player_slot", "is_radiant"), "match_id", "inner")
+    s, rw = F.col("is_radiant"), F.col("radiant_win")
+    flag = (F.when((s == F.lit(True)) & (rw == F.lit(True)), F.lit(1))
+            .when((s == F.lit(False)) & (rw == F.lit(False)), F.lit(1)).otherwise(F.lit(0)))
+    return j.select("match_id", "player_slot", flag.alias("team_win"))
+
+
+@register("per_minute", W(["players_stat"], f"""
+SELECT match_id, player_slot,
+       CAST({pm("kills")} AS DOUBLE) AS kills_per_min,
+       CAST({pm("hero_damage")} AS DOUBLE) AS hero_damage_per_min,
+       CAST({pm("hero_healing")} AS DOUBLE) AS hero_healing_per_min,
+       CAST({pm("tower_damage")} AS DOUBLE) AS tower_damage_per_min
+FROM players_stat"""))
+def q_per_minute(spark, d):
+    """ROUND(x::numeric/60, 2) kept exact until output."""
+    s = warehouse(spark, d).players_stat
+    return s.select("match_id", "player_slot",
+                    *[to_out(per_minute(c)).alias(f"{c}_per_min")
+                      for c in ["kills", "hero_damage", "hero_healing", "tower_damage"]])
+
+
+@register("int_minutes", W(["matches"], """
+SELECT match_id, CAST(floor(duration / 60) AS BIGINT) AS duration_min FROM matches"""))
+def q_int_minutes(spark, d):
+    """Integer division truncates (whole minutes)."""
+    m = warehouse(spark, d).matches
+    return m.select("match_id", whole_minutes("duration").alias("duration_min"))
+
+
+@register("cast_numeric", W(["matches"], f"""
+SELECT match_id, CAST(radiant_win AS INT) AS radiant_win_int,
+       CAST({pm("first_blood_time")} AS DOUBLE) AS first_blood_min
+FROM matches"""))
+def q_cast_numeric(spark, d):
+    """``::int`` on a boolean, ``::numeric`` division."""
+    m = warehouse(spark, d).matches
+    return m.select("match_id", bool_int("radiant_win").alias("radiant_win_int"),
+                    to_out(per_minute("first_blood_time")).alias("first_blood_min"))
+
+
+@register("normalize_text", """
+SELECT p_partkey, lower(trim(p_name)) AS p_name, lower(trim(p_brand)) AS p_brand,
+       lower(trim(p_type)) AS p_type, p_size, p_retailprice
+FROM part""")
+def q_normalize_text(spark, d):
+    """lower + strip every string column of the item dictionary source."""
+    return normalize_text(table(spark, d, "part"))
+
+
+@register("coerce_int", """
+SELECT event_id, CASE WHEN value = floor(value) THEN CAST(value AS BIGINT) END AS value_int
+FROM events""")
+def q_coerce_int(spark, d):
+    """text → number (coerce) → nullable integer; fractions become NULL."""
+    e = table(spark, d, "events")
+    return e.select("event_id", coerce_int(F.col("value").cast("string")).alias("value_int"))
+
+
+@register("cast_types", W(["players"], """
+SELECT match_id, player_slot, steam_id, win FROM players"""))
+def q_cast_types(spark, d):
+    """F8: nullable bigint steam_id, int win → boolean."""
+    wide = _wide(warehouse(spark, d))
+    return cast_player_types(wide).select("match_id", "player_slot", "steam_id", "win")
+
+
+@register("json_roundtrip", """
+SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+       '{"k":' || CAST(CAST(json_extract(props, '$.k') AS BIGINT) AS VARCHAR) || '}' AS props_json
+FROM events""")
+def q_json_roundtrip(spark, d):
+    """parse JSON text with a schema and serialise it back."""
+    e = table(spark, d, "events").select(
+        "event_id", F.from_json("props", "k bigint").alias("p"))
+    return e.select("event_id", F.col("p.k").alias("k"), F.to_json("p").alias("props_json"))
+
+
+@register("run_partition")
+def q_run_partition(spark, d):
+    """run date as a 'yyyy-MM-dd' partition value of a landed batch."""
+    m = warehouse(spark, d).matches
+    return m.select("match_id", F.date_format(F.current_date(), "yyyy-MM-dd").alias("run_date"))
+
+
+# --------------------------------------------------------------------------- joins
+
+@register("left_join_players", W(["matches", "players"], """
+SELECT m.match_id, m.duration, m.first_blood_time, m.radiant_win, m.region, p.player_slot,
+       p.steam_id, p.personaname, p.hero_id, p.is_radiant, p.win
+FROM matches m LEFT JOIN players p ON m.match_id = p.match_id"""))
+def q_left_join_players(spark, d):
+    """Match → players 1:N, a match without players keeps one row."""
+    w = warehouse(spark, d)
+    return left_join_children(w.matches, w.players, "match_id")
+
+
+@register("left_join_stat", W(["matches", "players", "players_stat"], """
+SELECT m.match_id, p.player_slot, p.win, s.kills, s.gold_per_min, s.tower_damage
+FROM matches m LEFT JOIN players p ON m.match_id = p.match_id
+LEFT JOIN players_stat s ON p.match_id = s.match_id AND p.player_slot = s.player_slot"""))
+def q_left_join_stat(spark, d):
+    """Then players → stat on the composite key (keys from the player side)."""
+    w = warehouse(spark, d)
+    f = marts.match_player_facts(w.matches, w.players, w.players_stat)
+    return f.select("match_id", "player_slot", "win", "kills", "gold_per_min", "tower_damage")
+
+
+@register("left_join_dim", W(["players", "heroes"], """
+SELECT p.match_id, p.player_slot, p.hero_id, h.localized_name
+FROM players p LEFT JOIN heroes h ON p.hero_id = h.hero_id"""))
+def q_left_join_dim(spark, d):
+    """Fact → dimension; broadcast only after the dimension's size is checked."""
+    w = warehouse(spark, d)
+    return join_dim(w.players.select("match_id", "player_slot", "hero_id"), w.heroes,
+                    "hero_id", "left").select("match_id", "player_slot", "hero_id",
+                                              "localized_name")
+
+
+@register("left_join_parent", W(["matches", "players"], """
+SELECT p.match_id, p.player_slot, m.match_id AS m_match_id, m.duration
+FROM players p LEFT JOIN matches m ON p.match_id = m.match_id"""))
+def q_left_join_parent(spark, d):
+    """Fact → parent; the parent key stays NULL when unmatched."""
+    w = warehouse(spark, d)
+    m = w.matches.select(F.col("match_id").alias("m_match_id"), "duration")
+    p = w.players.select("match_id", "player_slot")
+    return p.join(m, p["match_id"] == m["m_match_id"], "left")
+
+
+@register("inner_join_players", W(["matches", "players"], """
+SELECT m.match_id, p.player_slot, p.is_radiant, m.radiant_win, m.duration
+FROM matches m JOIN players p ON m.match_id = p.match_id"""))
+def q_inner_join_players(spark, d):
+    """Inner equi-join."""
+    w = warehouse(spark, d)
+    return (w.matches.select("match_id", "radiant_win", "duration")
+            .join(w.players.select("match_id", "player_slot", "is_radiant"), "match_id")
+            .select("match_id", "player_slot", "is_radiant", "radiant_win", "duration"))
+
+
+@register("scalar_threshold", W(["matches"], f"""
+SELECT match_id, (SELECT {med(pm("duration"), 0.75)} FROM matches) AS dur_thresh,
+       CASE WHEN CAST(duration AS DOUBLE) / 60 <
+                 (SELECT {med(pm("duration"), 0.75)} FROM matches)
+            THEN 'normal' ELSE 'late' END AS duration_bin
+FROM matches"""))
+def q_scalar_threshold(spark, d):
+    """Uncorrelated scalar subquery used in SELECT and in CASE."""
+    m = warehouse(spark, d).matches
+    thr = scalar_quantile(m, per_minute("duration"), 0.75).scalar()
+    return m.select("match_id", thr.alias("dur_thresh"),
+                    F.when(minutes("duration") < thr, F.lit("normal"))
+                    .otherwise(F.lit("late")).alias("duration_bin"))
+
+
+# --------------------------------------------------------------------------- aggregates
+
+_M4_BINS_SQL = f"""
+SELECT h.localized_name,
+       CASE WHEN CAST(m.duration AS DOUBLE) / 60 <
+                 (SELECT {med(pm("duration"), 0.75)} FROM matches)
+            THEN 'normal' ELSE 'late' END AS duration_bin,
+       COUNT(DISTINCT m.match_id) AS match_count_duration_bin,
+       CAST(SUM(CAST(p.win AS INT)) AS BIGINT) AS win_count_duration_bin,
+       {pct2_sql("SUM(CAST(p.win AS INT))", "COUNT(DISTINCT m.match_id)")} AS winrate_duration_bin
+FROM players p
+LEFT JOIN heroes h ON p.hero_id = h.hero_id
+LEFT JOIN matches m ON p.match_id = m.match_id
+GROUP BY 1, 2"""
+
+
+def _hero_bins(spark, d):
+    w = warehouse(spark, d)
+    thr = scalar_quantile(w.matches, per_minute("duration"), 0.75).scalar()
+    p = join_dim(w.players.select("match_id", "hero_id", "win"),
+                 w.heroes.select("hero_id", "localized_name"), "hero_id", "left")
+    m = w.matches.select(F.col("match_id").alias("m_match_id"), "duration")
+    base = p.join(m, p["match_id"] == m["m_match_id"], "left").select(
+        "localized_name", "m_match_id", "win",
+        F.when(minutes("duration") < thr, F.lit("normal")).otherwise(F.lit("late"))
+        .alias("duration_bin"))
+    return base.groupBy("localized_name", "duration_bin").agg(
+        F.count_distinct("m_match_id").alias("match_count_duration_bin"),
+        bool_sum("win").alias("win_count_duration_bin"),
+    )
+
+
+@register("group_by_ordinal", W(["matches", "players", "heroes"], _M4_BINS_SQL))
+def q_group_by_ordinal(spark, d):
+    """GROUP BY a column and a CASE (ordinals 1, 2)."""
+    b = _hero_bins(spark, d)
+    return b.withColumn("winrate_duration_bin", to_out(pct2(
+        F.col("win_count_duration_bin"), F.col("match_count_duration_bin"))))
+
+
+@register("pivot_max", W(["matches", "players", "heroes"], f"""
+WITH duration_bins AS ({_M4_BINS_SQL})
+SELECT localized_name,
+       MAX(CASE WHEN duration_bin = 'late' THEN winrate_duration_bin END) AS winrate_late,
+       MAX(CASE WHEN duration_bin = 'normal' THEN winrate_duration_bin END) AS winrate_normal,
+       COALESCE(MAX(CASE WHEN duration_bin = 'late' THEN match_count_duration_bin END), 0)
+         AS match_count_late,
+       COALESCE(MAX(CASE WHEN duration_bin = 'normal' THEN match_count_duration_bin END), 0)
+         AS match_count_normal
+FROM duration_bins GROUP BY localized_name"""))
+def q_pivot_max(spark, d):
+    """Conditional pivot with MAX(CASE …) and COALESCE 0, via ``pivot``."""
+    b = q_group_by_ordinal(spark, d)
+    piv = (b.groupBy("localized_name").pivot("duration_bin", ["late", "normal"])
+           .agg(F.max("winrate_duration_bin").alias("wr"),
+                F.max("match_count_duration_bin").alias("mc")))
+    return piv.select(
+        "localized_name",
+        F.col("late_wr").alias("winrate_late"), F.col("normal_wr").alias("winrate_normal"),
+        F.coalesce(F.col("late_mc"), F.lit(0)).alias("match_count_late"),
+        F.coalesce(F.col("normal_mc"), F.lit(0)).alias("match_count_normal"))
+
+
+@register("team_totals", W(["matches", "players", "players_stat"], """
+SELECT m.match_id, p.is_radiant, m.duration,
+       CAST(SUM(COALESCE(ps.gold_per_min, 0)) AS BIGINT) AS team_gpm,
+       CASE WHEN p.is_radiant = true AND m.radiant_win = true THEN 1
+            WHEN p.is_radiant = false AND m.radiant_win = false THEN 1 ELSE 0 END AS win
+FROM matches m JOIN players p ON m.match_id = p.match_id
+LEFT JOIN players_stat ps ON p.match_id = ps.match_id AND p.player_slot = ps.player_slot
+GROUP BY m.match_id, p.is_radiant, m.duration, m.radiant_win"""))
+def q_team_totals(spark, d):
+    """Per (match, side) SUM(COALESCE(gpm, 0)), pre-aggregated before the join."""
+    w = warehouse(spark, d)
+    return marts.team_stats(w.matches, w.players, w.players_stat)
+
+
+_REGION_BASE = f"SELECT match_id, region, radiant_win, {pm('duration')} AS duration_min FROM matches"
+
+
+@register("count_variants", W(["matches"], """
+SELECT region, COUNT(*) AS n_rows, COUNT(radiant_win) AS n_radiant_known
+FROM matches GROUP BY region"""))
+def q_count_variants(spark, d):
+    """A5: COUNT(*) counts rows, COUNT(col) skips NULLs."""
+    m = warehouse(spark, d).matches
+    return m.groupBy("region").agg(F.count(F.lit(1)).alias("n_rows"),
+                                   F.count("radiant_win").alias("n_radiant_known"))
+
+
+@register("count_distinct", W(["players", "heroes"], """
+SELECT h.localized_name, COUNT(DISTINCT p.match_id) AS n_matches
+FROM players p LEFT JOIN heroes h ON p.hero_id = h.hero_id GROUP BY h.localized_name"""))
+def q_count_distinct(spark, d):
+    """COUNT(DISTINCT) per group (two-phase: group+value, then group)."""
+    w = warehouse(spark, d)
+    p = join_dim(w.players.select("match_id", "hero_id"), w.heroes, "hero_id", "left")
+    return p.groupBy("localized_name").agg(F.count_distinct("match_id").alias("n_matches"))
+
+
+@register("cond_sum", W(["matches"], """
+SELECT region, CAST(SUM(CASE WHEN radiant_win THEN 1 ELSE 0 END) AS BIGINT) AS radiant_win_sum
+FROM matches GROUP BY region"""))
+def q_cond_sum(spark, d):
+    """SUM(CASE WHEN b THEN 1 ELSE 0 END): NULL counts as 0."""
+    m = warehouse(spark, d).matches
+    return m.groupBy("region").agg(cond_sum("radiant_win").alias("radiant_win_sum"))
+
+
+@register("bool_sum", W(["matches"], """
+SELECT region, CAST(SUM(CAST(radiant_win AS INT)) AS BIGINT) AS radiant_wins
+FROM matches GROUP BY region"""))
+def q_bool_sum(spark, d):
+    """SUM(b::int): NULL skipped, an all-NULL group gives NULL."""
+    m = warehouse(spark, d).matches
+    return m.groupBy("region").agg(bool_sum("radiant_win").alias("radiant_wins"))
+
+
+@register("avg_exact", W(["players", "players_stat"], f"""
+SELECT p.win, {avg2_sql("s.gold_per_min")} AS gold_per_min_mean,
+       {avg2_sql(pm("s.tower_damage"))} AS tower_damage_mean
+FROM players p LEFT JOIN players_stat s
+  ON p.match_id = s.match_id AND p.player_slot = s.player_slot
+GROUP BY p.win"""))
+def q_avg_exact(spark, d):
+    """A10: ROUND(AVG(x), 2) as an exact decimal (int and 2-place inputs)."""
+    w = warehouse(spark, d)
+    f = marts.player_stats(w.players, w.players_stat)
+    return f.groupBy("win").agg(
+        to_out(avg2("gold_per_min")).alias("gold_per_min_mean"),
+        to_out(avg2(per_minute("tower_damage"))).alias("tower_damage_mean"))
+
+
+@register("avg_pct", W(["matches"], f"""
+SELECT region, {pct2_sql("SUM(CAST(radiant_win AS INT))", "COUNT(radiant_win)")}
+       AS radiant_win_rate_pct
+FROM matches GROUP BY region"""))
+def q_avg_pct(spark, d):
+    """ROUND(AVG(b::int) * 100, 2); NULLs left out of the denominator."""
+    m = warehouse(spark, d).matches
+    rw = bool_int("radiant_win")
+    return m.groupBy("region").agg(
+        to_out(pct2(F.sum(rw), F.count(rw))).alias("radiant_win_rate_pct"))
+
+
+@register("ratio_pct", W(["matches"], f"""
+SELECT {_BINS7_SQL.format(x=pm("duration"))} AS duration_category,
+       {pct2_sql("SUM(CASE WHEN radiant_win THEN 1 ELSE 0 END)", "COUNT(match_id)")}
+       AS win_share_radiant
+FROM matches GROUP BY 1"""))
+def q_ratio_pct(spark, d):
+    """SUM / COUNT * 100 with every match in the denominator."""
+    m = warehouse(spark, d).matches
+    g = m.groupBy(duration_category(per_minute("duration")).alias("duration_category"))
+    return g.agg(to_out(pct2(cond_sum("radiant_win"), F.count("match_id")))
+                 .alias("win_share_radiant"))
+
+
+@register("median_rounded", W(["matches"], f"""
+SELECT region, {r2(med("duration_min"))} AS duration_median
+FROM ({_REGION_BASE}) t GROUP BY region"""))
+def q_median_rounded(spark, d):
+    """ROUND(percentile_cont(0.5), 2) per group, from value histograms."""
+    m = warehouse(spark, d).matches.select("region", per_minute("duration").alias("duration_min"))
+    med_df = grouped_quantiles(m, ["region"], ["duration_min"], 0.5)
+    return med_df.select("region", to_out(round2("duration_min")).alias("duration_median"))
+
+
+@register("median_raw", W(["matches", "players", "players_stat"], f"""
+SELECT CASE WHEN p.steam_id IS NOT NULL AND p.personaname IS NOT NULL THEN 'named'
+            ELSE 'unknown' END AS is_named,
+       {med(pm("s.kills"))} AS median_kills_per_min,
+       {med("s.gold_per_min")} AS median_gold_per_min
+FROM matches m LEFT JOIN players p ON m.match_id = p.match_id
+LEFT JOIN players_stat s ON p.match_id = s.match_id AND p.player_slot = s.player_slot
+GROUP BY 1"""))
+def q_median_raw(spark, d):
+    """Unrounded percentile_cont(0.5) (PostgreSQL interpolation, bit-exact)."""
+    w = warehouse(spark, d)
+    f = marts.match_player_facts(w.matches, w.players, w.players_stat)
+    named = F.col("steam_id").isNotNull() & F.col("personaname").isNotNull()
+    x = f.select(F.when(named, F.lit("named")).otherwise(F.lit("unknown")).alias("is_named"),
+                 per_minute("kills").alias("k"), F.col("gold_per_min").alias("g"))
+    q = grouped_quantiles(x, ["is_named"], ["k", "g"], 0.5)
+    groups = x.select("is_named").distinct()
+    return groups.join(q, "is_named", "left").select(
+        "is_named", F.col("k").alias("median_kills_per_min"),
+        F.col("g").alias("median_gold_per_min"))
+
+
+@register("quartile_threshold", W(["matches"], f"""
+SELECT {med(pm("duration"), 0.75)} AS q75_duration_min,
+       {med(pm("duration"), 0.25)} AS q25_duration_min
+FROM matches"""))
+def q_quartile_threshold(spark, d):
+    """Global 0.75 and 0.25 quantiles (one histogram, two read-outs)."""
+    m = warehouse(spark, d).matches.select(per_minute("duration").alias("v"))
+    h = value_histogram(m, [], ["v"])
+    q75 = quantile_from_histogram(h, [], 0.75).select(F.col("q").alias("q75_duration_min"),
+                                                       "metric")
+    q25 = quantile_from_histogram(h, [], 0.25).select(F.col("q").alias("q25_duration_min"),
+                                                       "metric")
+    return q75.join(q25, "metric").select("q75_duration_min", "q25_duration_min")
+
+
+@register("dedup_full", """
+SELECT DISTINCT l_orderkey AS match_id, l_linenumber AS player_slot, l_returnflag, l_linestatus
+FROM lineitem""")
+def q_dedup_full(spark, d):
+    """Full-row de-duplication."""
+    li = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("match_id"), F.col("l_linenumber").alias("player_slot"),
+        "l_returnflag", "l_linestatus")
+    return distinct_rows(li)
+
+
+@register("dedup_key", W(["line_one"], """
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
+       l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate FROM line_one"""))
+def q_dedup_key(spark, d):
+    """One row per (order, line), the first by a total order (map-side combined)."""
+    li = table(spark, d, "lineitem")
+    return first_per_key(li, ["l_orderkey", "l_linenumber"], LINE_ORDER)
+
+
+@register("dup_keys", """
+SELECT l_orderkey AS match_id, l_linenumber AS player_slot, COUNT(*) AS n_rows
+FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1""")
+def q_dup_keys(spark, d):
+    """Q5: keys that occur more than once."""
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("match_id"),
+                                            F.col("l_linenumber").alias("player_slot"))
+    return duplicate_keys(li, ["match_id", "player_slot"])
+
+
+# --------------------------------------------------------------------------- windows
+
+@register("dense_rank_global", W(["players", "heroes"], """
+WITH pickup_rate_count AS (
+  SELECT localized_name,
+         round(CAST(CAST(COUNT(p.hero_id) AS DECIMAL(20,0)) * 100
+                    / (SELECT COUNT(hero_id) FROM players) AS DECIMAL(30,10)), 2) AS pickup_rate
+  FROM players p LEFT JOIN heroes h ON p.hero_id = h.hero_id GROUP BY localized_name)
+SELECT localized_name, CAST(pickup_rate AS DOUBLE) AS pickup_rate,
+       CAST(DENSE_RANK() OVER (ORDER BY pickup_rate DESC NULLS FIRST) AS BIGINT) AS rank_pickup_rate
+FROM pickup_rate_count"""))
+def q_dense_rank_global(spark, d):
+    """DENSE_RANK over one row per hero (bounded by the dimension)."""
+    w = warehouse(spark, d)
+    p = join_dim(w.players.select("hero_id"), w.heroes, "hero_id", "left")
+    per = p.groupBy("localized_name").agg(F.count("hero_id").alias("picks"))
+    rate = pct2(F.col("picks"), F.sum("picks").over(Window.partitionBy()))
+    per = per.select("localized_name", rate.alias("pickup_rate"))
+    return per.select("localized_name", to_out("pickup_rate").alias("pickup_rate"),
+                      F.dense_rank().over(Window.orderBy(F.col("pickup_rate").desc_nulls_first()))
+                      .cast("bigint").alias("rank_pickup_rate"))
+
+
+_TEAM_SQL = """
+SELECT m.match_id, p.is_radiant, CAST(SUM(COALESCE(ps.gold_per_min, 0)) AS BIGINT) AS team_gpm
+FROM matches m JOIN players p ON m.match_id = p.match_id
+LEFT JOIN players_stat ps ON p.match_id = ps.match_id AND p.player_slot = ps.player_slot
+GROUP BY m.match_id, p.is_radiant"""
+
+
+@register("ntile_global", W(["matches", "players", "players_stat"], f"""
+SELECT match_id, is_radiant, team_gpm,
+       CAST(NTILE(10) OVER (ORDER BY team_gpm, match_id, is_radiant) AS BIGINT) AS gpm_decile
+FROM ({_TEAM_SQL}) t"""))
+def q_ntile_global(spark, d):
+    """Global NTILE(10) over team rows (range-partitioned, no single partition)."""
+    w = warehouse(spark, d)
+    t = marts.team_stats(w.matches, w.players, w.players_stat).select(
+        "match_id", "is_radiant", "team_gpm")
+    return ntile(t, 10, [F.col("team_gpm"), F.col("match_id"), F.col("is_radiant")],
+                 "gpm_decile")
+
+
+@register("ntile_distributed", W(["players_stat"], """
+SELECT match_id, player_slot, gold_per_min,
+       CAST(NTILE(7) OVER (ORDER BY gold_per_min, match_id, player_slot) AS BIGINT) AS gpm_tile
+FROM players_stat"""))
+def q_ntile_distributed(spark, d):
+    """R2: NTILE(7) over every stat row; 7 tiles leave a remainder to place."""
+    s = warehouse(spark, d).players_stat.select("match_id", "player_slot", "gold_per_min")
+    return ntile(s, 7, [F.col("gold_per_min"), F.col("match_id"), F.col("player_slot")],
+                 "gpm_tile")
+
+
+@register("median_histogram", W(["matches"], f"""
+SELECT region, {med(pm("duration"))} AS duration_median,
+       {med(pm("first_blood_time"))} AS first_blood_time_median
+FROM matches GROUP BY region"""))
+def q_median_histogram(spark, d):
+    """Medians from mergeable histograms: one per result state, merged, read out."""
+    m = warehouse(spark, d).matches.select(
+        "region", "radiant_win", per_minute("duration").alias("duration_median"),
+        per_minute("first_blood_time").alias("first_blood_time_median"))
+    cols = ["duration_median", "first_blood_time_median"]
+    won = value_histogram(m.where(F.col("radiant_win")), ["region"], cols)
+    rest = value_histogram(m.where(~F.coalesce(F.col("radiant_win"), F.lit(False))),
+                           ["region"], cols)
+    q = quantile_from_histogram(merge_histograms(won, rest), ["region"], 0.5)
+    return q.groupBy("region").pivot("metric", cols).agg(F.first("q"))
+
+
+# --------------------------------------------------------------------------- integrity
+
+@register("fk_matches_players", W(["matches", "players"], """
+SELECT DISTINCT match_id FROM matches m
+WHERE NOT EXISTS (SELECT 1 FROM players p WHERE p.match_id = m.match_id)"""))
+def q_fk_matches_players(spark, d):
+    """Matches without players."""
+    w = warehouse(spark, d)
+    return integrity.missing_keys(w.matches, w.players, ["match_id"])
+
+
+@register("fk_players_matches", W(["matches", "players"], """
+SELECT DISTINCT match_id FROM players p
+WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.match_id = p.match_id)"""))
+def q_fk_players_matches(spark, d):
+    """Q2: players whose match is missing (expected empty)."""
+    w = warehouse(spark, d)
+    return integrity.missing_keys(w.players, w.matches, ["match_id"])
+
+
+@register("fk_players_stat", W(["players", "players_stat"], """
+SELECT DISTINCT match_id, player_slot FROM players p
+WHERE NOT EXISTS (SELECT 1 FROM players_stat s
+                  WHERE s.match_id = p.match_id AND s.player_slot = p.player_slot)"""))
+def q_fk_players_stat(spark, d):
+    """Composite-key set difference players − stat."""
+    w = warehouse(spark, d)
+    return integrity.missing_keys(w.players, w.players_stat, ["match_id", "player_slot"])
+
+
+@register("fk_players_items", W(["players", "player_items_wide"], """
+SELECT DISTINCT match_id, player_slot FROM players p
+WHERE NOT EXISTS (SELECT 1 FROM player_items_wide i
+                  WHERE i.match_id = p.match_id AND i.player_slot = p.player_slot)"""))
+def q_fk_players_items(spark, d):
+    """Q3: composite-key set difference players − items (long form)."""
+    w = warehouse(spark, d)
+    items_long = unpivot_items(players_wide_from_tables(w.players, w.players_stat,
+                                                        w.player_items_wide))
+    return integrity.missing_keys(w.players, items_long, ["match_id", "player_slot"])
+
+
+@register("fk_hero", W(["players", "heroes"], """
+SELECT DISTINCT hero_id FROM players p
+WHERE hero_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM heroes h WHERE h.hero_id = p.hero_id)"""))
+def q_fk_hero(spark, d):
+    """Q4: hero ids with no hero (NULLs ignored)."""
+    w = warehouse(spark, d)
+    return integrity.missing_keys(w.players, w.heroes, ["hero_id"])
+
+
+@register("fk_item", W(["players", "player_items_wide", "items"], f"""
+WITH long AS ({_ITEMS_SQL})
+SELECT DISTINCT item_id FROM long l
+WHERE item_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM items i WHERE i.item_id = l.item_id)"""))
+def q_fk_item(spark, d):
+    """Q4: item ids with no item (0 was turned into NULL and is ignored)."""
+    w = warehouse(spark, d)
+    items_long = unpivot_items(_wide(w))
+    return integrity.missing_keys(items_long, w.items.withColumn("item_id",
+                                                                 F.col("item_id").cast("int")),
+                                  ["item_id"])
+
+
+_FK_SQL = """
+SELECT 'matches_without_players' AS "check",
+       (SELECT COUNT(DISTINCT match_id) FROM matches) AS child_keys,
+       (SELECT COUNT(DISTINCT match_id) FROM players) AS parent_keys,
+       (SELECT COUNT(*) FROM (SELECT DISTINCT match_id FROM matches m WHERE NOT EXISTS
+          (SELECT 1 FROM players p WHERE p.match_id = m.match_id))) AS missing
+UNION ALL
+SELECT 'players_without_match',
+       (SELECT COUNT(DISTINCT match_id) FROM players),
+       (SELECT COUNT(DISTINCT match_id) FROM matches),
+       (SELECT COUNT(*) FROM (SELECT DISTINCT match_id FROM players p WHERE NOT EXISTS
+          (SELECT 1 FROM matches m WHERE m.match_id = p.match_id)))
+UNION ALL
+SELECT 'players_without_stat',
+       (SELECT COUNT(*) FROM (SELECT DISTINCT match_id, player_slot FROM players)),
+       (SELECT COUNT(*) FROM (SELECT DISTINCT match_id, player_slot FROM players_stat)),
+       (SELECT COUNT(*) FROM (SELECT DISTINCT match_id, player_slot FROM players p WHERE NOT EXISTS
+          (SELECT 1 FROM players_stat s WHERE s.match_id = p.match_id
+             AND s.player_slot = p.player_slot)))
+UNION ALL
+SELECT 'players_without_items',
+       (SELECT COUNT(*) FROM (SELECT DISTINCT match_id, player_slot FROM players)),
+       (SELECT COUNT(*) FROM (SELECT DISTINCT match_id, player_slot FROM items_long)),
+       (SELECT COUNT(*) FROM (SELECT DISTINCT match_id, player_slot FROM players p WHERE NOT EXISTS
+          (SELECT 1 FROM items_long s WHERE s.match_id = p.match_id
+             AND s.player_slot = p.player_slot)))
+UNION ALL
+SELECT 'hero_not_in_heroes',
+       (SELECT COUNT(DISTINCT hero_id) FROM players),
+       (SELECT COUNT(DISTINCT hero_id) FROM heroes),
+       (SELECT COUNT(*) FROM (SELECT DISTINCT hero_id FROM players p WHERE hero_id IS NOT NULL
+          AND NOT EXISTS (SELECT 1 FROM heroes h WHERE h.hero_id = p.hero_id)))
+UNION ALL
+SELECT 'item_not_in_items',
+       (SELECT COUNT(DISTINCT item_id) FROM items_long),
+       (SELECT COUNT(DISTINCT item_id) FROM items),
+       (SELECT COUNT(*) FROM (SELECT DISTINCT item_id FROM items_long l WHERE item_id IS NOT NULL
+          AND NOT EXISTS (SELECT 1 FROM items i WHERE i.item_id = l.item_id)))"""
+
+
+@register("fk_report", W(["matches", "players", "players_stat", "player_items_wide", "heroes",
+                          "items"], f"WITH items_long AS ({_ITEMS_SQL})\n{_FK_SQL}"))
+def q_fk_report(spark, d):
+    """One row per key check: distinct keys each side, missing count."""
+    w = warehouse(spark, d)
+    items_long = unpivot_items(_wide(w))
+    return integrity.fk_report({
+        "matches": w.matches, "players": w.players, "players_stat": w.players_stat,
+        "players_items": items_long, "heroes": w.heroes,
+        "items": w.items.withColumn("item_id", F.col("item_id").cast("int")),
+    })
+
+
+# --------------------------------------------------------------------------- sources / sinks
+# These write to (and read back from) fresh folders under the shared
+# checkpoint dir, the way the feed's files are produced and consumed.
+
+from pyspark.sql import types as T  # noqa: E402
+
+from matchmart.operators.load import insert_ignore, read_table  # noqa: E402
+from matchmart.plans import etl, publish  # noqa: E402
+from matchmart.schemas import HERO_LIST_ITEM, KEYS  # noqa: E402
+from matchmart.session import scratch_path  # noqa: E402
+from matchmart.sources import files  # noqa: E402
+
+
+@register("json_id_list", "SELECT o_orderkey AS match_id FROM orders")
+def q_json_id_list(spark, d):
+    """Save ids as JSON arrays (one per partition), load them back as rows."""
+    path = scratch_path(spark, "id-list")
+    ids = table(spark, d, "orders").select(F.col("o_orderkey").alias("match_id"))
+    files.save_id_list(ids, path)
+    return files.load_id_list(spark, path, "match_id")
+
+
+@register("land_raw")
+def q_land_raw(spark, d):
+    """Append raw documents to a landing folder, one JSON document per line."""
+    path = scratch_path(spark, "landing")
+    jsonl.land(_raw_lines(spark, d), path)
+    return jsonl.read_lines(spark, path)
+
+
+@register("json_array_rows", W(["heroes"], "SELECT hero_id, localized_name FROM heroes"))
+def q_json_array_rows(spark, d):
+    """JSON arrays of hero objects (one document per region) → rows."""
+    n = table(spark, d, "nation")
+    hero = F.struct(F.col("n_nationkey").cast("bigint").alias("id"),
+                    F.col("n_name").alias("localized_name"))
+    docs = n.groupBy("n_regionkey").agg(F.to_json(F.collect_list(hero)).alias("value"))
+    rows = files.json_array_rows(docs, HERO_LIST_ITEM)
+    return rename_keys(rows.select("id", "localized_name"), {"id": "hero_id"})
+
+
+@register("json_map_rows", W(["items"], "SELECT item_key, item_id FROM items"))
+def q_json_map_rows(spark, d):
+    """JSON objects keyed by item name → rows with the key as ``item_key``."""
+    it = warehouse(spark, d).items
+    docs = it.select(F.to_json(F.create_map(
+        F.col("item_key"), F.struct(F.col("item_id").alias("id")))).alias("value"))
+    value = T.StructType([T.StructField("id", T.LongType())])
+    rows = files.json_map_rows(docs, value, "item_key")
+    return rows.select("item_key", F.col("id").alias("item_id"))
+
+
+_PLAYERS_CSV_SCHEMA = T.StructType([
+    T.StructField("match_id", T.LongType()), T.StructField("player_slot", T.IntegerType()),
+    T.StructField("steam_id", T.LongType()), T.StructField("personaname", T.StringType()),
+    T.StructField("hero_id", T.LongType()), T.StructField("is_radiant", T.BooleanType()),
+    T.StructField("win", T.BooleanType()),
+])
+
+
+@register("csv_roundtrip", W(["players"], "SELECT * FROM players"))
+def q_csv_roundtrip(spark, d):
+    """CSV with header, explicit schema on read, empty field = NULL."""
+    path = scratch_path(spark, "csv")
+    files.write_csv(warehouse(spark, d).players, path)
+    return files.read_csv(spark, path, _PLAYERS_CSV_SCHEMA)
+
+
+@register("snapshot_merge", W(["players"], "SELECT * FROM players"))
+def q_snapshot_merge(spark, d):
+    """Old snapshot ∪ new download, key dedup keeping the old row, rewrite."""
+    w = warehouse(spark, d)
+    old = w.players.withColumn("_src", F.lit(0))
+    new = normalize_text(w.players).withColumn("_src", F.lit(1))
+    merged = first_per_key(old.unionByName(new), KEYS["players"],
+                           ["_src", "steam_id", "personaname", "hero_id", "is_radiant", "win"])
+    path = scratch_path(spark, "snapshot")
+    files.write_csv(merged.drop("_src"), path)
+    return files.read_csv(spark, path, _PLAYERS_CSV_SCHEMA)
+
+
+@register("insert_ignore", W(["matches"], "SELECT * FROM matches"))
+def q_insert_ignore(spark, d):
+    """Two overlapping loads of matches; the second inserts only new keys."""
+    w = warehouse(spark, d)
+    path = scratch_path(spark, "table") + "/matches"
+    first = integrity.with_children(w.matches, w.players, "match_id")
+    insert_ignore(spark, first, path, KEYS["matches"]).collect()
+    insert_ignore(spark, w.matches, path, KEYS["matches"]).collect()
+    return read_table(spark, path)
+
+
+@register("mart_publish")
+def q_mart_publish(spark, d):
+    """Materialise a mart as a new version and read the current version."""
+    root = scratch_path(spark, "marts")
+    w = warehouse(spark, d)
+    publish.publish(spark, root, "radiant_win_by_duration",
+                    marts.radiant_win_by_duration(w.matches))
+    return publish.current(spark, root, "radiant_win_by_duration")
+
+
+@register("mart_refresh")
+def q_mart_refresh(spark, d):
+    """Refresh every mart; one status row each (failures do not stop the rest)."""
+    root = scratch_path(spark, "marts")
+    return publish.refresh_all(spark, root, {
+        name: (lambda n=name: QUERIES[n](spark, d)) for name in marts.MART_NAMES})
+
+
+@register("daily_load", W(["matches", "players"], """
+SELECT match_id, duration, first_blood_time, radiant_win, CAST(region AS BIGINT) AS region
+FROM matches m WHERE EXISTS (SELECT 1 FROM players p WHERE p.match_id = m.match_id)"""))
+def q_daily_load(spark, d):
+    """Landed documents → four tables (FK-filtered, insert-ignore); the matches table."""
+    root = scratch_path(spark, "warehouse")
+    etl.load_batch(spark, _raw_lines(spark, d), root).collect()
+    etl.load_batch(spark, _raw_lines(spark, d), root).collect()   # rerun adds nothing
+    return read_table(spark, f"{root}/matches")
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark, d):
+    """Landed files processed once by a resumable availableNow stream."""
+    from matchmart.streaming.ingest import run_ingest
+    landing = scratch_path(spark, "landing")
+    root = scratch_path(spark, "warehouse")
+    ckpt = scratch_path(spark, "stream-ckpt")
+    jsonl.land(_raw_lines(spark, d), landing)
+    run_ingest(spark, landing, root, ckpt)
+    run_ingest(spark, landing, root, ckpt)   # nothing new: no batch, no rows
+    return read_table(spark, f"{root}/matches")
