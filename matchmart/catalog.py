@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from matchmart import oracle_sql as O
 from matchmart.plans import marts
-from matchmart.sources.roles import warehouse
+from matchmart.sources.roles import stored_warehouse as warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -880,7 +880,9 @@ SELECT 'item_not_in_items',
 def q_fk_report(spark, d):
     """One row per key check: distinct keys each side, missing count."""
     w = warehouse(spark, d)
-    items_long = unpivot_items(_wide(w))
+    item_rows = w.player_items_wide.join(w.players.select("match_id", "player_slot"),
+                                         ["match_id", "player_slot"], "left_semi")
+    items_long = unpivot_items(item_rows)
     return integrity.fk_report({
         "matches": w.matches, "players": w.players, "players_stat": w.players_stat,
         "players_items": items_long, "heroes": w.heroes,

@@ -33,6 +33,27 @@ def with_children(parent: DataFrame, child: DataFrame, key: str) -> DataFrame:
     return parent.join(child.select(key).distinct(), key, "left_semi")
 
 
+def key_check(name: str, child: DataFrame, parent: DataFrame, keys: Sequence[str],
+              parent_keys: Sequence[str] | None = None) -> DataFrame:
+    """One row: distinct non-NULL keys in child and parent, and child keys missing in parent.
+
+    Both key sets are de-duplicated map-side, then matched with one full
+    outer join; the three counts come out of a single aggregate.
+    """
+    keys = list(keys)
+    pk = list(parent_keys) if parent_keys else keys
+    a = child.select(*keys).dropna().distinct().withColumn("_a", F.lit(1))
+    b = (parent.select(*[F.col(p).alias(k) for p, k in zip(pk, keys)]).dropna().distinct()
+         .withColumn("_b", F.lit(1)))
+    j = a.join(b, keys, "full_outer")
+    return j.agg(
+        F.count("_a").alias("child_keys"),
+        F.count("_b").alias("parent_keys"),
+        F.count(F.when(F.col("_a").isNotNull() & F.col("_b").isNull(), F.lit(1)))
+        .alias("missing"),
+    ).select(F.lit(name).alias("check"), "child_keys", "parent_keys", "missing")
+
+
 def fk_report(tables: dict[str, DataFrame]) -> DataFrame:
     """One row per check: name, distinct keys on each side, missing count.
 
@@ -40,32 +61,15 @@ def fk_report(tables: dict[str, DataFrame]) -> DataFrame:
     """
     t = tables
     checks = [
-        ("matches_without_players", t["matches"], t["players"], ["match_id"], None),
-        ("players_without_match", t["players"], t["matches"], ["match_id"], None),
-        ("players_without_stat", t["players"], t["players_stat"], ["match_id", "player_slot"],
-         None),
-        ("players_without_items", t["players"], t["players_items"],
-         ["match_id", "player_slot"], None),
-        ("hero_not_in_heroes", t["players"], t["heroes"], ["hero_id"], None),
-        ("item_not_in_items", t["players_items"], t["items"], ["item_id"], None),
+        ("matches_without_players", t["matches"], t["players"], ["match_id"]),
+        ("players_without_match", t["players"], t["matches"], ["match_id"]),
+        ("players_without_stat", t["players"], t["players_stat"], ["match_id", "player_slot"]),
+        ("players_without_items", t["players"], t["players_items"], ["match_id", "player_slot"]),
+        ("hero_not_in_heroes", t["players"], t["heroes"], ["hero_id"]),
+        ("item_not_in_items", t["players_items"], t["items"], ["item_id"]),
     ]
     rows = None
-    for name, child, parent, keys, pkeys in checks:
-        miss = missing_keys(child, parent, keys, pkeys).agg(F.count(F.lit(1)).alias("missing"))
-        left = child.select(*keys).dropna().distinct().agg(F.count(F.lit(1)).alias("child_keys"))
-        pcols = list(pkeys) if pkeys else keys
-        right = (parent.select(*pcols).dropna().distinct()
-                 .agg(F.count(F.lit(1)).alias("parent_keys")))
-        r = _one_row(name, left, right, miss)
+    for name, child, parent, keys in checks:
+        r = key_check(name, child, parent, keys)
         rows = r if rows is None else rows.unionByName(r)
     return rows
-
-
-def _one_row(name: str, left: DataFrame, right: DataFrame, miss: DataFrame) -> DataFrame:
-    """Combine three one-row aggregates into one row without a cross join."""
-    tag = F.lit(name).alias("check")
-    a = left.select(tag, "child_keys")
-    b = right.select(tag, "parent_keys")
-    c = miss.select(tag, "missing")
-    return a.join(b, "check").join(c, "check").select("check", "child_keys", "parent_keys",
-                                                      "missing")

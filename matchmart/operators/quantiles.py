@@ -77,6 +77,70 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], values: Sequence[str],
     return q.groupBy(*keys).pivot("metric", list(values)).agg(F.first("q"))
 
 
+ROWS_METRIC = "_rows"
+
+
+def metric_stats(df: DataFrame, keys: Sequence[str], metrics: Sequence[str],
+                 quantiles: dict[str, float] | None = None,
+                 value_type: str = "decimal(21,2)") -> DataFrame:
+    """Per group, for every metric: count, exact sum, exact mean, percentiles.
+
+    One pass over ``df``: the metrics are unpivoted and counted per value
+    (map-side combined), and everything is read off that histogram, so the
+    input is scanned and shuffled once whatever the number of statistics.
+    Metric values must be integers or decimals with at most two places (the
+    marts round per-row values to two places first), so ``value_type`` holds
+    them exactly and sums/means are exact decimals.
+
+    Output columns: ``keys`` + ``rows`` (COUNT(*)) + for each metric ``m``:
+    ``m_n`` (COUNT(m)), ``m_sum`` (SUM(m)), ``m_avg2`` (ROUND(AVG(m), 2)) and
+    ``m_<name>`` for each entry of ``quantiles`` (double, percentile_cont).
+    A group is present even when all its metrics are NULL.
+    """
+    keys, metrics = list(keys), list(metrics)
+    quantiles = quantiles if quantiles is not None else {"p50": 0.5}
+    cast = df.select(*keys, F.lit(1).cast(value_type).alias(ROWS_METRIC),
+                     *[F.col(m).cast(value_type).alias(m) for m in metrics])
+    long = cast.unpivot(keys, [ROWS_METRIC, *metrics], "metric", "value")
+    hist = (long.where(F.col("value").isNotNull())
+            .groupBy(*keys, "metric", "value").agg(F.count(F.lit(1)).alias("n")))
+
+    part = [*keys, "metric"]
+    cum = Window.partitionBy(*part).orderBy("value").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    h = (hist.withColumn("_cum", F.sum("n").over(cum))
+         .withColumn("_tot", F.sum("n").over(Window.partitionBy(*part))))
+    aggs = [F.first("_tot").alias("n"),
+            F.sum(F.col("value") * F.col("n")).alias("total")]
+    reads = []
+    for name, p in quantiles.items():
+        pos = F.lit(float(p)) * (F.col("_tot") - F.lit(1)).cast("double")
+        lo_i, hi_i = F.floor(pos), F.ceil(pos)
+        aggs += [F.min(F.when(F.col("_cum") > lo_i, F.col("value"))).alias(f"_lo_{name}"),
+                 F.min(F.when(F.col("_cum") > hi_i, F.col("value"))).alias(f"_hi_{name}"),
+                 F.first(pos - lo_i.cast("double")).alias(f"_fr_{name}")]
+        reads.append(name)
+    per = h.groupBy(*part).agg(*aggs)
+    outs = [F.col("n"), F.col("total").cast("decimal(38,2)").alias("total"),
+            F.round(F.col("total").cast("decimal(24,2)") / F.col("n"), 2).alias("avg2")]
+    for name in reads:
+        lo = F.col(f"_lo_{name}").cast("double")
+        hi = F.col(f"_hi_{name}").cast("double")
+        fr = F.col(f"_fr_{name}")
+        outs.append(F.when(fr == 0, lo).otherwise(lo + fr * (hi - lo)).alias(name))
+    per = per.select(*part, *outs)
+    stat_names = ["n", "total", "avg2", *reads]
+    wide = per.groupBy(*keys).pivot("metric", [ROWS_METRIC, *metrics]).agg(
+        *[F.first(s).alias(s) for s in stat_names])
+    cols = [*keys, F.col(f"{ROWS_METRIC}_n").alias("rows")]
+    for m in metrics:
+        cols += [F.coalesce(F.col(f"{m}_n"), F.lit(0)).alias(f"{m}_n"),
+                 F.col(f"{m}_total").alias(f"{m}_sum"),
+                 F.col(f"{m}_avg2").alias(f"{m}_avg2"),
+                 *[F.col(f"{m}_{r}").alias(f"{m}_{r}") for r in reads]]
+    return wide.select(*cols)
+
+
 def scalar_quantile(df: DataFrame, value: Column | str, p: float) -> DataFrame:
     """One-row, one-column DataFrame ``q``: percentile_cont(p) over all rows."""
     v = F.col(value) if isinstance(value, str) else value

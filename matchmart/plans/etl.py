@@ -25,7 +25,7 @@ from matchmart.operators.load import insert_ignore, read_table
 from matchmart.operators.reshape import (
     clean_matches, clean_players, split_players, split_stat, unpivot_items,
 )
-from matchmart.schemas import KEYS
+from matchmart.schemas import KEYS  # noqa: F401  (re-exported)
 from matchmart.session import scratch_path
 from matchmart.sources.jsonl import dedup_batch, explode_players, parse_lines, project_matches
 from matchmart.sources.jsonl import rejects as reject_rows

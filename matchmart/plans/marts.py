@@ -27,7 +27,7 @@ from matchmart.functions.numeric import (
 )
 from matchmart.operators.joins import join_dim, join_on_group, left_join_children
 from matchmart.operators.ntile import ntile
-from matchmart.operators.quantiles import grouped_quantiles, scalar_quantile
+from matchmart.operators.quantiles import metric_stats, scalar_quantile
 
 MART_NAMES = ("radiant_win_by_duration", "regions_stat", "win_factors", "heroes_stat",
               "gmp_winrate", "unknown_players")
@@ -46,14 +46,13 @@ def match_player_facts(matches: DataFrame, players: DataFrame,
     return left_join_children(matches, player_stats(players, players_stat), "match_id")
 
 
-def _stats_with_medians(d: DataFrame, keys: list[str], mean_aggs: list,
-                        median_cols: list[str], rounded: bool,
-                        median_name) -> DataFrame:
-    base = d.groupBy(*keys).agg(*mean_aggs)
-    med = grouped_quantiles(d, keys, median_cols, 0.5)
-    conv = (lambda c: to_out(round2(c))) if rounded else (lambda c: F.col(c).cast("double"))
-    med = med.select(*keys, *[conv(c).alias(median_name(c)) for c in median_cols])
-    return join_on_group(base, med, keys)
+def _mean(m: str):
+    return to_out(F.col(f"{m}_avg2"))
+
+
+def _median(m: str, rounded: bool):
+    c = F.col(f"{m}_p50")
+    return to_out(round2(c)) if rounded else c
 
 
 # --------------------------------------------------------------------------- M1
@@ -81,18 +80,18 @@ def regions_stat(matches: DataFrame) -> DataFrame:
         bool_int("radiant_win").alias("rw"),
     )
     keys = ["region", "region_name"]
-    out = _stats_with_medians(
-        d, keys,
-        [F.count_distinct("match_id").alias("match_count"),
-         to_out(avg2("duration_min")).alias("duration_mean"),
-         to_out(avg2("first_blood_time")).alias("first_blood_time_mean"),
-         F.sum("rw").cast("bigint").alias("radiant_wins"),
-         to_out(pct2(F.sum("rw"), F.count("rw"))).alias("radiant_win_rate_pct")],
-        ["duration_min", "first_blood_time"], True,
-        {"duration_min": "duration_median", "first_blood_time": "first_blood_time_median"}.get)
-    return out.select("region", "region_name", "match_count", "duration_median",
-                      "duration_mean", "first_blood_time_median", "first_blood_time_mean",
-                      "radiant_wins", "radiant_win_rate_pct")
+    stats = metric_stats(d, keys, ["duration_min", "first_blood_time", "rw"])
+    distinct = d.groupBy(*keys).agg(F.count_distinct("match_id").alias("match_count"))
+    out = join_on_group(stats, distinct, keys)
+    return out.select(
+        "region", "region_name", "match_count",
+        _median("duration_min", True).alias("duration_median"),
+        _mean("duration_min").alias("duration_mean"),
+        _median("first_blood_time", True).alias("first_blood_time_median"),
+        _mean("first_blood_time").alias("first_blood_time_mean"),
+        F.col("rw_sum").cast("bigint").alias("radiant_wins"),
+        to_out(pct2(F.col("rw_sum"), F.col("rw_n"))).alias("radiant_win_rate_pct"),
+    )
 
 
 # --------------------------------------------------------------------------- M3
@@ -112,12 +111,11 @@ def win_factors(matches: DataFrame, players: DataFrame, players_stat: DataFrame)
         per_minute("first_blood_time").alias("first_blood_time"),
     )
     m = WIN_FACTOR_METRICS
-    out = _stats_with_medians(d, ["win"], [to_out(avg2(c)).alias(f"{c}_mean") for c in m],
-                              m, True, lambda c: f"{c}_median")
+    stats = metric_stats(d, ["win"], m)
     cols = ["win"]
     for c in m:
-        cols += [f"{c}_mean", f"{c}_median"]
-    return out.select(*cols)
+        cols += [_mean(c).alias(f"{c}_mean"), _median(c, True).alias(f"{c}_median")]
+    return stats.select(*cols)
 
 
 # --------------------------------------------------------------------------- M4
@@ -255,12 +253,12 @@ def unknown_players(matches: DataFrame, players: DataFrame, players_stat: DataFr
     )
     keys = ["is_named", "duration_bin_small"]
     m = UNKNOWN_METRICS
-    w = bool_int("win")
-    out = _stats_with_medians(
-        d, keys,
-        [to_out(avg2("duration_min")).alias("avg_duration"),
-         to_out(pct2(F.sum(w), F.count(w))).alias("avg_winrate"),
-         *[to_out(avg2(c)).alias(f"avg_{c}") for c in m]],
-        m, False, lambda c: f"median_{c}")
-    return out.select(*keys, "avg_duration", "avg_winrate",
-                      *[f"median_{c}" for c in m], *[f"avg_{c}" for c in m])
+    stats = metric_stats(d.withColumn("win", bool_int("win")), keys,
+                         ["duration_min", "win", *m])
+    return stats.select(
+        *keys,
+        _mean("duration_min").alias("avg_duration"),
+        to_out(pct2(F.col("win_sum"), F.col("win_n"))).alias("avg_winrate"),
+        *[_median(c, False).alias(f"median_{c}") for c in m],
+        *[_mean(c).alias(f"avg_{c}") for c in m],
+    )

@@ -29,8 +29,12 @@ def load_id_list(spark: SparkSession, path: str, column: str = "match_id") -> Da
     if not table_exists(spark, path):
         return spark.createDataFrame([], T.StructType([T.StructField(column, T.LongType())]))
     docs = spark.read.text(path, wholetext=True)
-    arr = F.from_json(F.col("value"), T.ArrayType(T.LongType()))
-    return docs.select(F.explode(arr).alias(column))
+    # A file may hold one (indented) array or several arrays in a row; ids are
+    # plain numbers, so "] [" only occurs between arrays: wrap them in one.
+    joined = F.regexp_replace(F.trim(F.col("value")), r"\]\s*\[", "],[")
+    nested = F.from_json(F.concat(F.lit("["), joined, F.lit("]")),
+                         T.ArrayType(T.ArrayType(T.LongType())))
+    return docs.select(F.explode(F.flatten(nested)).alias(column))
 
 
 # --------------------------------------------------------------------------- object lists

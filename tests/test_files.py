@@ -1,0 +1,45 @@
+"""Id lists, JSON arrays/maps of objects, CSV."""
+
+import json
+import os
+
+from pyspark.sql import types as T
+
+from matchmart.schemas import HERO_LIST_ITEM
+from matchmart.sources import files
+
+
+def test_id_list_roundtrip_and_missing(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "ids")
+    files.save_id_list(spark.range(0, 1000, numPartitions=4).toDF("match_id"), path)
+    got = files.load_id_list(spark, path)
+    assert got.count() == 1000 and got.distinct().count() == 1000
+    assert files.load_id_list(spark, os.path.join(tmp_dir, "nope")).count() == 0
+
+
+def test_id_list_reads_single_indented_file(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "match_ids_parced_2025-01-01.json")
+    with open(path, "w") as f:
+        json.dump([5, 6, 7], f, indent=2)
+    assert sorted(r.match_id for r in files.load_id_list(spark, path).collect()) == [5, 6, 7]
+
+
+def test_json_array_and_map_rows(spark):
+    arr = spark.createDataFrame([(json.dumps([{"id": 1, "localized_name": "A",
+                                               "roles": ["Carry"]}, {"id": 2}]),)], "value string")
+    rows = files.json_array_rows(arr, HERO_LIST_ITEM).collect()
+    assert [(r.id, r.localized_name) for r in rows] == [(1, "A"), (2, None)]
+    mp = spark.createDataFrame([(json.dumps({"blink": {"id": 1, "cost": "2250"},
+                                             "tango": {"id": 44}}),)], "value string")
+    value = T.StructType([T.StructField("id", T.LongType()), T.StructField("cost", T.StringType())])
+    got = sorted((r.item_key, r.id, r.cost) for r in files.json_map_rows(mp, value).collect())
+    assert got == [("blink", 1, "2250"), ("tango", 44, None)]
+
+
+def test_csv_roundtrip_with_nulls(spark, tmp_dir):
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("s", T.StringType())])
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "nan")], schema)
+    path = os.path.join(tmp_dir, "csv")
+    files.write_csv(df, path)
+    back = sorted(tuple(r) for r in files.read_csv(spark, path, schema, ("nan",)).collect())
+    assert back == [(1, "a"), (2, None), (3, None)]
