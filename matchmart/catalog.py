@@ -77,8 +77,8 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from matchmart.functions.lookup import region_name  # noqa: E402
 from matchmart.functions.numeric import (  # noqa: E402
-    avg2, bool_int, bool_sum, cond_sum, duration_bin_small, duration_category, minutes, pct2,
-    per_minute, round2, to_out, whole_minutes,
+    avg2, bool_int, bool_sum, cond_sum, duration_bin_small, duration_category, from_hundredths,
+    minutes_double, pct2, per_minute, per_minute_hundredths, round2, to_out, whole_minutes,
 )
 from matchmart.functions.text import coerce_int, normalize_text, null_if_empty_list  # noqa: E402
 from matchmart.operators import integrity  # noqa: E402
@@ -266,8 +266,9 @@ SELECT match_id, CAST(duration_min AS DOUBLE) AS duration_min,
 FROM (SELECT match_id, {pm("duration")} AS duration_min FROM matches) t"""))
 def q_duration_bins7(spark, d):
     """7-bin scale over rounded minutes."""
-    m = warehouse(spark, d).matches.select("match_id", per_minute("duration").alias("dm"))
-    return m.select("match_id", to_out("dm").alias("duration_min"),
+    m = warehouse(spark, d).matches.select("match_id",
+                                           per_minute_hundredths("duration").alias("dm"))
+    return m.select("match_id", from_hundredths("dm").alias("duration_min"),
                     duration_category("dm").alias("duration_category"))
 
 
@@ -327,7 +328,7 @@ def q_per_minute(spark, d):
     """ROUND(x::numeric/60, 2) kept exact until output."""
     s = warehouse(spark, d).players_stat
     return s.select("match_id", "player_slot",
-                    *[to_out(per_minute(c)).alias(f"{c}_per_min")
+                    *[from_hundredths(per_minute_hundredths(c)).alias(f"{c}_per_min")
                       for c in ["kills", "hero_damage", "hero_healing", "tower_damage"]])
 
 
@@ -347,7 +348,8 @@ def q_cast_numeric(spark, d):
     """``::int`` on a boolean, ``::numeric`` division."""
     m = warehouse(spark, d).matches
     return m.select("match_id", bool_int("radiant_win").alias("radiant_win_int"),
-                    to_out(per_minute("first_blood_time")).alias("first_blood_min"))
+                    from_hundredths(per_minute_hundredths("first_blood_time"))
+                    .alias("first_blood_min"))
 
 
 @register("normalize_text", """
@@ -461,7 +463,7 @@ def q_scalar_threshold(spark, d):
     m = warehouse(spark, d).matches
     thr = scalar_quantile(m, per_minute("duration"), 0.75).scalar()
     return m.select("match_id", thr.alias("dur_thresh"),
-                    F.when(minutes("duration") < thr, F.lit("normal"))
+                    F.when(minutes_double("duration") < thr, F.lit("normal"))
                     .otherwise(F.lit("late")).alias("duration_bin"))
 
 
@@ -489,7 +491,7 @@ def _hero_bins(spark, d):
     m = w.matches.select(F.col("match_id").alias("m_match_id"), "duration")
     base = p.join(m, p["match_id"] == m["m_match_id"], "left").select(
         "localized_name", "m_match_id", "win",
-        F.when(minutes("duration") < thr, F.lit("normal")).otherwise(F.lit("late"))
+        F.when(minutes_double("duration") < thr, F.lit("normal")).otherwise(F.lit("late"))
         .alias("duration_bin"))
     return base.groupBy("localized_name", "duration_bin").agg(
         F.count_distinct("m_match_id").alias("match_count_duration_bin"),
@@ -618,7 +620,8 @@ FROM matches GROUP BY 1"""))
 def q_ratio_pct(spark, d):
     """SUM / COUNT * 100 with every match in the denominator."""
     m = warehouse(spark, d).matches
-    g = m.groupBy(duration_category(per_minute("duration")).alias("duration_category"))
+    g = m.groupBy(duration_category(per_minute_hundredths("duration"))
+                  .alias("duration_category"))
     return g.agg(to_out(pct2(cond_sum("radiant_win"), F.count("match_id")))
                  .alias("win_share_radiant"))
 

@@ -2,7 +2,8 @@
 
 from matchmart.functions.numeric import (  # noqa: F401
     avg2, bins, bool_int, bool_sum, cond_sum, duration_bin_small, duration_category,
-    minutes, pct2, per_minute, round2, safe_div, to_out, whole_minutes,
+    from_hundredths, hundredths, minutes, minutes_double, pct2, per_minute,
+    per_minute_hundredths, round2, safe_div, to_out, whole_minutes,
 )
 from matchmart.functions.lookup import region_name  # noqa: F401
 from matchmart.functions.text import (  # noqa: F401

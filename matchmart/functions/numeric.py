@@ -27,12 +27,51 @@ def per_minute(c) -> Column:
     return F.round(minutes(c), 2)
 
 
-def whole_minutes(c) -> Column:
-    """``duration / 60`` on an integer column: PostgreSQL truncates toward 0.
+# Below this bound 10*|x|+3 is exactly representable as a double, so the
+# integer quotient can be taken in plain long/double arithmetic.
+_FAST_LIMIT = 900_000_000_000_000
+
+
+def _exact_div(num: Column, d: int) -> Column:
+    """``num div d`` for 0 <= num < 2**53: the numerator is made a multiple of d first."""
+    return ((num - num % F.lit(d)) / F.lit(d)).cast("long")
+
 
-    The exact decimal quotient cast to an integer truncates the same way.
+def per_minute_hundredths(c) -> Column:
+    """``ROUND(x::numeric / 60, 2) * 100`` as an exact bigint (half away from zero).
+
+    The row path of the marts stays in primitive longs: ``x/60`` as a decimal
+    needs 31 digits, which Spark evaluates with ``BigDecimal`` objects per
+    row. round(|x|/60, 2) * 100 = floor((10|x| + 3) / 6); beyond the fast
+    range the decimal form is used.
     """
-    return minutes(c).cast("long")
+    x = _c(c).cast("long")
+    a = F.abs(x)
+    fast = _exact_div(a * F.lit(10) + F.lit(3), 6)
+    slow = (F.round(minutes(a), 2) * F.lit(100)).cast("long")
+    h = F.when(a < F.lit(_FAST_LIMIT), fast).otherwise(slow)
+    return F.when(x < 0, -h).otherwise(h)
+
+
+def hundredths(c) -> Column:
+    """An integer (or boolean as 0/1) column scaled to hundredths."""
+    return _c(c).cast("long") * F.lit(100)
+
+
+def from_hundredths(h) -> Column:
+    """Hundredths → double; equals casting the 2-place decimal to double."""
+    return _c(h).cast("double") / F.lit(100.0)
+
+
+def minutes_double(c) -> Column:
+    """``x::numeric / 60`` compared with a float8 value: as double."""
+    return _c(c).cast("double") / F.lit(60.0)
+
+
+def whole_minutes(c) -> Column:
+    """``duration / 60`` on an integer column: PostgreSQL truncates toward 0."""
+    x = _c(c).cast("long")
+    return ((x - x % F.lit(60)) / F.lit(60)).cast("long")
 
 
 def round2(c) -> Column:
@@ -113,11 +152,13 @@ DURATION_BINS_9 = [
 DURATION_BINS_9_ELSE = "late(>50)"
 
 
-def duration_category(duration_min) -> Column:
-    """7-bin scale over rounded minutes (win share by match length)."""
-    return bins(duration_min, DURATION_BINS_7, DURATION_BINS_7_ELSE)
+def duration_category(duration_min_hundredths) -> Column:
+    """7-bin scale over rounded minutes, given as hundredths (``per_minute_hundredths``)."""
+    edges = [(bound * 100, label) for bound, label in DURATION_BINS_7]
+    return bins(duration_min_hundredths, edges, DURATION_BINS_7_ELSE)
 
 
 def duration_bin_small(duration) -> Column:
-    """9-bin scale over unrounded minutes ``duration::numeric/60.0``."""
-    return bins(minutes(duration), DURATION_BINS_9, DURATION_BINS_9_ELSE)
+    """9-bin scale over unrounded minutes: ``x/60 <= k`` is exactly ``x <= 60k``."""
+    edges = [(bound * 60, label) for bound, label in DURATION_BINS_9]
+    return bins(_c(duration).cast("long"), edges, DURATION_BINS_9_ELSE)

@@ -22,6 +22,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def value_histogram(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -80,27 +81,42 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], values: Sequence[str],
 ROWS_METRIC = "_rows"
 
 
+def _hundredths(df: DataFrame, name: str):
+    """Exact value × 100 as bigint (integers and ≤2-place decimals only)."""
+    dt = df.schema[name].dataType
+    c = F.col(name)
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return (c.cast("long") * F.lit(100)).alias(name)
+    if isinstance(dt, T.BooleanType):
+        return (c.cast("long") * F.lit(100)).alias(name)
+    return (c.cast("decimal(20,2)") * F.lit(100)).cast("long").alias(name)
+
+
 def metric_stats(df: DataFrame, keys: Sequence[str], metrics: Sequence[str],
                  quantiles: dict[str, float] | None = None,
-                 value_type: str = "decimal(21,2)") -> DataFrame:
+                 scaled: bool = False) -> DataFrame:
     """Per group, for every metric: count, exact sum, exact mean, percentiles.
 
     One pass over ``df``: the metrics are unpivoted and counted per value
     (map-side combined), and everything is read off that histogram, so the
     input is scanned and shuffled once whatever the number of statistics.
     Metric values must be integers or decimals with at most two places (the
-    marts round per-row values to two places first), so ``value_type`` holds
-    them exactly and sums/means are exact decimals.
+    marts round per-row values to two places first); they are held as exact
+    hundredths in a bigint, so hashing and sorting stay on primitive longs
+    and sums/means are exact.
 
     Output columns: ``keys`` + ``rows`` (COUNT(*)) + for each metric ``m``:
-    ``m_n`` (COUNT(m)), ``m_sum`` (SUM(m)), ``m_avg2`` (ROUND(AVG(m), 2)) and
-    ``m_<name>`` for each entry of ``quantiles`` (double, percentile_cont).
-    A group is present even when all its metrics are NULL.
+    ``m_n`` (COUNT(m)), ``m_sum`` (SUM(m), decimal), ``m_avg2`` (ROUND(AVG(m), 2))
+    and ``m_<name>`` for each entry of ``quantiles`` (double, percentile_cont).
+    A group is present even when all its metrics are NULL. ``scaled=True``
+    says the metric columns already hold hundredths (bigint).
     """
     keys, metrics = list(keys), list(metrics)
     quantiles = quantiles if quantiles is not None else {"p50": 0.5}
-    cast = df.select(*keys, F.lit(1).cast(value_type).alias(ROWS_METRIC),
-                     *[F.col(m).cast(value_type).alias(m) for m in metrics])
+    scale = (lambda m: F.col(m).cast("long").alias(m)) if scaled else (
+        lambda m: _hundredths(df, m))
+    cast = df.select(*keys, F.lit(100).cast("long").alias(ROWS_METRIC),
+                     *[scale(m) for m in metrics])
     long = cast.unpivot(keys, [ROWS_METRIC, *metrics], "metric", "value")
     hist = (long.where(F.col("value").isNotNull())
             .groupBy(*keys, "metric", "value").agg(F.count(F.lit(1)).alias("n")))
@@ -121,11 +137,14 @@ def metric_stats(df: DataFrame, keys: Sequence[str], metrics: Sequence[str],
                  F.first(pos - lo_i.cast("double")).alias(f"_fr_{name}")]
         reads.append(name)
     per = h.groupBy(*part).agg(*aggs)
-    outs = [F.col("n"), F.col("total").cast("decimal(38,2)").alias("total"),
-            F.round(F.col("total").cast("decimal(24,2)") / F.col("n"), 2).alias("avg2")]
+    total = F.col("total").cast("decimal(20,0)")
+    outs = [F.col("n"),
+            (total / F.lit(100)).cast("decimal(22,2)").alias("total"),
+            F.round(total / (F.col("n") * F.lit(100)).cast("decimal(20,0)"), 2).alias("avg2")]
     for name in reads:
-        lo = F.col(f"_lo_{name}").cast("double")
-        hi = F.col(f"_hi_{name}").cast("double")
+        # hundredths / 100.0 is the double nearest the decimal value, as a cast would give
+        lo = F.col(f"_lo_{name}").cast("double") / F.lit(100.0)
+        hi = F.col(f"_hi_{name}").cast("double") / F.lit(100.0)
         fr = F.col(f"_fr_{name}")
         outs.append(F.when(fr == 0, lo).otherwise(lo + fr * (hi - lo)).alias(name))
     per = per.select(*part, *outs)

@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from matchmart.functions.lookup import region_name
 from matchmart.functions.numeric import (
-    avg2, bool_int, bool_sum, cond_sum, duration_bin_small, duration_category, minutes,
-    pct2, per_minute, round2, safe_div, to_out, whole_minutes,
+    avg2, bool_int, bool_sum, cond_sum, duration_bin_small, duration_category, hundredths,
+    minutes_double, pct2, per_minute, per_minute_hundredths, round2, safe_div, to_out,
+    whole_minutes,
 )
 from matchmart.operators.joins import join_dim, join_on_group, left_join_children
 from matchmart.operators.ntile import ntile
@@ -60,7 +61,8 @@ def _median(m: str, rounded: bool):
 def radiant_win_by_duration(matches: DataFrame) -> DataFrame:
     """Radiant win share per 7-bin match-length category (rounded minutes)."""
     d = matches.select("match_id", "radiant_win",
-                       duration_category(per_minute("duration")).alias("duration_category"))
+                       duration_category(per_minute_hundredths("duration"))
+                       .alias("duration_category"))
     wins = cond_sum("radiant_win")
     return d.groupBy("duration_category").agg(
         wins.alias("radiant_win_sum"),
@@ -75,12 +77,12 @@ def regions_stat(matches: DataFrame) -> DataFrame:
     """Per region: match count, duration and first-blood medians/means, radiant wins."""
     d = matches.select(
         "match_id", "region", region_name("region").alias("region_name"),
-        per_minute("duration").alias("duration_min"),
-        per_minute("first_blood_time").alias("first_blood_time"),
-        bool_int("radiant_win").alias("rw"),
+        per_minute_hundredths("duration").alias("duration_min"),
+        per_minute_hundredths("first_blood_time").alias("first_blood_time"),
+        hundredths("radiant_win").alias("rw"),
     )
     keys = ["region", "region_name"]
-    stats = metric_stats(d, keys, ["duration_min", "first_blood_time", "rw"])
+    stats = metric_stats(d, keys, ["duration_min", "first_blood_time", "rw"], scaled=True)
     distinct = d.groupBy(*keys).agg(F.count_distinct("match_id").alias("match_count"))
     out = join_on_group(stats, distinct, keys)
     return out.select(
@@ -105,13 +107,14 @@ def win_factors(matches: DataFrame, players: DataFrame, players_stat: DataFrame)
     facts = match_player_facts(matches, players, players_stat)
     d = facts.select(
         "win",
-        per_minute("tower_damage").alias("tower_damage"),
-        per_minute("hero_damage").alias("hero_damage"),
-        "gold_per_min", "xp_per_min", "last_hits", "assists", "kills", "deaths",
-        per_minute("first_blood_time").alias("first_blood_time"),
+        per_minute_hundredths("tower_damage").alias("tower_damage"),
+        per_minute_hundredths("hero_damage").alias("hero_damage"),
+        *[hundredths(c).alias(c) for c in ["gold_per_min", "xp_per_min", "last_hits",
+                                            "assists", "kills", "deaths"]],
+        per_minute_hundredths("first_blood_time").alias("first_blood_time"),
     )
     m = WIN_FACTOR_METRICS
-    stats = metric_stats(d, ["win"], m)
+    stats = metric_stats(d, ["win"], m, scaled=True)
     cols = ["win"]
     for c in m:
         cols += [_mean(c).alias(f"{c}_mean"), _median(c, True).alias(f"{c}_median")]
@@ -130,7 +133,7 @@ def heroes_stat(matches: DataFrame, players: DataFrame, heroes: DataFrame) -> Da
     m = matches.select(F.col("match_id").alias("m_match_id"), "duration")
     base = p.join(m, p["match_id"] == m["m_match_id"], "left").select(
         "localized_name", "hero_id", "m_match_id", "win",
-        F.when(minutes("duration") < thr, F.lit("normal")).otherwise(F.lit("late"))
+        F.when(minutes_double("duration") < thr, F.lit("normal")).otherwise(F.lit("late"))
         .alias("duration_bin"))
 
     per_bin = base.groupBy("localized_name", "duration_bin").agg(
@@ -243,18 +246,18 @@ def unknown_players(matches: DataFrame, players: DataFrame, players_stat: DataFr
     d = facts.select(
         F.when(named, F.lit("named")).otherwise(F.lit("unknown")).alias("is_named"),
         duration_bin_small("duration").alias("duration_bin_small"),
-        "win",
-        whole_minutes("duration").alias("duration_min"),
-        per_minute("kills").alias("kills_per_min"),
-        "deaths", "assists", "denies", "gold_per_min", "xp_per_min",
-        per_minute("hero_damage").alias("hero_damage_per_min"),
-        per_minute("hero_healing").alias("hero_healing_per_min"),
-        per_minute("tower_damage").alias("tower_damage_per_min"),
+        hundredths("win").alias("win"),
+        hundredths(whole_minutes("duration")).alias("duration_min"),
+        per_minute_hundredths("kills").alias("kills_per_min"),
+        *[hundredths(c).alias(c) for c in ["deaths", "assists", "denies", "gold_per_min",
+                                            "xp_per_min"]],
+        per_minute_hundredths("hero_damage").alias("hero_damage_per_min"),
+        per_minute_hundredths("hero_healing").alias("hero_healing_per_min"),
+        per_minute_hundredths("tower_damage").alias("tower_damage_per_min"),
     )
     keys = ["is_named", "duration_bin_small"]
     m = UNKNOWN_METRICS
-    stats = metric_stats(d.withColumn("win", bool_int("win")), keys,
-                         ["duration_min", "win", *m])
+    stats = metric_stats(d, keys, ["duration_min", "win", *m], scaled=True)
     return stats.select(
         *keys,
         _mean("duration_min").alias("avg_duration"),

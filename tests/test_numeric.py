@@ -60,5 +60,16 @@ def test_bins_edges_and_null(spark):
 def test_duration_category_uses_rounded_minutes(spark):
     # 1500 s = 25.00 → bin 1; 1501 s = 25.0166 → 25.02 → bin 2; NULL → last bin
     rows = [(1500,), (1501,), (None,)]
-    got = _one(spark, N.duration_category(N.per_minute("d")), rows, "d long")
+    got = _one(spark, N.duration_category(N.per_minute_hundredths("d")), rows, "d long")
     assert got == ["1 (<= 25)", "2 (26-30)", "7 (>50)"]
+
+
+def test_per_minute_hundredths_equals_decimal_form(spark):
+    vals = [0, 1, 2, 3, 27, 29, 30, 31, 125, 899, 900, 901, 59999, -1, -3, -31, 10**12 + 7,
+            899_999_999_999_999, 900_000_000_000_001, None]
+    df = spark.createDataFrame([(v,) for v in vals], "x long")
+    rows = df.select(N.per_minute_hundredths("x").alias("h"),
+                     (N.per_minute("x") * 100).cast("long").alias("d"),
+                     N.whole_minutes("x").alias("w")).collect()
+    assert [r.h for r in rows] == [r.d for r in rows]
+    assert [r.w for r in rows][:12] == [0, 0, 0, 0, 0, 0, 0, 0, 2, 14, 15, 15]
