@@ -134,7 +134,7 @@ def q_ingest_jsonl(spark, d):
     return jsonl.project_matches(_docs(spark, d))
 
 
-@register("ingest_jsonl_strict")
+@register("ingest_jsonl_strict", W(["matches"], _MATCH_SQL))
 def q_ingest_jsonl_strict(spark, d):
     """Fail-fast parse of the same documents."""
     return jsonl.project_matches(_docs(spark, d, strict=True))
@@ -389,7 +389,8 @@ def q_json_roundtrip(spark, d):
     return e.select("event_id", F.col("p.k").alias("k"), F.to_json("p").alias("props_json"))
 
 
-@register("run_partition")
+@register("run_partition", W(["matches"], """
+SELECT match_id, strftime(current_date, '%Y-%m-%d') AS run_date FROM matches"""))
 def q_run_partition(spark, d):
     """run date as a 'yyyy-MM-dd' partition value of a landed batch."""
     m = warehouse(spark, d).matches
@@ -915,12 +916,14 @@ def q_json_id_list(spark, d):
     return files.load_id_list(spark, path, "match_id")
 
 
-@register("land_raw")
+@register("land_raw", W(["matches"], _MATCH_SQL))
 def q_land_raw(spark, d):
-    """Append raw documents to a landing folder, one JSON document per line."""
+    """Append raw documents to a landing folder (two appends of the same batch),
+    then read the folder back: every match once."""
     path = scratch_path(spark, "landing")
     jsonl.land(_raw_lines(spark, d), path)
-    return jsonl.read_lines(spark, path)
+    jsonl.land(_raw_lines(spark, d), path)
+    return jsonl.project_matches(jsonl.read_raw_matches(spark, path))
 
 
 @register("json_array_rows", W(["heroes"], "SELECT hero_id, localized_name FROM heroes"))
@@ -985,7 +988,7 @@ def q_insert_ignore(spark, d):
     return read_table(spark, path)
 
 
-@register("mart_publish")
+@register("mart_publish", O.MARTS["radiant_win_by_duration"])
 def q_mart_publish(spark, d):
     """Materialise a mart as a new version and read the current version."""
     root = scratch_path(spark, "marts")
@@ -995,12 +998,18 @@ def q_mart_publish(spark, d):
     return publish.current(spark, root, "radiant_win_by_duration")
 
 
-@register("mart_refresh")
+_REFRESH_SQL = W(["matches", "players", "players_stat", "heroes"], "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS mart, (SELECT count(*) FROM ({O.MART_BODIES[n].strip()}) t) AS rows, "
+    f"'refreshed' AS status" for n in marts.MART_NAMES))
+
+
+@register("mart_refresh", _REFRESH_SQL)
 def q_mart_refresh(spark, d):
     """Refresh every mart; one status row each (failures do not stop the rest)."""
     root = scratch_path(spark, "marts")
-    return publish.refresh_all(spark, root, {
+    status = publish.refresh_all(spark, root, {
         name: (lambda n=name: QUERIES[n](spark, d)) for name in marts.MART_NAMES})
+    return status.select("mart", "rows", "status")
 
 
 @register("daily_load", W(["matches", "players"], """
@@ -1014,7 +1023,9 @@ def q_daily_load(spark, d):
     return read_table(spark, f"{root}/matches")
 
 
-@register("stream_ingest")
+@register("stream_ingest", W(["matches", "players"], """
+SELECT match_id, duration, first_blood_time, radiant_win, CAST(region AS BIGINT) AS region
+FROM matches m WHERE EXISTS (SELECT 1 FROM players p WHERE p.match_id = m.match_id)"""))
 def q_stream_ingest(spark, d):
     """Landed files processed once by a resumable availableNow stream."""
     from matchmart.streaming.ingest import run_ingest
