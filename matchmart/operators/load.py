@@ -3,7 +3,9 @@
 Plain Parquet tables have no MERGE, so a load is: de-duplicate the batch on
 the table key, anti join it against the keys already stored, append the rest
 as new files. The anti join reads only the key columns of the target. A
-rerun of the same batch appends nothing. Tables are loaded child-first and
+rerun of the same batch appends nothing. Warehouse tables are partitioned by
+a range bucket of ``match_id``, so a batch only reads the key columns of the
+buckets it touches. Tables are loaded child-first and
 ``matches`` last, each against its *own* key, so a crash between tables is
 repaired by the next run instead of losing the children for good.
 """
@@ -26,32 +28,73 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
-def new_rows(batch: DataFrame, target: DataFrame | None, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``batch`` whose key is new: batch key-dedup, then anti join."""
+BUCKET_COL = "_bucket"
+BUCKET_WIDTH = 1_000_000
+BOOKKEEPING = ("_load", BUCKET_COL)
+
+
+def key_bucket(c, width: int = BUCKET_WIDTH):
+    """Range bucket of a non-negative integer key: ``key div width`` (exact)."""
+    x = F.col(c) if isinstance(c, str) else c
+    x = x.cast("long")
+    return ((x - x % F.lit(width)) / F.lit(width)).cast("long")
+
+
+MAX_PRUNE_BUCKETS = 10_000
+
+
+def new_rows(batch: DataFrame, target: DataFrame | None, keys: Sequence[str],
+             bucketed: bool = False) -> DataFrame:
+    """Rows of ``batch`` whose key is new: batch key-dedup, then anti join.
+
+    With ``bucketed`` the batch carries ``_bucket`` and the target is
+    partitioned by it: the distinct bucket values of the batch (partition
+    metadata, read only after checking there are at most
+    ``MAX_PRUNE_BUCKETS``) become a partition filter on the target scan, so a
+    daily batch reads the key columns of a few partitions instead of the whole
+    table. Beyond the bound the anti join runs against all stored keys.
+    """
     keys = list(keys)
     b = first_per_key(batch, keys)
     if target is None:
         return b
-    return b.join(target.select(*keys).distinct(), keys, "left_anti")
+    if not bucketed:
+        return b.join(target.select(*keys).distinct(), keys, "left_anti")
+    stored = target.select(BUCKET_COL, *keys)
+    buckets = b.select(BUCKET_COL).distinct().limit(MAX_PRUNE_BUCKETS + 1)
+    values = [r[0] for r in buckets.collect()]
+    if len(values) <= MAX_PRUNE_BUCKETS:
+        stored = stored.where(F.col(BUCKET_COL).isin(values))
+    return b.join(stored, [BUCKET_COL, *keys], "left_anti")
 
 
 def insert_ignore(spark: SparkSession, batch: DataFrame, path: str,
-                  keys: Sequence[str]) -> DataFrame:
+                  keys: Sequence[str], bucket_of: str | None = None,
+                  bucket_width: int = BUCKET_WIDTH) -> DataFrame:
     """Append the new rows of ``batch`` to the Parquet table at ``path``.
 
+    ``bucket_of`` names an integer key column (e.g. ``match_id``) whose range
+    bucket partitions the table on disk (see :func:`new_rows`).
+
     Returns a one-row DataFrame ``(table, inserted)`` computed from the files
     this call wrote (the count comes from the written data, not a rerun).
     """
+    if bucket_of:
+        batch = batch.withColumn(BUCKET_COL, key_bucket(bucket_of, bucket_width))
     target = spark.read.parquet(path) if table_exists(spark, path) else None
-    rows = new_rows(batch, target, keys)
+    rows = new_rows(batch, target, keys, bucketed=bool(bucket_of))
     tag = uuid.uuid4().hex
-    rows.withColumn("_load", F.lit(tag)).write.mode("append").parquet(path)
+    w = rows.withColumn("_load", F.lit(tag)).write.mode("append")
+    if bucket_of:
+        w = w.partitionBy(BUCKET_COL)
+    w.parquet(path)
+    # each written file holds one tag: row-group statistics skip all other files
     written = spark.read.parquet(path).where(F.col("_load") == tag)
     return written.agg(F.count(F.lit(1)).alias("inserted")).select(
         F.lit(path.rstrip("/").rsplit("/", 1)[-1]).alias("table"), "inserted")
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A loaded table without the bookkeeping column."""
+    """A loaded table without the bookkeeping columns."""
     df = spark.read.parquet(path)
-    return df.drop("_load") if "_load" in df.columns else df
+    return df.drop(*[c for c in BOOKKEEPING if c in df.columns])

@@ -33,10 +33,18 @@ from matchmart.sources.jsonl import rejects as reject_rows
 LOAD_ORDER = ("players_stat", "players_items", "players", "matches")
 
 
-def build_tables(docs: DataFrame) -> dict[str, DataFrame]:
-    """Accepted documents → the four fact tables (matches FK-filtered)."""
+def build_tables(docs: DataFrame, staging: str | None = None) -> dict[str, DataFrame]:
+    """Accepted documents → the four fact tables (matches FK-filtered).
+
+    With ``staging`` the cleaned player frame is written once and the three
+    player tables and the FK filter read that copy, instead of exploding and
+    de-duplicating the documents once per table.
+    """
     matches = clean_matches(project_matches(docs))
     wide = clean_players(explode_players(docs))
+    if staging is not None:
+        wide.write.mode("overwrite").parquet(f"{staging}/players_wide")
+        wide = docs.sparkSession.read.parquet(f"{staging}/players_wide")
     players = split_players(wide)
     return {
         "matches": with_children(matches, players, "match_id"),
@@ -58,10 +66,11 @@ def load_batch(spark: SparkSession, lines: DataFrame, root: str,
      .write.mode("overwrite").parquet(f"{staging}/docs"))
     reject_rows(parsed).write.mode("append").parquet(f"{root.rstrip('/')}/_rejects")
     docs = spark.read.parquet(f"{staging}/docs")
-    tables = build_tables(docs)
+    tables = build_tables(docs, staging)
     status = None
     for name in LOAD_ORDER:
-        s = insert_ignore(spark, tables[name], f"{root.rstrip('/')}/{name}", KEYS[name])
+        s = insert_ignore(spark, tables[name], f"{root.rstrip('/')}/{name}", KEYS[name],
+                          bucket_of="match_id")
         status = s if status is None else status.unionByName(s)
     return status
 

@@ -52,7 +52,7 @@ def test_crash_between_tables_is_repaired(spark, tmp_dir):
     jsonl.dedup_batch(parsed).select("match_key", "doc").write.parquet(docs_path)
     tables = etl.build_tables(spark.read.parquet(docs_path))
     for name in ("players_stat", "players_items", "players"):      # "crash" before matches
-        insert_ignore(spark, tables[name], f"{root}/{name}", etl.KEYS[name])
+        insert_ignore(spark, tables[name], f"{root}/{name}", etl.KEYS[name], bucket_of="match_id")
     status = {r["table"]: r["inserted"] for r in etl.load_batch(spark, _lines(spark), root)
               .collect()}
     assert status["players"] == 0 and status["matches"] > 0
@@ -61,3 +61,21 @@ def test_crash_between_tables_is_repaired(spark, tmp_dir):
         a = read_table(spark, f"{root}/{name}")
         b = read_table(spark, f"{clean}/{name}")
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_bucketed_load_prunes_target_partitions(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "tb")
+    first = spark.range(0, 1000).selectExpr("id AS match_id", "CAST(id % 7 AS STRING) AS v")
+    assert insert_ignore(spark, first, path, ["match_id"], "match_id", 100).first()[1] == 1000
+    batch = spark.range(950, 1050).selectExpr("id AS match_id", "'new' AS v")
+    assert insert_ignore(spark, batch, path, ["match_id"], "match_id", 100).first()[1] == 50
+    got = read_table(spark, path)
+    assert got.count() == 1050 and got.select("match_id").distinct().count() == 1050
+    assert sorted(got.columns) == ["match_id", "v"]
+    # the target scan only reads the batch's buckets (partition pruning)
+    from matchmart.operators.load import BUCKET_COL, key_bucket, new_rows
+    b = batch.withColumn(BUCKET_COL, key_bucket("match_id", 100))
+    plan = new_rows(b, spark.read.parquet(path), ["match_id"], bucketed=True)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    scan = [ln for ln in text.splitlines() if "FileScan" in ln and "PartitionFilters" in ln][0]
+    assert " IN (9,10)" in scan or " IN (10,9)" in scan
