@@ -197,7 +197,8 @@ def q_rename_keys(spark, d):
 @register("null_if_empty_list", W(["matches", "players"], """
 SELECT m.match_id,
        CASE WHEN count(p.hero_id) FILTER (WHERE p.win) = 0 THEN NULL
-            ELSE to_json(list_sort(list(p.hero_id) FILTER (WHERE p.win))) END AS hint
+            ELSE CAST(to_json(list_sort(list(p.hero_id) FILTER (WHERE p.win))) AS VARCHAR)
+       END AS hint
 FROM matches m LEFT JOIN players p ON m.match_id = p.match_id
 GROUP BY m.match_id"""))
 def q_null_if_empty_list(spark, d):
