@@ -39,8 +39,11 @@ def row_numbers(df: DataFrame, order: Sequence[Column | str], partitions: int |
     ``order`` must be a total order (add tie-breaking key columns).
     """
     spark = df.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+    # Without an explicit count AQE may merge adjacent small ranges, which
+    # keeps the global order, so positions and offsets stay valid.
+    ranged = (df.repartitionByRange(*order) if partitions is None
+              else df.repartitionByRange(partitions, *order))
+    ranged = (ranged.sortWithinPartitions(*order)
               .withColumn("_rid", F.monotonically_increasing_id()))
     if checkpoint:
         ensure_checkpoint_dir(spark)
