@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchmart.functions.text import normalize_text
+from matchmart.functions.text import coerce_int, normalize_text, null_if_empty_list, parse_bool
 from matchmart.operators.dedup import distinct_rows, first_per_key
 from matchmart.schemas import (
     ITEM_COLUMNS, ITEM_SLOTS, MATCH_COLUMNS, PLAYERS_COLUMNS, STAT_COLUMNS,
@@ -77,3 +77,43 @@ def players_wide_from_tables(players: DataFrame, players_stat: DataFrame,
         "gold_per_min", F.col("hero_id").cast("int").alias("hero_id"), *ITEM_SLOTS, "kills",
         "xp_per_min", "is_radiant", F.col("win").cast("int").alias("win"), "last_hits",
         "hero_damage", "hero_healing", "tower_damage")
+
+
+# --------------------------------------------------------------------------- dimensions
+
+ITEM_INT_COLUMNS = ("mc", "hc", "cd", "charges")
+
+
+def clean_items(items: DataFrame) -> DataFrame:
+    """Item dictionary as loaded: text normalised, ``id`` → ``item_id``,
+    ``cost`` and the optional numbers (``mc``, ``hc``, ``cd``, ``charges``:
+    'False'/false or unparsable → NULL) as nullable integers, ``bkbpierce``
+    parsed as a boolean, and a ``hint`` of ``'[]'`` turned into NULL.
+    Columns that are absent are skipped; unknown columns are kept.
+    """
+    df = normalize_text(items)
+    if "id" in df.columns and "item_id" not in df.columns:
+        df = df.withColumnRenamed("id", "item_id")
+    if "item_id" in df.columns:
+        df = df.withColumn("item_id", coerce_int("item_id"))
+    if "cost" in df.columns:
+        df = df.withColumn("cost", coerce_int("cost"))
+    for c in ITEM_INT_COLUMNS:
+        if c in df.columns:
+            df = df.withColumn(c, coerce_int(c))
+    if "bkbpierce" in df.columns:
+        df = df.withColumn("bkbpierce", parse_bool("bkbpierce"))
+    if "hint" in df.columns:
+        df = df.withColumn("hint", null_if_empty_list(F.col("hint").cast("string")))
+    return df
+
+
+def clean_heroes(heroes: DataFrame) -> DataFrame:
+    """Hero list as loaded: text normalised (role names lower-cased inside the
+    array), ``id`` → ``hero_id``."""
+    df = normalize_text(heroes)
+    if "roles" in df.columns:
+        df = df.withColumn("roles", F.transform("roles", lambda r: F.lower(F.trim(r))))
+    if "id" in df.columns and "hero_id" not in df.columns:
+        df = df.withColumnRenamed("id", "hero_id")
+    return df

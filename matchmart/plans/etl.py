@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from matchmart.operators.integrity import with_children
 from matchmart.operators.load import insert_ignore, read_table
 from matchmart.operators.reshape import (
-    clean_matches, clean_players, split_players, split_stat, unpivot_items,
+    clean_heroes, clean_items, clean_matches, clean_players, split_players, split_stat,
+    unpivot_items,
 )
 from matchmart.schemas import KEYS  # noqa: F401  (re-exported)
 from matchmart.session import scratch_path
@@ -75,6 +76,22 @@ def load_batch(spark: SparkSession, lines: DataFrame, root: str,
     return status
 
 
+def load_dimensions(spark: SparkSession, root: str, heroes: DataFrame | None = None,
+                    items: DataFrame | None = None) -> DataFrame:
+    """Clean and insert-ignore the hero and item dictionaries; status rows.
+
+    ``heroes`` / ``items`` are raw rows, e.g. from ``files.json_array_rows``
+    (hero list) and ``files.json_map_rows`` (item map keyed by name).
+    """
+    status = None
+    for name, raw, clean in (("heroes", heroes, clean_heroes), ("items", items, clean_items)):
+        if raw is None:
+            continue
+        s = insert_ignore(spark, clean(raw), f"{root.rstrip('/')}/{name}", KEYS[name])
+        status = s if status is None else status.unionByName(s)
+    return status
+
+
 def warehouse_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {n: read_table(spark, f"{root.rstrip('/')}/{n}") for n in LOAD_ORDER}
 

@@ -136,9 +136,12 @@ def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
 TABLES = ("matches", "players", "players_stat", "players_items", "heroes", "items")
 
 
-def load_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Deployment form: each warehouse table is Parquet under ``root/<name>``."""
-    return {t: spark.read.parquet(f"{root.rstrip('/')}/{t}") for t in TABLES}
+def load_tables(spark: SparkSession, root: str,
+                names: tuple[str, ...] = TABLES) -> dict[str, DataFrame]:
+    """Deployment form: each warehouse table is Parquet under ``root/<name>``
+    (as written by ``plans.etl``), without the load bookkeeping columns."""
+    from matchmart.operators.load import read_table
+    return {t: read_table(spark, f"{root.rstrip('/')}/{t}") for t in names}
 
 
 # --------------------------------------------------------------------------- stored form

@@ -79,3 +79,45 @@ def test_bucketed_load_prunes_target_partitions(spark, tmp_dir):
     text = plan._jdf.queryExecution().executedPlan().toString()
     scan = [ln for ln in text.splitlines() if "FileScan" in ln and "PartitionFilters" in ln][0]
     assert " IN (9,10)" in scan or " IN (10,9)" in scan
+
+
+def test_dimension_cleaning_and_load(spark, tmp_dir):
+    import json
+
+    from pyspark.sql import types as T
+
+    from matchmart.schemas import HERO_LIST_ITEM
+    from matchmart.sources import files
+    from matchmart.sources.roles import load_tables
+
+    item_value = T.StructType([T.StructField(c, T.StringType()) for c in
+                               ["id", "cost", "bkbpierce", "hint", "mc", "cd", "charges"]])
+    items_doc = json.dumps({
+        "Blink": {"id": "1", "cost": "2250", "bkbpierce": "yes", "hint": "['x']", "mc": "False",
+                  "cd": "15.0", "charges": "0.5"},
+        "tango ": {"id": "44", "cost": "90", "bkbpierce": "no", "hint": " [] "},
+    })
+    items = files.json_map_rows(spark.createDataFrame([(items_doc,)], "value string"), item_value)
+    heroes_doc = json.dumps([{"id": 1, "localized_name": " Anti-Mage ", "roles": [" Carry "]}])
+    heroes = files.json_array_rows(spark.createDataFrame([(heroes_doc,)], "value string"),
+                                   HERO_LIST_ITEM)
+    root = os.path.join(tmp_dir, "wh")
+    st = {r["table"]: r["inserted"] for r in
+          etl.load_dimensions(spark, root, heroes, items).collect()}
+    assert st == {"heroes": 1, "items": 2}
+    assert etl.load_dimensions(spark, root, heroes, items).where("inserted > 0").count() == 0
+    t = load_tables(spark, root, ("heroes", "items"))
+    it = {r.item_key: r for r in t["items"].collect()}
+    assert it["blink"].item_id == 1 and it["blink"].cost == 2250 and it["blink"].bkbpierce
+    assert it["blink"].mc is None and it["blink"].cd == 15 and it["blink"].charges is None
+    assert it["tango"].hint is None and it["tango"].bkbpierce is False
+    h = t["heroes"].first()
+    assert h.hero_id == 1 and h.localized_name == "anti-mage" and h.roles == ["carry"]
+
+
+def test_known_match_keys(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "wh")
+    assert etl.known_match_keys(spark, root).count() == 0
+    etl.load_batch(spark, _lines(spark), root).collect()
+    assert etl.known_match_keys(spark, root).count() == read_table(
+        spark, f"{root}/matches").count()
