@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from matchmart.functions.lookup import region_name
 from matchmart.functions.numeric import (
-    avg2, bool_int, bool_sum, cond_sum, duration_bin_small, duration_category, hundredths,
+    avg2, bool_sum, cond_sum, duration_bin_small, duration_category, hundredths,
     minutes_double, pct2, per_minute, per_minute_hundredths, round2, safe_div, to_out,
     whole_minutes,
 )

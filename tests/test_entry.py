@@ -1,7 +1,6 @@
 """Driver contract: entry smoke, registry shape, every query vs its oracle at sf0.001."""
 
 import math
-import os
 
 import duckdb
 import pandas as pd

@@ -1,7 +1,5 @@
 """Text cleaning and coercion."""
 
-from pyspark.sql import functions as F
-
 from matchmart.functions.lookup import region_name
 from matchmart.functions.text import coerce_int, normalize_text, null_if_empty_list, parse_bool
 
