@@ -122,6 +122,11 @@ def metric_stats(df: DataFrame, keys: Sequence[str], metrics: Sequence[str],
             .groupBy(*keys, "metric", "value").agg(F.count(F.lit(1)).alias("n")))
 
     part = [*keys, "metric"]
+    if keys:
+        # one exchange by the group keys serves the window (group, metric), the
+        # per-metric read-out and the pivot by group: each is clustered by a
+        # superset of the keys, so no further shuffle is planned
+        hist = hist.repartition(*keys)
     cum = Window.partitionBy(*part).orderBy("value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     h = (hist.withColumn("_cum", F.sum("n").over(cum))
