@@ -58,6 +58,10 @@ def fk_report(tables: dict[str, DataFrame]) -> DataFrame:
     """One row per check: name, distinct keys on each side, missing count.
 
     ``tables`` holds matches, players, players_stat, players_items, heroes, items.
+    All six checks run as one job: every key set is mapped onto a common
+    ``(check, k1, k2)`` layout, the child sets and parent sets are each
+    unioned and de-duplicated, then matched with a single full outer join and
+    counted with a single aggregate grouped by check.
     """
     t = tables
     checks = [
@@ -68,8 +72,30 @@ def fk_report(tables: dict[str, DataFrame]) -> DataFrame:
         ("hero_not_in_heroes", t["players"], t["heroes"], ["hero_id"]),
         ("item_not_in_items", t["players_items"], t["items"], ["item_id"]),
     ]
-    rows = None
-    for name, child, parent, keys in checks:
-        r = key_check(name, child, parent, keys)
-        rows = r if rows is None else rows.unionByName(r)
-    return rows
+
+    def common(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+        k2 = F.col(keys[1]).cast("bigint") if len(keys) > 1 else F.lit(0).cast("bigint")
+        return (df.select(*keys).dropna()
+                .select(F.lit(name).alias("check"), F.col(keys[0]).cast("bigint").alias("k1"),
+                        k2.alias("k2")))
+
+    child = parent = None
+    for name, c, p, keys in checks:
+        a, b = common(c, name, keys), common(p, name, keys)
+        child = a if child is None else child.unionByName(a)
+        parent = b if parent is None else parent.unionByName(b)
+    a = child.distinct().withColumn("_a", F.lit(1))
+    b = parent.distinct().withColumn("_b", F.lit(1))
+    j = a.join(b, ["check", "k1", "k2"], "full_outer")
+    counts = j.groupBy("check").agg(
+        F.count("_a").alias("child_keys"),
+        F.count("_b").alias("parent_keys"),
+        F.count(F.when(F.col("_a").isNotNull() & F.col("_b").isNull(), F.lit(1)))
+        .alias("missing"),
+    )
+    # every check gets a row, even when both of its key sets are empty
+    names = [F.lit(n) for n, *_ in checks]
+    all_checks = child.sparkSession.range(1).select(F.explode(F.array(*names)).alias("check"))
+    return (all_checks.join(counts, "check", "left")
+            .select("check", *[F.coalesce(F.col(c), F.lit(0)).alias(c)
+                               for c in ("child_keys", "parent_keys", "missing")]))
