@@ -11,9 +11,9 @@ group to one task; when a group holds a third of all rows (a mart grouped by
    this touches one row per distinct value only.
 
 Step 3 uses PostgreSQL's interpolation, ``lo + frac * (hi - lo)`` in double
-precision, so results are bit-equal to ``percentile_cont`` there and in
-DuckDB. The histogram (step 2) is also the refreshable state: adding new
-rows means adding their counts.
+precision, so results are bit-equal to its ``percentile_cont``. The
+histogram (step 2) is also the refreshable state: adding new rows means
+adding their counts (:func:`merge_histograms`).
 """
 
 from __future__ import annotations
