@@ -1007,9 +1007,11 @@ _REFRESH_SQL = W(["matches", "players", "players_stat", "heroes"], "\nUNION ALL\
 @register("mart_refresh", _REFRESH_SQL)
 def q_mart_refresh(spark, d):
     """Refresh every mart; one status row each (failures do not stop the rest)."""
-    root = scratch_path(spark, "marts")
-    status = publish.refresh_all(spark, root, {
-        name: (lambda n=name: QUERIES[n](spark, d)) for name in marts.MART_NAMES})
+    from matchmart.plans.refresh import refresh_marts
+    w = warehouse(spark, d)
+    tables = {"matches": w.matches, "players": w.players, "players_stat": w.players_stat,
+              "heroes": w.heroes}
+    status = refresh_marts(spark, scratch_path(spark, "marts"), tables)
     return status.select("mart", "rows", "status")
 
 

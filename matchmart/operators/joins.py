@@ -25,7 +25,8 @@ def join_dim(fact: DataFrame, dim: DataFrame, on, how: str = "left",
     return fact.join(side, on, how)
 
 
-def left_join_children(parent: DataFrame, child: DataFrame, key: str) -> DataFrame:
+def left_join_children(parent: DataFrame, child: DataFrame, key: str,
+                       flag: str | None = None) -> DataFrame:
     """``parent LEFT JOIN child USING (key)`` written so a hot key can be split.
 
     AQE can split a skewed partition only on the preserved side of an outer
@@ -33,6 +34,7 @@ def left_join_children(parent: DataFrame, child: DataFrame, key: str) -> DataFra
     ``parent ⋈ child`` (inner: AQE splits either side) plus the parents with
     no child, found with an anti join against the *distinct* child keys
     (de-duplicated map-side first, so a hot key shrinks before the shuffle).
+    ``flag`` names an optional boolean column telling the two parts apart.
     """
     inner = parent.join(child, key, "inner")
     child_keys = child.select(key).where(F.col(key).isNotNull()).distinct()
@@ -40,6 +42,8 @@ def left_join_children(parent: DataFrame, child: DataFrame, key: str) -> DataFra
     pad = [F.lit(None).cast(f.dataType).alias(f.name)
            for f in child.schema.fields if f.name != key]
     lonely = lonely.select("*", *pad)
+    if flag:  # True where a child row was joined (the inner-join rows)
+        inner, lonely = inner.withColumn(flag, F.lit(True)), lonely.withColumn(flag, F.lit(False))
     return inner.unionByName(lonely)
 
 

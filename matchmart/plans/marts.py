@@ -41,10 +41,19 @@ def player_stats(players: DataFrame, players_stat: DataFrame) -> DataFrame:
     return players.join(players_stat, ["match_id", "player_slot"], "left")
 
 
+HAS_PLAYER = "has_player"
+
+
 def match_player_facts(matches: DataFrame, players: DataFrame,
                        players_stat: DataFrame) -> DataFrame:
-    """``matches ⟕ players ⟕ players_stat``: a match without players keeps one row."""
-    return left_join_children(matches, player_stats(players, players_stat), "match_id")
+    """``matches ⟕ players ⟕ players_stat``: a match without players keeps one row.
+
+    ``has_player`` tells the joined rows (the inner join) from the padded
+    match-only rows. This one fact table feeds win_factors, gmp_winrate and
+    unknown_players (see ``plans.refresh``).
+    """
+    return left_join_children(matches, player_stats(players, players_stat), "match_id",
+                              flag=HAS_PLAYER)
 
 
 def _mean(m: str):
@@ -104,7 +113,10 @@ WIN_FACTOR_METRICS = ["tower_damage", "hero_damage", "gold_per_min", "xp_per_min
 
 def win_factors(matches: DataFrame, players: DataFrame, players_stat: DataFrame) -> DataFrame:
     """Mean and median of player statistics for winners, losers and no-player matches."""
-    facts = match_player_facts(matches, players, players_stat)
+    return win_factors_from_facts(match_player_facts(matches, players, players_stat))
+
+
+def win_factors_from_facts(facts: DataFrame) -> DataFrame:
     d = facts.select(
         "win",
         per_minute_hundredths("tower_damage").alias("tower_damage"),
@@ -193,6 +205,24 @@ def heroes_stat(matches: DataFrame, players: DataFrame, heroes: DataFrame) -> Da
 
 # --------------------------------------------------------------------------- M5
 
+def _team_win(df: DataFrame) -> DataFrame:
+    side, rw = F.col("is_radiant"), F.col("radiant_win")
+    win = (F.when((side == F.lit(True)) & (rw == F.lit(True)), F.lit(1))
+           .when((side == F.lit(False)) & (rw == F.lit(False)), F.lit(1))
+           .otherwise(F.lit(0)))
+    return df.select("match_id", "is_radiant", "duration", "team_gpm", win.alias("win"))
+
+
+def team_stats_from_facts(facts: DataFrame) -> DataFrame:
+    """Team rows from the shared fact table: its joined rows are exactly
+    ``matches ⋈ players ⟕ players_stat``, grouped as in the mart definition."""
+    t = (facts.where(F.col(HAS_PLAYER))
+         .groupBy("match_id", "is_radiant", "duration", "radiant_win")
+         .agg(F.sum(F.coalesce(F.col("gold_per_min"), F.lit(0))).cast("bigint")
+              .alias("team_gpm")))
+    return _team_win(t)
+
+
 def team_stats(matches: DataFrame, players: DataFrame, players_stat: DataFrame) -> DataFrame:
     """One row per (match, side): team gold per minute and whether that side won.
 
@@ -205,18 +235,16 @@ def team_stats(matches: DataFrame, players: DataFrame, players_stat: DataFrame)
             .agg(F.sum(F.coalesce(F.col("gold_per_min"), F.lit(0))).cast("bigint")
                  .alias("team_gpm")))
     m = matches.select("match_id", "duration", "radiant_win")
-    t = team.join(m, "match_id", "inner")
-    side, rw = F.col("is_radiant"), F.col("radiant_win")
-    win = (F.when((side == F.lit(True)) & (rw == F.lit(True)), F.lit(1))
-           .when((side == F.lit(False)) & (rw == F.lit(False)), F.lit(1))
-           .otherwise(F.lit(0)))
-    return t.select("match_id", "is_radiant", "duration", "team_gpm", win.alias("win"))
+    return _team_win(team.join(m, "match_id", "inner"))
 
 
 def gmp_winrate(matches: DataFrame, players: DataFrame, players_stat: DataFrame,
                 partitions: int | None = None) -> DataFrame:
     """Team win rate by match length bin and team-gold decile (global NTILE(10))."""
-    t = team_stats(matches, players, players_stat)
+    return gmp_winrate_from_teams(team_stats(matches, players, players_stat), partitions)
+
+
+def gmp_winrate_from_teams(t: DataFrame, partitions: int | None = None) -> DataFrame:
     t = ntile(t, 10, [F.col("team_gpm"), F.col("match_id"), F.col("is_radiant")],
               "gpm_decile", partitions)
     t = t.withColumn("duration_bin_small", duration_bin_small("duration"))
@@ -241,7 +269,10 @@ UNKNOWN_METRICS = ["kills_per_min", "deaths", "assists", "denies", "gold_per_min
 
 def unknown_players(matches: DataFrame, players: DataFrame, players_stat: DataFrame) -> DataFrame:
     """Named vs anonymous players per match-length bin: win rate, medians, means."""
-    facts = match_player_facts(matches, players, players_stat)
+    return unknown_players_from_facts(match_player_facts(matches, players, players_stat))
+
+
+def unknown_players_from_facts(facts: DataFrame) -> DataFrame:
     named = F.col("steam_id").isNotNull() & F.col("personaname").isNotNull()
     d = facts.select(
         F.when(named, F.lit("named")).otherwise(F.lit("unknown")).alias("is_named"),

@@ -114,3 +114,16 @@ def test_match_without_players_forms_null_win_group(fixture):
     dfs, _ = fixture
     wf = {r.win: r for r in MARTS["win_factors"](dfs).collect()}
     assert None in wf and wf[None].first_blood_time_mean == round(50 / 60, 2)
+
+
+def test_shared_fact_refresh_equals_standalone_marts(spark, fixture, tmp_path):
+    from matchmart.plans.refresh import mart_builders
+    dfs, _ = fixture
+    builders = mart_builders(spark, dfs, str(tmp_path / "facts"))
+    for name in ("win_factors", "gmp_winrate", "unknown_players"):
+        a = builders[name]()
+        b = MARTS[name](dfs)
+        cols = sorted(b.columns)
+        assert sorted(a.columns) == cols
+        assert _rows(tuple(r[c] for c in cols) for r in a.collect()) == \
+            _rows(tuple(r[c] for c in cols) for r in b.collect())
