@@ -103,3 +103,23 @@ def known_match_keys(spark: SparkSession, root: str) -> DataFrame:
     if not table_exists(spark, path):
         return spark.range(0).select(F.col("id").alias("match_id"))
     return spark.read.parquet(path).select("match_id")
+
+
+def run_daily(spark: SparkSession, landing: str, root: str, marts_root: str) -> DataFrame:
+    """The daily job: landed JSONL → warehouse tables (idempotent) → all marts.
+
+    Heroes must already be loaded under ``root/heroes`` (``load_dimensions``).
+    Returns the load status rows followed by one status row per mart.
+    """
+    from matchmart.plans.refresh import refresh_marts
+    from matchmart.sources.jsonl import read_lines
+
+    load = load_batch(spark, read_lines(spark, landing), root).collect()
+    tables = warehouse_tables(spark, root)
+    tables["heroes"] = read_table(spark, f"{root.rstrip('/')}/heroes")
+    marts = refresh_marts(spark, marts_root, tables)
+    loaded = spark.createDataFrame([(r["table"], r["inserted"]) for r in load],
+                                   "table string, inserted long")
+    return (loaded.select(F.col("table").alias("step"), F.col("inserted").alias("rows"),
+                          F.lit("loaded").alias("status"))
+            .unionByName(marts.select(F.col("mart").alias("step"), "rows", "status")))

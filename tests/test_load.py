@@ -121,3 +121,21 @@ def test_known_match_keys(spark, tmp_dir):
     etl.load_batch(spark, _lines(spark), root).collect()
     assert etl.known_match_keys(spark, root).count() == read_table(
         spark, f"{root}/matches").count()
+
+
+def test_run_daily_end_to_end(spark, tmp_dir):
+    from matchmart.plans import publish
+    from matchmart.sources.roles import warehouse as lazy_warehouse
+
+    landing, root, marts_root = (os.path.join(tmp_dir, x) for x in ("land", "wh", "marts"))
+    jsonl.land(_lines(spark), landing)
+    heroes = lazy_warehouse(spark, SF_SMALL).heroes
+    insert_ignore(spark, heroes, f"{root}/heroes", ["hero_id"]).collect()
+    st = {r["step"]: (r["rows"], r["status"]) for r in
+          etl.run_daily(spark, landing, root, marts_root).collect()}
+    assert st["matches"][0] > 0 and st["players"][0] > 0
+    assert all(st[m][1] == "refreshed" for m in ("win_factors", "heroes_stat", "gmp_winrate"))
+    assert publish.current(spark, marts_root, "unknown_players").count() == st["unknown_players"][0]
+    again = {r["step"]: r["rows"] for r in etl.run_daily(spark, landing, root, marts_root)
+             .collect() if r["status"] == "loaded"}
+    assert set(again.values()) == {0}
