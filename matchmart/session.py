@@ -59,3 +59,36 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared checkpoint dir."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/matchmart/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def input_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Total size of the files under ``paths`` (file-system metadata only)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        fs = hp.getFileSystem(conf)
+        if fs.exists(hp):
+            total += fs.getContentSummary(hp).getLength()
+    return total
+
+
+def size_shuffle_partitions(spark: SparkSession, paths: list[str],
+                            target_partition_bytes: int = 256 << 20,
+                            expansion: float = 3.0, min_partitions: int = 8,
+                            max_partitions: int = 100_000) -> int:
+    """Set ``spark.sql.shuffle.partitions`` from the input size.
+
+    Columnar Parquet expands when decoded and shuffled (``expansion``); the
+    initial partition count aims at ``target_partition_bytes`` of shuffle data
+    per task so the largest exchanges do not spill, and AQE coalesces the
+    small ones back toward its advisory size. Returns the value set.
+    """
+    est = input_bytes(spark, paths) * expansion
+    n = int(max(min_partitions, min(max_partitions, -(-est // target_partition_bytes))))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    return n

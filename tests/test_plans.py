@@ -48,3 +48,16 @@ def test_team_totals_aggregate_before_joining_matches(spark):
     assert join_at >= 0
     # the per-(match, side) sum sits below the join with matches
     assert "sum(coalesce(gold_per_min" in p[join_at:].lower()
+
+
+def test_size_shuffle_partitions(spark):
+    from matchmart.session import input_bytes, size_shuffle_partitions
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        paths = [f"{SF_SMALL}/lineitem.parquet", f"{SF_SMALL}/orders.parquet"]
+        assert input_bytes(spark, paths) > 0
+        assert size_shuffle_partitions(spark, paths) == 8          # tiny input: the floor
+        n = size_shuffle_partitions(spark, paths, target_partition_bytes=10_000)
+        assert n > 8 and spark.conf.get("spark.sql.shuffle.partitions") == str(n)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
