@@ -744,8 +744,8 @@ def q_ntile_global(spark, d):
     w = warehouse(spark, d)
     t = marts.team_stats(w.matches, w.players, w.players_stat).select(
         "match_id", "is_radiant", "team_gpm")
-    return ntile(t, 10, [F.col("team_gpm"), F.col("match_id"), F.col("is_radiant")],
-                 "gpm_decile")
+    order = [F.col(c).asc_nulls_last() for c in ("team_gpm", "match_id", "is_radiant")]
+    return ntile(t, 10, order, "gpm_decile")
 
 
 @register("ntile_distributed", W(["players_stat"], """
@@ -755,8 +755,8 @@ FROM players_stat"""))
 def q_ntile_distributed(spark, d):
     """R2: NTILE(7) over every stat row; 7 tiles leave a remainder to place."""
     s = warehouse(spark, d).players_stat.select("match_id", "player_slot", "gold_per_min")
-    return ntile(s, 7, [F.col("gold_per_min"), F.col("match_id"), F.col("player_slot")],
-                 "gpm_tile")
+    order = [F.col(c).asc_nulls_last() for c in ("gold_per_min", "match_id", "player_slot")]
+    return ntile(s, 7, order, "gpm_tile")
 
 
 @register("median_histogram", W(["matches"], f"""

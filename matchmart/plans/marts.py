@@ -245,8 +245,9 @@ def gmp_winrate(matches: DataFrame, players: DataFrame, players_stat: DataFrame,
 
 
 def gmp_winrate_from_teams(t: DataFrame, partitions: int | None = None) -> DataFrame:
-    t = ntile(t, 10, [F.col("team_gpm"), F.col("match_id"), F.col("is_radiant")],
-              "gpm_decile", partitions)
+    # ascending with NULLs last, as in PostgreSQL (Spark's default puts them first)
+    order = [F.col(c).asc_nulls_last() for c in ("team_gpm", "match_id", "is_radiant")]
+    t = ntile(t, 10, order, "gpm_decile", partitions)
     t = t.withColumn("duration_bin_small", duration_bin_small("duration"))
     n_dur = F.count("duration")
     out = t.groupBy("duration_bin_small", "gpm_decile").agg(
