@@ -1,18 +1,44 @@
 """Registry of named queries: ``name -> (spark, sf_dir) -> DataFrame`` plus oracle SQL.
 
 Each query reads the driver's test tables through the role views
-(``sources.roles``), so its work grows with the tables. Queries without an
-oracle text are checked by row count and by their own unit tests.
+(``sources.roles``), so its work grows with the tables, and each has an
+oracle text (``oracle_sql`` plus the SQL next to each query) restating its
+semantics for DuckDB.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matchmart import oracle_sql as O
-from matchmart.plans import marts
+from matchmart.functions.lookup import region_name
+from matchmart.functions.numeric import (
+    avg2, bool_int, bool_sum, cond_sum, duration_bin_small, duration_category, from_hundredths,
+    minutes_double, pct2, per_minute, per_minute_hundredths, round2, to_out, whole_minutes,
+)
+from matchmart.functions.text import coerce_int, normalize_text, null_if_empty_list
+from matchmart.operators import integrity
+from matchmart.operators.dedup import distinct_rows, duplicate_keys, first_per_key
+from matchmart.operators.joins import join_dim, left_join_children
+from matchmart.operators.load import insert_ignore, read_table
+from matchmart.operators.ntile import ntile
+from matchmart.operators.quantiles import (
+    grouped_quantiles, merge_histograms, quantile_from_histogram, scalar_quantile,
+    value_histogram,
+)
+from matchmart.operators.reshape import (
+    cast_player_types, clean_players, players_wide_from_tables, rename_keys, split_players,
+    split_stat, unpivot_items,
+)
+from matchmart.plans import etl, marts, publish
+from matchmart.schemas import HERO_LIST_ITEM, KEYS
+from matchmart.session import scratch_path
+from matchmart.sources import files, jsonl
+from matchmart.sources.roles import LINE_ORDER, table
 from matchmart.sources.roles import stored_warehouse as warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,29 +98,6 @@ def q_unknown_players(spark, d):
 # Single-operator queries over the role views. Engine side: DataFrame API;
 # oracle side: SQL over the same role views.
 
-from pyspark.sql import Window  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
-
-from matchmart.functions.lookup import region_name  # noqa: E402
-from matchmart.functions.numeric import (  # noqa: E402
-    avg2, bool_int, bool_sum, cond_sum, duration_bin_small, duration_category, from_hundredths,
-    minutes_double, pct2, per_minute, per_minute_hundredths, round2, to_out, whole_minutes,
-)
-from matchmart.functions.text import coerce_int, normalize_text, null_if_empty_list  # noqa: E402
-from matchmart.operators import integrity  # noqa: E402
-from matchmart.operators.dedup import distinct_rows, duplicate_keys, first_per_key  # noqa: E402
-from matchmart.operators.joins import join_dim, left_join_children  # noqa: E402
-from matchmart.operators.ntile import ntile  # noqa: E402
-from matchmart.operators.quantiles import (  # noqa: E402
-    grouped_quantiles, merge_histograms, quantile_from_histogram, scalar_quantile,
-    value_histogram,
-)
-from matchmart.operators.reshape import (  # noqa: E402
-    cast_player_types, clean_players, players_wide_from_tables, rename_keys, split_players,
-    split_stat, unpivot_items,
-)
-from matchmart.sources import jsonl  # noqa: E402
-from matchmart.sources.roles import LINE_ORDER, table  # noqa: E402
 
 W = O.with_roles
 pm, r2, avg2_sql, pct2_sql, med = O.pm, O.r2, O.avg2, O.pct2, O.med
@@ -899,14 +902,6 @@ def q_fk_report(spark, d):
 # These write to (and read back from) fresh folders under the shared
 # checkpoint dir, the way the feed's files are produced and consumed.
 
-from pyspark.sql import types as T  # noqa: E402
-
-from matchmart.operators.load import insert_ignore, read_table  # noqa: E402
-from matchmart.plans import etl, publish  # noqa: E402
-from matchmart.schemas import HERO_LIST_ITEM, KEYS  # noqa: E402
-from matchmart.session import scratch_path  # noqa: E402
-from matchmart.sources import files  # noqa: E402
-
 
 @register("json_id_list", "SELECT o_orderkey AS match_id FROM orders")
 def q_json_id_list(spark, d):
