@@ -30,3 +30,18 @@ def test_missing_win_stays_null(spark):
                                "match_id long, player_slot int, steam_id long, win int")
     got = {r.player_slot: r.win for r in cast_player_types(df).collect()}
     assert got == {0: True, 1: None, 2: False}
+
+
+def test_null_text_switch_changes_named_flag_only_for_missing_names(spark):
+    from matchmart.operators.reshape import clean_players
+    rows = [(1, 0, 7, None, 1), (1, 1, None, "B ", 1), (1, 2, 9, " C", 0)]
+    df = spark.createDataFrame(rows, "match_id long, player_slot int, steam_id long, "
+                                     "personaname string, win int")
+    named = (F.col("steam_id").isNotNull() & F.col("personaname").isNotNull())
+
+    def flags(null_text):
+        out = clean_players(df, null_text).select("player_slot", named.alias("named"))
+        return {r.player_slot: r.named for r in out.collect()}
+
+    assert flags(None) == {0: False, 1: False, 2: True}
+    assert flags("none") == {0: True, 1: False, 2: True}
