@@ -898,6 +898,24 @@ def q_fk_report(spark, d):
     })
 
 
+@register("regions_stat_incremental", O.MARTS["regions_stat"])
+def q_regions_stat_incremental(spark, d):
+    """regions_stat maintained batch by batch (one batch per order year) from a
+    mergeable histogram state; must equal the full recomputation."""
+    from matchmart.plans import incremental
+    w = warehouse(spark, d)
+    year = table(spark, d, "orders").select(F.col("o_orderkey").alias("match_id"),
+                                            F.year("o_orderdate").alias("batch"))
+    m = w.matches.join(year, "match_id", "left")
+    root = scratch_path(spark, "incremental")
+    # one update per batch value: a handful of years, the daily-job loop
+    batches = [r[0] for r in m.select("batch").distinct().orderBy("batch").collect()]
+    for b in batches:
+        part = m.where(F.col("batch").eqNullSafe(F.lit(b))).drop("batch")
+        incremental.add_batch(spark, root, part)
+    return incremental.regions_stat_from_state(incremental.current_state(spark, root))
+
+
 # --------------------------------------------------------------------------- sources / sinks
 # These write to (and read back from) fresh folders under the shared
 # checkpoint dir, the way the feed's files are produced and consumed.

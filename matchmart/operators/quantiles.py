@@ -92,35 +92,32 @@ def _hundredths(df: DataFrame, name: str):
     return (c.cast("decimal(20,2)") * F.lit(100)).cast("long").alias(name)
 
 
-def metric_stats(df: DataFrame, keys: Sequence[str], metrics: Sequence[str],
-                 quantiles: dict[str, float] | None = None,
-                 scaled: bool = False) -> DataFrame:
-    """Per group, for every metric: count, exact sum, exact mean, percentiles.
-
-    One pass over ``df``: the metrics are unpivoted and counted per value
-    (map-side combined), and everything is read off that histogram, so the
-    input is scanned and shuffled once whatever the number of statistics.
-    Metric values must be integers or decimals with at most two places (the
-    marts round per-row values to two places first); they are held as exact
-    hundredths in a bigint, so hashing and sorting stay on primitive longs
-    and sums/means are exact.
+def metric_histogram(df: DataFrame, keys: Sequence[str], metrics: Sequence[str],
+                     scaled: bool = False) -> DataFrame:
+    """``(keys..., metric, value, n)``: rows per exact value (hundredths, bigint).
 
-    Output columns: ``keys`` + ``rows`` (COUNT(*)) + for each metric ``m``:
-    ``m_n`` (COUNT(m)), ``m_sum`` (SUM(m), decimal), ``m_avg2`` (ROUND(AVG(m), 2))
-    and ``m_<name>`` for each entry of ``quantiles`` (double, percentile_cont).
-    A group is present even when all its metrics are NULL. ``scaled=True``
-    says the metric columns already hold hundredths (bigint).
+    Includes the pseudo-metric ``_rows`` (value 100 per input row), so every
+    group is present and COUNT(*) can be read back. Histograms of disjoint
+    inputs merge by adding ``n`` (:func:`merge_histograms`).
     """
     keys, metrics = list(keys), list(metrics)
-    quantiles = quantiles if quantiles is not None else {"p50": 0.5}
     scale = (lambda m: F.col(m).cast("long").alias(m)) if scaled else (
         lambda m: _hundredths(df, m))
     cast = df.select(*keys, F.lit(100).cast("long").alias(ROWS_METRIC),
                      *[scale(m) for m in metrics])
     long = cast.unpivot(keys, [ROWS_METRIC, *metrics], "metric", "value")
-    hist = (long.where(F.col("value").isNotNull())
+    return (long.where(F.col("value").isNotNull())
             .groupBy(*keys, "metric", "value").agg(F.count(F.lit(1)).alias("n")))
 
+
+def stats_from_histogram(hist: DataFrame, keys: Sequence[str], metrics: Sequence[str],
+                         quantiles: dict[str, float] | None = None) -> DataFrame:
+    """Read counts, exact sums/means and percentiles off a metric histogram.
+
+    Same output layout as :func:`metric_stats`.
+    """
+    keys, metrics = list(keys), list(metrics)
+    quantiles = quantiles if quantiles is not None else {"p50": 0.5}
     part = [*keys, "metric"]
     if keys:
         # one exchange by the group keys serves the window (group, metric), the
@@ -165,6 +162,29 @@ def metric_stats(df: DataFrame, keys: Sequence[str], metrics: Sequence[str],
     return wide.select(*cols)
 
 
+def metric_stats(df: DataFrame, keys: Sequence[str], metrics: Sequence[str],
+                 quantiles: dict[str, float] | None = None,
+                 scaled: bool = False) -> DataFrame:
+    """Per group, for every metric: count, exact sum, exact mean, percentiles.
+
+    One pass over ``df``: the metrics are unpivoted and counted per value
+    (map-side combined), and everything is read off that histogram, so the
+    input is scanned and shuffled once whatever the number of statistics.
+    Metric values must be integers or decimals with at most two places (the
+    marts round per-row values to two places first); they are held as exact
+    hundredths in a bigint, so hashing and sorting stay on primitive longs
+    and sums/means are exact.
+
+    Output columns: ``keys`` + ``rows`` (COUNT(*)) + for each metric ``m``:
+    ``m_n`` (COUNT(m)), ``m_sum`` (SUM(m), decimal), ``m_avg2`` (ROUND(AVG(m), 2))
+    and ``m_<name>`` for each entry of ``quantiles`` (double, percentile_cont).
+    A group is present even when all its metrics are NULL. ``scaled=True``
+    says the metric columns already hold hundredths (bigint).
+    """
+    hist = metric_histogram(df, keys, metrics, scaled)
+    return stats_from_histogram(hist, keys, metrics, quantiles)
+
+
 def scalar_quantile(df: DataFrame, value: Column | str, p: float) -> DataFrame:
     """One-row, one-column DataFrame ``q``: percentile_cont(p) over all rows."""
     v = F.col(value) if isinstance(value, str) else value

@@ -82,18 +82,31 @@ def radiant_win_by_duration(matches: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- M2
 
-def regions_stat(matches: DataFrame) -> DataFrame:
-    """Per region: match count, duration and first-blood medians/means, radiant wins."""
-    d = matches.select(
+REGION_KEYS = ["region", "region_name"]
+REGION_METRICS = ["duration_min", "first_blood_time", "rw"]
+
+
+def region_rows(matches: DataFrame) -> DataFrame:
+    """Per-match values of the regions mart, metrics as exact hundredths."""
+    return matches.select(
         "match_id", "region", region_name("region").alias("region_name"),
         per_minute_hundredths("duration").alias("duration_min"),
         per_minute_hundredths("first_blood_time").alias("first_blood_time"),
         hundredths("radiant_win").alias("rw"),
     )
-    keys = ["region", "region_name"]
-    stats = metric_stats(d, keys, ["duration_min", "first_blood_time", "rw"], scaled=True)
+
+
+def regions_stat(matches: DataFrame) -> DataFrame:
+    """Per region: match count, duration and first-blood medians/means, radiant wins."""
+    d = region_rows(matches)
+    keys = REGION_KEYS
+    stats = metric_stats(d, keys, REGION_METRICS, scaled=True)
     distinct = d.groupBy(*keys).agg(F.count_distinct("match_id").alias("match_count"))
-    out = join_on_group(stats, distinct, keys)
+    return regions_stat_from(join_on_group(stats, distinct, keys))
+
+
+def regions_stat_from(out: DataFrame) -> DataFrame:
+    """Output columns of the regions mart from per-group statistics + match_count."""
     return out.select(
         "region", "region_name", "match_count",
         _median("duration_min", True).alias("duration_median"),
