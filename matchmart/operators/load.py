@@ -12,11 +12,13 @@ repaired by the next run instead of losing the children for good.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matchmart.operators.dedup import first_per_key
 
@@ -28,6 +30,43 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
+def write_text_file(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small marker/metadata file (overwrite) through the Hadoop file system."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(hpath, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+
+
+def read_text_file(spark: SparkSession, path: str) -> str | None:
+    """Read a small marker file directly (Spark readers skip ``_``-prefixed files)."""
+    if not table_exists(spark, path):
+        return None
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = fs.open(hpath)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+    finally:
+        stream.close()
+
+
+SCHEMA_FILE = "_schema.json"
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table folder read with its recorded schema (works when it holds no rows)."""
+    text = read_text_file(spark, f"{path.rstrip('/')}/{SCHEMA_FILE}")
+    if text is not None:
+        return spark.read.schema(T.StructType.fromJson(json.loads(text))).parquet(path)
+    if table_exists(spark, path):
+        return spark.read.parquet(path)
+    return None
+
+
 BUCKET_COL = "_bucket"
 BUCKET_WIDTH = 1_000_000
 BOOKKEEPING = ("_load", BUCKET_COL)
@@ -81,20 +120,25 @@ def insert_ignore(spark: SparkSession, batch: DataFrame, path: str,
     """
     if bucket_of:
         batch = batch.withColumn(BUCKET_COL, key_bucket(bucket_of, bucket_width))
-    target = spark.read.parquet(path) if table_exists(spark, path) else None
+    target = _stored(spark, path)
     rows = new_rows(batch, target, keys, bucketed=bool(bucket_of))
     tag = uuid.uuid4().hex
-    w = rows.withColumn("_load", F.lit(tag)).write.mode("append")
+    out = rows.withColumn("_load", F.lit(tag))
+    w = out.write.mode("append")
     if bucket_of:
         w = w.partitionBy(BUCKET_COL)
     w.parquet(path)
+    # the schema is recorded so that an empty (partitioned) table still reads back
+    write_text_file(spark, f"{path.rstrip('/')}/{SCHEMA_FILE}", out.schema.json())
     # each written file holds one tag: row-group statistics skip all other files
-    written = spark.read.parquet(path).where(F.col("_load") == tag)
+    written = _stored(spark, path).where(F.col("_load") == tag)
     return written.agg(F.count(F.lit(1)).alias("inserted")).select(
         F.lit(path.rstrip("/").rsplit("/", 1)[-1]).alias("table"), "inserted")
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A loaded table without the bookkeeping columns."""
-    df = spark.read.parquet(path)
+    """A loaded table without the bookkeeping columns (empty tables included)."""
+    df = _stored(spark, path)
+    if df is None:
+        raise FileNotFoundError(f"no table at {path}")
     return df.drop(*[c for c in BOOKKEEPING if c in df.columns])

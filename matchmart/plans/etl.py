@@ -65,7 +65,9 @@ def load_batch(spark: SparkSession, lines: DataFrame, root: str,
     staging = staging or scratch_path(spark, "staging")
     (dedup_batch(parsed).select("match_key", "doc")
      .write.mode("overwrite").parquet(f"{staging}/docs"))
-    reject_rows(parsed).write.mode("append").parquet(f"{root.rstrip('/')}/_rejects")
+    # insert-ignore here too: a retried batch must not list its rejects twice
+    insert_ignore(spark, reject_rows(parsed), f"{root.rstrip('/')}/_rejects",
+                  ["source_file", "value", "reject"]).collect()
     docs = spark.read.parquet(f"{staging}/docs")
     tables = build_tables(docs, staging)
     status = None

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchmart.operators.load import table_exists
+from matchmart.operators.load import read_text_file, write_text_file
 
 MartFn = Callable[[], DataFrame]
 
@@ -30,27 +30,8 @@ STATUS_SCHEMA = T.StructType([
 ])
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = fs.create(hpath, True)
-    out.write(bytearray(text.encode("utf-8")))
-    out.close()
-
-
-def _read_text(spark: SparkSession, path: str) -> str | None:
-    """Read a small marker file directly (Spark readers skip ``_``-prefixed files)."""
-    if not table_exists(spark, path):
-        return None
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    stream = fs.open(hpath)
-    try:
-        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
-    finally:
-        stream.close()
+_write_text = write_text_file
+_read_text = read_text_file
 
 
 def publish(spark: SparkSession, root: str, name: str, df: DataFrame) -> str:

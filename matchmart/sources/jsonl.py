@@ -51,7 +51,10 @@ def accepted(parsed: DataFrame) -> DataFrame:
 
 
 def rejects(parsed: DataFrame) -> DataFrame:
-    return parsed.where(F.col("reject").isNotNull()).select("value", "reject")
+    """Rejected lines with their reason and source file ('' when unknown)."""
+    src = F.col("source_file") if "source_file" in parsed.columns else F.lit(None).cast("string")
+    return (parsed.where(F.col("reject").isNotNull())
+            .select(F.coalesce(src, F.lit("")).alias("source_file"), "value", "reject"))
 
 
 def dedup_batch(parsed: DataFrame, known_keys: DataFrame | None = None) -> DataFrame:

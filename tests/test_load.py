@@ -139,3 +139,13 @@ def test_run_daily_end_to_end(spark, tmp_dir):
     again = {r["step"]: r["rows"] for r in etl.run_daily(spark, landing, root, marts_root)
              .collect() if r["status"] == "loaded"}
     assert set(again.values()) == {0}
+
+
+def test_rejects_are_not_duplicated_on_retry(spark, tmp_dir):
+    lines = spark.createDataFrame([("{bad",), ("",), ('{"match_id": 5, "players": []}',)],
+                                  "value string")
+    root = os.path.join(tmp_dir, "wh")
+    etl.load_batch(spark, lines, root).collect()
+    etl.load_batch(spark, lines, root).collect()
+    rej = read_table(spark, f"{root}/_rejects")
+    assert sorted(r.reject for r in rej.collect()) == ["blank", "unparsable_or_no_match_id"]
