@@ -16,8 +16,21 @@ from matchmart.plans.etl import load_batch
 from matchmart.session import scratch_path
 
 
+def _ensure_dir(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hpath):
+        fs.mkdirs(hpath)
+
+
 def landed_lines(spark: SparkSession, landing: str) -> DataFrame:
-    """Streaming text lines of the landing folder, with their file name."""
+    """Streaming text lines of the landing folder, with their file name.
+
+    The folder is created when absent, so the job can start before the
+    first file lands.
+    """
+    _ensure_dir(spark, landing)
     return (spark.readStream.format("text").option("maxFilesPerTrigger", 1000)
             .load(landing)
             .select("value", F.col("_metadata.file_path").alias("source_file")))

@@ -25,3 +25,12 @@ def test_stream_picks_up_only_new_files(spark, tmp_dir):
     assert sorted(r.match_id for r in read_table(spark, f"{root}/matches").collect()) == [1, 2, 3]
     run_ingest(spark, landing, root, ckpt)                  # nothing new
     assert read_table(spark, f"{root}/players").count() == 4
+
+
+def test_stream_starts_before_anything_landed(spark, tmp_dir):
+    landing, root, ckpt = (os.path.join(tmp_dir, x) for x in ("land", "wh", "ckpt"))
+    run_ingest(spark, landing, root, ckpt)             # nothing there yet
+    with open(os.path.join(landing, "a.jsonl"), "w") as f:
+        f.write(_doc(9, [0]) + "\n")
+    run_ingest(spark, landing, root, ckpt)
+    assert [r.match_id for r in read_table(spark, f"{root}/matches").collect()] == [9]
