@@ -143,3 +143,9 @@ def test_incremental_regions_state_equals_full(spark, fixture, tmp_path):
     cols = sorted(b.columns)
     assert _rows(tuple(r[c] for c in cols) for r in a.collect()) == \
         _rows(tuple(r[c] for c in cols) for r in b.collect())
+
+
+def test_marts_on_empty_tables(spark, tmp_path):
+    empty = {n: spark.createDataFrame([], SCHEMAS[n]) for n in SCHEMAS}
+    for name, build in MARTS.items():
+        assert build(empty).count() == 0, name
