@@ -112,8 +112,31 @@ def _raw_lines(spark, d):
     return jsonl.documents_from_tables(w.matches, _wide(w))
 
 
+_LANDED: dict[tuple[str, str], str] = {}
+
+
+def _landing(spark, d):
+    """The raw feed for ``d``: one JSON document per match, landed once per
+    application as text files under the checkpoint dir (the production input
+    of the ingest path is a landing folder, not a query)."""
+    import os
+
+    from matchmart.operators.load import table_exists
+    key = (spark.sparkContext.applicationId, os.path.abspath(d))
+    path = _LANDED.get(key)
+    if path is None or not table_exists(spark, f"{path}/_SUCCESS"):
+        path = scratch_path(spark, "landing")
+        jsonl.land(_raw_lines(spark, d), path)
+        _LANDED[key] = path
+    return path
+
+
+def _landed_lines(spark, d):
+    return jsonl.read_lines(spark, _landing(spark, d))
+
+
 def _docs(spark, d, strict=False):
-    return jsonl.dedup_batch(jsonl.parse_lines(_raw_lines(spark, d), strict))
+    return jsonl.dedup_batch(jsonl.parse_lines(_landed_lines(spark, d), strict))
 
 
 _MATCH_SQL = """SELECT match_id, duration, first_blood_time, radiant_win,
@@ -146,7 +169,7 @@ def q_ingest_jsonl_strict(spark, d):
 @register("project_match", W(["matches"], _MATCH_SQL))
 def q_project_match(spark, d):
     """Nested-document projection without the batch dedup."""
-    parsed = jsonl.accepted(jsonl.parse_lines(_raw_lines(spark, d)))
+    parsed = jsonl.accepted(jsonl.parse_lines(_landed_lines(spark, d)))
     return jsonl.project_matches(parsed)
 
 
@@ -1034,8 +1057,8 @@ FROM matches m WHERE EXISTS (SELECT 1 FROM players p WHERE p.match_id = m.match_
 def q_daily_load(spark, d):
     """Landed documents → four tables (FK-filtered, insert-ignore); the matches table."""
     root = scratch_path(spark, "warehouse")
-    etl.load_batch(spark, _raw_lines(spark, d), root).collect()
-    etl.load_batch(spark, _raw_lines(spark, d), root).collect()   # rerun adds nothing
+    etl.load_batch(spark, _landed_lines(spark, d), root).collect()
+    etl.load_batch(spark, _landed_lines(spark, d), root).collect()   # rerun adds nothing
     return read_table(spark, f"{root}/matches")
 
 
@@ -1045,10 +1068,9 @@ FROM matches m WHERE EXISTS (SELECT 1 FROM players p WHERE p.match_id = m.match_
 def q_stream_ingest(spark, d):
     """Landed files processed once by a resumable availableNow stream."""
     from matchmart.streaming.ingest import run_ingest
-    landing = scratch_path(spark, "landing")
+    landing = _landing(spark, d)             # read only: the stream tracks files in ckpt
     root = scratch_path(spark, "warehouse")
     ckpt = scratch_path(spark, "stream-ckpt")
-    jsonl.land(_raw_lines(spark, d), landing)
     run_ingest(spark, landing, root, ckpt)
     run_ingest(spark, landing, root, ckpt)   # nothing new: no batch, no rows
     return read_table(spark, f"{root}/matches")
