@@ -927,16 +927,31 @@ def q_regions_stat_incremental(spark, d):
     mergeable histogram state; must equal the full recomputation."""
     from matchmart.plans import incremental
     w = warehouse(spark, d)
+    root = _replay_yearly(spark, d, w.matches, "regions_stat")
+    return incremental.mart_from_state(spark, root, "regions_stat")
+
+
+def _replay_yearly(spark, d, matches, mart):
+    """Feed ``matches`` to the incremental state one order year at a time."""
+    from matchmart.plans import incremental
     year = table(spark, d, "orders").select(F.col("o_orderkey").alias("match_id"),
                                             F.year("o_orderdate").alias("batch"))
-    m = w.matches.join(year, "match_id", "left")
+    m = matches.join(year, "match_id", "left")
     root = scratch_path(spark, "incremental")
     # one update per batch value: a handful of years, the daily-job loop
     batches = [r[0] for r in m.select("batch").distinct().orderBy("batch").collect()]
     for b in batches:
         part = m.where(F.col("batch").eqNullSafe(F.lit(b))).drop("batch")
-        incremental.add_batch(spark, root, part)
-    return incremental.regions_stat_from_state(incremental.current_state(spark, root))
+        incremental.add_batch(spark, root, part, mart)
+    return root
+
+
+@register("radiant_win_incremental", O.MARTS["radiant_win_by_duration"])
+def q_radiant_win_incremental(spark, d):
+    """Win share by match length maintained batch by batch from its state."""
+    from matchmart.plans import incremental
+    root = _replay_yearly(spark, d, warehouse(spark, d).matches, "radiant_win_by_duration")
+    return incremental.mart_from_state(spark, root, "radiant_win_by_duration")
 
 
 # --------------------------------------------------------------------------- sources / sinks

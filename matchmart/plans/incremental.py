@@ -20,34 +20,69 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchmart.functions.numeric import (
+    duration_category, pct2, per_minute_hundredths, to_out,
+)
 from matchmart.operators.load import table_exists
 from matchmart.operators.quantiles import merge_histograms, metric_histogram, stats_from_histogram
 from matchmart.plans import marts, publish
 
-STATE_NAME = "regions_stat_state"
-
-
 def regions_histogram(matches: DataFrame) -> DataFrame:
     return metric_histogram(marts.region_rows(matches), marts.REGION_KEYS,
                             marts.REGION_METRICS, scaled=True)
 
 
-def current_state(spark: SparkSession, root: str) -> DataFrame | None:
-    if not table_exists(spark, f"{root.rstrip('/')}/{STATE_NAME}/_CURRENT"):
+def regions_stat_from_state(state: DataFrame) -> DataFrame:
+    """The regions mart read off the histogram state."""
+    stats = stats_from_histogram(state, marts.REGION_KEYS, marts.REGION_METRICS)
+    return marts.regions_stat_from(stats.withColumn("match_count", F.col("rows")))
+
+
+def radiant_histogram(matches: DataFrame) -> DataFrame:
+    """State of the win-share mart: per category, matches won by radiant (NULL → 0)."""
+    d = matches.select(
+        duration_category(per_minute_hundredths("duration")).alias("duration_category"),
+        F.when(F.col("radiant_win"), F.lit(100)).otherwise(F.lit(0)).cast("long").alias("rw"))
+    return metric_histogram(d, ["duration_category"], ["rw"], scaled=True)
+
+
+def radiant_win_from_state(state: DataFrame) -> DataFrame:
+    """The win-share mart read off its state (COUNT(match_id) = rows: ids are keys)."""
+    stats = stats_from_histogram(state, ["duration_category"], ["rw"], quantiles={})
+    wins = F.col("rw_sum").cast("bigint")
+    return stats.select("duration_category", wins.alias("radiant_win_sum"),
+                        F.col("rows").alias("match_count"),
+                        to_out(pct2(wins, F.col("rows"))).alias("win_share_radiant"))
+
+
+# mart name → (histogram of new matches, read-out of the merged state)
+STATES = {
+    "regions_stat": (regions_histogram, regions_stat_from_state),
+    "radiant_win_by_duration": (radiant_histogram, radiant_win_from_state),
+}
+
+
+def _state_name(mart: str) -> str:
+    return f"{mart}_state"
+
+
+def current_state(spark: SparkSession, root: str,
+                  mart: str = "regions_stat") -> DataFrame | None:
+    name = _state_name(mart)
+    if not table_exists(spark, f"{root.rstrip('/')}/{name}/_CURRENT"):
         return None
-    return publish.current(spark, root, STATE_NAME)
+    return publish.current(spark, root, name)
 
 
-def add_batch(spark: SparkSession, root: str, new_matches: DataFrame) -> DataFrame:
+def add_batch(spark: SparkSession, root: str, new_matches: DataFrame,
+              mart: str = "regions_stat") -> DataFrame:
     """Merge the histogram of newly loaded matches into the state; returns the new state."""
-    hist = regions_histogram(new_matches)
-    old = current_state(spark, root)
+    hist = STATES[mart][0](new_matches)
+    old = current_state(spark, root, mart)
     merged = hist if old is None else merge_histograms(old, hist)
-    publish.publish(spark, root, STATE_NAME, merged)
-    return publish.current(spark, root, STATE_NAME)
+    publish.publish(spark, root, _state_name(mart), merged)
+    return publish.current(spark, root, _state_name(mart))
 
 
-def regions_stat_from_state(state: DataFrame) -> DataFrame:
-    """The regions mart read off the histogram state."""
-    stats = stats_from_histogram(state, marts.REGION_KEYS, marts.REGION_METRICS)
-    return marts.regions_stat_from(stats.withColumn("match_count", F.col("rows")))
+def mart_from_state(spark: SparkSession, root: str, mart: str) -> DataFrame:
+    return STATES[mart][1](current_state(spark, root, mart))

@@ -143,6 +143,14 @@ def test_incremental_regions_state_equals_full(spark, fixture, tmp_path):
     cols = sorted(b.columns)
     assert _rows(tuple(r[c] for c in cols) for r in a.collect()) == \
         _rows(tuple(r[c] for c in cols) for r in b.collect())
+    mart = "radiant_win_by_duration"
+    incremental.add_batch(spark, root, m.where(F.col("match_id") <= 3), mart)
+    incremental.add_batch(spark, root, m.where(F.col("match_id") > 3), mart)
+    a = incremental.mart_from_state(spark, root, mart)
+    b = marts.radiant_win_by_duration(m)
+    cols = sorted(b.columns)
+    assert _rows(tuple(r[c] for c in cols) for r in a.collect()) == \
+        _rows(tuple(r[c] for c in cols) for r in b.collect())
 
 
 def test_marts_on_empty_tables(spark, tmp_path):
