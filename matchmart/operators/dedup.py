@@ -25,13 +25,20 @@ def first_per_key(df: DataFrame, keys: Sequence[str],
                   order: Sequence[str] | None = None) -> DataFrame:
     """Keep one row per key: the smallest by ``order`` (default: all other columns).
 
-    Column order of the input is preserved.
+    The order is SQL's ``ORDER BY … ASC``: NULLs sort last, as in PostgreSQL
+    (each order column enters the struct as ``(is NULL, value)``, because a
+    struct on its own compares NULL fields first). Column order of the input
+    is preserved.
     """
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
     order = list(order) if order is not None else rest
     tail = [c for c in rest if c not in order]
-    packed = F.min(F.struct(*[F.col(c) for c in order + tail])).alias("_first")
+    fields = []
+    for i, c in enumerate(order):
+        fields += [F.col(c).isNull().alias(f"_n{i}"), F.col(c)]
+    fields += [F.col(c) for c in tail]
+    packed = F.min(F.struct(*fields)).alias("_first")
     agg = df.groupBy(*keys).agg(packed)
     return agg.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c)
                         for c in df.columns])

@@ -11,7 +11,7 @@ def test_first_per_key_equals_row_number(spark):
             (2, 1, "a", 0.5), (3, 3, None, 1.0)]
     df = spark.createDataFrame(rows, "k1 int, k2 int, s string, x double")
     got = sorted(first_per_key(df, ["k1", "k2"], ["s", "x"]).collect())
-    w = Window.partitionBy("k1", "k2").orderBy("s", "x")
+    w = Window.partitionBy("k1", "k2").orderBy(F.col("s").asc_nulls_last(), "x")
     want = sorted(df.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
                   .collect())
     assert got == want
@@ -21,3 +21,18 @@ def test_first_per_key_equals_row_number(spark):
 def test_duplicate_keys(spark):
     df = spark.createDataFrame([(1, 1), (1, 1), (1, 2)], "a int, b int")
     assert [tuple(r) for r in duplicate_keys(df, ["a", "b"]).collect()] == [(1, 1, 2)]
+
+
+def test_first_per_key_sorts_nulls_last_like_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = [(1, None, 5.0), (1, "a", 7.0), (2, None, 1.0), (2, None, None), (3, "b", None),
+            (3, "b", 2.0)]
+    df = spark.createDataFrame(rows, "k int, s string, x double")
+    got = sorted(tuple(r) for r in first_per_key(df, ["k"], ["s", "x"]).collect())
+    pdf = pd.DataFrame(rows, columns=["k", "s", "x"])
+    want = duckdb.sql("""SELECT k, s, x FROM (SELECT *, row_number() OVER (PARTITION BY k
+                         ORDER BY s, x) AS rn FROM pdf) WHERE rn = 1""").fetchall()
+    norm = lambda r: tuple(None if (isinstance(v, float) and v != v) else v for v in r)
+    assert got == sorted(norm(r) for r in want)
