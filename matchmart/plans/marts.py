@@ -271,7 +271,7 @@ def gmp_winrate_from_teams(t: DataFrame, partitions: int | None = None) -> DataF
         .alias("avg_duration_min"),
     )
     return out.select("winrate", "duration_bin_small", "gpm_decile", "team_rows",
-                      "avg_team_gpm", "avg_duration_min").orderBy(F.col("gpm_decile").desc())
+                      "avg_team_gpm", "avg_duration_min").orderBy(F.col("gpm_decile").desc_nulls_first())
 
 
 # --------------------------------------------------------------------------- M6
