@@ -69,7 +69,8 @@ def test_per_minute_hundredths_equals_decimal_form(spark):
             899_999_999_999_999, 900_000_000_000_001, None]
     df = spark.createDataFrame([(v,) for v in vals], "x long")
     rows = df.select(N.per_minute_hundredths("x").alias("h"),
+                     N.per_minute_hundredths(F.col("x")).alias("hc"),
                      (N.per_minute("x") * 100).cast("long").alias("d"),
                      N.whole_minutes("x").alias("w")).collect()
-    assert [r.h for r in rows] == [r.d for r in rows]
+    assert [r.h for r in rows] == [r.d for r in rows] == [r.hc for r in rows]
     assert [r.w for r in rows][:12] == [0, 0, 0, 0, 0, 0, 0, 0, 2, 14, 15, 15]
