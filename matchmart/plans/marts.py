@@ -12,7 +12,7 @@ groups), so every aggregate is map-side combinable and medians come from
 value histograms (``operators.quantiles``); the global NTILE is range
 partitioned (``operators.ntile``); the hero dimension is broadcast after a
 size check; windows without PARTITION BY only ever run over one row per
-hero.
+hero (and, inside NTILE, over one row per partition).
 """
 
 from __future__ import annotations
@@ -240,7 +240,9 @@ def team_stats(matches: DataFrame, players: DataFrame, players_stat: DataFrame)
     """One row per (match, side): team gold per minute and whether that side won.
 
     Players are summed per (match, side) *before* joining matches, so the
-    join sees at most two rows per match.
+    join sees at most two rows per match. This equals the mart's grouping by
+    (match, side, duration, radiant_win) because ``matches`` is keyed by
+    ``match_id`` (the load is insert-ignore on it).
     """
     team = (player_stats(players.select("match_id", "player_slot", "is_radiant"),
                          players_stat.select("match_id", "player_slot", "gold_per_min"))
