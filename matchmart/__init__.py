@@ -6,7 +6,8 @@ paths); nothing is collected to the driver. Sub-packages:
 - ``sources``    readers/writers: JSONL, JSON lists/maps, CSV, role views
 - ``functions``  column expressions: exact numeric rounding, bins, text cleaning
 - ``operators``  dedup, reshape, joins, quantiles, distributed NTILE, integrity, load
-- ``plans``      the six marts, the batch ETL and versioned publishing
+- ``plans``      the six marts, the batch ETL, versioned publishing, the shared-fact
+                 refresh of all marts and incremental (histogram-state) refresh
 - ``streaming``  resumable incremental ingest with Structured Streaming
 """
 

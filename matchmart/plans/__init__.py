@@ -1 +1 @@
-"""Composed plans: the six marts, the batch ETL and versioned publishing."""
+"""Composed plans: marts, batch ETL, publishing, shared-fact and incremental refresh."""
