@@ -1,7 +1,8 @@
 """matchmart: match-data ingest, warehouse load and analytic marts on Spark.
 
 Every public function takes and returns DataFrames (or a SparkSession plus
-paths); nothing is collected to the driver. Sub-packages:
+paths); no data set is collected to the driver, only status rows and bounded
+partition metadata. Sub-packages:
 
 - ``sources``    readers/writers: JSONL, JSON lists/maps, CSV, role views
 - ``functions``  column expressions: exact numeric rounding, bins, text cleaning
