@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import chat, exact_dedup, mixing, secrets
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.query,
+    "op8_chat_format": chat.query,
+    "op9_secret_scan": secrets.query,
     "op10_mix_sources": mixing.query,
 }
 
