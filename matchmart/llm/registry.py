@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing, secrets
+from . import chat, exact_dedup, minhash, mixing, secrets
 
 QUERIES = {
     "op5_exact_dedup": exact_dedup.query,
+    "op7_minhash_groups": minhash.query,
     "op8_chat_format": chat.query,
     "op9_secret_scan": secrets.query,
     "op10_mix_sources": mixing.query,
