@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, minhash, mixing, secrets
+from . import chat, exact_dedup, minhash, mixing, packing, secrets
 
 QUERIES = {
+    "op1_pack": packing.query,
     "op5_exact_dedup": exact_dedup.query,
     "op7_minhash_groups": minhash.query,
     "op8_chat_format": chat.query,
