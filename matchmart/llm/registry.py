@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, minhash, mixing, packing, secrets
+from . import chat, exact_dedup, minhash, mixing, packing, secrets, toxicity
 
 QUERIES = {
     "op1_pack": packing.query,
+    "op4_toxicity": toxicity.query,
     "op5_exact_dedup": exact_dedup.query,
     "op7_minhash_groups": minhash.query,
     "op8_chat_format": chat.query,
