@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, minhash, mixing, packing, secrets, toxicity
+from . import chat, exact_dedup, minhash, mixing, packing, secrets, toxicity, weighted_sampling
 
 QUERIES = {
     "op1_pack": packing.query,
     "op4_toxicity": toxicity.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op6_weighted_sampling": weighted_sampling.query,
     "op7_minhash_groups": minhash.query,
     "op8_chat_format": chat.query,
     "op9_secret_scan": secrets.query,
