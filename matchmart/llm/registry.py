@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, html_text, minhash, mixing, packing, secrets, toxicity, weighted_sampling
+from . import chat, exact_dedup, html_text, minhash, mixing, packing, secrets, suffix_dedup, toxicity, weighted_sampling
 
 QUERIES = {
     "op1_pack": packing.query,
     "op2_html_text": html_text.query,
+    "op3_suffix_dedup": suffix_dedup.query,
     "op4_toxicity": toxicity.query,
     "op5_exact_dedup": exact_dedup.query,
     "op6_weighted_sampling": weighted_sampling.query,
