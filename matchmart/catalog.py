@@ -308,7 +308,7 @@ def q_duration_bins9(spark, d):
 
 
 @register("region_lookup", W(["matches"], f"""
-SELECT match_id, region, {O.REGION_CASE} AS region_name FROM matches"""))
+SELECT match_id, region, {O.region_label('region')} AS region_name FROM matches"""))
 def q_region_lookup(spark, d):
     """Code → name lookup with 'Unknown' for the rest (and NULL)."""
     m = warehouse(spark, d).matches
@@ -497,18 +497,13 @@ def q_scalar_threshold(spark, d):
 
 # --------------------------------------------------------------------------- aggregates
 
-_M4_BINS_SQL = f"""
-SELECT h.localized_name,
-       CASE WHEN CAST(m.duration AS DOUBLE) / 60 <
-                 (SELECT {med(pm("duration"), 0.75)} FROM matches)
-            THEN 'normal' ELSE 'late' END AS duration_bin,
-       COUNT(DISTINCT m.match_id) AS match_count_duration_bin,
-       CAST(SUM(CAST(p.win AS INT)) AS BIGINT) AS win_count_duration_bin,
-       {pct2_sql("SUM(CAST(p.win AS INT))", "COUNT(DISTINCT m.match_id)")} AS winrate_duration_bin
-FROM players p
-LEFT JOIN heroes h ON p.hero_id = h.hero_id
-LEFT JOIN matches m ON p.match_id = m.match_id
-GROUP BY 1, 2"""
+_HERO_BINS_SQL = f"""
+SELECT hero AS localized_name, CASE WHEN short THEN 'normal' ELSE 'late' END AS game_length,
+       count(DISTINCT game) AS games,
+       CASE WHEN bool_or(judged) THEN count(*) FILTER (WHERE won) END AS wins,
+       CAST({O.rate("CASE WHEN bool_or(judged) THEN count(*) FILTER (WHERE won) END", "count(DISTINCT game)")} AS DOUBLE)
+         AS win_rate
+FROM ({O.HERO_FACTS}) AS facts GROUP BY hero, short"""
 
 
 def _hero_bins(spark, d):
@@ -520,37 +515,35 @@ def _hero_bins(spark, d):
     base = p.join(m, p["match_id"] == m["m_match_id"], "left").select(
         "localized_name", "m_match_id", "win",
         F.when(minutes_double("duration") < thr, F.lit("normal")).otherwise(F.lit("late"))
-        .alias("duration_bin"))
-    return base.groupBy("localized_name", "duration_bin").agg(
-        F.count_distinct("m_match_id").alias("match_count_duration_bin"),
-        bool_sum("win").alias("win_count_duration_bin"),
+        .alias("game_length"))
+    return base.groupBy("localized_name", "game_length").agg(
+        F.count_distinct("m_match_id").alias("games"),
+        bool_sum("win").alias("wins"),
     )
 
 
-@register("group_by_ordinal", W(["matches", "players", "heroes"], _M4_BINS_SQL))
+@register("group_by_ordinal", W(["matches", "players", "heroes"], _HERO_BINS_SQL))
 def q_group_by_ordinal(spark, d):
     """GROUP BY a column and a CASE (ordinals 1, 2)."""
     b = _hero_bins(spark, d)
-    return b.withColumn("winrate_duration_bin", to_out(pct2(
-        F.col("win_count_duration_bin"), F.col("match_count_duration_bin"))))
+    return b.withColumn("win_rate", to_out(pct2(
+        F.col("wins"), F.col("games"))))
 
 
 @register("pivot_max", W(["matches", "players", "heroes"], f"""
-WITH duration_bins AS ({_M4_BINS_SQL})
-SELECT localized_name,
-       MAX(CASE WHEN duration_bin = 'late' THEN winrate_duration_bin END) AS winrate_late,
-       MAX(CASE WHEN duration_bin = 'normal' THEN winrate_duration_bin END) AS winrate_normal,
-       COALESCE(MAX(CASE WHEN duration_bin = 'late' THEN match_count_duration_bin END), 0)
-         AS match_count_late,
-       COALESCE(MAX(CASE WHEN duration_bin = 'normal' THEN match_count_duration_bin END), 0)
-         AS match_count_normal
-FROM duration_bins GROUP BY localized_name"""))
+WITH by_length AS ({_HERO_BINS_SQL})
+SELECT coalesce(l.localized_name, s.localized_name) AS localized_name,
+       l.win_rate AS winrate_late, s.win_rate AS winrate_normal,
+       coalesce(l.games, 0) AS match_count_late, coalesce(s.games, 0) AS match_count_normal
+FROM (FROM by_length WHERE game_length = 'late') AS l
+FULL JOIN (FROM by_length WHERE game_length = 'normal') AS s
+  ON l.localized_name IS NOT DISTINCT FROM s.localized_name"""))
 def q_pivot_max(spark, d):
     """Conditional pivot with MAX(CASE …) and COALESCE 0, via ``pivot``."""
     b = q_group_by_ordinal(spark, d)
-    piv = (b.groupBy("localized_name").pivot("duration_bin", ["late", "normal"])
-           .agg(F.max("winrate_duration_bin").alias("wr"),
-                F.max("match_count_duration_bin").alias("mc")))
+    piv = (b.groupBy("localized_name").pivot("game_length", ["late", "normal"])
+           .agg(F.max("win_rate").alias("wr"),
+                F.max("games").alias("mc")))
     return piv.select(
         "localized_name",
         F.col("late_wr").alias("winrate_late"), F.col("normal_wr").alias("winrate_normal"),
@@ -733,15 +726,16 @@ def q_dup_keys(spark, d):
 
 # --------------------------------------------------------------------------- windows
 
-@register("dense_rank_global", W(["players", "heroes"], """
-WITH pickup_rate_count AS (
-  SELECT localized_name,
-         round(CAST(CAST(COUNT(p.hero_id) AS DECIMAL(20,0)) * 100
-                    / (SELECT COUNT(hero_id) FROM players) AS DECIMAL(30,10)), 2) AS pickup_rate
-  FROM players p LEFT JOIN heroes h ON p.hero_id = h.hero_id GROUP BY localized_name)
-SELECT localized_name, CAST(pickup_rate AS DOUBLE) AS pickup_rate,
-       CAST(DENSE_RANK() OVER (ORDER BY pickup_rate DESC NULLS FIRST) AS BIGINT) AS rank_pickup_rate
-FROM pickup_rate_count"""))
+@register("dense_rank_global", W(["players", "heroes"], f"""
+WITH named AS (
+  SELECT (SELECT max(localized_name) FROM heroes AS h WHERE h.hero_id = p.hero_id) AS hero, p.hero_id
+  FROM players AS p),
+shares AS (
+  SELECT hero, {O.rate("count(hero_id)", "(SELECT count(hero_id) FROM named)")} AS share FROM named GROUP BY hero)
+SELECT hero AS localized_name, CAST(share AS DOUBLE) AS pickup_rate,
+       (SELECT 1 + count(DISTINCT coalesce(o.share, 1e9)) FROM shares AS o
+        WHERE coalesce(o.share, 1e9) > coalesce(s.share, 1e9)) AS rank_pickup_rate
+FROM shares AS s"""))
 def q_dense_rank_global(spark, d):
     """DENSE_RANK over one row per hero (bounded by the dimension)."""
     w = warehouse(spark, d)
