@@ -112,17 +112,19 @@ def _raw_lines(spark, d):
     return jsonl.documents_from_tables(w.matches, _wide(w))
 
 
-_LANDED: dict[tuple[str, str], str] = {}
+_LANDED: dict[tuple[str, ...], str] = {}
 
 
 def _landing(spark, d):
     """The raw feed for ``d``: one JSON document per match, landed once per
     application as text files under the checkpoint dir (the production input
-    of the ingest path is a landing folder, not a query)."""
-    import os
-
+    of the ingest path is a landing folder, not a query) for as long as the
+    given files stay as they are."""
     from matchmart.operators.load import table_exists
-    key = (spark.sparkContext.applicationId, os.path.abspath(d))
+    from matchmart.session import files_stamp
+    from matchmart.sources.roles import SOURCES
+    key = (spark.sparkContext.applicationId, d, files_stamp(spark, [
+        f"{d.rstrip('/')}/{t}.parquet" for t in SOURCES]))
     path = _LANDED.get(key)
     if path is None or not table_exists(spark, f"{path}/_SUCCESS"):
         path = scratch_path(spark, "landing")
@@ -833,9 +835,8 @@ WHERE NOT EXISTS (SELECT 1 FROM player_items_wide i
 def q_fk_players_items(spark, d):
     """Q3: composite-key set difference players − items (long form)."""
     w = warehouse(spark, d)
-    items_long = unpivot_items(players_wide_from_tables(w.players, w.players_stat,
-                                                        w.player_items_wide))
-    return integrity.missing_keys(w.players, items_long, ["match_id", "player_slot"])
+    return integrity.missing_keys(w.players, unpivot_items(w.player_items_wide),
+                                  ["match_id", "player_slot"])
 
 
 @register("fk_hero", W(["players", "heroes"], """

@@ -49,8 +49,9 @@ def coerce_int(c) -> Column:
     """
     x = F.col(c) if isinstance(c, str) else c
     s = F.trim(x.cast("string"))
+    # Plain integers are read as such: beyond 2^53 a double would change them.
     d = F.when(F.lower(s) == "false", F.lit(None).cast("double")).otherwise(s.try_cast("double"))
-    return F.when(d == F.floor(d), d.try_cast("bigint"))
+    return F.coalesce(s.try_cast("bigint"), F.when(d == F.floor(d), d.try_cast("bigint")))
 
 
 def parse_bool(c) -> Column:

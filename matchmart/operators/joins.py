@@ -7,22 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A dimension is broadcast only after its row count has been checked against
-# this bound; above it the join falls back to a shuffle join (AQE may still
-# broadcast by its own runtime size check).
-DIM_BROADCAST_MAX_ROWS = 200_000
-
-
-def fits_broadcast(dim: DataFrame, max_rows: int = DIM_BROADCAST_MAX_ROWS) -> bool:
-    """Bounded size check: reads at most ``max_rows + 1`` rows of the dimension."""
-    return dim.limit(max_rows + 1).count() <= max_rows
-
-
-def join_dim(fact: DataFrame, dim: DataFrame, on, how: str = "left",
-             max_rows: int = DIM_BROADCAST_MAX_ROWS) -> DataFrame:
-    """Fact ⟕ dimension, broadcasting the dimension only when it is proven small."""
-    side = F.broadcast(dim) if fits_broadcast(dim, max_rows) else dim
-    return fact.join(side, on, how)
+def join_dim(fact: DataFrame, dim: DataFrame, on, how: str = "left") -> DataFrame:
+    """Fact ⟕ dimension. No hint: AQE broadcasts the dimension if its size at run time
+    is under the session's limit, and otherwise shuffles and splits hot keys."""
+    return fact.join(dim, on, how)
 
 
 def left_join_children(parent: DataFrame, child: DataFrame, key: str,

@@ -79,31 +79,25 @@ def key_bucket(c, width: int = BUCKET_WIDTH):
     return ((x - x % F.lit(width)) / F.lit(width)).cast("long")
 
 
-MAX_PRUNE_BUCKETS = 10_000
-
 
 def new_rows(batch: DataFrame, target: DataFrame | None, keys: Sequence[str],
              bucketed: bool = False) -> DataFrame:
     """Rows of ``batch`` whose key is new: batch key-dedup, then anti join.
 
     With ``bucketed`` the batch carries ``_bucket`` and the target is
-    partitioned by it: the distinct bucket values of the batch (partition
-    metadata, read only after checking there are at most
-    ``MAX_PRUNE_BUCKETS``) become a partition filter on the target scan, so a
-    daily batch reads the key columns of a few partitions instead of the whole
-    table. Beyond the bound the anti join runs against all stored keys.
+    partitioned by it: the smallest and largest bucket of the batch (one row)
+    become a partition filter on the target scan, so a daily batch reads the
+    key columns of the partitions in its range instead of the whole table.
     """
     keys = list(keys)
     b = first_per_key(batch, keys)
     if target is None:
         return b
     if not bucketed:
-        return b.join(target.select(*keys).distinct(), keys, "left_anti")
+        return b.join(target.select(*keys), keys, "left_anti")
     stored = target.select(BUCKET_COL, *keys)
-    buckets = b.select(BUCKET_COL).distinct().limit(MAX_PRUNE_BUCKETS + 1)
-    values = [r[0] for r in buckets.collect()]
-    if len(values) <= MAX_PRUNE_BUCKETS:
-        stored = stored.where(F.col(BUCKET_COL).isin(values))
+    low, high = batch.agg(F.min(BUCKET_COL), F.max(BUCKET_COL)).first()
+    stored = stored.where(F.col(BUCKET_COL).between(low, high))
     return b.join(stored, [BUCKET_COL, *keys], "left_anti")
 
 

@@ -119,11 +119,8 @@ def stats_from_histogram(hist: DataFrame, keys: Sequence[str], metrics: Sequence
     keys, metrics = list(keys), list(metrics)
     quantiles = quantiles if quantiles is not None else {"p50": 0.5}
     part = [*keys, "metric"]
-    if keys:
-        # one exchange by the group keys serves the window (group, metric), the
-        # per-metric read-out and the pivot by group: each is clustered by a
-        # superset of the keys, so no further shuffle is planned
-        hist = hist.repartition(*keys)
+    # The histogram is dealt by (group, metric), so a hot group's metrics are read in
+    # different tasks; only the one row per metric meets in the pivot.
     cum = Window.partitionBy(*part).orderBy("value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     h = (hist.withColumn("_cum", F.sum("n").over(cum))

@@ -46,19 +46,17 @@ SELECT l_orderkey AS match_id, l_linenumber AS player_slot,
        CAST(floor(l_extendedprice) AS BIGINT) AS hero_damage,
        CAST(floor(l_extendedprice * l_discount) AS BIGINT) AS hero_healing,
        CAST(floor(l_extendedprice * l_tax) AS BIGINT) AS tower_damage
-FROM line_one WHERE l_shipdate < TIMESTAMP '2001-06-01 00:00:00'""",
+FROM line_one""",
     "player_items_wide": """
 SELECT l_orderkey AS match_id, l_linenumber AS player_slot,
-       CAST(l_partkey % 40 AS INT) AS item_0, CAST((l_partkey + l_linenumber) % 40 AS INT) AS item_1,
-       CAST((l_partkey + 2 * l_linenumber) % 40 AS INT) AS item_2,
-       CAST((l_partkey + 3 * l_linenumber) % 40 AS INT) AS item_3,
-       CAST((l_partkey + 4 * l_linenumber) % 40 AS INT) AS item_4,
-       CAST((l_partkey + 5 * l_linenumber) % 40 AS INT) AS item_5
+       """ + ", ".join(
+        f"CAST(CASE WHEN (l_partkey + {k} * l_linenumber) % 8 = 0 THEN 0 "
+        f"ELSE l_partkey + {k} * l_linenumber END AS INT) AS item_{k}" for k in range(6)) + """
 FROM line_one""",
     "heroes": """
 SELECT CAST(n_nationkey AS BIGINT) AS hero_id, n_name AS localized_name FROM nation""",
     "items": """
-SELECT p_partkey AS item_id, p_name AS item_key FROM part WHERE p_partkey BETWEEN 1 AND 35""",
+SELECT p_partkey AS item_id, p_name AS item_key FROM part""",
 }
 
 _DEPS = {"players": ["line_one"], "players_stat": ["line_one"],

@@ -63,7 +63,9 @@ def load_batch(spark: SparkSession, lines: DataFrame, root: str,
     """
     parsed = parse_lines(lines)
     staging = staging or scratch_path(spark, "staging")
-    (dedup_batch(parsed).select("match_key", "doc")
+    # A known match is complete (matches are loaded last), so a second document of it
+    # is skipped as a whole and adds no players.
+    (dedup_batch(parsed, known_match_keys(spark, root)).select("match_key", "doc")
      .write.mode("overwrite").parquet(f"{staging}/docs"))
     # insert-ignore here too: a retried batch must not list its rejects twice
     insert_ignore(spark, reject_rows(parsed), f"{root.rstrip('/')}/_rejects",
@@ -104,7 +106,7 @@ def known_match_keys(spark: SparkSession, root: str) -> DataFrame:
     path = f"{root.rstrip('/')}/matches"
     if not table_exists(spark, path):
         return spark.range(0).select(F.col("id").alias("match_id"))
-    return spark.read.parquet(path).select("match_id")
+    return read_table(spark, path).select("match_id")
 
 
 def run_daily(spark: SparkSession, landing: str, root: str, marts_root: str) -> DataFrame:

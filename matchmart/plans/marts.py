@@ -10,8 +10,8 @@ numbers, bigint for counts).
 Scale notes: all groupings are few and possibly hot (``win`` has three
 groups), so every aggregate is map-side combinable and medians come from
 value histograms (``operators.quantiles``); the global NTILE is range
-partitioned (``operators.ntile``); the hero dimension is broadcast after a
-size check; windows without PARTITION BY only ever run over one row per
+partitioned (``operators.ntile``); the hero dimension is broadcast by AQE if
+it is small at run time; windows without PARTITION BY only ever run over one row per
 hero (and, inside NTILE, over one row per partition).
 """
 
@@ -26,7 +26,7 @@ from matchmart.functions.numeric import (
     minutes_double, pct2, per_minute, per_minute_hundredths, round2, safe_div, to_out,
     whole_minutes,
 )
-from matchmart.operators.joins import join_dim, join_on_group, left_join_children
+from matchmart.operators.joins import join_dim
 from matchmart.operators.ntile import ntile
 from matchmart.operators.quantiles import metric_stats, scalar_quantile
 
@@ -48,12 +48,14 @@ def match_player_facts(matches: DataFrame, players: DataFrame,
                        players_stat: DataFrame) -> DataFrame:
     """``matches ⟕ players ⟕ players_stat``: a match without players keeps one row.
 
-    ``has_player`` tells the joined rows (the inner join) from the padded
-    match-only rows. This one fact table feeds win_factors, gmp_winrate and
+    A match has a handful of players by the key (match_id, player_slot), so no
+    key is hot and each table is read once. ``has_player`` tells the joined rows
+    (the inner join) from the match-only rows. This one fact table feeds win_factors, gmp_winrate and
     unknown_players (see ``plans.refresh``).
     """
-    return left_join_children(matches, player_stats(players, players_stat), "match_id",
-                              flag=HAS_PLAYER)
+    p = player_stats(players, players_stat).withColumn(HAS_PLAYER, F.lit(True))
+    return (matches.join(p, "match_id", "left")
+            .withColumn(HAS_PLAYER, F.coalesce(HAS_PLAYER, F.lit(False))))
 
 
 def _mean(m: str):
@@ -100,9 +102,9 @@ def regions_stat(matches: DataFrame) -> DataFrame:
     """Per region: match count, duration and first-blood medians/means, radiant wins."""
     d = region_rows(matches)
     keys = REGION_KEYS
+    # matches is keyed by match_id (the load is insert-ignore on it): rows are matches
     stats = metric_stats(d, keys, REGION_METRICS, scaled=True)
-    distinct = d.groupBy(*keys).agg(F.count_distinct("match_id").alias("match_count"))
-    return regions_stat_from(join_on_group(stats, distinct, keys))
+    return regions_stat_from(stats.withColumnRenamed("rows", "match_count"))
 
 
 def regions_stat_from(out: DataFrame) -> DataFrame:

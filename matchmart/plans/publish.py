@@ -67,6 +67,6 @@ def refresh_all(spark: SparkSession, root: str, marts: dict[str, MartFn]) -> Dat
             version, rows = refresh(spark, root, name, build)
             status.append((name, version, rows, "refreshed", None))
         except Exception as e:  # noqa: BLE001 - reported per mart
-            status.append((name, None, None, "failed", f"{type(e).__name__}: {e}"[:500]))
+            status.append((name, None, None, "failed", f"{type(e).__name__}: {e}"))
     return spark.createDataFrame(status, STATUS_SCHEMA).withColumn(
         "refreshed_at", F.current_timestamp())

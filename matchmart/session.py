@@ -8,6 +8,7 @@ laptop) do we pick a private local folder.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -15,15 +16,18 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
-                  app_name: str = "matchmart") -> SparkSession:
+                  app_name: str = "matchmart", checkpoint_dir: str | None = None) -> SparkSession:
     """A session with the settings the library is tuned for.
 
     AQE re-plans joins (broadcast when the runtime size is small, split
     skewed partitions) and coalesces small shuffle partitions; ANSI mode
     makes overflow and division by zero errors rather than silent values.
     """
+    builder = SparkSession.builder
+    if checkpoint_dir:  # a folder that the driver and all executors share
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     spark = (
-        SparkSession.builder.master(master)
+        builder.master(master)
         .appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -43,13 +47,19 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only if unset."""
+    """The shared checkpoint folder, from ``spark.checkpoint.dir``.
+
+    Unset, a private folder serves a ``local`` master, where driver and executors
+    are one machine; any other master has to name a shared one.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="matchmart-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
@@ -74,10 +84,26 @@ def input_bytes(spark: SparkSession, paths: list[str]) -> int:
     return total
 
 
+def files_stamp(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of the names, lengths and modification times of all files under ``paths``."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    seen = []
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        fs = hp.getFileSystem(conf)
+        if not fs.exists(hp):
+            continue
+        files = fs.listFiles(hp, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()
+
+
 def size_shuffle_partitions(spark: SparkSession, paths: list[str],
                             target_partition_bytes: int = 256 << 20,
-                            expansion: float = 3.0, min_partitions: int = 8,
-                            max_partitions: int = 100_000) -> int:
+                            expansion: float = 3.0, min_partitions: int = 8) -> int:
     """Set ``spark.sql.shuffle.partitions`` from the input size.
 
     Columnar Parquet expands when decoded and shuffled (``expansion``); the
@@ -86,7 +112,7 @@ def size_shuffle_partitions(spark: SparkSession, paths: list[str],
     small ones back toward its advisory size. Returns the value set.
     """
     est = input_bytes(spark, paths) * expansion
-    n = int(max(min_partitions, min(max_partitions, -(-est // target_partition_bytes))))
+    n = int(max(min_partitions, -(-est // target_partition_bytes)))
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

@@ -60,8 +60,15 @@ def read_json_text(spark: SparkSession, path: str) -> DataFrame:
 # --------------------------------------------------------------------------- CSV
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Header row, comma separated, UTF-8, NULL as an empty field."""
-    df.write.mode(mode).option("header", True).option("encoding", "UTF-8").csv(path)
+    """Header row, comma separated, UTF-8, NULL as an empty field; text unchanged.
+
+    Text that needs it is quoted, quotes in it doubled, so that line ends, commas, quotes and
+    white space at the edges come back as they were. Empty text and NULL are both
+    an empty field, which reads as NULL.
+    """
+    (df.write.mode(mode).option("header", True).option("encoding", "UTF-8")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .option("escape", '"').csv(path))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType,
@@ -71,7 +78,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType,
     ``null_words`` lists extra spellings of a missing value that older
     snapshots may contain (e.g. 'nan', 'None'); an empty field is NULL.
     """
-    df = (spark.read.option("header", True).option("mode", "PERMISSIVE")
+    df = (spark.read.option("header", True).option("mode", "FAILFAST")
+          .option("multiLine", True).option("escape", '"')
+          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
           .schema(schema).csv(path))
     if null_words:
         words = list(null_words)

@@ -3,16 +3,18 @@
 The feed is one match per line with a nested ``players`` list. Parsing is
 ``from_json`` with an explicit schema over a text column, so the same code
 reads a landing folder (``spark.read.text``) or lines already in a
-DataFrame. Tolerant mode keeps the reference's skip rules: blank lines,
-unparsable JSON, non-object lines and a missing / NULL / non-integer
-``match_id`` are dropped (and kept in a rejects frame for the quality
-report); strict mode fails on the first bad line instead.
+DataFrame. Tolerant mode's skip rules: blank lines, lines that are not one JSON
+object and a missing, NULL or non-integer ``match_id`` are dropped (and kept in
+a rejects frame for the quality report); strict mode fails on a bad line
+instead. Scalars are read as text and cast, and ``lost_values`` reports what a
+cast could not take.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matchmart.operators.dedup import first_per_key
 from matchmart.schemas import ITEM_SLOTS, MATCH_COLUMNS, RAW_MATCH, RAW_PLAYER
@@ -24,26 +26,87 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("value"), F.col("_metadata.file_path").alias("source_file"))
 
 
+_EDGE_SPACE = r"(?U)^\s+|\s+$"
+
+
+def _as_text(t: T.DataType) -> T.DataType:
+    """The same shape with every scalar as text, so that no value is lost while parsing."""
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, _as_text(f.dataType)) for f in t.fields])
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(_as_text(t.elementType))
+    return T.StringType()
+
+
+def _typed(x: Column, t: T.DataType) -> Column:
+    """Text to the target type: "1500", 1500 and 1500.0 are one number, true and 1 one flag."""
+    if isinstance(t, T.StructType):
+        return F.when(x.isNotNull(), F.struct(*[_typed(x[f.name], f.dataType).alias(f.name) for f in t.fields]))
+    if isinstance(t, T.ArrayType):
+        return F.transform(x, lambda e: _typed(e, t.elementType))
+    if isinstance(t, T.StringType):
+        return x
+    word = F.lower(F.regexp_replace(x, _EDGE_SPACE, ""))
+    number = word.try_cast("decimal(38,10)")
+    if isinstance(t, T.BooleanType):
+        return (F.when((word == "true") | (number == 1), F.lit(True))
+                .when((word == "false") | (number == 0), F.lit(False)))
+    whole = F.when(number == F.floor(number), number)
+    return F.when(word == "true", 1).when(word == "false", 0).otherwise(whole.try_cast(t))
+
+
+def _lost(x: Column, t: T.DataType) -> Column:
+    """Paths of scalars that have text but no value of the target type."""
+    none = F.array().cast("array<string>")
+    if isinstance(t, T.StructType):
+        return F.when(x.isNull(), none).otherwise(F.concat(*[
+            F.transform(_lost(x[f.name], f.dataType), _prefixed(f.name))
+            for f in t.fields]))
+    if isinstance(t, T.ArrayType):
+        inner = F.flatten(F.transform(x, lambda e: _lost(e, t.elementType)))
+        return F.coalesce(F.transform(inner, lambda e: F.concat(F.lit("[]."), e)), none)
+    return F.when(x.isNotNull() & _typed(x, t).isNull(), F.array(F.lit(""))).otherwise(none)
+
+
+def _prefixed(name: str):
+    return lambda path: F.concat(F.lit(name), path)
+
+
+def _raw_doc(text: Column) -> Column:
+    return F.from_json(text, _as_text(RAW_MATCH))
+
+
 def parse_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
-    """Adds ``doc`` (parsed struct), ``match_key`` (bigint) and ``reject`` (reason or NULL).
+    """Adds ``doc`` (typed struct), ``match_key`` (bigint) and ``reject`` (reason or NULL).
 
-    Strict mode raises on the first malformed line (blank lines are still skipped).
+    A line is good if, without the white space around it, it is one JSON object
+    and nothing else, and its ``match_id`` is a whole number (3, "3" or 3.0; a
+    fraction or a boolean is no id). Strict mode raises on a line that is not one
+    JSON object; blank lines are skipped, a missing or odd id is NULL there.
     """
-    text = F.col("value")
-    blank = F.trim(text) == ""
-    is_obj = F.startswith(F.ltrim(text), F.lit("{"))
-    opts = {"mode": "FAILFAST"} if strict else {"mode": "PERMISSIVE"}
-    # a non-object line is never handed to the parser (a top-level array
-    # would otherwise be read as several records)
-    doc = F.when(is_obj, F.from_json(text, RAW_MATCH, opts))
-    reject = (F.when(blank, F.lit("blank"))
-              .when(~is_obj, F.lit("not_an_object"))
-              .when(F.col("doc.match_id").isNull(), F.lit("unparsable_or_no_match_id"))
-              .when(F.col("match_key").isNull(), F.lit("bad_match_id")))
-    out = lines.where(~blank) if strict else lines
-    return (out.withColumn("doc", doc)
-            .withColumn("match_key", F.col("doc.match_id").try_cast("bigint"))
-            .withColumn("reject", reject))
+    text = F.regexp_replace("value", _EDGE_SPACE, "")
+    blank = text == ""
+    # In brackets the line is an array: of one element if nothing follows the object.
+    parts = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
+    parsable = F.coalesce(F.size(parts) == 1, F.lit(False))
+    is_obj = text.startswith("{")
+    good = is_obj & parsable
+    fail = F.raise_error(F.concat(F.lit("not one JSON object: "), F.col("value")))
+    doc = F.when(good, _raw_doc(text))
+    key = F.when(~F.lower("_raw.match_id").isin("true", "false"),
+                 _typed(F.col("_raw.match_id"), T.LongType()))
+    if strict:
+        doc = doc.otherwise(fail.cast(_as_text(RAW_MATCH)))
+        reject = F.when(~good, fail.cast("string"))
+        lines = lines.where(~blank)
+    else:
+        reject = (F.when(blank, F.lit("blank"))
+                  .when(~is_obj, F.lit("not_an_object"))
+                  .when(F.col("_raw.match_id").isNull(), F.lit("unparsable_or_no_match_id"))
+                  .when(F.col("match_key").isNull(), F.lit("bad_match_id")))
+    return (lines.withColumn("_raw", doc).withColumn("match_key", key)
+            .withColumn("reject", reject)
+            .withColumn("doc", _typed(F.col("_raw"), RAW_MATCH)).drop("_raw"))
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
@@ -57,21 +120,30 @@ def rejects(parsed: DataFrame) -> DataFrame:
             .select(F.coalesce(src, F.lit("")).alias("source_file"), "value", "reject"))
 
 
+def lost_values(parsed: DataFrame) -> DataFrame:
+    """Quality report: accepted lines' fields that hold text of another type, and how many."""
+    raw = _raw_doc(F.regexp_replace("value", _EDGE_SPACE, ""))
+    return (accepted(parsed).select(F.explode(_lost(raw, RAW_MATCH)).alias("field"))
+            .groupBy("field").agg(F.count(F.lit(1)).alias("values")))
+
+
 def dedup_batch(parsed: DataFrame, known_keys: DataFrame | None = None) -> DataFrame:
     """Accepted documents, one per match id, minus ids already in the warehouse.
 
     "First" within the batch is the smallest (source file, line text): a
-    total order that does not depend on how the input was split.
+    total order that does not depend on how the input was split. Only these two
+    enter the aggregate; the documents are parsed from what it keeps.
     """
     good = accepted(parsed)
     if "source_file" not in good.columns:
         good = good.withColumn("source_file", F.lit(""))
-    good = good.select("match_key", "source_file", "value", "doc")
-    one = first_per_key(good, ["match_key"], ["source_file", "value", "doc"])
+    one = first_per_key(good.select("match_key", "source_file", "value"),
+                        ["match_key"], ["source_file", "value"])
     if known_keys is not None:
         known = known_keys.select(F.col(known_keys.columns[0]).alias("match_key"))
         one = one.join(known, "match_key", "left_anti")
-    return one
+    raw = _raw_doc(F.regexp_replace("value", _EDGE_SPACE, ""))
+    return one.withColumn("_raw", raw).withColumn("doc", _typed(F.col("_raw"), RAW_MATCH)).drop("_raw")
 
 
 def project_matches(docs: DataFrame) -> DataFrame:

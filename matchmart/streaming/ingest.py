@@ -24,27 +24,31 @@ def _ensure_dir(spark: SparkSession, path: str) -> None:
         fs.mkdirs(hpath)
 
 
-def landed_lines(spark: SparkSession, landing: str) -> DataFrame:
+def landed_lines(spark: SparkSession, landing: str, max_files: int = 1000) -> DataFrame:
     """Streaming text lines of the landing folder, with their file name.
 
     The folder is created when absent, so the job can start before the
     first file lands.
     """
     _ensure_dir(spark, landing)
-    return (spark.readStream.format("text").option("maxFilesPerTrigger", 1000)
+    return (spark.readStream.format("text").option("maxFilesPerTrigger", max_files)
             .load(landing)
             .select("value", F.col("_metadata.file_path").alias("source_file")))
 
 
 def run_ingest(spark: SparkSession, landing: str, root: str, checkpoint: str,
-               available_now: bool = True):
-    """Process every new landed file into the warehouse; returns the finished query."""
+               available_now: bool = True, max_files: int = 1000):
+    """Process every new landed file into the warehouse; returns the finished query.
+
+    ``max_files`` is the size of a micro-batch in files: it sets memory and
+    latency, not what is read (``availableNow`` goes on until all are done).
+    """
 
     def _batch(df: DataFrame, epoch_id: int) -> None:
         stage = scratch_path(spark, f"stream-epoch-{epoch_id}")
         load_batch(df.sparkSession, df, root, stage).collect()  # a few status rows
 
-    w = (landed_lines(spark, landing).writeStream
+    w = (landed_lines(spark, landing, max_files).writeStream
          .foreachBatch(_batch)
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

@@ -43,3 +43,11 @@ def test_csv_roundtrip_with_nulls(spark, tmp_dir):
     files.write_csv(df, path)
     back = sorted(tuple(r) for r in files.read_csv(spark, path, schema, ("nan",)).collect())
     assert back == [(1, "a"), (2, None), (3, None)]
+
+
+def test_csv_gives_back_text_as_it_was(spark, tmp_dir):
+    rows = [(1, "x\ny"), (2, " a "), (3, 'say "hi", ok'), (4, None), (6, "back\\slash"), (7, "a,b")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    files.write_csv(df.coalesce(1), f"{tmp_dir}/c")
+    got = files.read_csv(spark, f"{tmp_dir}/c", df.schema)
+    assert sorted(map(tuple, got.collect())) == rows

@@ -92,3 +92,37 @@ def test_documents_roundtrip(spark, tmp_dir):
     assert sorted(r.match_id for r in jsonl.project_matches(docs).collect()) == [1, 2]
     back = jsonl.explode_players(docs).first().asDict()
     assert back == pw.first().asDict()
+
+
+def _lines(spark, *values):
+    return spark.createDataFrame([(v,) for v in values], "value string")
+
+
+def test_strict_reader_raises_on_each_kind_of_bad_line_and_keeps_missing_ids(spark):
+    good = jsonl.parse_lines(_lines(spark, '{"match_id":1}', " ", '{"duration":3}'), strict=True)
+    assert sorted((r.match_key or 0, r.doc.duration or 0) for r in jsonl.accepted(good).collect()) == [(0, 3), (1, 0)]
+    for bad in ("garbage", "[1", "[1]", '{"match_id":9} junk', "{not json"):
+        with pytest.raises(Exception, match="not one JSON object"):
+            jsonl.accepted(jsonl.parse_lines(_lines(spark, '{"match_id":1}', bad), strict=True)).count()
+
+
+def test_ids_and_lines_that_are_good_all_the_same(spark):
+    parsed = jsonl.parse_lines(_lines(
+        spark, '\t{"match_id":1}\u00a0', '{"match_id":3.0}', '{"match_id":" 4 "}', '{"match_id":9} junk',
+        '{"match_id":3.7}', '{"match_id":true}', '{"match_id":5},{"match_id":6}', '{"match_id":9007199254740993}'))
+    assert sorted(r.match_key for r in jsonl.accepted(parsed).collect()) == [1, 3, 4, 9007199254740993]
+    assert sorted(r.reject for r in jsonl.rejects(parsed).collect()) == [
+        "bad_match_id", "bad_match_id", "unparsable_or_no_match_id", "unparsable_or_no_match_id"]
+
+
+def test_scalars_of_another_type_are_cast_or_reported(spark):
+    parsed = jsonl.parse_lines(_lines(
+        spark, '{"match_id":1,"duration":"1500","first_blood_time":12.0,"radiant_win":1,"players":'
+        '[{"player_slot":"0","hero_id":"5","win":true,"hero_damage":3.0,"kills":"many","isRadiant":"false"}]}',
+        '{"match_id":2,"duration":1.5}'))
+    docs = jsonl.dedup_batch(parsed)
+    m = {r.match_id: r for r in jsonl.project_matches(docs).collect()}
+    assert (m[1].duration, m[1].first_blood_time, m[1].radiant_win, m[2].duration) == (1500, 12, True, None)
+    p = jsonl.explode_players(docs).first()
+    assert (p.player_slot, p.hero_id, p.win, p.hero_damage, p.kills, p.is_radiant) == (0, 5, 1, 3, None, False)
+    assert {r.field: r["values"] for r in jsonl.lost_values(parsed).collect()} == {"duration": 1, "players[].kills": 1}

@@ -32,3 +32,9 @@ def test_region_lookup_unknown_and_null(spark):
     df = spark.createDataFrame([(1,), (5,), (38,), (None,)], "r long")
     got = [r[0] for r in df.select(region_name("r")).collect()]
     assert got == ["US West (Seattle)", "Unknown", "US East 2", "Unknown"]
+
+
+def test_large_integers_are_exact(spark):
+    from matchmart.functions.text import coerce_int
+    df = spark.createDataFrame([("9007199254740993",), ("3.0",), ("0.5",), ("x",)], "t string")
+    assert [r[0] for r in df.select(coerce_int("t")).collect()] == [9007199254740993, 3, None, None]
