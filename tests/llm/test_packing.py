@@ -15,7 +15,7 @@ from .helpers import SMALL, docs_frame, table
 
 @pytest.fixture(scope="module")
 def encoder():
-    return packing.WordEncoder(packing.tokenizer_path())
+    return packing.WordEncoder(*packing.tokenizer_paths())
 
 
 def _check(pieces, texts, encoder, window=packing.WINDOW):
@@ -45,7 +45,7 @@ def test_query_places_every_id_once(spark, encoder):
 
 
 def test_odd_rows(spark, encoder):
-    texts = [(1, None), (2, ""), (3, " "), (4, "a  b \n c"), (5, "word " * 9000), (6, "x" * 40000)]
+    texts = [(1, None), (2, ""), (3, " "), (4, "a  b \n c"), (5, "word " * 9000), (6, "x" * 40000), (7, "a<|endoftext|> b")]
     pieces = packing.pack(docs_frame(spark, texts)).toPandas()
     _check(pieces, texts, encoder)
     again = packing.pack(docs_frame(spark, texts)).toPandas()
