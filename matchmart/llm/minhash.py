@@ -16,8 +16,10 @@ connected components of all links.
    are dropped, the rest is confirmed on the full sets.
 4. What a star can miss are links between two classes of a bucket that are in
    different components so far. For buckets that still hold several components
-   all such pairs are compared by signature, in blocks of bounded size, and
-   only pairs that pass the estimate leave the task, to be confirmed as well.
+   all such pairs are compared in blocks of bounded size, by signature and by a
+   bitmap of the set: the bits in which two bitmaps differ are a lower bound of
+   the shingles in which the sets differ, so this drops no link. Only pairs that
+   pass both leave the task, to be confirmed as well.
 5. Components of the confirmed links by alternating min-label rounds.
 
 With 24 bands of 6 a pair at the threshold is missed by all bands once in
@@ -52,7 +54,9 @@ BANDS, ROWS = 24, 6
 #: a link, in percent of the union
 PERCENT = 85
 #: how far under the threshold an estimate may lie before a pair is dropped
-MARGIN = 0.17
+MARGIN = 0.16
+#: bits of a set's bitmap
+BITS = 4096
 #: classes of a bucket that one task compares with as many others
 BLOCK = 1024
 _SEED = 20260
@@ -125,7 +129,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             node.append(xxhash.xxh3_128_digest(s.tobytes()))
             low = minima(s, a, b)
-            sig.append((low >> np.uint64(56)).astype(np.uint8).tobytes())
+            sig.append(low.astype(np.uint8).tobytes())  # the low byte of each
             bands.append([xxhash.xxh3_64_intdigest(low[k:k + ROWS].tobytes(), seed=k) - 2**63
                           for k in range(0, len(low), ROWS)])
         yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()),
@@ -140,18 +144,26 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_sketch, "doc_id long, n long, node binary, sig binary, bands array<long>")
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """A bit for each shingle; two bitmaps differ in no more bits than the sets in shingles."""
+    bits = np.zeros(BITS, bool)
+    bits[(shingles % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text to node, shingles."""
+    """text to node, shingles, bits."""
     known: dict[bytes, int] = {}
     for batch in batches:
         sets = [shingle_set(t.as_py(), known) for t in batch.column(0)]
         yield pa.record_batch([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                               pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                              names=["node", "shingles"])
+                               pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                               pa.array([bitmap(s) for s in sets], pa.binary())],
+                              names=["node", "shingles", "bits"])
 
 
 def candidate_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles), one row for each of ``nodes``.
+    """(node, shingles, bits), one row for each of ``nodes``.
 
     The texts are fetched by the class's least id; where an id names several
     texts, the set's digest tells which of them is meant.
@@ -159,7 +171,7 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> Dat
     ids = classes.join(nodes, "node", "left_semi").select(F.col("least_id").alias("wanted")).distinct()
     rows = docs.select(col(docs, "doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     rows = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
-    sets = rows.mapInArrow(_sets, "node binary, shingles array<long>")
+    sets = rows.mapInArrow(_sets, "node binary, shingles array<long>, bits binary")
     return stage(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "near-sets")
 
 
@@ -177,8 +189,10 @@ def _likely(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _across(block: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block pair's two sides that lie in different components and look alike."""
+    """Pairs of a block pair's two sides that lie in different components and may be links."""
     sig = np.frombuffer(b"".join(block["sig"]), np.uint8).reshape(len(block), -1)
+    bits = np.frombuffer(b"".join(block["bits"]), np.uint64).reshape(len(block), -1)
+    n = block["n"].to_numpy()
     part = pd.factorize(block["part"])[0]
     node, side = block["node"].to_numpy(), block["side"].to_numpy()
     one = block["i"].iat[0] == block["j"].iat[0]
@@ -187,7 +201,10 @@ def _across(block: pd.DataFrame) -> pd.DataFrame:
     out = []
     for k in left:
         others = right[(part[right] != part[k]) & ((right > k) | (not one))]
-        hits = others[estimate(sig[others], sig[k]) >= PERCENT / 100 - MARGIN]
+        others = others[estimate(sig[others], sig[k]) >= PERCENT / 100 - MARGIN]
+        # With d shingles not shared, 100 (n + m - d) / 2 >= PERCENT (n + m + d) / 2 must hold.
+        d = np.bitwise_count(bits[others] ^ bits[k]).sum(axis=1, dtype=np.int64)
+        hits = others[(100 + PERCENT) * d <= (100 - PERCENT) * (n[others] + n[k])]
         out += [(min(node[k], node[h]), max(node[k], node[h])) for h in hits]
     return pd.DataFrame(out, columns=["node_a", "node_b"])
 
@@ -259,12 +276,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     several = (open_seats.groupBy("band", "key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
                .where("lo <> hi").select("band", "key"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rest = (open_seats.join(several, ["band", "key"], "left_semi").join(sigs, "node")
+    marked = sets.select("node", "bits", F.size("shingles").alias("n")).join(sigs, "node")
+    rest = (open_seats.join(several, ["band", "key"], "left_semi").join(marked, "node")
             .where(F.col("node") != F.col("pivot"))
             .withColumn("blocks", blocks)
             .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("band", "key", "node", "part", "sig", F.least("own", "other").alias("i"),
+            .select("band", "key", "node", "part", "sig", "bits", "n", F.least("own", "other").alias("i"),
                     F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side")))
     more = rest.groupBy("band", "key", "i", "j").applyInPandas(_across, "node_a binary, node_b binary")
     found = stage(confirm(more, sets), "near-links")
