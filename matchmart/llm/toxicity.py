@@ -43,8 +43,8 @@ GRAMS = (3, 4, 5, 6)
 #: most labelled texts per label in training, and their most characters
 SAMPLE, SAMPLE_CHARS = 1500, 20_000
 THRESHOLD = 0.3
-#: texts whose windows are scored together, windows per matrix step
-SLICE, BATCH = 4096, 1024
+#: texts whose windows are scored together, windows per matrix step, words whose vectors are summed together
+SLICE, BATCH, WORDS = 4096, 1024, 16_384
 _SEED = 7
 
 
@@ -71,8 +71,8 @@ def features(words: list[str]) -> Features:
     flat = np.frombuffer(b"".join(b"^" + w + b"$" for w in raw), np.uint8).astype(np.uint64)
     size = np.fromiter(map(len, raw), np.int64, len(raw)) + 2
     end = np.cumsum(size)
-    owner = np.repeat(np.arange(len(raw)), size)
-    left = end[owner] - np.arange(len(flat))  # bytes from here to the word's end
+    owner = np.repeat(np.arange(len(raw), dtype=np.int32), size)
+    left = np.repeat(end, size) - np.arange(len(flat))  # bytes from here to the word's end
     rows, owners = [], []
     h = np.zeros(len(flat), np.uint64)
     for n in range(1, max(GRAMS) + 1):
@@ -81,7 +81,7 @@ def features(words: list[str]) -> Features:
         if n in GRAMS:
             at = np.flatnonzero(left >= n)
             g = (h[at] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-            rows.append((g >> np.uint64(40)).astype(np.int64) % GRAM_ROWS)
+            rows.append((g >> np.uint64(40)).astype(np.int32) % GRAM_ROWS)
             owners.append(owner[at])
     order = np.argsort(np.concatenate(owners), kind="stable")
     gram, owner = np.concatenate(rows)[order], np.concatenate(owners)[order]
@@ -122,7 +122,11 @@ class Net:
     def inputs(self, f: Features) -> tuple[np.ndarray, np.ndarray]:
         """Each distinct word's vector, and its part of the gates in both directions."""
         p = self.p
-        grams = np.add.reduceat(p["Ec"][f.gram], f.start, axis=0) * f.scale[:, None].astype(np.float32)
+        grams, ends = np.empty((len(f.word), DC), p["Ec"].dtype), np.append(f.start, len(f.gram))
+        for k in range(0, len(f.word), WORDS):
+            a, b = ends[k], ends[min(k + WORDS, len(f.word))]
+            grams[k:k + WORDS] = np.add.reduceat(p["Ec"][f.gram[a:b]], f.start[k:k + WORDS] - a, axis=0)
+        grams *= f.scale[:, None].astype(grams.dtype)
         x = np.concatenate([p["Ew"][f.word], grams], axis=1)
         # After the last word comes the row for "no word here": it keeps the state.
         none = np.zeros((1, 6 * H), np.float32)
@@ -229,14 +233,25 @@ class Net:
             return 1 / (1 + np.exp(-(a * self.logits(texts).astype(np.float64) + b)))
 
 
-def _log_odds(rows: np.ndarray, texts: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
-    """Per table row, the log odds of toxic for a text that has it."""
-    seen = np.unique(rows.astype(np.int64) * len(labels) + texts)
-    row, text = seen // len(labels), seen % len(labels)
-    pos = np.bincount(row, labels[text], size)
-    neg = np.bincount(row, minlength=size) - pos
+def _log_odds(f: Features, text: np.ndarray, word: np.ndarray, labels: np.ndarray):
+    """Log odds of toxic for a text that has it, for each word row and each n-gram row.
+
+    ``text`` and ``word`` say which text has which distinct word, in order of texts;
+    a hundred texts at a time, as their n-grams are many.
+    """
+    many = np.diff(np.append(f.start, len(f.gram)))
+    count = {"word": np.zeros((2, WORD_ROWS)), "gram": np.zeros((2, GRAM_ROWS))}
+    for lo in range(0, len(labels), 100):
+        a, b = np.searchsorted(text, (lo, lo + 100))
+        t, w = text[a:b], word[a:b]
+        span = many[w]
+        inner = np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
+        for name, rows, of in (("word", f.word[w], t), ("gram", f.gram[np.repeat(f.start[w], span) + inner],
+                                                        np.repeat(t, span))):
+            seen = np.unique(rows * 100 + (of - lo))
+            np.add.at(count[name], (labels[lo + seen % 100].astype(int), seen // 100), 1)
     p, n = labels.sum(), len(labels) - labels.sum()
-    return np.log((pos + 0.5) / (p + 1)) - np.log((neg + 0.5) / (n + 1))
+    return [np.log((c[1] + 0.5) / (p + 1)) - np.log((c[0] + 0.5) / (n + 1)) for c in count.values()]
 
 
 def train(texts: list[str], labels: np.ndarray, rounds: int = 2, passes: int = 4,
@@ -254,15 +269,10 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 2, passes: int = 4
     f = features(distinct)
     many = np.diff(np.append(f.start, len(f.gram)))
     # Which words occur in which fitted text.
-    here = codes < len(distinct)
-    pairs = np.unique(np.stack([np.broadcast_to(text[:, None], codes.shape)[here], codes[here]]), axis=1)
-    fit = ~back[pairs[0]]
-    t, w = pairs[0][fit], pairs[1][fit]
-    seen, kept = np.cumsum(~back) - 1, labels[~back]
-    odds_w = _log_odds(f.word[w], seen[t], kept, WORD_ROWS)
-    span = many[w]
-    grams = f.gram[np.repeat(f.start[w] - (np.cumsum(span) - span), span) + np.arange(span.sum())]
-    odds_c = _log_odds(grams, np.repeat(seen[t], span), kept, GRAM_ROWS)
+    key = np.unique((text[:, None] * (len(distinct) + 1) + codes).ravel())
+    has, word = key // (len(distinct) + 1), key % (len(distinct) + 1)
+    use = ~back[has] & (word < len(distinct))
+    odds_w, odds_c = _log_odds(f, (np.cumsum(~back) - 1)[has[use]], word[use], labels[~back])
     # Rows that say little or were hardly seen start at 0.
     odds_w, odds_c = (np.where(np.abs(o) > 2, np.clip(o, -4, 4), 0) for o in (odds_w, odds_c))
     net.p["Ew"][:, 0] += 0.5 * odds_w
@@ -339,16 +349,20 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Net:
-    """Train on a bounded sample of the labelled texts that may be seen."""
+    """Train on a bounded sample of the labelled texts that may be seen.
+
+    Ids are chosen from the labels alone; the at most ``2 * sample`` of them are
+    broadcast to the texts, so no text is shuffled.
+    """
     known = labels.select(col(labels, "doc_id").cast("long").alias("id"), col(labels, "toxic").cast("int").alias("toxic"))
     known = known.where("id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select(col(docs, "doc_id").cast("long").alias("id"), text_of(docs).alias("text"))
     share = known.agg(F.avg("toxic")).first()[0]
-    rows = rows.where(F.length("text") <= sample_chars).join(known, "id")
-    picks = [rows.where(F.col("toxic") == y).withColumn("by", F.xxhash64("id", F.lit(_SEED)))
-             .orderBy("by", "id", "text").limit(sample) for y in (0, 1)]
-    got = [r for p in picks for r in p.select("text", "toxic").collect()]
+    by = known.withColumn("by", F.xxhash64("id", F.lit(_SEED)))
+    picks = by.where("toxic = 0").orderBy("by").limit(sample).unionAll(by.where("toxic = 1").orderBy("by").limit(sample))
+    rows = docs.select(col(docs, "doc_id").cast("long").alias("id"), text_of(docs).alias("text"))
+    rows = rows.where(F.length("text") <= sample_chars).join(F.broadcast(picks), "id")
+    got = rows.select("toxic", "text", "by").orderBy("by", "text").limit(2 * sample).collect()
     y = np.array([r.toxic for r in got], np.float32)
     net = Net()
     if not 0 < y.sum() < len(y):
