@@ -41,7 +41,7 @@ from .common import col, load, stage, text_of
 #: samples in a fingerprint, one byte each
 K = 128
 #: texts that share their words' draws, words drawn at a time
-SLICE, WORDS = 2048, 8192
+SLICE, WORDS = 2048, 1024
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,8 +71,8 @@ def draws(words: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.log(-np.log(u3 * u4)) - r * (t - b) - r, t.astype(np.int32)
 
 
-def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word hash, count) of each text's distinct words, ordered by text."""
+def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word, count) of each text's distinct words, ordered by text; the words' hashes."""
     lists = pc.ascii_split_whitespace(pc.utf8_lower(texts))
     coded = pc.dictionary_encode(lists.flatten())
     distinct = coded.dictionary.to_pylist()
@@ -83,21 +83,22 @@ def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         owner, code = owner[real], code[real]
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct))
     pairs, count = np.unique(owner * max(1, len(distinct)) + code, return_counts=True)
-    return pairs // max(1, len(distinct)), hashes[pairs % max(1, len(distinct))], count
+    return pairs // max(1, len(distinct)), pairs % max(1, len(distinct)), count, hashes
 
 
 def fingerprints(texts: pa.Array) -> np.ndarray:
     """One row of K bytes for each text, and whether it has words as a last column."""
     out = np.zeros((len(texts), K + 1), np.uint8)
-    owner, word, count = bags(texts)
+    owner, word, count, hashes = bags(texts)
     if not len(owner):
         return out
     # Each (word, count) draws once for all texts of the slice.
-    kind, at = np.unique(np.stack([word, count.astype(np.uint64)]), axis=1, return_inverse=True)
-    at = at.reshape(-1)
-    ln_a, t = np.empty((kind.shape[1], K), np.float32), np.empty((kind.shape[1], K), np.int32)
-    for k in range(0, len(ln_a), WORDS):
-        ln_a[k:k + WORDS], t[k:k + WORDS] = draws(kind[0, k:k + WORDS], kind[1, k:k + WORDS])
+    most = int(count.max()) + 1
+    kind, at = np.unique(word * most + count, return_inverse=True)
+    drawn, weight = hashes[kind // most], kind % most
+    ln_a, t = np.empty((len(kind), K), np.float32), np.empty((len(kind), K), np.int32)
+    for k in range(0, len(kind), WORDS):
+        ln_a[k:k + WORDS], t[k:k + WORDS] = draws(drawn[k:k + WORDS], weight[k:k + WORDS])
     begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
     sample = np.arange(K)
     for i, lo, hi in zip(owner[begin], begin, [*begin[1:], len(owner)]):
@@ -108,8 +109,8 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
             low = ln_a[rows[nth], sample]
             best, row = (low, rows[nth]) if best is None else (
                 np.minimum(best, low), np.where(low < best, rows[nth], row))
-        drawn = kind[0, row] + t[row, sample].astype(np.int64).view(np.uint64) * _GOLD
-        out[i, :K] = (_mix(drawn) >> np.uint64(56)).astype(np.uint8)
+        chosen = drawn[row] + t[row, sample].astype(np.int64).view(np.uint64) * _GOLD
+        out[i, :K] = (_mix(chosen) >> np.uint64(56)).astype(np.uint8)
         out[i, K] = 1
     return out
 
