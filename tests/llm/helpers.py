@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "documents pages benchmark labels conversations".split()
@@ -25,9 +26,9 @@ def docs_frame(spark, rows):
 
 def _plain(v):
     v = v.item() if hasattr(v, "item") else v
-    if v is None or isinstance(v, float) and math.isnan(v):
+    if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v):
         return None
-    return round(v, 9) if isinstance(v, float) else v
+    return round(float(v), 9) if isinstance(v, int | float) and not isinstance(v, bool) else v
 
 
 def same_as_sql(df, sql, sf_dir=SMALL, **tables):
