@@ -937,7 +937,7 @@ def _replay_yearly(spark, d, matches, mart):
     batches = [r[0] for r in m.select("batch").distinct().orderBy("batch").collect()]
     for b in batches:
         part = m.where(F.col("batch").eqNullSafe(F.lit(b))).drop("batch")
-        incremental.add_batch(spark, root, part, mart)
+        incremental.add_batch(spark, root, part, mart, batch=str(b))
     return root
 
 

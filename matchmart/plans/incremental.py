@@ -17,13 +17,14 @@ once, in the batch that first loaded it.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchmart.functions.numeric import (
     duration_category, pct2, per_minute_hundredths, to_out,
 )
-from matchmart.operators.load import table_exists
 from matchmart.operators.quantiles import merge_histograms, metric_histogram, stats_from_histogram
 from matchmart.plans import marts, publish
 
@@ -69,18 +70,27 @@ def _state_name(mart: str) -> str:
 def current_state(spark: SparkSession, root: str,
                   mart: str = "regions_stat") -> DataFrame | None:
     name = _state_name(mart)
-    if not table_exists(spark, f"{root.rstrip('/')}/{name}/_CURRENT"):
+    if publish.current_version(spark, root, name) is None:
         return None
     return publish.current(spark, root, name)
 
 
 def add_batch(spark: SparkSession, root: str, new_matches: DataFrame,
-              mart: str = "regions_stat") -> DataFrame:
-    """Merge the histogram of newly loaded matches into the state; returns the new state."""
+              mart: str = "regions_stat", batch: str | None = None) -> DataFrame:
+    """Merge the histogram of newly loaded matches into the state; returns the new state.
+
+    ``batch`` names the batch. The names that a state holds are kept with its
+    version, and a batch that is added again (a replay) changes nothing.
+    """
+    note = publish.current_note(spark, root, _state_name(mart))
+    applied = json.loads(note) if note else []
+    if batch is not None and batch in applied:
+        return publish.current(spark, root, _state_name(mart))
     hist = STATES[mart][0](new_matches)
     old = current_state(spark, root, mart)
     merged = hist if old is None else merge_histograms(old, hist)
-    publish.publish(spark, root, _state_name(mart), merged)
+    names = applied if batch is None else [*applied, batch]
+    publish.publish(spark, root, _state_name(mart), merged, json.dumps(names))
     return publish.current(spark, root, _state_name(mart))
 
 

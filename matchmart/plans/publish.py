@@ -1,7 +1,7 @@
 """Materialised marts: versioned publish, refresh one, refresh all.
 
 A mart is recomputed into a new folder ``<root>/<mart>/v=<stamp>`` and only
-then made visible by pointing a temp view (and a ``_CURRENT`` marker file
+then made visible by pointing a temp view (and a marker file of its own
 written last) at it, so readers never see a half-written result and a
 failed refresh leaves the previous version in place. ``refresh_all`` keeps
 going when one mart fails and reports a status row per mart.
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchmart.operators.load import read_text_file, write_text_file
+from matchmart.operators.load import read_text_file, table_exists, write_text_file
 
 MartFn = Callable[[], DataFrame]
 
@@ -34,19 +34,43 @@ _write_text = write_text_file
 _read_text = read_text_file
 
 
-def publish(spark: SparkSession, root: str, name: str, df: DataFrame) -> str:
-    """Write ``df`` as a new version of mart ``name`` and switch the pointer to it."""
-    version = f"{int(time.time() * 1000)}-{uuid.uuid4().hex[:6]}"
+_MARKS = "_published"
+
+
+def publish(spark: SparkSession, root: str, name: str, df: DataFrame, note: str = "") -> str:
+    """Write ``df`` as a new version of mart ``name`` and make it the current one.
+
+    A version is published by a marker file of its own name, written after its
+    data; the current version is the last name. Nothing is overwritten, so a
+    reader finds the old version or the new one. ``note`` is kept in the marker.
+    """
+    version = f"{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:6]}"
     path = f"{root.rstrip('/')}/{name}/v={version}"
     df.write.mode("errorifexists").parquet(path)
-    _write_text(spark, f"{root.rstrip('/')}/{name}/_CURRENT", version)
+    _write_text(spark, f"{root.rstrip('/')}/{name}/{_MARKS}/{version}", note)
     spark.read.parquet(path).createOrReplaceTempView(name)
     return version
 
 
+def current_version(spark: SparkSession, root: str, name: str) -> str | None:
+    """The name of the published version, None if there is none."""
+    folder = f"{root.rstrip('/')}/{name}/{_MARKS}"
+    if not table_exists(spark, folder):
+        return None
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return max((f.getPath().getName() for f in fs.listStatus(path)), default=None)
+
+
+def current_note(spark: SparkSession, root: str, name: str) -> str:
+    """What the published version's marker says."""
+    version = current_version(spark, root, name)
+    return _read_text(spark, f"{root.rstrip('/')}/{name}/{_MARKS}/{version}") or "" if version else ""
+
+
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The published version of mart ``name``."""
-    version = _read_text(spark, f"{root.rstrip('/')}/{name}/_CURRENT")
+    version = current_version(spark, root, name)
     if version is None:
         raise FileNotFoundError(f"mart {name} has not been published under {root}")
     return spark.read.parquet(f"{root.rstrip('/')}/{name}/v={version}")

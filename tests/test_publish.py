@@ -19,3 +19,15 @@ def test_publish_switches_version_and_refresh_all_survives_failure(spark, tmp_di
     assert st["m"]["status"] == "refreshed" and st["m"]["rows"] == 5
     assert st["x"]["status"] == "failed" and "boom" in st["x"]["error"]
     assert publish.current(spark, root, "m").count() == 5
+
+
+def test_a_batch_added_again_changes_nothing(spark, tmp_dir):
+    from matchmart.plans import incremental
+    root = os.path.join(tmp_dir, "states")
+    m = spark.createDataFrame([(1, 1500, 5, True, 3), (2, 1600, 6, False, 3)],
+                              "match_id long, duration long, first_blood_time long, radiant_win boolean, region long")
+    for _ in range(2):
+        incremental.add_batch(spark, root, m, batch="day-1")
+    assert incremental.mart_from_state(spark, root, "regions_stat").first().match_count == 2
+    incremental.add_batch(spark, root, m, batch="day-2")
+    assert incremental.mart_from_state(spark, root, "regions_stat").first().match_count == 4
