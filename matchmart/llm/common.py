@@ -13,6 +13,7 @@ from matchmart.session import scratch_path
 #: the white space that the contracts name: U+0020 and U+0009 to U+000D
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,11 +25,18 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     Cuts lineage (a lost executor rereads files instead of recomputing) and
-    gives the planner the true size of what follows.
+    gives the planner the true size of what follows. Once the files are written,
+    the shuffle files behind them serve nobody: Spark removes them at the end of
+    this write instead of when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{name}")
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
