@@ -46,8 +46,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, BinaryType
 
-from .common import col, fresh, load, stage, text_of
+from .common import WORD, col, load, stage, text_of
 
 WORDS = 5
 BANDS, ROWS = 24, 6
@@ -249,8 +250,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node, component_id of every document."""
+def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents' sketches, and (node, least_id, part) of every class."""
     marks = stage(sketches(docs), "near-sketches")
     full = marks.where("node IS NOT NULL")
     classes = stage(full.groupBy("node").agg(F.min("sig").alias("sig"), F.min("doc_id").alias("least_id"),
@@ -289,6 +290,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     parts = components(links.union(found))
 
     named = classes.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    return marks, named.select("node", "least_id", "part")
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, node, component_id of every document."""
+    marks, named = _named(docs)
     named = named.groupBy("part").agg(F.min("least_id").alias("component_id")).join(
         named.select("node", "part"), "part").select("node", "component_id")
     out = marks.join(named, "node", "left")
@@ -297,14 +304,35 @@ def near_groups(docs: DataFrame) -> DataFrame:
                       .otherwise(F.col("component_id")).alias("component_id"))
 
 
+@F.arrow_udf(BinaryType())
+def _node(texts: pa.Array) -> pa.Array:
+    """The digest of a text's set, as in the sketches."""
+    known: dict[bytes, int] = {}
+    return pa.array([xxhash.xxh3_128_digest(shingle_set(t.as_py(), known).tobytes()) for t in texts], pa.binary())
+
+
 def survivors(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest id, with its own columns."""
-    names = docs.columns
-    kept = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    i = fresh(names, "stay_id")
-    best = kept.select(F.col("doc_id").alias(i)).distinct()
-    rows = docs.join(best, col(docs, "doc_id").cast("long").eqNullSafe(F.col(i)), "left_semi")
-    return rows.dropDuplicates(["doc_id"]).select(*[col(rows, c) for c in names])
+    """One document of each group, with its own columns, and every document with an empty set.
+
+    The group's node with the smallest id stays (null ids last, then the smallest
+    digest), of its rows with that id the one whose text has the smallest MD5,
+    then the smallest other columns. Rows alike in all of these differ at most in
+    nested columns.
+    """
+    _, named = _named(docs)
+    best = named.groupBy("part").agg(F.min(F.struct(F.col("least_id").isNull().alias("odd"), "least_id", "node")).alias("best"))
+    # Keys without nulls, so that the rows are dealt once for both the choice and the join.
+    best = best.select(F.col("best.node").alias("node"), F.col("best.odd").alias("odd"),
+                       F.coalesce("best.least_id", F.lit(0)).alias("id"))
+    texts, own = text_of(docs), col(docs, "doc_id").cast("long")
+    full = docs.where(texts.rlike(WORD))
+    plain = [col(docs, f.name) for f in docs.schema if isinstance(f.dataType, AtomicType) and f.name != "text"]
+    rows = full.select(_node(texts).alias("node"), own.isNull().alias("odd"), F.coalesce(own, F.lit(0)).alias("id"),
+                       F.struct(F.md5(texts.cast("binary")), *plain).alias("order"),
+                       F.struct(*(col(docs, c) for c in docs.columns)).alias("row"))
+    rows = rows.groupBy("node", "odd", "id").agg(F.min_by("row", "order").alias("row"))
+    rows = rows.join(best, ["node", "odd", "id"], "left_semi").select("row.*")
+    return rows.union(docs.where(~texts.rlike(WORD)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,21 @@ def test_survivors_keep_their_columns(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 5]
 
 
+def test_survivors_of_repeated_and_null_ids(spark):
+    """Ids that name several texts, or none, cost no group its document."""
+    rows = [(3, "a b c d e f"), (3, "A b c d e f"), (3, "other words here"), (None, "a b c d e f"), (None, "z y"),
+            (None, "z Y"), (None, "no id either"), (None, None), (None, ""), (4, " "), (4, ""), (7, "Other words here")]
+    want = [(3, "other words here"), (None, "no id either"), (None, None), (None, ""), (4, " "), (4, "")]
+    runs = []
+    for order in (rows, rows[::-1]):
+        got = [(r.doc_id, r.text) for r in minhash.survivors(docs_frame(spark, order)).collect()]
+        runs.append(sorted(got, key=repr))
+    assert runs[0] == runs[1] and len(runs[0]) == len(want) + 2
+    assert {x for x in runs[0] if x in want} == set(want)
+    rest = [x for x in runs[0] if x not in want]
+    assert {(i, t.lower()) for i, t in rest} == {(3, "a b c d e f"), (None, "z y")}
+
+
 @pytest.mark.parametrize("share", [0.0, 0.3, 0.85, 1.0])
 def test_estimate_is_corrected_for_chance(share):
     a, b = minhash._coefficients()

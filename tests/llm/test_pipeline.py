@@ -6,7 +6,7 @@ from collections import Counter
 import corpus_pipeline
 from matchmart.llm import mixing, toxicity
 
-from .helpers import SMALL, table
+from .helpers import SMALL, docs_frame, table
 from .test_minhash import brute
 
 
@@ -46,6 +46,14 @@ def test_stages_one_after_the_other(spark):
     assert pieces.groupby("sequence_id").length.sum().max() <= 2048
 
 
+def test_near_stage_keeps_documents_with_null_and_repeated_ids(spark):
+    docs = docs_frame(spark, [(None, "one text without an id"), (None, "quite another text"), (8, "a third text of words"),
+                              (8, "a fourth that shares the id"), (9, "A Third text of words"), (None, "")])
+    step = dict(corpus_pipeline.STAGES)["near dedup"]
+    assert sorted(r.text for r in step(spark, docs, SMALL).collect()) == [
+        "", "a fourth that shares the id", "a third text of words", "one text without an id", "quite another text"]
+
+
 def test_registered():
     import __spark_entry__ as entry
     names = entry.queries()
