@@ -5,13 +5,14 @@
    forms or reader comments go; block elements end a line; references are
    decoded and white space in a line becomes one space.
 2. Every line counts by its length, less link text where links are half of it
-   or more. If the page marks an article, lines outside it count nothing and
-   links inside it count in full.
+   or more. If the page marks an article and that holds at least half of this
+   text, lines outside it count nothing and links inside it count in full; a
+   smaller one (a teaser card, a comment) is text like any other.
 3. Lengths are summed over sliding windows of ``LINES`` lines. The text surges
    where a window's sum leaves zero and dives where it is back at zero; stretches
    between the two are kept if their highest window reaches ``LEAST``
    characters, or the page's highest if that is less. In a marked article every
-   stretch is kept.
+   stretch is kept: there the element decides, not the sums.
 
 A page is parsed by one task in one pass, linear in its length; there is no
 shuffle.
@@ -129,9 +130,11 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str) -> str:
     """The main text: its lines joined by blank lines."""
     lines = lines_of(page)
-    marked = any(inside for _, _, inside in lines)
-    size = [len(t) if inside else 0 if marked or 2 * link >= len(t) else len(t) - link
-            for t, link, inside in lines]
+    size = [0 if 2 * link >= len(t) else len(t) - link for t, link, _ in lines]
+    within = sum(n for n, (_, _, inside) in zip(size, lines) if inside)
+    marked = any(inside for _, _, inside in lines) and 2 * within >= sum(size)
+    if marked:
+        size = [len(t) if inside else 0 for t, _, inside in lines]
     total = [0]
     for n in size:
         total.append(total[-1] + n)

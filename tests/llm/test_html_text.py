@@ -40,6 +40,22 @@ def test_without_marks_the_long_stretch_between_surge_and_dive_stays():
     assert h.main_text(page) == f"{BODY}\n\ns\n\n{BODY}"
 
 
+CARD = "<article><h3>Other story</h3><p>A teaser.</p></article>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<div id=content><p>{BODY}</p><p>Second.</p></div>" + "<p><a href=/>link</a></p>" * 3 + CARD,
+    CARD + "<p><a href=/>link</a></p>" * 3 + f"<div id=content><p>{BODY}</p><p>Second.</p></div>",
+])
+def test_a_small_article_beside_a_body_in_a_div_does_not_win(page):
+    assert h.main_text(page) == f"{BODY}\n\nSecond."
+
+
+def test_an_article_with_most_of_the_text_decides():
+    assert h.main_text(f"<p>Beside it, some words.</p><article><p>{BODY}</p><p><a href=/>link</a></p></article><p>after</p>") == (
+        f"{BODY}\n\nlink")
+
+
 def test_long_and_hostile_pages_are_linear():
     assert len(h.main_text("<article>" + "<p>word " * 100_000)) == 6 * 100_000 - 2
     assert h.main_text("<div class='a' " * 3000) is not None
