@@ -19,7 +19,7 @@ shuffle.
 
 Defined cases: null html is empty; pages without text give the empty string;
 an element that is never closed ends with the body (a dropped one also where an
-article begins); ids and urls are passed on as they are, nulls and repeats
+article begins; one that is closed goes whole, articles in it included); ids and urls are passed on as they are, nulls and repeats
 included; an empty table gives an empty table; further columns are left alone.
 """
 
@@ -45,11 +45,15 @@ _DROPPED = frozenset("nav footer aside form button select dialog menu head objec
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _MARKED = frozenset(("article", "main"))
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
-# Words of classes and ids that name something beside the article.
-_BESIDE = re.compile(r"""(?:^|[\s_-])(?:ads?|advert(?:s|isement|isements|ising)?|sponsor(?:ed|s)?|promo(?:s|tion)?|banner
+# Words that name something beside the article where a class or id is one, begins or ends with one ...
+_WORDS = r"""(?:ads?|advert(?:s|isement|isements|ising)?|sponsor(?:ed|s)?|promo(?:s|tion)?|banner
 |cookies?|consent|gdpr|notices?|popup|modal|overlay|alert|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side-bar|aside
 |footer|header|masthead|topbar|toolbar|comments?|commentlist|disqus|replies|respond|related|recommended|share|sharing
-|social|newsletter|subscribe|signup|login|search|widget|pagination|pager|skip)(?=$|[\s_-])""", re.I | re.X)
+|social|newsletter|subscribe|signup|login|search|widget|pagination|pager|skip)"""
+_BESIDE = re.compile(rf"{_WORDS}(?:[_-].*)?|.*[_-]{_WORDS}", re.I | re.X | re.S)
+# ... unless it says what a wrapper has, what an article is filed under, or names the article's own head.
+_WITHIN = re.compile(r"""(?:.*[_-])?(?:has|no|with|without)[_-].*|(?:category|tag|type|status|format)-.*
+|(?:entry|article|post)[_-](?:header|masthead).*""", re.I | re.X | re.S)
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)
 |<(?P<raw>script|style|noscript|template|textarea|title|svg|math)\b[^>]*+>.*?(?:</(?P=raw)\b[^>]*>|\Z)
 |<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>
@@ -61,7 +65,7 @@ def _beside(tag: str, rest: str, in_article: bool) -> bool:
     """Whether an element is something beside the article."""
     if tag in _DROPPED or tag == "header" and not in_article:
         return True
-    if not rest or tag in ("body", "html", "main", "article"):
+    if not rest or tag in ("body", "html", "main"):
         return False
     for m in _NAMED.finditer(rest):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -69,19 +73,61 @@ def _beside(tag: str, rest: str, in_article: bool) -> bool:
             return True
         if name == "role" and value.lower() in _ROLES:
             return True
-        if name in ("class", "id") and _BESIDE.search(value):
+        if name in ("class", "id") and any(_BESIDE.fullmatch(v) and not _WITHIN.fullmatch(v) for v in value.split()):
             return True
     return False
 
 
+def _ends(tokens: list[re.Match]) -> tuple[dict[int, int], dict[str, int]]:
+    """The token that ends each element, by the token that begins it; the first element left open of each name.
+
+    A paragraph also ends where a block begins or ends, an item at the next one of its list and with the list,
+    a list with the block around it.
+    """
+    found: dict[int, int] = {}
+    begun: dict[str, list[int]] = {}
+    items: list[list[int]] = [[]]  # the open items of each open list
+    lists: list[int] = [-1]
+    for k, m in enumerate(tokens):
+        if m["tag"] is None:
+            continue
+        tag, end = m["tag"].lower(), bool(m["end"])
+        if tag in _BLOCKS and (tag != "p" or not end):
+            for p in begun.pop("p", ()):
+                found[p] = k
+        if tag in ("ul", "ol", "menu"):
+            if not end:
+                items.append([]), lists.append(k)
+            elif len(items) > 1:
+                lists.pop()
+                for i in items.pop():
+                    found[i] = k
+        own = items[-1] if tag == "li" else begun.setdefault(tag, [])
+        if end:
+            if own:
+                first = own.pop()
+                found[first] = k
+                while tag in _BLOCKS and tag != "p" and lists[-1] > first:
+                    lists.pop()
+                    for i in items.pop():
+                        found[i] = k
+        elif tag not in _VOID and not m["rest"].endswith("/"):
+            if tag == "li" and own:
+                found[own.pop()] = k
+            own.append(k)
+    return found, {tag: those[0] for tag, those in begun.items() if those}
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """The page's lines: (text, characters of links in it, inside an article)."""
     out: list[tuple[str, int, bool]] = []
     runs: list[str] = []
     linked: list[str] = []
     marked, links = 0, 0
-    drop, depth = "", 0  # the element that is being dropped, and how deep in others of its name
+    drop, stop, closed = "", None, False  # the element that is being dropped, the token that ends it
     at = 0
+    tokens = [*_TOKEN.finditer(page)]
+    ends, left_open = _ends(tokens)
 
     def close() -> None:
         text = " ".join("".join(runs).split())
@@ -96,28 +142,29 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             if links:
                 linked.append(text)
 
-    for m in _TOKEN.finditer(page):
+    for k, m in enumerate(tokens):
         say(page[at:m.start()])
         at = m.end()
         if m["tag"] is None:
             continue
         tag, end, rest = m["tag"].lower(), bool(m["end"]), m["rest"]
         if drop:
-            over = (tag == drop and end and depth == 1) or (end and tag == "body") or (
-                not end and (tag in _MARKED and drop not in _MARKED or drop in ("p", "li") and tag in _BLOCKS))
-            if tag == drop and not rest.endswith("/"):
-                depth += -1 if end else 1
+            # Only what is never closed, or by an end tag that may be another's, ends where an article begins.
+            over = k == stop or end and tag == "body" or not end and (
+                not closed and tag in _MARKED and drop not in _MARKED
+                or stop is None and drop == "li" and tag in _BLOCKS)
             if not over:
                 continue
-            drop, depth = "", 0
-            if end:
+            own, drop, stop = end and tag == drop, "", None
+            if own:
                 continue
         if tag in _BLOCKS or tag == "body":
             close()
         elif tag in ("br", "td", "th"):
             say(" ")
         if not end and tag not in _VOID and not rest.endswith("/") and _beside(tag, rest, marked > 0):
-            drop, depth = tag, 1
+            drop, stop = tag, ends.get(k)
+            closed = stop is not None and left_open.get(tag, k) >= k
         elif tag in _MARKED:
             marked = max(0, marked + (-1 if end else 1))
         elif tag == "a":
@@ -147,7 +194,9 @@ def main_text(page: str) -> str:
         while i < len(block) and block[i] > 0:
             i += 1
         if i > surge and max(block[surge:i]) >= least:
-            kept += [t for (t, _, _), n in zip(lines[surge:i], size[surge:i]) if n > 0]
+            # Windows reach over what is before the stretch; lines within it stay, links or not.
+            full = [k for k in range(surge, i) if size[k] > 0]
+            kept += [t for t, _, inside in lines[full[0]:full[-1] + 1] if inside or not marked]
         i += 1
     return "\n\n".join(kept)
 

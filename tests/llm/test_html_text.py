@@ -56,6 +56,26 @@ def test_an_article_with_most_of_the_text_decides():
         f"{BODY}\n\nlink")
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<article><p>x</p></article><div class=comments><article class=comment><p>c</p></article></div>", "x"),
+    ("<article><p>x</p></article><article class='comment even'><p>c</p></article>", "x"),
+    ("<article class='post category-social has-sidebar'><p>x</p></article><aside><article>card</article></aside>", "x"),
+    ("<article><p>x</p><ul><li class=comment><p>c</p><p>d</p></li><li>y</ul></article>", "x\n\ny"),
+    ("<article><ul><li class=ad>c<li>y<li class=ad>d</ul><p>x</p></article>", "y\n\nx"),
+    ("<article><div><p class=ad>c</div>t<p class=ad>d<p>x</article>", "t\n\nx"),
+    ("<nav><ul><li>never closed<article><nav>n</nav><p>x</p></article>", "x"),
+    ("<article><header class=entry-header><h1>T</h1></header><div class=article-header>S</div><p>x</p></article>", "T\n\nS\n\nx"),
+    ("<div id=page><div class=ad>never closed<article><p>x</p></article></div>", "x"),
+    ("<article><div><ul><li class=ad>c</div><p>x</p><ul><li>y</ul><li class=ad>d<p>z</article>", "x\n\ny\n\nz"),
+    ("<div class='page has-sidebar'><article><p>x</p></article></div>", "x"),
+    (f"<div class='no-sidebar'><p>{BODY}</p></div><div class='site-footer'>f</div><div class=sidebar-left>s</div>", BODY),
+    (f"<p>{BODY}</p><p><a href=/>a linked line</a></p><p>{BODY}</p><p><a href=/>after</a></p>",
+     f"{BODY}\n\na linked line\n\n{BODY}"),
+])
+def test_what_goes_and_what_stays(page, want):
+    assert h.main_text(page) == want
+
+
 def test_long_and_hostile_pages_are_linear():
     assert len(h.main_text("<article>" + "<p>word " * 100_000)) == 6 * 100_000 - 2
     assert h.main_text("<div class='a' " * 3000) is not None
