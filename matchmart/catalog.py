@@ -956,7 +956,7 @@ def q_radiant_win_incremental(spark, d):
 
 @register("json_id_list", "SELECT o_orderkey AS match_id FROM orders")
 def q_json_id_list(spark, d):
-    """Save ids as JSON arrays (one per partition), load them back as rows."""
+    """Save ids as JSON arrays (an id and a line each), load them back as rows."""
     path = scratch_path(spark, "id-list")
     ids = table(spark, d, "orders").select(F.col("o_orderkey").alias("match_id"))
     files.save_id_list(ids, path)

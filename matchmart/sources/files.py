@@ -12,29 +12,25 @@ from matchmart.operators.load import table_exists
 # --------------------------------------------------------------------------- id lists
 
 def save_id_list(ids: DataFrame, path: str, column: str | None = None) -> None:
-    """Write ids as JSON arrays, one array file per input partition (overwrite).
+    """Write ids as JSON arrays, one id and one line each (overwrite).
 
-    An id list is never gathered into one document: each partition's ids are
-    combined map-side into one array row (``collect_list`` keyed by the
-    partition id), so a file holds at most one partition's worth of ids.
+    Several arrays in a row are one list to ``load_id_list``. Nothing is gathered,
+    so no row grows with its partition. Null ids are left out.
     """
-    col = column or ids.columns[0]
-    per_part = (ids.select(F.col(col).alias("id"), F.spark_partition_id().alias("_p"))
-                .groupBy("_p").agg(F.to_json(F.collect_list("id")).alias("value")))
-    per_part.select("value").write.mode("overwrite").text(path)
+    col = F.col(column or ids.columns[0])
+    lines = ids.where(col.isNotNull()).select(F.to_json(F.array(col)).alias("value"))
+    lines.write.mode("overwrite").text(path)
 
 
 def load_id_list(spark: SparkSession, path: str, column: str = "match_id") -> DataFrame:
     """Read JSON array file(s) of ids as rows; a missing path gives no rows."""
     if not table_exists(spark, path):
         return spark.createDataFrame([], T.StructType([T.StructField(column, T.LongType())]))
-    docs = spark.read.text(path, wholetext=True)
-    # A file may hold one (indented) array or several arrays in a row; ids are
-    # plain numbers, so "] [" only occurs between arrays: wrap them in one.
-    joined = F.regexp_replace(F.trim(F.col("value")), r"\]\s*\[", "],[")
-    nested = F.from_json(F.concat(F.lit("["), joined, F.lit("]")),
-                         T.ArrayType(T.ArrayType(T.LongType())))
-    return docs.select(F.explode(F.flatten(nested)).alias(column))
+    # A file may hold one (indented) array or several arrays in a row; ids are plain
+    # numbers, so commas, brackets and white space part them, whatever the lines.
+    pieces = spark.read.text(path, lineSep=",")
+    ids = pieces.select(F.explode(F.split("value", r"[\[\]\s]+")).alias("id")).where("id <> ''")
+    return ids.select(F.when(F.col("id") != "null", F.col("id").cast("long")).alias(column))
 
 
 # --------------------------------------------------------------------------- object lists

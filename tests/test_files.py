@@ -24,6 +24,18 @@ def test_id_list_reads_single_indented_file(spark, tmp_dir):
     assert sorted(r.match_id for r in files.load_id_list(spark, path).collect()) == [5, 6, 7]
 
 
+def test_id_list_rows_do_not_grow_with_the_partition(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "ids")
+    files.save_id_list(spark.range(0, 50_000, numPartitions=1).toDF("match_id"), path)
+    lines = spark.read.text(path)
+    assert lines.selectExpr("max(length(value))").first()[0] < 10 and lines.count() == 50_000
+    assert sorted(r.match_id for r in files.load_id_list(spark, path).collect()) == [*range(50_000)]
+    with open(os.path.join(tmp_dir, "rows.json"), "w") as f:
+        f.write("[1, 2]\n[ ]\n[-3,\n4] [null]\n[]")
+    got = files.load_id_list(spark, os.path.join(tmp_dir, "rows.json")).collect()
+    assert sorted(r.match_id or 0 for r in got) == [-3, 0, 1, 2, 4]
+
+
 def test_json_array_and_map_rows(spark):
     arr = spark.createDataFrame([(json.dumps([{"id": 1, "localized_name": "A",
                                                "roles": ["Carry"]}, {"id": 2}]),)], "value string")
