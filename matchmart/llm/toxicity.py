@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import col, load, text_of
 
-T, STRIDE = 32, 24
+T, STRIDE = 32, 16
 #: sizes of the hashed embedding tables, of a word's two parts, of a GRU, of the attention
 WORD_ROWS, GRAM_ROWS = 1 << 15, 1 << 16
 DW = DC = H = A = 8

@@ -92,3 +92,10 @@ def test_odd_tables(spark):
     extra = docs.withColumns({"score": docs.doc_id, "id": docs.text})
     assert tox.clean(extra, net).columns == extra.columns and tox.clean(extra, net).count() == 4
     assert tox.scores(docs_frame(spark, []), net).count() == 0
+
+
+def test_a_short_passage_lies_whole_in_a_window_wherever_it_is():
+    """Half a window of words, at every place of a text."""
+    text, first, words = tox.window_table(np.array([0, 200]))
+    for at in range(200 - tox.T // 2 + 1):
+        assert ((first <= at) & (at + tox.T // 2 <= first + words)).any()
