@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,5 +62,23 @@ def text_of(df: DataFrame, name: str = "text") -> Column:
     return F.coalesce(col(df, name), F.lit(""))
 
 
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a UTF-8 text, in lists that cover about ``size`` bytes each.
+
+    bytes.split knows exactly the white space U+0020, U+0009 to U+000D.
+    """
+    start = 0
+    while start < len(data):
+        gap = _GAP.search(data, start + size)
+        end = gap.start() if gap else len(data)
+        words = data[start:end].split()
+        if words:
+            yield words
+        start = end
+
+
 def unique_id() -> str:
     return uuid.uuid4().hex[:12]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, html_text, minhash, mixing, packing, secrets, suffix_dedup, toxicity, weighted_sampling
+from . import chat, exact_dedup, html_text, minhash, mixing, packing, secrets, simhash, suffix_dedup, toxicity, weighted_sampling
 
 QUERIES = {
     "op1_pack": packing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_format": chat.query,
     "op9_secret_scan": secrets.query,
     "op10_mix_sources": mixing.query,
+    "op11_simhash_golay": simhash.query,
 }
 
 #: only where DuckDB can say the same over whole tables
