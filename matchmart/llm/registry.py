@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, html_text, minhash, mixing, packing, secrets, simhash, suffix_dedup, toxicity, weighted_sampling
+from . import (chat, exact_dedup, html_text, minhash, mixing, packing, repair, secrets, simhash, suffix_dedup, toxicity,
+               weighted_sampling)
 
 QUERIES = {
     "op1_pack": packing.query,
@@ -16,6 +17,7 @@ QUERIES = {
     "op9_secret_scan": secrets.query,
     "op10_mix_sources": mixing.query,
     "op11_simhash_golay": simhash.query,
+    "op12_repair_chats": repair.query,
 }
 
 #: only where DuckDB can say the same over whole tables
