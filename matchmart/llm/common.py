@@ -65,20 +65,23 @@ def text_of(df: DataFrame, name: str = "text") -> Column:
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
-    """The words of a UTF-8 text, in lists that cover about ``size`` bytes each.
-
-    bytes.split knows exactly the white space U+0020, U+0009 to U+000D.
-    """
+def byte_blocks(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A UTF-8 text in blocks of about ``size`` bytes, cut before white space."""
     start = 0
     while start < len(data):
         gap = _GAP.search(data, start + size)
         end = gap.start() if gap else len(data)
-        words = data[start:end].split()
-        if words:
-            yield words
+        yield data[start:end]
         start = end
 
 
+def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a UTF-8 text, a list for each block that has any.
+
+    bytes.split knows exactly the white space U+0020, U+0009 to U+000D.
+    """
+    return filter(None, map(bytes.split, byte_blocks(data, size)))
+
+
 def unique_id() -> str:
     return uuid.uuid4().hex[:12]

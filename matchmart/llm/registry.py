@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (chat, exact_dedup, html_text, minhash, mixing, packing, repair, secrets, simhash, suffix_dedup, toxicity,
-               weighted_sampling)
+from . import (chat, exact_dedup, html_text, minhash, mixing, packing, phrases, repair, secrets, simhash, suffix_dedup,
+               toxicity, weighted_sampling)
 
 QUERIES = {
     "op1_pack": packing.query,
@@ -18,10 +18,12 @@ QUERIES = {
     "op10_mix_sources": mixing.query,
     "op11_simhash_golay": simhash.query,
     "op12_repair_chats": repair.query,
+    "op13_phrases": phrases.query,
 }
 
 #: only where DuckDB can say the same over whole tables
 ORACLE = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
+    "op13_phrases": phrases.ORACLE,
 }
