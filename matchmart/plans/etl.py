@@ -28,7 +28,9 @@ from matchmart.operators.reshape import (
 )
 from matchmart.schemas import KEYS  # noqa: F401  (re-exported)
 from matchmart.session import scratch_path
-from matchmart.sources.jsonl import dedup_batch, explode_players, parse_lines, project_matches
+from matchmart.sources.jsonl import (
+    dedup_batch, explode_players, parse_lines, project_matches, raw_documents,
+)
 from matchmart.sources.jsonl import rejects as reject_rows
 
 LOAD_ORDER = ("players_stat", "players_items", "players", "matches")
@@ -61,14 +63,18 @@ def load_batch(spark: SparkSession, lines: DataFrame, root: str,
 
     ``lines`` has a ``value`` column (and optionally ``source_file``).
     """
-    parsed = parse_lines(lines)
     staging = staging or scratch_path(spark, "staging")
+    # The landing files are read once: lines with their key or reason, rejects apart.
+    parsed = parse_lines(lines).drop("doc")
+    (parsed.withColumn("rejected", F.col("reject").isNotNull())
+     .write.mode("overwrite").partitionBy("rejected").parquet(f"{staging}/lines"))
+    parsed = spark.read.schema(parsed.schema.add("rejected", "boolean")).parquet(f"{staging}/lines")
     # A known match is complete (matches are loaded last), so a second document of it
     # is skipped as a whole and adds no players.
-    (dedup_batch(parsed, known_match_keys(spark, root)).select("match_key", "doc")
+    (raw_documents(dedup_batch(parsed.where("NOT rejected"), known_match_keys(spark, root)))
      .write.mode("overwrite").parquet(f"{staging}/docs"))
     # insert-ignore here too: a retried batch must not list its rejects twice
-    insert_ignore(spark, reject_rows(parsed), f"{root.rstrip('/')}/_rejects",
+    insert_ignore(spark, reject_rows(parsed.where("rejected")), f"{root.rstrip('/')}/_rejects",
                   ["source_file", "value", "reject"]).collect()
     docs = spark.read.parquet(f"{staging}/docs")
     tables = build_tables(docs, staging)

@@ -8,6 +8,13 @@ object and a missing, NULL or non-integer ``match_id`` are dropped (and kept in
 a rejects frame for the quality report); strict mode fails on a bad line
 instead. Scalars are read as text and cast, and ``lost_values`` reports what a
 cast could not take.
+
+Each line is read for its key and validity once (no value is built but the id), and
+for its fields once, with a schema of only the fields that are asked for, after
+duplicates are gone. A parsed value that several columns use comes out of a
+one-element ``inline``, which the optimizer does not merge into them; merged, each
+column would parse the line again. Players are exploded as text and typed as plain
+columns, in generated code.
 """
 
 from __future__ import annotations
@@ -17,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchmart.operators.dedup import first_per_key
-from matchmart.schemas import ITEM_SLOTS, MATCH_COLUMNS, RAW_MATCH, RAW_PLAYER
+from matchmart.schemas import ITEM_SLOTS, MATCH_COLUMNS, PLAYER_WIDE_COLUMNS, RAW_MATCH, RAW_PLAYER
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -39,7 +46,11 @@ def _as_text(t: T.DataType) -> T.DataType:
 
 
 def _typed(x: Column, t: T.DataType) -> Column:
-    """Text to the target type: "1500", 1500 and 1500.0 are one number, true and 1 one flag."""
+    """Text to the target type: "1500", 1500 and 1500.0 are one number, true and 1 one flag.
+
+    The plain cast comes first; white space, decimals and flags are looked at only
+    where it has no value.
+    """
     if isinstance(t, T.StructType):
         return F.when(x.isNotNull(), F.struct(*[_typed(x[f.name], f.dataType).alias(f.name) for f in t.fields]))
     if isinstance(t, T.ArrayType):
@@ -49,10 +60,11 @@ def _typed(x: Column, t: T.DataType) -> Column:
     word = F.lower(F.regexp_replace(x, _EDGE_SPACE, ""))
     number = word.try_cast("decimal(38,10)")
     if isinstance(t, T.BooleanType):
-        return (F.when((word == "true") | (number == 1), F.lit(True))
+        return (F.when(x.isNull(), F.lit(None)).when(x == "true", F.lit(True)).when(x == "false", F.lit(False))
+                .when((word == "true") | (number == 1), F.lit(True))
                 .when((word == "false") | (number == 0), F.lit(False)))
     whole = F.when(number == F.floor(number), number)
-    return F.when(word == "true", 1).when(word == "false", 0).otherwise(whole.try_cast(t))
+    return F.coalesce(x.try_cast(t), F.when(word == "true", 1).when(word == "false", 0).otherwise(whole.try_cast(t)))
 
 
 def _lost(x: Column, t: T.DataType) -> Column:
@@ -72,8 +84,19 @@ def _prefixed(name: str):
     return lambda path: F.concat(F.lit(name), path)
 
 
-def _raw_doc(text: Column) -> Column:
-    return F.from_json(text, _as_text(RAW_MATCH))
+def _trimmed(line: Column) -> Column:
+    return (F.when(line.startswith("{") & line.endswith("}"), line)
+            .otherwise(F.regexp_replace(line, _EDGE_SPACE, "")))
+
+
+def _raw_doc(line: Column, schema: T.StructType = RAW_MATCH) -> Column:
+    """The line's fields as text."""
+    return F.from_json(_trimmed(line), _as_text(schema))
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once, however often they are used."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
 def parse_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
@@ -84,29 +107,25 @@ def parse_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
     fraction or a boolean is no id). Strict mode raises on a line that is not one
     JSON object; blank lines are skipped, a missing or odd id is NULL there.
     """
-    text = F.regexp_replace("value", _EDGE_SPACE, "")
-    blank = text == ""
+    text = _trimmed(F.col("value"))
     # In brackets the line is an array: of one element if nothing follows the object.
-    parts = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
-    parsable = F.coalesce(F.size(parts) == 1, F.lit(False))
-    is_obj = text.startswith("{")
-    good = is_obj & parsable
+    head = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<struct<match_id: string>>")
+    kind = F.when(text == "", "blank").when(~text.startswith("{"), "not_an_object")
+    once = _once(lines, _kind=kind, _head=head)
+    good = F.col("_kind").isNull() & F.coalesce(F.size("_head") == 1, F.lit(False))
     fail = F.raise_error(F.concat(F.lit("not one JSON object: "), F.col("value")))
-    doc = F.when(good, _raw_doc(text))
-    key = F.when(~F.lower("_raw.match_id").isin("true", "false"),
-                 _typed(F.col("_raw.match_id"), T.LongType()))
+    ident = F.when(good, F.col("_head")[0]["match_id"])
+    key = F.when(~F.lower(ident).isin("true", "false"), _typed(ident, T.LongType()))
+    doc = F.when(good, _typed(_raw_doc(F.col("value")), RAW_MATCH))
     if strict:
-        doc = doc.otherwise(fail.cast(_as_text(RAW_MATCH)))
+        doc = doc.otherwise(fail.cast(RAW_MATCH))
         reject = F.when(~good, fail.cast("string"))
-        lines = lines.where(~blank)
+        once = once.where(~F.coalesce(F.col("_kind") == "blank", F.lit(False)))
     else:
-        reject = (F.when(blank, F.lit("blank"))
-                  .when(~is_obj, F.lit("not_an_object"))
-                  .when(F.col("_raw.match_id").isNull(), F.lit("unparsable_or_no_match_id"))
-                  .when(F.col("match_key").isNull(), F.lit("bad_match_id")))
-    return (lines.withColumn("_raw", doc).withColumn("match_key", key)
-            .withColumn("reject", reject)
-            .withColumn("doc", _typed(F.col("_raw"), RAW_MATCH)).drop("_raw"))
+        reject = (F.when(F.col("_kind").isNotNull(), F.col("_kind"))
+                  .when(ident.isNull(), F.lit("unparsable_or_no_match_id"))
+                  .when(key.isNull(), F.lit("bad_match_id")))
+    return once.select(*lines.columns, key.alias("match_key"), reject.alias("reject"), doc.alias("doc"))
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
@@ -122,49 +141,68 @@ def rejects(parsed: DataFrame) -> DataFrame:
 
 def lost_values(parsed: DataFrame) -> DataFrame:
     """Quality report: accepted lines' fields that hold text of another type, and how many."""
-    raw = _raw_doc(F.regexp_replace("value", _EDGE_SPACE, ""))
-    return (accepted(parsed).select(F.explode(_lost(raw, RAW_MATCH)).alias("field"))
+    raw = _once(accepted(parsed).select("value"), raw=F.struct(_raw_doc(F.col("value")).alias("doc")))
+    return (raw.select(F.explode(_lost(F.col("raw.doc"), RAW_MATCH)).alias("field"))
             .groupBy("field").agg(F.count(F.lit(1)).alias("values")))
 
 
 def dedup_batch(parsed: DataFrame, known_keys: DataFrame | None = None) -> DataFrame:
-    """Accepted documents, one per match id, minus ids already in the warehouse.
+    """Accepted lines, one per match id, minus ids already in the warehouse.
 
     "First" within the batch is the smallest (source file, line text): a
     total order that does not depend on how the input was split. Only these two
-    enter the aggregate; the documents are parsed from what it keeps.
+    enter the aggregate; ``match_key``, ``source_file``, ``value`` and the typed ``doc``
+    come out, and the documents are parsed from what it keeps.
     """
     good = accepted(parsed)
     if "source_file" not in good.columns:
         good = good.withColumn("source_file", F.lit(""))
-    one = first_per_key(good.select("match_key", "source_file", "value"),
-                        ["match_key"], ["source_file", "value"])
+    good = good.select("match_key", "source_file", "value")
     if known_keys is not None:
         known = known_keys.select(F.col(known_keys.columns[0]).alias("match_key"))
-        one = one.join(known, "match_key", "left_anti")
-    raw = _raw_doc(F.regexp_replace("value", _EDGE_SPACE, ""))
-    return one.withColumn("_raw", raw).withColumn("doc", _typed(F.col("_raw"), RAW_MATCH)).drop("_raw")
+        good = good.join(known, "match_key", "left_anti")
+    one = first_per_key(good, ["match_key"], ["source_file", "value"])
+    return one.withColumn("doc", _typed(_raw_doc(F.col("value")), RAW_MATCH))
+
+
+def raw_documents(docs: DataFrame) -> DataFrame:
+    """``match_key`` and ``raw`` (all fields as text): the form that is written between stages."""
+    return docs.select("match_key", _raw_doc(F.col("value")).alias("raw"))
+
+
+def _fields(docs: DataFrame, schema: T.StructType) -> tuple[DataFrame, bool]:
+    """``match_key`` and the fields of ``schema``, and whether they are text still.
+
+    Documents come as lines (parsed here, for these fields alone), as written ``raw``
+    structs or as typed ones.
+    """
+    names = schema.fieldNames()
+    if "raw" in docs.columns:
+        return docs.select("match_key", *[F.col("raw")[n].alias(n) for n in names]), True
+    if "value" in docs.columns:
+        once = _once(docs.select("match_key", "value"), _doc=_raw_doc(F.col("value"), schema))
+        return once.select("match_key", *[F.col("_doc")[n].alias(n) for n in names]), True
+    return docs.select("match_key", *[F.col("doc")[n].alias(n) for n in names]), False
 
 
 def project_matches(docs: DataFrame) -> DataFrame:
     """Match-level fields; a missing field is NULL."""
-    return docs.select(
-        F.col("match_key").alias("match_id"),
-        *[F.col(f"doc.{c}").alias(c) for c in MATCH_COLUMNS[1:]],
-    )
+    schema = T.StructType([f for f in RAW_MATCH.fields if f.name in MATCH_COLUMNS[1:]])
+    rows, text = _fields(docs, schema)
+    return rows.select(F.col("match_key").alias("match_id"), *[
+        (_typed(F.col(f.name), f.dataType) if text else F.col(f.name)).alias(f.name) for f in schema.fields])
 
 
 def explode_players(docs: DataFrame) -> DataFrame:
     """One row per player carrying the match key; a missing, NULL or empty list gives no rows."""
-    p = docs.select(F.col("match_key").alias("match_id"), F.explode("doc.players").alias("p"))
+    rows, text = _fields(docs, T.StructType([RAW_MATCH["players"]]))
+    p = rows.select(F.col("match_key").alias("match_id"), F.explode("players").alias("p"))
     cols = [F.col("match_id")]
     for f in RAW_PLAYER.fields:
         name = {"account_id": "steam_id", "isRadiant": "is_radiant"}.get(f.name, f.name)
-        cols.append(F.col(f"p.{f.name}").alias(name))
-    order = ["match_id", "player_slot", "steam_id", "personaname", "assists", "deaths",
-             "denies", "gold_per_min", "hero_id", *ITEM_SLOTS, "kills", "xp_per_min",
-             "is_radiant", "win", "last_hits", "hero_damage", "hero_healing", "tower_damage"]
-    return p.select(*cols).select(*order)
+        value = F.col("p")[f.name]
+        cols.append((_typed(value, f.dataType) if text else value).alias(name))
+    return p.select(*cols).select(*PLAYER_WIDE_COLUMNS)
 
 
 def read_raw_matches(spark: SparkSession, path: str, known_keys: DataFrame | None = None,
