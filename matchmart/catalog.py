@@ -36,7 +36,7 @@ from matchmart.operators.reshape import (
 )
 from matchmart.plans import etl, marts, publish
 from matchmart.schemas import HERO_LIST_ITEM, KEYS
-from matchmart.session import scratch_path
+from matchmart.session import scratch_path, written
 from matchmart.sources import files, jsonl
 from matchmart.sources.roles import LINE_ORDER, table
 from matchmart.sources.roles import stored_warehouse as warehouse
@@ -762,12 +762,11 @@ SELECT match_id, is_radiant, team_gpm,
        CAST(NTILE(10) OVER (ORDER BY team_gpm, match_id, is_radiant) AS BIGINT) AS gpm_decile
 FROM ({_TEAM_SQL}) t"""))
 def q_ntile_global(spark, d):
-    """Global NTILE(10) over team rows (range-partitioned, no single partition)."""
+    """Global NTILE(10) over team rows (by cut values, no sort of the rows)."""
     w = warehouse(spark, d)
     t = marts.team_stats(w.matches, w.players, w.players_stat).select(
         "match_id", "is_radiant", "team_gpm")
-    order = [F.col(c).asc_nulls_last() for c in ("team_gpm", "match_id", "is_radiant")]
-    return ntile(t, 10, order, "gpm_decile")
+    return ntile(written(t, "team-rows"), 10, ["team_gpm", "match_id", "is_radiant"], "gpm_decile")
 
 
 @register("ntile_distributed", W(["players_stat"], """
@@ -777,8 +776,7 @@ FROM players_stat"""))
 def q_ntile_distributed(spark, d):
     """R2: NTILE(7) over every stat row; 7 tiles leave a remainder to place."""
     s = warehouse(spark, d).players_stat.select("match_id", "player_slot", "gold_per_min")
-    order = [F.col(c).asc_nulls_last() for c in ("gold_per_min", "match_id", "player_slot")]
-    return ntile(s, 7, order, "gpm_tile")
+    return ntile(s, 7, ["gold_per_min", "match_id", "player_slot"], "gpm_tile")
 
 
 @register("median_histogram", W(["matches"], f"""

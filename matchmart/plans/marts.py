@@ -9,8 +9,8 @@ numbers, bigint for counts).
 
 Scale notes: all groupings are few and possibly hot (``win`` has three
 groups), so every aggregate is map-side combinable and medians come from
-value histograms (``operators.quantiles``); the global NTILE is range
-partitioned (``operators.ntile``); the hero dimension is broadcast by AQE if
+value histograms (``operators.quantiles``); the global NTILE goes by cut
+values (``operators.ntile``); the hero dimension is broadcast by AQE if
 it is small at run time; windows without PARTITION BY only ever run over one row per
 hero (and, inside NTILE, over one row per partition).
 """
@@ -29,6 +29,7 @@ from matchmart.functions.numeric import (
 from matchmart.operators.joins import join_dim
 from matchmart.operators.ntile import ntile
 from matchmart.operators.quantiles import metric_stats, scalar_quantile
+from matchmart.session import written
 
 MART_NAMES = ("radiant_win_by_duration", "regions_stat", "win_factors", "heroes_stat",
               "gmp_winrate", "unknown_players")
@@ -262,9 +263,9 @@ def gmp_winrate(matches: DataFrame, players: DataFrame, players_stat: DataFrame,
 
 
 def gmp_winrate_from_teams(t: DataFrame, partitions: int | None = None) -> DataFrame:
-    # ascending with NULLs last, as in PostgreSQL (Spark's default puts them first)
-    order = [F.col(c).asc_nulls_last() for c in ("team_gpm", "match_id", "is_radiant")]
-    t = ntile(t, 10, order, "gpm_decile", partitions)
+    # Two narrow rows a match, out of a join of the largest tables: written once, read by
+    # the counts, the ties and the mart.
+    t = ntile(written(t, "team-rows"), 10, ["team_gpm", "match_id", "is_radiant"], "gpm_decile", partitions)
     t = t.withColumn("duration_bin_small", duration_bin_small("duration"))
     n_dur = F.count("duration")
     out = t.groupBy("duration_bin_small", "gpm_decile").agg(

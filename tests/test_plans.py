@@ -2,10 +2,8 @@
 
 import re
 
-from pyspark.sql import functions as F
-
-from matchmart.operators.ntile import ntile
 from matchmart.plans import marts
+from matchmart.sources import jsonl
 from matchmart.sources.roles import stored_warehouse
 
 from conftest import SF_SMALL
@@ -15,14 +13,15 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_ntile_never_moves_the_data_to_one_partition(spark):
-    df = spark.range(0, 2000).selectExpr("id AS k", "id % 13 AS v")
-    out = ntile(df, 10, [F.col("v"), F.col("k")], "t")
-    plan = _plan(out)
-    singles = [m.start() for m in re.finditer("Exchange SinglePartition", plan)]
-    assert len(singles) == 1                      # only the per-partition counts
-    below = plan[singles[0]:].splitlines()[1]
-    assert "HashAggregate(keys=[_pid" in below
+def test_a_line_is_parsed_once_for_its_key_and_once_for_its_fields(spark):
+    lines = spark.createDataFrame([('{"match_id": 1, "players": [{"player_slot": 0}]}',)], "value string")
+    parsed = jsonl.parse_lines(lines)
+    docs = jsonl.dedup_batch(parsed)
+    for df in (jsonl.project_matches(jsonl.accepted(parsed)), jsonl.project_matches(docs), jsonl.explode_players(docs)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 2
+    # a rejects report needs no fields at all
+    assert jsonl.rejects(parsed)._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
 
 
 def test_mart_scans_read_only_used_columns(spark):
