@@ -31,11 +31,11 @@ from matchmart.operators.quantiles import (
     value_histogram,
 )
 from matchmart.operators.reshape import (
-    cast_player_types, clean_players, players_wide_from_tables, rename_keys, split_players,
+    cast_player_types, clean_items, clean_players, players_wide_from_tables, rename_keys, split_players,
     split_stat, unpivot_items,
 )
 from matchmart.plans import etl, marts, publish
-from matchmart.schemas import HERO_LIST_ITEM, KEYS
+from matchmart.schemas import HERO_FRACTIONS, HERO_LIST_ITEM, HERO_NUMBERS, ITEM_MAP_VALUE, KEYS
 from matchmart.session import scratch_path, written
 from matchmart.sources import files, jsonl
 from matchmart.sources.roles import LINE_ORDER, table
@@ -954,7 +954,7 @@ def q_radiant_win_incremental(spark, d):
 
 @register("json_id_list", "SELECT o_orderkey AS match_id FROM orders")
 def q_json_id_list(spark, d):
-    """Save ids as JSON arrays (an id and a line each), load them back as rows."""
+    """Save ids as JSON arrays of bounded length, load them back as rows."""
     path = scratch_path(spark, "id-list")
     ids = table(spark, d, "orders").select(F.col("o_orderkey").alias("match_id"))
     files.save_id_list(ids, path)
@@ -971,26 +971,103 @@ def q_land_raw(spark, d):
     return jsonl.project_matches(jsonl.read_raw_matches(spark, path))
 
 
-@register("json_array_rows", W(["heroes"], "SELECT hero_id, localized_name FROM heroes"))
+def _hero_formulas() -> dict[str, str]:
+    """Each numeric hero field from the nation key, in SQL that both engines read: distinct
+    whole numbers, distinct quarters for fractions, gaps in one field."""
+    out = {}
+    for i, n in enumerate(HERO_NUMBERS):
+        out[n] = (f"CAST(n_nationkey AS DOUBLE) / 4 + {i}" if n in HERO_FRACTIONS
+                  else f"CAST(n_nationkey * {i + 2} + {i} AS BIGINT)")
+    out["turn_rate"] = f"CASE WHEN n_nationkey % 3 <> 0 THEN {out['turn_rate']} END"
+    return out
+
+
+@register("json_array_rows", f"""
+SELECT CAST(n_nationkey AS BIGINT) AS hero_id, n_name AS localized_name,
+       CASE WHEN n_nationkey % 2 = 0 THEN 'Melee' ELSE 'Ranged' END AS attack_type,
+       CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE 'str' END AS primary_attr,
+       CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE 'Carry,' || n_name END AS roles,
+       {", ".join(f"{e} AS {n}" for n, e in _hero_formulas().items())}, n_nationkey % 2 = 1 AS cm_enabled
+FROM nation""")
 def q_json_array_rows(spark, d):
-    """JSON arrays of hero objects (one document per region) → rows."""
+    """JSON arrays of hero objects (one document per region) → rows with all 30 fields."""
     n = table(spark, d, "nation")
-    hero = F.struct(F.col("n_nationkey").cast("bigint").alias("id"),
-                    F.col("n_name").alias("localized_name"))
+    key = F.col("n_nationkey")
+    roles = F.when(key % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("Carry"), F.col("n_name")))
+    hero = F.struct(
+        key.alias("id"), F.col("n_name").alias("localized_name"),
+        F.when(key % 2 == 0, "Melee").otherwise("Ranged").alias("attack_type"),
+        F.when(key % 4 != 0, "str").alias("primary_attr"), roles.alias("roles"),
+        *[F.expr(e).alias(c) for c, e in _hero_formulas().items()], (key % 2 == 1).alias("cm_enabled"))
     docs = n.groupBy("n_regionkey").agg(F.to_json(F.collect_list(hero)).alias("value"))
     rows = files.json_array_rows(docs, HERO_LIST_ITEM)
-    return rename_keys(rows.select("id", "localized_name"), {"id": "hero_id"})
-
-
-@register("json_map_rows", W(["items"], "SELECT item_key, item_id FROM items"))
+    return rename_keys(rows.withColumn("roles", F.array_join("roles", ",")), {"id": "hero_id"})
+
+
+_ITEM_KEY_SQL = "replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS VARCHAR)"
+
+
+def _item_documents(spark, d):
+    """The item dictionary in documents of 50 parts: objects with other keys for other items,
+    mixed types under one key, and nested values."""
+    p = table(spark, d, "part")
+    k = F.col("p_partkey")
+    number = F.when(k % 3 == 0, F.lit("false")).otherwise(k.cast("string"))
+    extra = F.concat_ws(
+        ",", F.concat(F.lit('"mc":'), number), F.concat(F.lit('"hc":"'), number, F.lit('"')),
+        F.when(k % 4 != 0, F.concat(F.lit('"cd":'), (F.col("p_size") / 2).cast("string"))),
+        F.when(k % 5 == 0, F.concat(F.lit('"charges":'), F.col("p_size").cast("string"), F.lit(".0"))),
+        F.when(k % 2 == 0, F.when(k % 4 == 0, '"bkbpierce":" Yes"').otherwise('"bkbpierce":"No "')),
+        F.when(k % 7 == 0, F.lit('"hint":[]')).otherwise(F.concat(F.lit('"hint":["'), F.col("p_type"), F.lit('"]'))),
+        F.when(k % 6 == 1, F.concat(F.lit('"size of box":{"w":'), F.col("p_size").cast("string"), F.lit("}"))))
+    plain = F.to_json(F.struct(k.alias("id"), F.col("p_name").alias("dname"),
+                               F.when(k % 8 != 0, F.floor(F.col("p_retailprice"))).alias("cost"),
+                               F.col("p_brand").alias("brand")))
+    name = F.to_json(F.array(F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), k.cast("string"))))
+    entry = F.concat(F.expr("substring(name, 2, length(name) - 2)"), F.lit(":"),
+                     F.expr("substring(plain, 1, length(plain) - 1)"), F.lit(","), F.col("extra"), F.lit("}"))
+    entries = p.select("p_partkey", name.alias("name"), plain.alias("plain"), extra.alias("extra")).select(
+        F.floor(k / 50).alias("doc"), entry.alias("entry"))
+    listed = F.concat(F.lit("{"), F.array_join(F.collect_list("entry"), ","), F.lit("}"))  # 50 at most
+    return entries.groupBy("doc").agg(listed.alias("value"))
+
+
+@register("json_map_rows", f"""
+SELECT {_ITEM_KEY_SQL} AS item_key, p_partkey AS id, p_name AS dname, p_brand AS brand,
+       CASE WHEN p_partkey % 8 <> 0 THEN CAST(floor(p_retailprice) AS BIGINT) END AS "cost",
+       CASE WHEN p_partkey % 3 = 0 THEN 'false' ELSE CAST(p_partkey AS VARCHAR) END AS mc,
+       CASE WHEN p_partkey % 3 = 0 THEN 'false' ELSE CAST(p_partkey AS VARCHAR) END AS hc,
+       CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_size AS DOUBLE) / 2 END AS cd,
+       CASE WHEN p_partkey % 5 = 0 THEN CAST(p_size AS DOUBLE) END AS charges,
+       CASE WHEN p_partkey % 4 = 0 THEN ' Yes' WHEN p_partkey % 2 = 0 THEN 'No ' END AS bkbpierce,
+       CASE WHEN p_partkey % 7 = 0 THEN '[]' ELSE '["' || p_type || '"]' END AS hint,
+       CASE WHEN p_partkey % 6 = 1 THEN '{{"w":' || CAST(p_size AS VARCHAR) || '}}' END AS size_of_box
+FROM part""")
 def q_json_map_rows(spark, d):
-    """JSON objects keyed by item name → rows with the key as ``item_key``."""
-    it = warehouse(spark, d).items
-    docs = it.select(F.to_json(F.create_map(
-        F.col("item_key"), F.struct(F.col("item_id").alias("id")))).alias("value"))
-    value = T.StructType([T.StructField("id", T.LongType())])
-    rows = files.json_map_rows(docs, value, "item_key")
-    return rows.select("item_key", F.col("id").alias("item_id"))
+    """JSON objects keyed by item name → rows; every key that any item has is a column,
+    its type merged over all items."""
+    rows = files.entry_table(files.entry_rows(_item_documents(spark, d), "item_key"))
+    return (rows.withColumnRenamed("size of box", "size_of_box")
+            .withColumn("cd", F.col("cd").cast("double")).withColumn("charges", F.col("charges").cast("double")))
+
+
+@register("clean_items", f"""
+SELECT {_ITEM_KEY_SQL} AS item_key, p_partkey AS item_id, lower(trim(p_name)) AS dname,
+       CASE WHEN p_partkey % 8 <> 0 THEN CAST(floor(p_retailprice) AS BIGINT) END AS "cost",
+       CASE WHEN p_partkey % 3 <> 0 THEN p_partkey END AS mc,
+       CASE WHEN p_partkey % 3 <> 0 THEN p_partkey END AS hc,
+       CASE WHEN p_partkey % 4 <> 0 AND p_size % 2 = 0 THEN CAST(p_size // 2 AS BIGINT) END AS cd,
+       CASE WHEN p_partkey % 5 = 0 THEN CAST(p_size AS BIGINT) END AS charges,
+       CASE WHEN p_partkey % 4 = 0 THEN true WHEN p_partkey % 2 = 0 THEN false END AS bkbpierce,
+       CASE WHEN p_partkey % 7 <> 0 THEN '["' || lower(p_type) || '"]' END AS hint,
+       CASE WHEN p_partkey % 6 = 1 THEN 'brand="' || p_brand || '";size of box={{"w":' || CAST(p_size AS VARCHAR) || '}}'
+            ELSE 'brand="' || p_brand || '"' END AS other
+FROM part""")
+def q_clean_items(spark, d):
+    """F8: the item dictionary with nullable integers, flags, hints; keys without a column in a map."""
+    rows = clean_items(files.entry_table(files.entry_rows(_item_documents(spark, d), "item_key"), ITEM_MAP_VALUE))
+    kept = F.transform(F.array_sort(F.map_entries("other")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return rows.withColumn("other", F.array_join(kept, ";"))
 
 
 _PLAYERS_CSV_SCHEMA = T.StructType([

@@ -61,17 +61,30 @@ KEYS = {
     "items": ["item_id"],
 }
 
+# The hero list's and the item dictionary's fields: fixed values, the feed's names.
+HERO_NUMBERS = [
+    "base_health", "base_health_regen", "base_mana", "base_mana_regen", "base_armor", "base_mr",
+    "base_attack_min", "base_attack_max", "base_str", "base_agi", "base_int", "str_gain",
+    "agi_gain", "int_gain", "attack_range", "projectile_speed", "attack_rate",
+    "base_attack_time", "attack_point", "move_speed", "turn_rate", "legs", "day_vision",
+    "night_vision",
+]
+HERO_FRACTIONS = {"base_health_regen", "base_mana_regen", "base_armor", "str_gain", "agi_gain", "int_gain",
+                  "attack_rate", "attack_point", "turn_rate"}
+ITEM_NUMBERS = ["cost", "mc", "hc", "cd", "charges"]
+
 HERO_LIST_ITEM = T.StructType([
     T.StructField("id", T.LongType()),
     T.StructField("localized_name", T.StringType()),
     T.StructField("attack_type", T.StringType()),
     T.StructField("primary_attr", T.StringType()),
     T.StructField("roles", T.ArrayType(T.StringType())),
+    *[T.StructField(n, T.DoubleType() if n in HERO_FRACTIONS else T.LongType()) for n in HERO_NUMBERS],
+    T.StructField("cm_enabled", T.BooleanType()),
 ])
 
+#: item fields that get a column; numbers and flags come as text, ``clean_items`` types them
 ITEM_MAP_VALUE = T.StructType([
     T.StructField("id", T.LongType()),
-    T.StructField("dname", T.StringType()),
-    T.StructField("cost", T.StringType()),
-    T.StructField("hint", T.StringType()),
+    *[T.StructField(n, T.StringType()) for n in ["dname", *ITEM_NUMBERS, "bkbpierce", "hint"]],
 ])

@@ -7,19 +7,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchmart.operators.load import table_exists
+from matchmart.sources.jsonl import as_text, typed
 
 
 # --------------------------------------------------------------------------- id lists
 
+#: ids in one line of a saved list
+IDS_A_LINE = 1000
+
+
 def save_id_list(ids: DataFrame, path: str, column: str | None = None) -> None:
-    """Write ids as JSON arrays, one id and one line each (overwrite).
+    """Write ids as JSON arrays of at most ``IDS_A_LINE`` ids, a line each (overwrite).
+
+    Several arrays in a row are one list to ``load_id_list``. An array holds ids of one
+    task, cut at a fixed number, so no line grows with the list. Null ids are left out.
+    """
+    one = ids.select(F.col(column or ids.columns[0]).alias("id")).where("id IS NOT NULL")
+    one = one.withColumn("line", F.floor(F.monotonically_increasing_id() / IDS_A_LINE))
+    lines = one.groupBy("line").agg(F.to_json(F.collect_list("id")).alias("value"))
+    lines.select("value").write.mode("overwrite").text(path)
+
+
+def id_list_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """What the reader sees of JSON arrays of ids: one short ``value`` per comma.
 
-    Several arrays in a row are one list to ``load_id_list``. Nothing is gathered,
-    so no row grows with its partition. Null ids are left out.
+    Neither a file's single line of any length nor its number of lines makes a long row.
     """
-    col = F.col(column or ids.columns[0])
-    lines = ids.where(col.isNotNull()).select(F.to_json(F.array(col)).alias("value"))
-    lines.write.mode("overwrite").text(path)
+    return spark.read.text(path, lineSep=",")
 
 
 def load_id_list(spark: SparkSession, path: str, column: str = "match_id") -> DataFrame:
@@ -28,16 +42,20 @@ def load_id_list(spark: SparkSession, path: str, column: str = "match_id") -> Da
         return spark.createDataFrame([], T.StructType([T.StructField(column, T.LongType())]))
     # A file may hold one (indented) array or several arrays in a row; ids are plain
     # numbers, so commas, brackets and white space part them, whatever the lines.
-    pieces = spark.read.text(path, lineSep=",")
-    ids = pieces.select(F.explode(F.split("value", r"[\[\]\s]+")).alias("id")).where("id <> ''")
+    ids = id_list_pieces(spark, path).select(F.explode(F.split("value", r"[\[\]\s]+")).alias("id")).where("id <> ''")
     return ids.select(F.when(F.col("id") != "null", F.col("id").cast("long")).alias(column))
 
 
 # --------------------------------------------------------------------------- object lists
 
 def json_array_rows(docs: DataFrame, element: T.StructType, text_col: str = "value") -> DataFrame:
-    """Each text value is a JSON array of objects; one output row per object."""
-    return docs.select(F.inline(F.from_json(F.col(text_col), T.ArrayType(element))))
+    """Each text value is a JSON array of objects; one output row per object.
+
+    Scalars are read as text and typed as the match documents' are, so 25, 25.0 and "25" are one
+    number; a field that is missing or has no value of its type is NULL.
+    """
+    rows = docs.select(F.inline(F.from_json(F.col(text_col), T.ArrayType(as_text(element)))))
+    return rows.select(*[typed(F.col(f.name), f.dataType).alias(f.name) for f in element.fields])
 
 
 def json_map_rows(docs: DataFrame, value: T.StructType, key_name: str = "item_key",
@@ -48,6 +66,53 @@ def json_map_rows(docs: DataFrame, value: T.StructType, key_name: str = "item_ke
     return kv.select(key_name, "_v.*")
 
 
+# Objects whose keys are not known beforehand: the item dictionary has other keys for
+# other items, and one key may be a number here and ``false`` there.
+
+def entry_rows(docs: DataFrame, key_name: str = "item_key", text_col: str = "value") -> DataFrame:
+    """One row per entry of each JSON object: the key, and ``object`` (VARIANT), whatever is in it.
+
+    Documents that are not JSON fail the read; NULL documents and empty objects give no rows.
+    """
+    parsed = docs.select(F.parse_json(F.col(text_col)).alias("_doc"))
+    each = docs.sparkSession.tvf.variant_explode(F.col("_doc").outer())
+    return parsed.lateralJoin(each).select(F.col("key").alias(key_name), F.col("value").alias("object"))
+
+
+def entry_types(rows: DataFrame) -> dict[str, str]:
+    """Every key of any row's object with its type over all rows (VARIANT where they differ).
+
+    An aggregate merges the types; a row per distinct key comes to the driver, which names
+    the columns.
+    """
+    each = rows.sparkSession.tvf.variant_explode(F.col("object").outer())
+    fields = rows.lateralJoin(each).select("key", "value")
+    types = fields.groupBy("key").agg(F.schema_of_variant_agg("value").alias("type"))
+    return {r["key"]: r["type"] for r in types.collect()}
+
+
+_SCALARS = ("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN", "DATE", "TIMESTAMP", "DECIMAL")
+
+
+def entry_table(rows: DataFrame, known: T.StructType | None = None, rest: str = "other") -> DataFrame:
+    """Rows with a column per key of their objects.
+
+    Without ``known`` every key that any object has becomes a column (in order of name):
+    scalars of one type keep it, anything else is text (nested values and mixed types as
+    JSON, strings as they are). With ``known`` these fields are columns, typed as stated,
+    and all other keys stay in the map column ``rest`` (key to JSON), so none is lost.
+    """
+    key = [c for c in rows.columns if c != "object"]
+    fields = rows.select(*key, F.col("object").cast("map<string,variant>").alias("_fields"))
+    if known is None:
+        types = entry_types(rows)
+        names = {n: t if t.startswith(_SCALARS) else "STRING" for n, t in sorted(types.items())}
+        return fields.select(*key, *[F.col("_fields")[n].cast(t).alias(n) for n, t in names.items()])
+    found = [typed(F.col("_fields")[f.name].cast("string"), f.dataType).alias(f.name) for f in known.fields]
+    others = F.map_filter("_fields", lambda k, _: ~k.isin(known.fieldNames()))
+    return fields.select(*key, *found, F.transform_values(others, lambda _, v: F.to_json(v)).alias(rest))
+
+
 def read_json_text(spark: SparkSession, path: str) -> DataFrame:
     """Whole files as one text value each (for JSON documents spanning lines)."""
     return spark.read.text(path, wholetext=True)

@@ -36,25 +36,25 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 _EDGE_SPACE = r"(?U)^\s+|\s+$"
 
 
-def _as_text(t: T.DataType) -> T.DataType:
+def as_text(t: T.DataType) -> T.DataType:
     """The same shape with every scalar as text, so that no value is lost while parsing."""
     if isinstance(t, T.StructType):
-        return T.StructType([T.StructField(f.name, _as_text(f.dataType)) for f in t.fields])
+        return T.StructType([T.StructField(f.name, as_text(f.dataType)) for f in t.fields])
     if isinstance(t, T.ArrayType):
-        return T.ArrayType(_as_text(t.elementType))
+        return T.ArrayType(as_text(t.elementType))
     return T.StringType()
 
 
-def _typed(x: Column, t: T.DataType) -> Column:
+def typed(x: Column, t: T.DataType) -> Column:
     """Text to the target type: "1500", 1500 and 1500.0 are one number, true and 1 one flag.
 
     The plain cast comes first; white space, decimals and flags are looked at only
     where it has no value.
     """
     if isinstance(t, T.StructType):
-        return F.when(x.isNotNull(), F.struct(*[_typed(x[f.name], f.dataType).alias(f.name) for f in t.fields]))
+        return F.when(x.isNotNull(), F.struct(*[typed(x[f.name], f.dataType).alias(f.name) for f in t.fields]))
     if isinstance(t, T.ArrayType):
-        return F.transform(x, lambda e: _typed(e, t.elementType))
+        return F.transform(x, lambda e: typed(e, t.elementType))
     if isinstance(t, T.StringType):
         return x
     word = F.lower(F.regexp_replace(x, _EDGE_SPACE, ""))
@@ -63,6 +63,9 @@ def _typed(x: Column, t: T.DataType) -> Column:
         return (F.when(x.isNull(), F.lit(None)).when(x == "true", F.lit(True)).when(x == "false", F.lit(False))
                 .when((word == "true") | (number == 1), F.lit(True))
                 .when((word == "false") | (number == 0), F.lit(False)))
+    if isinstance(t, T.DoubleType):
+        return F.coalesce(x.try_cast(t), F.when(word == "true", 1.0).when(word == "false", 0.0)
+                          .otherwise(word.try_cast(t)))
     whole = F.when(number == F.floor(number), number)
     return F.coalesce(x.try_cast(t), F.when(word == "true", 1).when(word == "false", 0).otherwise(whole.try_cast(t)))
 
@@ -77,7 +80,7 @@ def _lost(x: Column, t: T.DataType) -> Column:
     if isinstance(t, T.ArrayType):
         inner = F.flatten(F.transform(x, lambda e: _lost(e, t.elementType)))
         return F.coalesce(F.transform(inner, lambda e: F.concat(F.lit("[]."), e)), none)
-    return F.when(x.isNotNull() & _typed(x, t).isNull(), F.array(F.lit(""))).otherwise(none)
+    return F.when(x.isNotNull() & typed(x, t).isNull(), F.array(F.lit(""))).otherwise(none)
 
 
 def _prefixed(name: str):
@@ -91,7 +94,7 @@ def _trimmed(line: Column) -> Column:
 
 def _raw_doc(line: Column, schema: T.StructType = RAW_MATCH) -> Column:
     """The line's fields as text."""
-    return F.from_json(_trimmed(line), _as_text(schema))
+    return F.from_json(_trimmed(line), as_text(schema))
 
 
 def _once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -115,8 +118,8 @@ def parse_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
     good = F.col("_kind").isNull() & F.coalesce(F.size("_head") == 1, F.lit(False))
     fail = F.raise_error(F.concat(F.lit("not one JSON object: "), F.col("value")))
     ident = F.when(good, F.col("_head")[0]["match_id"])
-    key = F.when(~F.lower(ident).isin("true", "false"), _typed(ident, T.LongType()))
-    doc = F.when(good, _typed(_raw_doc(F.col("value")), RAW_MATCH))
+    key = F.when(~F.lower(ident).isin("true", "false"), typed(ident, T.LongType()))
+    doc = F.when(good, typed(_raw_doc(F.col("value")), RAW_MATCH))
     if strict:
         doc = doc.otherwise(fail.cast(RAW_MATCH))
         reject = F.when(~good, fail.cast("string"))
@@ -162,7 +165,7 @@ def dedup_batch(parsed: DataFrame, known_keys: DataFrame | None = None) -> DataF
         known = known_keys.select(F.col(known_keys.columns[0]).alias("match_key"))
         good = good.join(known, "match_key", "left_anti")
     one = first_per_key(good, ["match_key"], ["source_file", "value"])
-    return one.withColumn("doc", _typed(_raw_doc(F.col("value")), RAW_MATCH))
+    return one.withColumn("doc", typed(_raw_doc(F.col("value")), RAW_MATCH))
 
 
 def raw_documents(docs: DataFrame) -> DataFrame:
@@ -190,7 +193,7 @@ def project_matches(docs: DataFrame) -> DataFrame:
     schema = T.StructType([f for f in RAW_MATCH.fields if f.name in MATCH_COLUMNS[1:]])
     rows, text = _fields(docs, schema)
     return rows.select(F.col("match_key").alias("match_id"), *[
-        (_typed(F.col(f.name), f.dataType) if text else F.col(f.name)).alias(f.name) for f in schema.fields])
+        (typed(F.col(f.name), f.dataType) if text else F.col(f.name)).alias(f.name) for f in schema.fields])
 
 
 def explode_players(docs: DataFrame) -> DataFrame:
@@ -201,7 +204,7 @@ def explode_players(docs: DataFrame) -> DataFrame:
     for f in RAW_PLAYER.fields:
         name = {"account_id": "steam_id", "isRadiant": "is_radiant"}.get(f.name, f.name)
         value = F.col("p")[f.name]
-        cols.append((_typed(value, f.dataType) if text else value).alias(name))
+        cols.append((typed(value, f.dataType) if text else value).alias(name))
     return p.select(*cols).select(*PLAYER_WIDE_COLUMNS)
 
 

@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import types as T
 
-from matchmart.schemas import HERO_LIST_ITEM
+from matchmart.schemas import HERO_LIST_ITEM, ITEM_MAP_VALUE
 from matchmart.sources import files
 
 
@@ -24,12 +24,20 @@ def test_id_list_reads_single_indented_file(spark, tmp_dir):
     assert sorted(r.match_id for r in files.load_id_list(spark, path).collect()) == [5, 6, 7]
 
 
-def test_id_list_rows_do_not_grow_with_the_partition(spark, tmp_dir):
+def test_no_row_that_the_reader_sees_grows_with_the_list(spark, tmp_dir):
     path = os.path.join(tmp_dir, "ids")
     files.save_id_list(spark.range(0, 50_000, numPartitions=1).toDF("match_id"), path)
-    lines = spark.read.text(path)
-    assert lines.selectExpr("max(length(value))").first()[0] < 10 and lines.count() == 50_000
-    assert sorted(r.match_id for r in files.load_id_list(spark, path).collect()) == [*range(50_000)]
+    one = os.path.join(tmp_dir, "one_line.json")
+    with open(one, "w") as f:
+        json.dump([*range(50_000)], f)
+    for p in (path, one):
+        seen = files.id_list_pieces(spark, p).selectExpr("max(length(value))", "count(*)").first()
+        assert seen[0] < 20 and seen[1] > 49_000
+        assert sorted(r.match_id for r in files.load_id_list(spark, p).collect()) == [*range(50_000)]
+    assert spark.read.text(path).selectExpr("max(length(value))").first()[0] < 8 * files.IDS_A_LINE
+
+
+def test_id_lists_of_any_layout(spark, tmp_dir):
     with open(os.path.join(tmp_dir, "rows.json"), "w") as f:
         f.write("[1, 2]\n[ ]\n[-3,\n4] [null]\n[]")
     got = files.load_id_list(spark, os.path.join(tmp_dir, "rows.json")).collect()
@@ -48,6 +56,38 @@ def test_json_array_and_map_rows(spark):
     assert got == [("blink", 1, "2250"), ("tango", 44, None)]
 
 
+def test_hero_list_has_all_fields_whatever_the_spelling(spark):
+    hero = {"id": 1, "localized_name": "A", "roles": None, "base_health": 120.0, "base_armor": "-1.5",
+            "turn_rate": None, "cm_enabled": 1, "legs": "two", "night_vision": 800, "not a field": 3}
+    df = spark.createDataFrame([(json.dumps([hero, {}]),)], "value string")
+    rows = files.json_array_rows(df, HERO_LIST_ITEM)
+    assert len(rows.columns) == 30
+    r = rows.where("id = 1").first()
+    assert (r.base_health, r.base_armor, r.turn_rate, r.cm_enabled, r.legs, r.night_vision) == (
+        120, -1.5, None, True, None, 800)
+
+
+def test_every_key_of_an_object_map_is_kept(spark):
+    docs = [json.dumps({"blink": {"id": 1, "cost": 2250, "mc": False, "a.b": {"x": [1, None]}, 'q"k': None},
+                        "tango": {"id": 44, "mc": 5, "hint": [], "Id": "x"}}), "{}", None]
+    rows = files.entry_rows(spark.createDataFrame([(d,) for d in docs], "value string"))
+    assert sorted(r.item_key for r in rows.collect()) == ["blink", "tango"]
+    types = files.entry_types(rows)
+    assert types["mc"] == "VARIANT" and types["id"] == types["cost"] == "BIGINT" and types['q"k'] == "VOID"
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        out = {r["item_key"]: r.asDict() for r in files.entry_table(rows).collect()}
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+    assert out["blink"] == {"item_key": "blink", "id": 1, "cost": 2250, "mc": "false", "a.b": '{"x":[1,null]}',
+                            'q"k': None, "hint": None, "Id": None}
+    assert out["tango"]["mc"] == "5" and out["tango"]["hint"] == "[]" and out["tango"]["Id"] == "x"
+    known = {r.item_key: r for r in files.entry_table(rows, ITEM_MAP_VALUE).collect()}
+    assert known["blink"].id == 1 and known["blink"].mc == "false"
+    assert known["blink"].other == {"a.b": '{"x":[1,null]}', 'q"k': "null"}
+    assert known["tango"].other == {"Id": '"x"'}
+
+
 def test_csv_roundtrip_with_nulls(spark, tmp_dir):
     schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("s", T.StringType())])
     df = spark.createDataFrame([(1, "a"), (2, None), (3, "nan")], schema)
