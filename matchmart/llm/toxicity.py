@@ -13,8 +13,10 @@ text's windows must not; which window that is comes first from the features'
 log odds, which also fill one column of the embeddings to begin with, and then
 from the model. A fifth of the sample is kept back for the calibration.
 
-Scoring reads whole texts in ``mapInArrow``: every window of every text, with
-the model (about 2 MB, whatever the input) in the closure. No shuffle.
+Scoring reads whole texts in Arrow functions: every window of every text, with
+the model (about 2 MB, whatever the input) in the closure. Only the text goes to
+Python. Texts are worked on in slices of ``SLICE`` bytes (a longer one alone), their
+windows ``BATCH`` at a time, so memory follows neither rows nor their width. No shuffle.
 
 Defined cases: null or wordless texts score 0; labels for ids that do not occur
 and null labels are left out; without both labels in the sample every text
@@ -23,7 +25,6 @@ scores 0; an empty table gives an empty table; further columns are left alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +33,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .common import col, load, text_of
 
@@ -43,8 +45,8 @@ GRAMS = (3, 4, 5, 6)
 #: most labelled texts per label in training, and their most characters
 SAMPLE, SAMPLE_CHARS = 1500, 20_000
 THRESHOLD = 0.3
-#: texts whose windows are scored together, windows per matrix step, words whose vectors are summed together
-SLICE, BATCH, WORDS = 4096, 1024, 16_384
+#: bytes of text whose words are looked up together, windows per matrix step, words whose vectors are summed together
+SLICE, BATCH, WORDS = 4 << 20, 1024, 16_384
 _SEED = 7
 
 
@@ -56,6 +58,14 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return coded.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
 
 
+def slices(texts: pa.Array, size: int | None = None) -> list[tuple[int, int]]:
+    """(start, end) of runs of texts that begin within the same ``size`` bytes."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    group = np.append(0, ends[:-1]) // (size or SLICE)
+    starts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist()] if len(texts) else []
+    return list(zip(starts, [*starts[1:], len(texts)]))
+
+
 @dataclass
 class Features:
     """Table rows of distinct words: one word row, and a run of n-gram rows, for each."""
@@ -204,27 +214,37 @@ class Net:
         np.add.at(g["Ec"], f.gram, np.repeat(dx[:, DW:] * f.scale[:, None], many, axis=0))
         return loss, g
 
-    def windows(self, texts: pa.Array):
-        """(features, gates, codes by window, text of each window)."""
+    def words(self, texts: pa.Array):
+        """(distinct words, codes in order, then the code of no word; and each window's text, first word, words)."""
         code, offsets, distinct = words_of(texts)
         if "" in distinct:  # a text without words splits into one empty word
             blank = distinct.index("")
             bad = np.cumsum(np.append(0, code == blank))
             offsets, code = offsets - bad[offsets], code[code != blank]
-        text, first, size = window_table(offsets)
+        return distinct, np.append(code, len(distinct)), *window_table(offsets)
+
+    @staticmethod
+    def window_codes(code: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
         step = np.arange(T)
-        code = np.append(code, len(distinct))
-        at = np.where(step < size[:, None], first[:, None] + step, len(code) - 1)
-        return distinct, code[at], text
+        return code[np.where(step < size[:, None], first[:, None] + step, len(code) - 1)]
+
+    def windows(self, texts: pa.Array):
+        """(distinct words, codes by window, text of each window)."""
+        distinct, code, text, first, size = self.words(texts)
+        return distinct, self.window_codes(code, first, size), text
 
     def logits(self, texts: pa.Array) -> np.ndarray:
         """The largest window logit of each text; -inf for texts without words."""
         out = np.full(len(texts), -np.inf, np.float32)
-        distinct, codes, text = self.windows(texts)
-        if len(codes):
+        for a, b in slices(texts):
+            distinct, code, text, first, size = self.words(texts.slice(a, b - a))
+            if not len(text):
+                continue
             gates = self.inputs(features(distinct))[1]
-            for k in range(0, len(codes), BATCH):
-                np.maximum.at(out, text[k:k + BATCH], self.forward(gates, codes[k:k + BATCH]))
+            for k in range(0, len(text), BATCH):
+                part = slice(k, k + BATCH)
+                found = self.forward(gates, self.window_codes(code, first[part], size[part]))
+                np.maximum.at(out, a + text[part], found)
         return out
 
     def score(self, texts: pa.Array) -> np.ndarray:
@@ -370,31 +390,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_chars:
     return train([r.text for r in got], y, prior=share)
 
 
-def _scorer(net: Net):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            found = [net.score(texts.slice(k, SLICE)) for k in range(0, len(texts), SLICE)]
-            yield pa.record_batch([*batch.columns[:-1], pa.array(np.concatenate(found or [np.empty(0)]), pa.float64())],
-                                  names=[*batch.schema.names[:-1], "score"])
-    return run
+def scorer(net: Net):
+    """The score of a text column, as an Arrow function."""
+    @F.arrow_udf(DoubleType())
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(net.score(texts.cast(pa.string())), pa.float64())
+    return score
 
 
 def scores(docs: DataFrame, net: Net) -> DataFrame:
     """doc_id and score of every document."""
-    rows = docs.select(col(docs, "doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    return rows.mapInArrow(_scorer(net), "doc_id long, score double")
+    return docs.select(col(docs, "doc_id").cast("long").alias("doc_id"), scorer(net)(text_of(docs)).alias("score"))
 
 
 def clean(docs: DataFrame, net: Net, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score under ``threshold``, with their own columns."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pc.fill_null(batch.column(names.index("text")).cast(pa.string()), "")
-            for k in range(0, len(texts), SLICE):
-                yield batch.slice(k, SLICE).filter(pa.array(net.score(texts.slice(k, SLICE)) < threshold))
-    names = docs.columns
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(scorer(net)(text_of(docs)) < threshold)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

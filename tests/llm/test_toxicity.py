@@ -1,15 +1,21 @@
 """Toxicity: exact gradients, all windows, held-out accuracy, odd inputs."""
 
+import os
+import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from matchmart.llm import toxicity as tox
 
 from .helpers import docs_frame
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 INSULTS = ["stupid", "moron", "scum"]
 
 
@@ -99,3 +105,70 @@ def test_a_short_passage_lies_whole_in_a_window_wherever_it_is():
     text, first, words = tox.window_table(np.array([0, 200]))
     for at in range(200 - tox.T // 2 + 1):
         assert ((first <= at) & (at + tox.T // 2 <= first + words)).any()
+
+
+def plain_logits(net, text):
+    """The forward pass of every window of one text, word by word, without any batching."""
+    p, H = net.p, tox.H
+    words = re.findall(r"[^\W_]+", text.lower())
+    n = len(words)
+    starts = sorted({min(k * tox.STRIDE, max(n - tox.T, 0)) for k in range(max(0, -(-(n - tox.T) // tox.STRIDE)) + 1)})
+    out = []
+
+    def gru(inputs, u):
+        h, states = np.zeros(H), []
+        for x in inputs:
+            g = h @ u
+            z, r = (1 / (1 + np.exp(-(x[a:a + H] + g[a:a + H]))) for a in (0, H))
+            new = np.tanh(x[2 * H:] + r * g[2 * H:])
+            h = new + z * (h - new)
+            states.append(h)
+        return states
+
+    for s in starts if n else []:
+        gates = []
+        for w in words[s:s + tox.T]:
+            f = tox.features([w])
+            grams = p["Ec"][f.gram].sum(axis=0) / np.sqrt(len(f.gram))
+            gates.append(np.concatenate([p["Ew"][f.word[0]], grams]) @ p["W"] + p["b"])
+        ahead = gru([g[:3 * H] for g in gates], p["Uf"])
+        back = gru([g[3 * H:] for g in gates[::-1]], p["Ub"])[::-1]
+        states = [np.concatenate(pair) for pair in zip(ahead, back)]
+        weight = np.exp([np.tanh(x @ p["Wa"]) @ p["va"] for x in states])
+        out.append(sum(a * x for a, x in zip(weight / weight.sum(), states)) @ p["u"] + p["c"][0])
+    return out
+
+
+def test_scores_are_those_of_a_plain_forward_pass(spark, monkeypatch):
+    rows, labels = _corpus()
+    net = tox.train([t for _, t in rows], np.array([y for _, _, y in labels]))
+    texts = [rows[0][1], rows[1][1], "", "One,two; THREE!", " ".join(t for _, t in rows[:5])]
+    want = [1 / (1 + np.exp(-(net.curve[0] * max(plain_logits(net, t)) + net.curve[1]))) if plain_logits(net, t) else 0
+            for t in texts]
+    assert net.score(pa.array(texts)) == pytest.approx(want, abs=1e-5)
+    monkeypatch.setattr(tox, "SLICE", 50)
+    assert net.score(pa.array(texts)) == pytest.approx(want, abs=1e-5)
+    df = docs_frame(spark, list(enumerate(texts)))
+    got = {r.doc_id: r.score for r in tox.scores(df, net).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want, abs=1e-5)
+    kept = tox.clean(df.withColumn("score", F.lit("x")).withColumn("Text2", F.lit(1)), net, 0.3)
+    assert kept.columns == [*df.columns, "score", "Text2"]
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, w in enumerate(want) if w < 0.3]
+
+
+def test_memory_follows_neither_rows_nor_their_length():
+    """4,096 texts of 5,000 words (some 120 MB) score within 250 MB more than their own size."""
+    script = """
+import resource, numpy as np, pyarrow as pa
+from matchmart.llm import toxicity as tox
+r = np.random.default_rng(1)
+words = np.array(["".join(r.choice(list("aeioulmnrst"), 5)) for _ in range(3000)])
+texts = pa.array([" ".join(words[r.integers(0, 3000, 5000)]) for _ in range(4096)])
+net = tox.Net(1)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+net.forward = lambda gates, codes: np.zeros(len(codes), np.float32)
+assert len(net.score(texts)) == 4096
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True, cwd=ROOT)
+    assert int(out.stdout) < 250
