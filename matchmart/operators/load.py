@@ -16,42 +16,14 @@ import json
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchmart.operators.dedup import first_per_key
-
-
-def table_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
-
-
-def write_text_file(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small marker/metadata file (overwrite) through the Hadoop file system."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = fs.create(hpath, True)
-    out.write(bytearray(text.encode("utf-8")))
-    out.close()
-
-
-def read_text_file(spark: SparkSession, path: str) -> str | None:
-    """Read a small marker file directly (Spark readers skip ``_``-prefixed files)."""
-    if not table_exists(spark, path):
-        return None
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    stream = fs.open(hpath)
-    try:
-        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
-    finally:
-        stream.close()
+from matchmart.storage import exists as table_exists
+from matchmart.storage import read_text as read_text_file
+from matchmart.storage import write_text as write_text_file
 
 
 SCHEMA_FILE = "_schema.json"
@@ -84,10 +56,11 @@ def new_rows(batch: DataFrame, target: DataFrame | None, keys: Sequence[str],
              bucketed: bool = False) -> DataFrame:
     """Rows of ``batch`` whose key is new: batch key-dedup, then anti join.
 
-    With ``bucketed`` the batch carries ``_bucket`` and the target is
-    partitioned by it: the smallest and largest bucket of the batch (one row)
-    become a partition filter on the target scan, so a daily batch reads the
-    key columns of the partitions in its range instead of the whole table.
+    With ``bucketed`` the batch carries ``_bucket`` and the target is partitioned by
+    it. The batch's distinct buckets (at most one per partition folder and million ids)
+    are broadcast, and dynamic partition pruning makes the target scan read the key
+    columns of exactly these partitions: a late id adds its own partition, not the
+    range up to it.
     """
     keys = list(keys)
     b = first_per_key(batch, keys)
@@ -95,9 +68,9 @@ def new_rows(batch: DataFrame, target: DataFrame | None, keys: Sequence[str],
         return b
     if not bucketed:
         return b.join(target.select(*keys), keys, "left_anti")
-    stored = target.select(BUCKET_COL, *keys)
-    low, high = batch.agg(F.min(BUCKET_COL), F.max(BUCKET_COL)).first()
-    stored = stored.where(F.col(BUCKET_COL).between(low, high))
+    # The comparison is what tells the planner that this side prunes; it holds for every bucket.
+    touched = batch.select(BUCKET_COL).where(F.col(BUCKET_COL) > F.lit(-(1 << 62))).distinct()
+    stored = target.select(BUCKET_COL, *keys).join(F.broadcast(touched), BUCKET_COL, "left_semi")
     return b.join(stored, [BUCKET_COL, *keys], "left_anti")
 
 
@@ -109,25 +82,23 @@ def insert_ignore(spark: SparkSession, batch: DataFrame, path: str,
     ``bucket_of`` names an integer key column (e.g. ``match_id``) whose range
     bucket partitions the table on disk (see :func:`new_rows`).
 
-    Returns a one-row DataFrame ``(table, inserted)`` computed from the files
-    this call wrote (the count comes from the written data, not a rerun).
+    Returns a one-row DataFrame ``(table, inserted)``; the rows are counted as they
+    are written, the table is not listed or read again.
     """
     if bucket_of:
         batch = batch.withColumn(BUCKET_COL, key_bucket(bucket_of, bucket_width))
     target = _stored(spark, path)
     rows = new_rows(batch, target, keys, bucketed=bool(bucket_of))
-    tag = uuid.uuid4().hex
-    out = rows.withColumn("_load", F.lit(tag))
-    w = out.write.mode("append")
+    out = rows.withColumn("_load", F.lit(uuid.uuid4().hex))
+    seen = Observation()
+    w = out.observe(seen, F.count(F.lit(1)).alias("inserted")).write.mode("append")
     if bucket_of:
         w = w.partitionBy(BUCKET_COL)
     w.parquet(path)
     # the schema is recorded so that an empty (partitioned) table still reads back
     write_text_file(spark, f"{path.rstrip('/')}/{SCHEMA_FILE}", out.schema.json())
-    # each written file holds one tag: row-group statistics skip all other files
-    written = _stored(spark, path).where(F.col("_load") == tag)
-    return written.agg(F.count(F.lit(1)).alias("inserted")).select(
-        F.lit(path.rstrip("/").rsplit("/", 1)[-1]).alias("table"), "inserted")
+    return spark.createDataFrame([(path.rstrip("/").rsplit("/", 1)[-1], seen.get["inserted"])],
+                                 "table string, inserted long")
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

@@ -6,9 +6,10 @@ statistics - counts, exact sums and means, exact medians - are all read off
 the per-(group, metric, value) histogram, and histograms of disjoint inputs
 merge by adding counts. So the state is the histogram: each batch adds its
 own histogram (``merge_histograms``: a union and a map-side combined sum,
-sized by distinct values, not rows), the merged state is published as a new
-version (pointer written last, so a failed update leaves the old state), and
-the mart is read off the state.
+sized by distinct values, not rows), the merged state is committed as the version
+after the one it was read from, and the mart is read off the state. If another
+writer was faster, the batch is merged again with what that one committed, so no
+batch is lost.
 
 ``match_count`` (COUNT(DISTINCT match_id)) equals the state's row count
 because the load is insert-ignore on ``match_id``: a match reaches the state
@@ -27,6 +28,7 @@ from matchmart.functions.numeric import (
 )
 from matchmart.operators.quantiles import merge_histograms, metric_histogram, stats_from_histogram
 from matchmart.plans import marts, publish
+from matchmart.session import written
 
 def regions_histogram(matches: DataFrame) -> DataFrame:
     return metric_histogram(marts.region_rows(matches), marts.REGION_KEYS,
@@ -82,16 +84,22 @@ def add_batch(spark: SparkSession, root: str, new_matches: DataFrame,
     ``batch`` names the batch. The names that a state holds are kept with its
     version, and a batch that is added again (a replay) changes nothing.
     """
-    note = publish.current_note(spark, root, _state_name(mart))
-    applied = json.loads(note) if note else []
-    if batch is not None and batch in applied:
-        return publish.current(spark, root, _state_name(mart))
-    hist = STATES[mart][0](new_matches)
-    old = current_state(spark, root, mart)
-    merged = hist if old is None else merge_histograms(old, hist)
-    names = applied if batch is None else [*applied, batch]
-    publish.publish(spark, root, _state_name(mart), merged, json.dumps(names))
-    return publish.current(spark, root, _state_name(mart))
+    name, hist = _state_name(mart), None
+    while True:
+        base = publish.current_version(spark, root, name) or 0
+        held = publish.mark(spark, root, name, base) if base else {"note": "[]"}
+        applied = json.loads(held["note"] or "[]")
+        if batch is not None and batch in applied:
+            return publish.version(spark, root, name, base)
+        hist = written(STATES[mart][0](new_matches), "batch-histogram") if hist is None else hist
+        merged = merge_histograms(publish.version(spark, root, name, base), hist) if base else hist
+        names = applied if batch is None else [*applied, batch]
+        try:
+            number = publish.publish(spark, root, name, merged, json.dumps(names), after=base, view=False)
+        except publish.Conflict:
+            continue
+        publish.vacuum(spark, root, name)
+        return publish.version(spark, root, name, number)
 
 
 def mart_from_state(spark: SparkSession, root: str, mart: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import os
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from matchmart.operators.load import insert_ignore, read_table
@@ -72,13 +73,20 @@ def test_bucketed_load_prunes_target_partitions(spark, tmp_dir):
     got = read_table(spark, path)
     assert got.count() == 1050 and got.select("match_id").distinct().count() == 1050
     assert sorted(got.columns) == ["match_id", "v"]
-    # the target scan only reads the batch's buckets (partition pruning)
+    # the target scan only reads the batch's buckets, also with a late id far from the others
     from matchmart.operators.load import BUCKET_COL, key_bucket, new_rows
-    b = batch.withColumn(BUCKET_COL, key_bucket("match_id", 100))
-    plan = new_rows(b, spark.read.parquet(path), ["match_id"], bucketed=True)
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    scan = [ln for ln in text.splitlines() if "FileScan" in ln and "PartitionFilters" in ln][0]
-    assert ">= 9)" in scan and "<= 10)" in scan
+    late = batch.union(spark.range(1).selectExpr("-950 AS match_id", "'late' AS v"))
+    late = late.union(spark.createDataFrame([(250, "late")], "match_id long, v string"))
+    b = late.withColumn(BUCKET_COL, key_bucket("match_id", 100))
+    rows = new_rows(b, spark.read.parquet(path), ["match_id"], bucketed=True)
+    assert rows.count() == 1
+    plan = rows._jdf.queryExecution()
+    scan = [ln for ln in plan.executedPlan().toString().splitlines() if "FileScan" in ln and "PartitionFilters" in ln][0]
+    assert "dynamicpruning" in scan
+    seen = Observation()
+    spark.read.parquet(path).join(F.broadcast(b.select(BUCKET_COL).where(F.col(BUCKET_COL) > -99).distinct()),
+                                  BUCKET_COL, "left_semi").observe(seen, F.count(F.lit(1)).alias("n")).count()
+    assert seen.get["n"] == 250                        # buckets 2, 9 and 10 of eleven
 
 
 def test_dimension_cleaning_and_load(spark, tmp_dir):
