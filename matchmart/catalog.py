@@ -419,11 +419,21 @@ def q_json_roundtrip(spark, d):
 
 
 @register("run_partition", W(["matches"], """
-SELECT match_id, strftime(current_date, '%Y-%m-%d') AS run_date FROM matches"""))
+SELECT match_id, CAST(year(o_orderdate) AS VARCHAR) || '-12-31' AS run_date
+FROM matches JOIN orders ON o_orderkey = match_id WHERE year(o_orderdate) >= 1998"""))
 def q_run_partition(spark, d):
-    """run date as a 'yyyy-MM-dd' partition value of a landed batch."""
-    m = warehouse(spark, d).matches
-    return m.select("match_id", F.date_format(F.current_date(), "yyyy-MM-dd").alias("run_date"))
+    """documents landed into folders by run date (a run a year); a filter on the date
+    reads only the folders of its runs."""
+    run = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("match_id"),
+        F.concat(F.year("o_orderdate").cast("string"), F.lit("-12-31")).alias(jsonl.RUN_DATE))
+    w = warehouse(spark, d)
+    path = scratch_path(spark, "landing")
+    lines = jsonl.documents_from_tables(w.matches.join(run, "match_id"), _wide(w), keep=(jsonl.RUN_DATE,))
+    jsonl.land(lines, path, jsonl.RUN_DATE)
+    late = jsonl.read_lines(spark, path).where(F.col(jsonl.RUN_DATE) >= "1998-01-01")
+    parsed = jsonl.accepted(jsonl.parse_lines(late))
+    return parsed.select(F.col("match_key").alias("match_id"), jsonl.RUN_DATE)
 
 
 # --------------------------------------------------------------------------- joins

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchmart import storage
 from matchmart.operators.integrity import with_children
 from matchmart.operators.load import insert_ignore, read_table
 from matchmart.operators.reshape import (
@@ -61,8 +62,10 @@ def load_batch(spark: SparkSession, lines: DataFrame, root: str,
                staging: str | None = None) -> DataFrame:
     """Load one batch of raw lines into the warehouse at ``root``; status rows.
 
-    ``lines`` has a ``value`` column (and optionally ``source_file``).
+    ``lines`` has a ``value`` column (and optionally ``source_file``). Staged frames go
+    when the tables are written, unless ``staging`` names a folder of the caller's.
     """
+    own = staging is None
     staging = staging or scratch_path(spark, "staging")
     # The landing files are read once: lines with their key or reason, rejects apart.
     parsed = parse_lines(lines).drop("doc")
@@ -83,6 +86,8 @@ def load_batch(spark: SparkSession, lines: DataFrame, root: str,
         s = insert_ignore(spark, tables[name], f"{root.rstrip('/')}/{name}", KEYS[name],
                           bucket_of="match_id")
         status = s if status is None else status.unionByName(s)
+    if own:
+        storage.remove(spark, staging)
     return status
 
 
@@ -108,28 +113,37 @@ def warehouse_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 def known_match_keys(spark: SparkSession, root: str) -> DataFrame:
     """``SELECT match_id FROM matches`` (empty when nothing is loaded yet)."""
-    from matchmart.operators.load import table_exists
     path = f"{root.rstrip('/')}/matches"
-    if not table_exists(spark, path):
+    if not storage.exists(spark, path):
         return spark.range(0).select(F.col("id").alias("match_id"))
     return read_table(spark, path).select("match_id")
 
 
-def run_daily(spark: SparkSession, landing: str, root: str, marts_root: str) -> DataFrame:
-    """The daily job: landed JSONL → warehouse tables (idempotent) → all marts.
+def run_daily(spark: SparkSession, landing: str, root: str, marts_root: str,
+              checkpoint: str | None = None) -> DataFrame:
+    """The daily job: newly landed JSONL → warehouse tables (idempotent) → all marts.
 
-    Heroes must already be loaded under ``root/heroes`` (``load_dimensions``).
-    Returns the load status rows followed by one status row per mart.
+    The file source's checkpoint (under ``root`` by default) knows which landed files are
+    loaded, so a run reads the new ones only, whatever the size of the landing folder,
+    and a run that stopped goes on where it was. Heroes must already be loaded under
+    ``root/heroes`` (``load_dimensions``). Returns a row per table with the rows that
+    this run added, and one status row per mart.
     """
     from matchmart.plans.refresh import refresh_marts
-    from matchmart.sources.jsonl import read_lines
+    from matchmart.streaming.ingest import run_ingest
 
-    load = load_batch(spark, read_lines(spark, landing), root).collect()
+    added = dict.fromkeys(LOAD_ORDER, 0)
+
+    def count(status: DataFrame) -> None:
+        for r in status.collect():  # a row per table
+            added[r["table"]] += r["inserted"]
+
+    run_ingest(spark, landing, root, checkpoint or f"{root.rstrip('/')}/_landed", on_batch=count)
+    if not storage.exists(spark, f"{root.rstrip('/')}/matches"):  # nothing has landed so far
+        load_batch(spark, spark.createDataFrame([], "value string, source_file string"), root)
     tables = warehouse_tables(spark, root)
     tables["heroes"] = read_table(spark, f"{root.rstrip('/')}/heroes")
     marts = refresh_marts(spark, marts_root, tables)
-    loaded = spark.createDataFrame([(r["table"], r["inserted"]) for r in load],
-                                   "table string, inserted long")
-    return (loaded.select(F.col("table").alias("step"), F.col("inserted").alias("rows"),
-                          F.lit("loaded").alias("status"))
+    loaded = spark.createDataFrame(list(added.items()), "step string, rows long")
+    return (loaded.withColumn("status", F.lit("loaded"))
             .unionByName(marts.select(F.col("mart").alias("step"), "rows", "status")))

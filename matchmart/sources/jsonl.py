@@ -27,10 +27,18 @@ from matchmart.operators.dedup import first_per_key
 from matchmart.schemas import ITEM_SLOTS, MATCH_COLUMNS, PLAYER_WIDE_COLUMNS, RAW_MATCH, RAW_PLAYER
 
 
+RUN_DATE = "run_date"
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines of a JSONL file or folder, with the file they came from."""
-    return spark.read.text(path).select(
-        F.col("value"), F.col("_metadata.file_path").alias("source_file"))
+    """Text lines of a JSONL file or folder, with the file they came from.
+
+    A folder that was landed by run date also gives ``run_date``, its partition column:
+    a filter on it reads only these days' files.
+    """
+    lines = spark.read.text(path)
+    dated = [F.col(RUN_DATE).cast("string").alias(RUN_DATE)] if RUN_DATE in lines.columns else []
+    return lines.select(F.col("value"), F.col("_metadata.file_path").alias("source_file"), *dated)
 
 
 _EDGE_SPACE = r"(?U)^\s+|\s+$"
@@ -216,9 +224,11 @@ def read_raw_matches(spark: SparkSession, path: str, known_keys: DataFrame | Non
 
 # --------------------------------------------------------------------------- writing
 
-def documents_from_tables(matches: DataFrame, players_wide: DataFrame) -> DataFrame:
+def documents_from_tables(matches: DataFrame, players_wide: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Assemble one JSON document per match from warehouse-shaped frames.
 
+    Columns of ``matches`` named in ``keep`` come out beside the documents.
+
     Players are grouped per match; after key de-duplication a match has at
     most one row per player slot, so each list is bounded by the slot
     domain. A match without players has no ``players`` field.
@@ -236,11 +246,19 @@ def documents_from_tables(matches: DataFrame, players_wide: DataFrame) -> DataFr
     plist = pw.groupBy("match_id").agg(
         F.sort_array(F.collect_list(player)).alias("players"))
     m = matches.select("match_id", "duration", "first_blood_time", "radiant_win",
-                       F.col("region").cast("bigint").alias("region"))
+                       F.col("region").cast("bigint").alias("region"), *keep)
     doc = m.join(plist, "match_id", "left")
-    return doc.select(F.to_json(F.struct(*[F.col(c) for c in doc.columns])).alias("value"))
+    return doc.select(F.to_json(F.struct(*[F.col(c) for c in doc.columns if c not in keep])).alias("value"), *keep)
+
 
+def land(lines: DataFrame, path: str, run_date: Column | str | None = None) -> None:
+    """Append lines to a landing folder (one JSON document per line).
 
-def land(lines: DataFrame, path: str) -> None:
-    """Append lines to a landing folder (one JSON document per line)."""
-    lines.select("value").write.mode("append").text(path)
+    With ``run_date`` (a column of ``lines``, or a literal by ``F.lit``) they go into one
+    folder per date, ``run_date=yyyy-MM-dd``.
+    """
+    if run_date is None:
+        lines.select("value").write.mode("append").text(path)
+        return
+    date = F.col(run_date) if isinstance(run_date, str) else run_date
+    lines.select("value", date.cast("string").alias(RUN_DATE)).write.mode("append").partitionBy(RUN_DATE).text(path)

@@ -9,19 +9,13 @@ table's key: replaying a batch after a crash appends nothing twice.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchmart import storage
 from matchmart.plans.etl import load_batch
-from matchmart.session import scratch_path
-
-
-def _ensure_dir(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
-        fs.mkdirs(hpath)
 
 
 def landed_lines(spark: SparkSession, landing: str, max_files: int = 1000) -> DataFrame:
@@ -30,23 +24,28 @@ def landed_lines(spark: SparkSession, landing: str, max_files: int = 1000) -> Da
     The folder is created when absent, so the job can start before the
     first file lands.
     """
-    _ensure_dir(spark, landing)
+    storage.make_folder(spark, landing)
     return (spark.readStream.format("text").option("maxFilesPerTrigger", max_files)
             .load(landing)
             .select("value", F.col("_metadata.file_path").alias("source_file")))
 
 
 def run_ingest(spark: SparkSession, landing: str, root: str, checkpoint: str,
-               available_now: bool = True, max_files: int = 1000):
+               available_now: bool = True, max_files: int = 1000,
+               on_batch: Callable[[DataFrame], None] | None = None):
     """Process every new landed file into the warehouse; returns the finished query.
 
+    ``on_batch`` is given each micro-batch's status rows. The landing folder may hold
+    files or folders by run date.
+
     ``max_files`` is the size of a micro-batch in files: it sets memory and
     latency, not what is read (``availableNow`` goes on until all are done).
     """
 
     def _batch(df: DataFrame, epoch_id: int) -> None:
-        stage = scratch_path(spark, f"stream-epoch-{epoch_id}")
-        load_batch(df.sparkSession, df, root, stage).collect()  # a few status rows
+        status = load_batch(df.sparkSession, df, root)
+        if on_batch is not None:
+            on_batch(status)
 
     w = (landed_lines(spark, landing, max_files).writeStream
          .foreachBatch(_batch)
