@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,17 +132,73 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
      .option("escape", '"').csv(path))
 
 
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of CSV files: ``file``, ``first`` (the file's first record) and ``record``.
+
+    Quoted text may hold line ends, so whether a line end closes a record depends on all
+    quotes before it in the file. Files are split all the same: an aggregate counts the
+    quotes of each split, a running sum over a file's splits says which of them begin inside
+    quotes, and a running sum within a split says so for each line. A line that begins
+    and ends outside quotes is a record; the others are put together by the split and
+    line in which their record begins, also across splits.
+
+    Quotes stand around a field, and doubled within it, as ``write_csv`` and pandas write
+    them; a file with an odd number of quotes is an error.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"),
+        (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("quotes"))
+    odd = F.col("quotes") % 2 == 1
+    # A split that begins inside quotes has a line that begins outside if one follows its first odd line.
+    splits = lines.groupBy("file", "block").agg(
+        (F.sum("quotes") % 2).alias("odd"), F.min("id").alias("low"),
+        (F.min(F.when(odd, F.col("id"))) < F.max("id")).alias("reopens"))
+    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("file")
+    splits = splits.withColumn("inside", F.coalesce(F.sum("odd").over(ahead), F.lit(0)) % 2)
+    broken = F.raise_error(F.concat(F.lit("odd number of quotes in "), F.col("file")))
+    splits = splits.withColumn("inside", F.when(F.sum("odd").over(whole) % 2 == 1, broken.cast("long"))
+                               .otherwise(F.col("inside")))
+    begins = (F.col("inside") == 0) | F.coalesce("reopens", F.lit(False))
+    # The split whose last record is still open when this one begins.
+    splits = splits.withColumn("carry", F.last(F.when(begins, F.col("block")), True).over(ahead))
+
+    at = lines.join(splits, ["file", "block"])
+    split = Window.partitionBy("file", "block").orderBy("id")
+    so_far = F.coalesce(F.sum("quotes").over(split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = at.withColumn("opens", (F.col("inside") + so_far) % 2 == 0)
+    opener = F.when(F.col("opens"), F.col("id"))
+    at = at.withColumn("opener", F.last(opener, True).over(split.rowsBetween(Window.unboundedPreceding, 0)))
+    at = at.withColumn("last", F.max(opener).over(Window.partitionBy("file", "block")))
+    first = (F.col("block") == 0) & (F.col("id") == F.col("low"))
+
+    alone = F.col("opens") & ~odd
+    lone = at.where(alone).select("file", first.alias("first"), F.col("value").alias("record"))
+    # A record: the split it begins in, and its first line there (none for the one open at the split's end).
+    parts = at.where(~alone).select(
+        "file", first.alias("first"), "block", "id", "value",
+        F.when(F.col("opener").isNull(), F.col("carry")).otherwise(F.col("block")).alias("from"),
+        F.when(F.col("opener") < F.col("last"), F.col("opener")).alias("line"))
+    ordered = F.array_sort(F.collect_list(F.struct("block", "id", "value")))
+    parts = parts.groupBy("file", "from", "line").agg(F.bool_or("first").alias("first"), ordered.alias("lines"))
+    return lone.union(parts.select("file", "first", F.array_join("lines.value", "\n").alias("record")))
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType,
              null_words: tuple[str, ...] = ()) -> DataFrame:
     """CSV with a header and an explicit schema (no inference pass over the data).
 
-    ``null_words`` lists extra spellings of a missing value that older
+    Large files are read by many tasks even where quoted text holds line ends
+    (``csv_records``). ``null_words`` lists extra spellings of a missing value that older
     snapshots may contain (e.g. 'nan', 'None'); an empty field is NULL.
     """
-    df = (spark.read.option("header", True).option("mode", "FAILFAST")
-          .option("multiLine", True).option("escape", '"')
-          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-          .schema(schema).csv(path))
+    records = csv_records(spark, path).where("NOT first")
+    text = F.regexp_replace("record", "\r$", "")
+    options = {"mode": "FAILFAST", "multiLine": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false",
+               "ignoreTrailingWhiteSpace": "false", "maxCharsPerColumn": "-1"}
+    rows = records.where(text != "").select(F.from_csv(text, schema.toDDL(), options).alias("row"))
+    df = rows.select(*[F.col("row")[f.name].alias(f.name) for f in schema.fields])
     if null_words:
         words = list(null_words)
         df = df.select(*[

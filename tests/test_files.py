@@ -2,7 +2,9 @@
 
 import json
 import os
+import random
 
+import pytest
 from pyspark.sql import types as T
 
 from matchmart.schemas import HERO_LIST_ITEM, ITEM_MAP_VALUE
@@ -103,3 +105,48 @@ def test_csv_gives_back_text_as_it_was(spark, tmp_dir):
     files.write_csv(df.coalesce(1), f"{tmp_dir}/c")
     got = files.read_csv(spark, f"{tmp_dir}/c", df.schema)
     assert sorted(map(tuple, got.collect())) == rows
+
+
+def _multiline(spark, path, schema):
+    return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).schema(schema).csv(path))
+
+
+def test_a_file_with_quoted_line_ends_is_read_in_splits(spark, tmp_dir):
+    """Splits of a few hundred bytes begin anywhere: outside quotes, inside, in the middle of long records."""
+    rng = random.Random(4)
+    words = ["a", '"', "\n", ",", " ", "é", "\r\n", '""', "x" * 40, "\n" * 30]
+    rows = [(i, "".join(rng.choices(words, k=rng.randint(0, 40))) or None, rng.choice(["b", None, '"q"\n'])) for i in range(400)]
+    rows.append((400, '"\n' * 900, "long"))
+    schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("a b", T.StringType()),
+                           T.StructField("c", T.StringType())])
+    path = f"{tmp_dir}/c"
+    files.write_csv(spark.createDataFrame(rows, schema).repartition(2), path)
+    want = sorted(map(tuple, _multiline(spark, path, schema).collect()))
+    assert len(want) == 401
+    conf = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "0"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        lines = spark.read.text(path, lineSep="\n")
+        assert lines.rdd.getNumPartitions() > 20
+        assert sorted(map(tuple, files.read_csv(spark, path, schema).collect())) == want
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert sorted(map(tuple, files.read_csv(spark, path, schema).collect())) == want
+
+
+def test_csv_with_crlf_blank_lines_and_broken_quotes(spark, tmp_dir):
+    schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("s", T.StringType())])
+    os.makedirs(f"{tmp_dir}/in")
+    with open(f"{tmp_dir}/in/a.csv", "w", newline="") as f:
+        f.write('k,"s\ns"\r\n1,"x\r\ny"\r\n\r\n2,z\r\n')
+    with open(f"{tmp_dir}/in/b.csv", "w", newline="") as f:
+        f.write("k,s\n3,")
+    got = sorted(map(tuple, files.read_csv(spark, f"{tmp_dir}/in", schema).collect()))
+    assert got == [(1, "x\r\ny"), (2, "z"), (3, None)]
+    with open(f"{tmp_dir}/in/c.csv", "w") as f:
+        f.write('k,s\n4,"open\n')
+    with pytest.raises(Exception, match="odd number of quotes"):
+        files.read_csv(spark, f"{tmp_dir}/in", schema).collect()
