@@ -6,6 +6,9 @@ import re
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,5 +86,15 @@ def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
     return filter(None, map(bytes.split, byte_blocks(data, size)))
 
 
+def byte_slices(texts: pa.Array, size: int) -> list[tuple[int, int]]:
+    """(start, end) of runs of texts that begin within the same ``size`` bytes."""
+    if not len(texts):
+        return []
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    group = np.append(0, ends[:-1]) // size
+    starts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist()]
+    return list(zip(starts, [*starts[1:], len(texts)]))
+
+
 def unique_id() -> str:
     return uuid.uuid4().hex[:12]

@@ -17,7 +17,7 @@ remainders of up to a window each would leave about 2 % to 3 %.
 A text without two white-space characters in a row is tokenised word by word:
 a space after a character that is not white space always starts a new pre-token,
 so the ids of " word" do not depend on what surrounds it, and each distinct word
-of some thousand texts is tokenised once. Words are encoded by the rank file of
+of a slice of texts is tokenised once. Words are encoded by the rank file of
 the same vocabulary, which is several times as fast for single words; texts'
 first words, other texts and texts with special tokens go to the tokenizer
 itself.
@@ -43,16 +43,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, load, stage, text_of
+from .common import byte_slices, col, load, stage, text_of
 
 WINDOW = 2048
 PIECE = 512
 BUCKET_PIECES = 4096
 END_ID = 1
-#: texts that are tokenised together
-SLICE = 4096
+#: bytes of texts that are tokenised together (a longer one alone)
+SLICE = 2 << 20
 #: words whose ids a Python worker remembers
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: windows that are full on their own get ids from here on
 _FULL = 1 << 62
 
@@ -155,11 +155,11 @@ def _pieces(paths: tuple[str, str], window: int, piece: int):
         for batch in batches:
             rows, start, length, crc, tokens = [], [], [], [], []
             texts = batch.column(1)
-            for k in range(0, len(batch), SLICE):
-                for i, ids in enumerate(encoder.encode(texts.slice(k, SLICE))):
+            for k, stop in byte_slices(texts, SLICE):
+                for i, ids in enumerate(encoder.encode(texts.slice(k, stop - k)), k):
                     ids = np.append(ids, end)
                     for s, m in _cut(len(ids), window, piece):
-                        rows.append(k + i), start.append(s), length.append(m), tokens.append(len(ids))
+                        rows.append(i), start.append(s), length.append(m), tokens.append(len(ids))
                         crc.append(zlib.crc32(ids[s:s + m]))
             yield pa.record_batch([batch.column(0).take(pa.array(rows, pa.int64()))] + [
                 pa.array(x, pa.int64()) for x in (start, length, crc, tokens)],

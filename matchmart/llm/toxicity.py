@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import col, load, text_of
+from .common import byte_slices, col, load, text_of
 
 T, STRIDE = 32, 16
 #: sizes of the hashed embedding tables, of a word's two parts, of a GRU, of the attention
@@ -58,14 +58,6 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return coded.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
 
 
-def slices(texts: pa.Array, size: int | None = None) -> list[tuple[int, int]]:
-    """(start, end) of runs of texts that begin within the same ``size`` bytes."""
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-    group = np.append(0, ends[:-1]) // (size or SLICE)
-    starts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist()] if len(texts) else []
-    return list(zip(starts, [*starts[1:], len(texts)]))
-
-
 @dataclass
 class Features:
     """Table rows of distinct words: one word row, and a run of n-gram rows, for each."""
@@ -236,7 +228,7 @@ class Net:
     def logits(self, texts: pa.Array) -> np.ndarray:
         """The largest window logit of each text; -inf for texts without words."""
         out = np.full(len(texts), -np.inf, np.float32)
-        for a, b in slices(texts):
+        for a, b in byte_slices(texts, SLICE):
             distinct, code, text, first, size = self.words(texts.slice(a, b - a))
             if not len(text):
                 continue

@@ -82,3 +82,25 @@ def test_differencing_by_hand():
     # The classic example: 8, 7, 6, 5, 4 in two sums differ by 2.
     window = packing.differencing(np.array([8, 7, 6, 5, 4]), 2)
     assert sorted(np.bincount(window, [8, 7, 6, 5, 4])) == [14, 16]
+
+
+def test_slices_cover_all_texts_and_hold_bounded_bytes():
+    import pyarrow as pa
+
+    from matchmart.llm.common import byte_slices
+    texts = pa.array(["a" * n for n in (0, 5, 3, 40, 0, 0, 9, 1, 1)])
+    got = byte_slices(texts, 10)
+    assert [k for a, b in got for k in range(a, b)] == list(range(len(texts)))
+    assert got == [(0, 4), (4, 7), (7, 9)]
+    assert byte_slices(texts[:0], 10) == [] and byte_slices(texts.slice(3, 2), 10) == [(0, 1), (1, 2)]
+
+
+def test_columns_with_clashing_names_and_long_texts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    df = docs_frame(spark, [(1, "word " * 30_000), (2, None), (2, None), (3, "x")])
+    plain = sorted(map(tuple, packing.pack(df).select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()))
+    for name in ("uid", "bucket", "start", "length", "sequence_id", "offset", "window"):
+        df = df.withColumn(name, F.lit("x"))
+    got = packing.pack(df)
+    assert sorted(map(tuple, got.select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect())) == plain
+    assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where(F.col("n") > packing.WINDOW).count() == 0
