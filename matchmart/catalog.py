@@ -819,32 +819,32 @@ def q_fk_matches_players(spark, d):
 
 @register("fk_players_matches", W(["matches", "players"], """
 SELECT DISTINCT match_id FROM players p
-WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.match_id = p.match_id)"""))
+WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.match_id = p.match_id AND radiant_win IS NOT NULL)"""))
 def q_fk_players_matches(spark, d):
-    """Q2: players whose match is missing (expected empty)."""
+    """Q2: players whose match is missing; a match counts once its result is known."""
     w = warehouse(spark, d)
-    return integrity.missing_keys(w.players, w.matches, ["match_id"])
+    return integrity.missing_keys(w.players, w.matches.where("radiant_win IS NOT NULL"), ["match_id"])
 
 
 @register("fk_players_stat", W(["players", "players_stat"], """
 SELECT DISTINCT match_id, player_slot FROM players p
 WHERE NOT EXISTS (SELECT 1 FROM players_stat s
-                  WHERE s.match_id = p.match_id AND s.player_slot = p.player_slot)"""))
+                  WHERE s.match_id = p.match_id AND s.player_slot = p.player_slot AND hero_healing > 0)"""))
 def q_fk_players_stat(spark, d):
-    """Composite-key set difference players − stat."""
+    """Composite-key set difference players − stat rows with any healing."""
     w = warehouse(spark, d)
-    return integrity.missing_keys(w.players, w.players_stat, ["match_id", "player_slot"])
+    return integrity.missing_keys(w.players, w.players_stat.where("hero_healing > 0"), ["match_id", "player_slot"])
 
 
 @register("fk_players_items", W(["players", "player_items_wide"], """
 SELECT DISTINCT match_id, player_slot FROM players p
 WHERE NOT EXISTS (SELECT 1 FROM player_items_wide i
-                  WHERE i.match_id = p.match_id AND i.player_slot = p.player_slot)"""))
+                  WHERE i.match_id = p.match_id AND i.player_slot = p.player_slot AND item_0 <> 0)"""))
 def q_fk_players_items(spark, d):
-    """Q3: composite-key set difference players − items (long form)."""
+    """Q3: composite-key set difference players − items held in the first slot (long form)."""
     w = warehouse(spark, d)
-    return integrity.missing_keys(w.players, unpivot_items(w.player_items_wide),
-                                  ["match_id", "player_slot"])
+    held = unpivot_items(w.player_items_wide).where("item_slot = '0' AND item_id IS NOT NULL")
+    return integrity.missing_keys(w.players, held, ["match_id", "player_slot"])
 
 
 @register("fk_hero", W(["players", "heroes"], """
@@ -957,6 +957,43 @@ def q_radiant_win_incremental(spark, d):
     return incremental.mart_from_state(spark, root, "radiant_win_by_duration")
 
 
+def _replay_late_players(spark, d, mart):
+    """Three loads: the earlier matches, alone; the later ones with the earlier ones' players;
+    the later ones' players and all statistics."""
+    from matchmart.plans import incremental
+    w = warehouse(spark, d)
+    day = table(spark, d, "orders").select(F.col("o_orderkey").alias("match_id"), "o_orderdate")
+    early = day.where("o_orderdate < TIMESTAMP '1998-01-01'").select("match_id")
+
+    def part(df, how):
+        return df.join(early, "match_id", how)
+
+    m, p, s, never = w.matches, w.players, w.players_stat, F.lit(False)
+    loads = [{"matches": part(m, "left_semi"), "players": p.where(never), "players_stat": s.where(never)},
+             {"matches": part(m, "left_anti"), "players": part(p, "left_semi"), "players_stat": s.where(never)},
+             {"matches": m.where(never), "players": part(p, "left_anti"), "players_stat": s}]
+    root, stored = scratch_path(spark, "incremental"), None
+    for k, load in enumerate(loads):
+        incremental.add_load(spark, root, mart, stored, load, batch=str(k))
+        stored = load if stored is None else {n: stored[n].unionByName(load[n]) for n in stored}
+    return root
+
+
+@register("win_factors_incremental", O.MARTS["win_factors"])
+def q_win_factors_incremental(spark, d):
+    """Win factors maintained load by load, with players and statistics that come after
+    their matches; must equal the full recomputation."""
+    from matchmart.plans import incremental
+    return incremental.mart_from_state(spark, _replay_late_players(spark, d, "win_factors"), "win_factors")
+
+
+@register("unknown_players_incremental", O.MARTS["unknown_players"])
+def q_unknown_players_incremental(spark, d):
+    """Named and anonymous players maintained load by load, with late players and statistics."""
+    from matchmart.plans import incremental
+    return incremental.mart_from_state(spark, _replay_late_players(spark, d, "unknown_players"), "unknown_players")
+
+
 # --------------------------------------------------------------------------- sources / sinks
 # These write to (and read back from) fresh folders under the shared
 # checkpoint dir, the way the feed's files are produced and consumed.

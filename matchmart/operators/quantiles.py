@@ -36,13 +36,16 @@ def value_histogram(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -
 
 
 def merge_histograms(*hists: DataFrame) -> DataFrame:
-    """Add the counts of several histograms with the same layout."""
+    """Add the counts of several histograms with the same layout.
+
+    Counts may be negative (retracted rows); a value whose counts cancel is gone.
+    """
     first, *rest = hists
     u = first
     for h in rest:
         u = u.unionByName(h)
     keys = [c for c in first.columns if c != "n"]
-    return u.groupBy(*keys).agg(F.sum("n").alias("n"))
+    return u.groupBy(*keys).agg(F.sum("n").alias("n")).where("n <> 0")
 
 
 def quantile_from_histogram(hist: DataFrame, keys: Sequence[str], p: float,
@@ -93,9 +96,11 @@ def _hundredths(df: DataFrame, name: str):
 
 
 def metric_histogram(df: DataFrame, keys: Sequence[str], metrics: Sequence[str],
-                     scaled: bool = False) -> DataFrame:
+                     scaled: bool = False, weight: str | None = None) -> DataFrame:
     """``(keys..., metric, value, n)``: rows per exact value (hundredths, bigint).
 
+    A row counts once, or as often as its ``weight`` column says (-1 takes it back).
+
     Includes the pseudo-metric ``_rows`` (value 100 per input row), so every
     group is present and COUNT(*) can be read back. Histograms of disjoint
     inputs merge by adding ``n`` (:func:`merge_histograms`).
@@ -103,11 +108,12 @@ def metric_histogram(df: DataFrame, keys: Sequence[str], metrics: Sequence[str],
     keys, metrics = list(keys), list(metrics)
     scale = (lambda m: F.col(m).cast("long").alias(m)) if scaled else (
         lambda m: _hundredths(df, m))
-    cast = df.select(*keys, F.lit(100).cast("long").alias(ROWS_METRIC),
+    more = [] if weight is None else [weight]
+    cast = df.select(*keys, *more, F.lit(100).cast("long").alias(ROWS_METRIC),
                      *[scale(m) for m in metrics])
-    long = cast.unpivot(keys, [ROWS_METRIC, *metrics], "metric", "value")
-    return (long.where(F.col("value").isNotNull())
-            .groupBy(*keys, "metric", "value").agg(F.count(F.lit(1)).alias("n")))
+    long = cast.unpivot([*keys, *more], [ROWS_METRIC, *metrics], "metric", "value")
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return long.where(F.col("value").isNotNull()).groupBy(*keys, "metric", "value").agg(n.alias("n"))
 
 
 def stats_from_histogram(hist: DataFrame, keys: Sequence[str], metrics: Sequence[str],

@@ -12,10 +12,21 @@ text with itself. Portable forms keep the two engines bit-equal:
 
 from __future__ import annotations
 
-from matchmart.functions.lookup import REGION_NAMES, UNKNOWN_REGION
-from matchmart.functions.numeric import (
-    DURATION_BINS_7, DURATION_BINS_7_ELSE, DURATION_BINS_9, DURATION_BINS_9_ELSE,
-)
+# Fixed values, written out here as SQL so that no table of the engine proves itself:
+# minutes above, minutes up to, label; region code, name.
+BINS_7 = """
+(NULL, 25, '1 (<= 25)'), (25, 30, '2 (26-30)'), (30, 35, '3 (31-35)'), (35, 40, '4 (36-40)'),
+(40, 45, '5 (41-45)'), (45, 50, '6 (46-50)'), (50, NULL, '7 (>50)')"""
+BINS_9 = """
+(NULL, 15, '<=15'), (15, 20, '16-20'), (20, 25, '21-25'), (25, 30, '26-30'), (30, 35, '31-35'),
+(35, 40, '36-40'), (40, 45, '41-45'), (45, 50, '46-50'), (50, NULL, 'late(>50)')"""
+REGIONS = """
+(1, 'US West (Seattle)'), (2, 'US East (Sterling)'), (3, 'Europe West (Luxembourg)'),
+(4, 'Brazil (São Paulo)'), (6, 'Singapore (SEA)'), (7, 'Australia (Sydney)'),
+(8, 'Europe East (Moscow)'), (9, 'South Africa (Cape Town)'), (10, 'Japan (Tokyo)'),
+(11, 'India (Chennai)'), (13, 'China (Beijing / Shanghai)'), (14, 'Chile (Santiago)'),
+(15, 'Peru (Lima)'), (17, 'Russia (Moscow / East Europe)'), (18, 'Europe East 2'),
+(19, 'China 2'), (20, 'Southeast Asia 2'), (25, 'US West 2'), (38, 'US East 2')"""
 
 # --------------------------------------------------------------------------- role views
 
@@ -110,34 +121,20 @@ def med(x: str, p: float = 0.5) -> str:
     return f"({lo} + ({pos} - floor({pos})) * ({hi} - {lo}))"
 
 
-def values_table(rows) -> str:
-    """A list of tuples as a VALUES list; numbers stay numbers, text is quoted, None is NULL."""
-    def cell(v) -> str:
-        return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
-    return ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
-
-
-def scale(edges, last: str) -> str:
-    """A bin scale as rows (above, upto, label); the last bin has no upper bound."""
-    bounds = [None, *[e for e, _ in edges], None]
-    return values_table(zip(bounds, bounds[1:], [*[label for _, label in edges], last]))
-
-
-def bin_of(minutes: str, edges, last: str) -> str:
+def bin_of(minutes: str, scale: str) -> str:
     """The label of the bin that holds ``minutes``; an unknown length is in the last one."""
-    return (f"(SELECT label FROM (VALUES {scale(edges, last)}) AS s(above, upto, label) "
+    return (f"(SELECT label FROM (VALUES {scale}) AS s(above, upto, label) "
             f"WHERE CASE WHEN {minutes} IS NULL THEN upto IS NULL "
             f"ELSE (above IS NULL OR {minutes} > above) AND (upto IS NULL OR {minutes} <= upto) END)")
 
 
 def bins9(x: str) -> str:
-    return bin_of(f"({x} / 60.0)", DURATION_BINS_9, DURATION_BINS_9_ELSE)
+    return bin_of(f"({x} / 60.0)", BINS_9)
 
 
 def region_label(code: str) -> str:
-    names = values_table(REGION_NAMES.items())
-    return (f"coalesce((SELECT name FROM (VALUES {names}) AS r(code, name) WHERE r.code = {code}), "
-            f"'{UNKNOWN_REGION}')")
+    return (f"coalesce((SELECT name FROM (VALUES {REGIONS}) AS r(code, name) WHERE r.code = {code}), "
+            f"'Unknown')")
 
 
 def long_stats(rows: str, keys: list[str], values: list[str]) -> str:
@@ -168,7 +165,7 @@ def told(what: str, stat: str) -> str:
 M1_ROLES = ["matches"]
 M1_BODY = f"""
 WITH won AS (
-  SELECT {bin_of(pm("duration"), DURATION_BINS_7, DURATION_BINS_7_ELSE)} AS duration_category,
+  SELECT {bin_of(pm("duration"), BINS_7)} AS duration_category,
          match_id, radiant_win IS NOT DISTINCT FROM TRUE AS hit
   FROM matches)
 SELECT duration_category, CAST(count(*) FILTER (WHERE hit) AS BIGINT) AS radiant_win_sum,

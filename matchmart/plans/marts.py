@@ -132,19 +132,26 @@ def win_factors(matches: DataFrame, players: DataFrame, players_stat: DataFrame)
     return win_factors_from_facts(match_player_facts(matches, players, players_stat))
 
 
-def win_factors_from_facts(facts: DataFrame) -> DataFrame:
-    d = facts.select(
-        "win",
+def win_factor_rows(facts: DataFrame, *more: str) -> DataFrame:
+    """Per-row values of the win-factors mart, metrics as exact hundredths."""
+    return facts.select(
+        *more, "win",
         per_minute_hundredths("tower_damage").alias("tower_damage"),
         per_minute_hundredths("hero_damage").alias("hero_damage"),
         *[hundredths(c).alias(c) for c in ["gold_per_min", "xp_per_min", "last_hits",
                                             "assists", "kills", "deaths"]],
         per_minute_hundredths("first_blood_time").alias("first_blood_time"),
     )
-    m = WIN_FACTOR_METRICS
-    stats = metric_stats(d, ["win"], m, scaled=True)
+
+
+def win_factors_from_facts(facts: DataFrame) -> DataFrame:
+    return win_factors_from(metric_stats(win_factor_rows(facts), ["win"], WIN_FACTOR_METRICS, scaled=True))
+
+
+def win_factors_from(stats: DataFrame) -> DataFrame:
+    """Output columns of the win-factors mart from per-group statistics."""
     cols = ["win"]
-    for c in m:
+    for c in WIN_FACTOR_METRICS:
         cols += [_mean(c).alias(f"{c}_mean"), _median(c, True).alias(f"{c}_median")]
     return stats.select(*cols)
 
@@ -291,9 +298,14 @@ def unknown_players(matches: DataFrame, players: DataFrame, players_stat: DataFr
     return unknown_players_from_facts(match_player_facts(matches, players, players_stat))
 
 
-def unknown_players_from_facts(facts: DataFrame) -> DataFrame:
+UNKNOWN_KEYS = ["is_named", "duration_bin_small"]
+
+
+def unknown_player_rows(facts: DataFrame, *more: str) -> DataFrame:
+    """Per-row values of the named-players mart, metrics as exact hundredths."""
     named = F.col("steam_id").isNotNull() & F.col("personaname").isNotNull()
-    d = facts.select(
+    return facts.select(
+        *more,
         F.when(named, F.lit("named")).otherwise(F.lit("unknown")).alias("is_named"),
         duration_bin_small("duration").alias("duration_bin_small"),
         hundredths("win").alias("win"),
@@ -305,11 +317,18 @@ def unknown_players_from_facts(facts: DataFrame) -> DataFrame:
         per_minute_hundredths("hero_healing").alias("hero_healing_per_min"),
         per_minute_hundredths("tower_damage").alias("tower_damage_per_min"),
     )
-    keys = ["is_named", "duration_bin_small"]
+
+
+def unknown_players_from_facts(facts: DataFrame) -> DataFrame:
+    return unknown_players_from(metric_stats(unknown_player_rows(facts), UNKNOWN_KEYS,
+                                             ["duration_min", "win", *UNKNOWN_METRICS], scaled=True))
+
+
+def unknown_players_from(stats: DataFrame) -> DataFrame:
+    """Output columns of the named-players mart from per-group statistics."""
     m = UNKNOWN_METRICS
-    stats = metric_stats(d, keys, ["duration_min", "win", *m], scaled=True)
     return stats.select(
-        *keys,
+        *UNKNOWN_KEYS,
         _mean("duration_min").alias("avg_duration"),
         to_out(pct2(F.col("win_sum"), F.col("win_n"))).alias("avg_winrate"),
         *[_median(c, False).alias(f"median_{c}") for c in m],
