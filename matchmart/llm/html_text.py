@@ -5,14 +5,15 @@
    forms or reader comments go; block elements end a line; references are
    decoded and white space in a line becomes one space.
 2. Every line counts by its length, less link text where links are half of it
-   or more. If the page marks an article and that holds at least half of this
-   text, lines outside it count nothing and links inside it count in full; a
-   smaller one (a teaser card, a comment) is text like any other.
-3. Lengths are summed over sliding windows of ``LINES`` lines. The text surges
-   where a window's sum leaves zero and dives where it is back at zero; stretches
-   between the two are kept if their highest window reaches ``LEAST``
-   characters, or the page's highest if that is less. In a marked article every
-   stretch is kept: there the element decides, not the sums.
+   or more; a page's own headline (h1) counts ``LEAST`` at the least. If the page marks
+   an article and that holds at least half of this text, the mark is a weight: links
+   inside count in full, lines outside count a quarter. A smaller one (a teaser card,
+   a comment) is text like any other.
+3. Lengths are summed over sliding windows of ``LINES`` lines, which do not reach
+   over the border of a marked article. The text surges where a window's sum leaves zero
+   and dives where it is back at zero; inside a marked article it surges once and dives
+   once, lines without weight between stay. Stretches between surge and dive are kept if
+   their highest window reaches ``LEAST``, or the page's highest if that is less.
 
 A page is parsed by one task in one pass, linear in its length; there is no
 shuffle.
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import col, load
 
 LINES, LEAST = 3, 80
+#: a line outside a marked article counts its length divided by this
+OUTSIDE = 4
 
 # Names of HTML elements by what they are.
 _BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset
@@ -118,12 +121,12 @@ def _ends(tokens: list[re.Match]) -> tuple[dict[int, int], dict[str, int]]:
     return found, {tag: those[0] for tag, those in begun.items() if those}
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """The page's lines: (text, characters of links in it, inside an article)."""
-    out: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
+    """The page's lines: (text, characters of links in it, inside an article, a headline)."""
+    out: list[tuple[str, int, bool, bool]] = []
     runs: list[str] = []
     linked: list[str] = []
-    marked, links = 0, 0
+    marked, links, headline = 0, 0, False
     drop, stop, closed = "", None, False  # the element that is being dropped, the token that ends it
     at = 0
     tokens = [*_TOKEN.finditer(page)]
@@ -132,7 +135,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     def close() -> None:
         text = " ".join("".join(runs).split())
         if text:
-            out.append((text, len(" ".join("".join(linked).split())), marked > 0))
+            out.append((text, len(" ".join("".join(linked).split())), marked > 0, headline))
         runs.clear(), linked.clear()
 
     def say(text: str) -> None:
@@ -160,6 +163,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 continue
         if tag in _BLOCKS or tag == "body":
             close()
+            headline = tag == "h1" and not end
         elif tag in ("br", "td", "th"):
             say(" ")
         if not end and tag not in _VOID and not rest.endswith("/") and _beside(tag, rest, marked > 0):
@@ -174,31 +178,46 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def main_text(page: str) -> str:
-    """The main text: its lines joined by blank lines."""
-    lines = lines_of(page)
-    size = [0 if 2 * link >= len(t) else len(t) - link for t, link, _ in lines]
-    within = sum(n for n, (_, _, inside) in zip(size, lines) if inside)
-    marked = any(inside for _, _, inside in lines) and 2 * within >= sum(size)
-    if marked:
-        size = [len(t) if inside else 0 for t, _, inside in lines]
+def _stretches(size: list[int], joined: bool) -> list[tuple[int, int, int]]:
+    """(first, end, highest window) of the lines between each surge and dive, ``joined`` to one."""
     total = [0]
     for n in size:
         total.append(total[-1] + n)
     block = [total[min(i + LINES, len(size))] - total[i] for i in range(len(size))]
-    least = 1 if marked else min(LEAST, max(block, default=0))
-    kept: list[str] = []
+    out: list[tuple[int, int, int]] = []
     i = 0
     while i < len(block):
         surge = i
         while i < len(block) and block[i] > 0:
             i += 1
-        if i > surge and max(block[surge:i]) >= least:
+        if i > surge:
             # Windows reach over what is before the stretch; lines within it stay, links or not.
             full = [k for k in range(surge, i) if size[k] > 0]
-            kept += [t for t, _, inside in lines[full[0]:full[-1] + 1] if inside or not marked]
+            out.append((full[0], full[-1] + 1, max(block[surge:i])))
         i += 1
-    return "\n\n".join(kept)
+    if joined and out:
+        out = [(out[0][0], out[-1][1], max(high for _, _, high in out))]
+    return out
+
+
+def main_text(page: str) -> str:
+    """The main text: its lines joined by blank lines."""
+    lines = lines_of(page)
+    size = [0 if 2 * link >= len(t) else len(t) - link for t, link, _, _ in lines]
+    within = sum(n for n, (_, _, inside, _) in zip(size, lines) if inside)
+    marked = any(inside for _, _, inside, _ in lines) and 2 * within >= sum(size)
+    size = [max(n, LEAST) if n and head else n for n, (_, _, _, head) in zip(size, lines)]
+    if marked:
+        size = [max(n, len(t)) if inside else n // OUTSIDE for n, (t, _, inside, _) in zip(size, lines)]
+    found: list[tuple[int, int, int]] = []
+    low = 0
+    for high in range(1, len(lines) + 1):
+        if high == len(lines) or marked and lines[high][2] != lines[low][2]:
+            inside = marked and lines[low][2]
+            found += [(low + a, low + b, top) for a, b, top in _stretches(size[low:high], inside)]
+            low = high
+    least = min(LEAST, max((top for _, _, top in found), default=0))
+    return "\n\n".join(lines[k][0] for a, b, top in found if top >= least for k in range(a, b))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

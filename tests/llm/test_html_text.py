@@ -101,3 +101,26 @@ def test_odd_rows(spark):
     assert sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in h.extract(pages).collect()) == [
         (0, "v", "t", 1), (1, "", "", 0), (1, "u", "", 0)]
     assert h.extract(pages.limit(0)).count() == 0
+
+
+def test_the_sums_decide_given_pages_without_their_marks(spark):
+    for r in table(spark, "pages").collect():
+        bare = re.sub(r"</?(article|main)\b[^>]*>", "<div>", r.html)
+        assert h.main_text(bare) == h.main_text(r.html)
+
+
+LINKS = "<p><a href=/>link</a></p>" * 4
+NEWS = f"<article><p>{BODY}</p><p>{BODY}</p><p>{BODY}</p>"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<h1>Title</h1>{LINKS}<p>{BODY}</p>", f"Title\n\n{BODY}"),                      # a headline before links
+    (f"<h1><a href=/>Site</a></h1>{LINKS}<p>{BODY}</p>", BODY),                       # a linked one is no headline
+    (f"{NEWS}{LINKS}<p>End.</p></article>", "\n\n".join([BODY] * 3 + ["link"] * 4 + ["End."])),
+    (f"{NEWS}</article>{CARD}", "\n\n".join([BODY] * 3 + ["Other story", "A teaser."])),  # one run of marked lines
+    (f"{NEWS}</article><p>between</p>{CARD}", "\n\n".join([BODY] * 3)),                # a card of its own falls short
+    (f"<p>{BODY}</p>{NEWS}</article>", "\n\n".join([BODY] * 3)),                       # a quarter of its length
+    (f"<p>{BODY * 4}</p><article>{f'<p>{BODY}</p>' * 6}</article>", "\n\n".join([BODY * 4] + [BODY] * 6)),
+])
+def test_the_mark_is_a_weight(page, want):
+    assert h.main_text(page) == want
