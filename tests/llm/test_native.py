@@ -1,10 +1,13 @@
 """The native operators: DuckDB or plain Python beside Spark, odd rows, SQL only."""
 
 import json
+import random
 import re
+import time
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from matchmart.llm import chat, exact_dedup, mixing, registry, secrets
 
@@ -139,6 +142,74 @@ def test_ownership_tells_examples_from_live_ones(spark):
     assert got[12].all == []
 
 
+def _plain_scan(rows):
+    """Every row's spans by plain Python: (owner, repository, text) rows to rendered base and all spans."""
+    base = [[(int(a), secrets.KINDS.index(k), int(b)) for k, a, b in
+             (x.split(":") for x in _plain_spans(t or "").split(",") if x)] for _, _, t in rows]
+    held, wide = {}, []
+    either = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
+    for (owner, repo, text), spans in zip(rows, base):
+        text, own = text or "", []
+        for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(
+                    a < m.end() and m.start() < b for a, _, b in spans):
+                own.append((m.start(), 3, m.end(), m[0]))
+        values = [v for *_, v in own]
+        for a, k, b in spans:
+            hit = text[a:b]
+            values.append(re.match(rf"""(?:{either})["']?\x20*[:=]\x20*["']?(.*)""", hit)[1] if k == 0 else hit)
+        for v in values:
+            held.setdefault(v, set()).add((owner or "", repo or ""))
+        wide.append(own)
+
+    def live(v):
+        return (len({o for o, _ in held[v]}) == 1 and len(held[v]) < secrets.EXAMPLE_REPOS
+                and len(set(v)) >= secrets.LIVE_CHARS and re.search("[0-9]", v))
+
+    names = [*secrets.KINDS, "owned"]
+    return [(",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(spans)),
+             ",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(spans + [w[:3] for w in own if live(w[3])])))
+            for spans, own in zip(base, wide)]
+
+
+def test_added_spans_on_a_planted_table(spark):
+    rng = random.Random(8)
+    values = ["".join(rng.choices("ABCdef0123456789xyzQ", k=rng.randint(18, 40))) for _ in range(30)]
+    values += ["aaaa1111aaaa1111aaaa1111", "0123456789abcdef" * 2, "AKIA" + "Q7X2" * 5]
+    words = ["see", "token = ", "secret:", ",", "é", " ", "\n", '"', "x1"]
+    rows = []
+    for i in range(300):
+        parts = [rng.choice(words) if rng.random() < 0.7 else " " + rng.choice(values) + rng.choice([" ", "", "."])
+                 for _ in range(rng.randint(0, 30))]
+        v = rng.choice(values)
+        rows.append((i % 40, rng.choice(["".join(parts), f"bare {v} here", None]),
+                     rng.choice(["r1", "r2", None]), rng.choice([f"own{values.index(v)}", "me", None])))
+    rows += [(900 + k, "one owner's template Tp4" + "kQ9zLm2Xw7" * 2, f"repo{k}", "solo") for k in range(4)]
+    df = docs_frame(spark, rows)
+    want = _plain_scan([(source, lang, text) for _, text, lang, source in rows])
+    assert sum(a != b for a, b in want) > 20 and all(a == b == "" for a, b in want[-4:])
+    for name in ("base", "wide", "row", "hash", "owner", "repo", "class", "live", "all"):
+        df = df.withColumn(name, F.lit("x"))
+    out = secrets.scan(df).select("doc_id", secrets.render(F.col("base")).alias("b"), secrets.render(F.col("all")).alias("a"))
+    assert sorted((r.doc_id, r.b, r.a) for r in out.collect()) == sorted((r[0], *w) for r, w in zip(rows, want))
+
+
+def test_secrets_odd_tables(spark):
+    assert secrets.scan(docs_frame(spark, SECRETS).limit(0)).count() == 0
+    twice = [(None, "secret: Zx9Zx9qR7tLm2Kp0aB", None, None)] * 3
+    assert {(r.doc_id, secrets_text(r.base), r.n_live) for r in secrets.scan(docs_frame(spark, twice)).collect()} == {
+        (None, "assign:0:26", 1)}
+
+
+def test_many_matches_in_one_text_are_placed_in_about_linear_time(spark):
+    text = " ".join(f"{i:032x}" for i in range(20_000))
+    secrets.scan(docs_frame(spark, [(1, "warm " + "0" * 40)])).collect()
+    start = time.perf_counter()
+    r = secrets.scan(docs_frame(spark, [(1, text)])).first()
+    assert time.perf_counter() - start < 10
+    assert [(s.start, s.stop) for s in r.base] == [(33 * i, 33 * i + 32) for i in range(20_000)]
+
+
 def test_chat_whole_table(spark):
     turns = [(str(r.conv_id), r.turn, r.role, r.text) for r in table(spark, "conversations").collect()]
     got = {(r.conv_id, r.turn): r for r in chat.query(spark, SMALL).collect()}
