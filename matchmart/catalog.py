@@ -22,7 +22,7 @@ from matchmart.functions.numeric import (
 )
 from matchmart.functions.text import coerce_int, normalize_text, null_if_empty_list
 from matchmart.operators import integrity
-from matchmart.operators.dedup import distinct_rows, duplicate_keys, first_per_key
+from matchmart.operators.dedup import distinct_rows, duplicate_keys, first_per_stored_key
 from matchmart.operators.joins import join_dim, left_join_children
 from matchmart.operators.load import insert_ignore, read_table
 from matchmart.operators.ntile import ntile
@@ -188,7 +188,7 @@ SELECT match_id, player_slot, steam_id, lower(trim(personaname)) AS personaname,
 FROM players"""))
 def q_split_players(spark, d):
     """Clean the flattened frame and keep the players columns."""
-    return split_players(clean_players(_wide(warehouse(spark, d))))
+    return split_players(clean_players(written(_wide(warehouse(spark, d)), "players-wide")))
 
 
 @register("split_stat", W(["players", "players_stat"], """
@@ -198,7 +198,7 @@ FROM players p
 LEFT JOIN players_stat s ON p.match_id = s.match_id AND p.player_slot = s.player_slot"""))
 def q_split_stat(spark, d):
     """Statistics columns of the flattened frame."""
-    return split_stat(clean_players(_wide(warehouse(spark, d))))
+    return split_stat(clean_players(written(_wide(warehouse(spark, d)), "players-wide")))
 
 
 _ITEMS_SQL = " UNION ALL ".join(
@@ -211,7 +211,7 @@ _ITEMS_SQL = " UNION ALL ".join(
 @register("unpivot_items", W(["players", "player_items_wide"], _ITEMS_SQL))
 def q_unpivot_items(spark, d):
     """item_0..5 → (item_slot, item_id), 0 → NULL."""
-    return unpivot_items(clean_players(_wide(warehouse(spark, d))))
+    return unpivot_items(clean_players(written(_wide(warehouse(spark, d)), "players-wide")))
 
 
 @register("rename_keys", W(["heroes"], "SELECT hero_id, localized_name FROM heroes"))
@@ -723,7 +723,7 @@ SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedpri
 def q_dedup_key(spark, d):
     """One row per (order, line), the first by a total order (map-side combined)."""
     li = table(spark, d, "lineitem")
-    return first_per_key(li, ["l_orderkey", "l_linenumber"], LINE_ORDER)
+    return first_per_stored_key(li, ["l_orderkey", "l_linenumber"], LINE_ORDER)
 
 
 @register("dup_keys", """
@@ -1139,8 +1139,7 @@ def q_snapshot_merge(spark, d):
     w = warehouse(spark, d)
     old = w.players.withColumn("_src", F.lit(0))
     new = normalize_text(w.players).withColumn("_src", F.lit(1))
-    merged = first_per_key(old.unionByName(new), KEYS["players"],
-                           ["_src", "steam_id", "personaname", "hero_id", "is_radiant", "win"])
+    merged = first_per_stored_key(old.unionByName(new), KEYS["players"], ["_src", "steam_id", "personaname", "hero_id", "is_radiant", "win"])
     path = scratch_path(spark, "snapshot")
     files.write_csv(merged.drop("_src"), path)
     return files.read_csv(spark, path, _PLAYERS_CSV_SCHEMA)

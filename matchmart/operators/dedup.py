@@ -6,13 +6,21 @@ give a total order; the row kept is the minimum of that order. It is written
 as ``min(struct(order...))`` per key, an aggregate that Spark combines on the
 map side before the shuffle, so a key holding a third of all rows still
 shuffles only one row per input partition (a window would move them all).
+
+An aggregate with text or structs in its buffer sorts its input, and shuffles whole
+rows. Where the rows are stored, ``first_per_stored_key`` does that for duplicated
+keys alone: a hash aggregate over the key columns finds these, and all other rows
+pass by, neither sorted nor (as few keys have duplicates, which AQE sees and
+broadcasts) shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -44,6 +52,16 @@ def first_per_key(df: DataFrame, keys: Sequence[str],
                         for c in df.columns])
 
 
+def first_per_stored_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
+    """The rows of ``first_per_key``, for frames that are cheap to read again: the keys are
+    read first, columns that the caller does not use only for duplicated keys."""
+    names = [f"_key{i}" for i in range(len(keys))]
+    again = duplicate_keys(df, keys).select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    first = first_per_key(df.join(again, same, "left_semi"), keys, order)
+    return df.join(again, same, "left_anti").unionByName(first)
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with their multiplicity."""
     return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchmart.functions.text import coerce_int, normalize_text, null_if_empty_list, parse_bool
-from matchmart.operators.dedup import distinct_rows, first_per_key
+from matchmart.operators.dedup import distinct_rows, first_per_stored_key
 from matchmart.schemas import (
     ITEM_COLUMNS, ITEM_SLOTS, MATCH_COLUMNS, PLAYERS_COLUMNS, STAT_COLUMNS,
 )
@@ -34,10 +34,11 @@ def clean_players(players_wide: DataFrame, null_text: str | None = None) -> Data
     """Text normalised, types cast, one row per (match_id, player_slot).
 
     The row kept for a duplicated key is the smallest by the remaining
-    columns: deterministic on any partitioning.
+    columns: deterministic on any partitioning. The frame is read three times (its keys,
+    then single and duplicated rows); give it as stored rows.
     """
     p = cast_player_types(normalize_text(players_wide, null_text))
-    return first_per_key(p, ["match_id", "player_slot"])
+    return first_per_stored_key(p, ["match_id", "player_slot"])
 
 
 def split_players(players_wide: DataFrame) -> DataFrame:

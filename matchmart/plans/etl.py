@@ -40,13 +40,17 @@ LOAD_ORDER = ("players_stat", "players_items", "players", "matches")
 def build_tables(docs: DataFrame, staging: str | None = None) -> dict[str, DataFrame]:
     """Accepted documents → the four fact tables (matches FK-filtered).
 
-    With ``staging`` the cleaned player frame is written once and the three
-    player tables and the FK filter read that copy, instead of exploding and
+    With ``staging`` the exploded and the cleaned player frame are written once and the
+    three player tables and the FK filter read that copy, instead of exploding and
     de-duplicating the documents once per table.
     """
     matches = clean_matches(project_matches(docs))
-    wide = clean_players(explode_players(docs))
-    if staging is not None:
+    wide = explode_players(docs)
+    if staging is None:
+        wide = clean_players(wide)
+    else:
+        wide.write.mode("overwrite").parquet(f"{staging}/players_raw")
+        wide = clean_players(docs.sparkSession.read.parquet(f"{staging}/players_raw"))
         wide.write.mode("overwrite").parquet(f"{staging}/players_wide")
         wide = docs.sparkSession.read.parquet(f"{staging}/players_wide")
     players = split_players(wide)
@@ -74,7 +78,7 @@ def load_batch(spark: SparkSession, lines: DataFrame, root: str,
     parsed = spark.read.schema(parsed.schema.add("rejected", "boolean")).parquet(f"{staging}/lines")
     # A known match is complete (matches are loaded last), so a second document of it
     # is skipped as a whole and adds no players.
-    (raw_documents(dedup_batch(parsed.where("NOT rejected"), known_match_keys(spark, root)))
+    (raw_documents(dedup_batch(parsed.where("NOT rejected"), known_match_keys(spark, root), stored=True))
      .write.mode("overwrite").parquet(f"{staging}/docs"))
     # insert-ignore here too: a retried batch must not list its rejects twice
     insert_ignore(spark, reject_rows(parsed.where("rejected")), f"{root.rstrip('/')}/_rejects",

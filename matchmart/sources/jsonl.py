@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchmart.operators.dedup import first_per_key
+from matchmart.operators.dedup import first_per_key, first_per_stored_key
 from matchmart.schemas import ITEM_SLOTS, MATCH_COLUMNS, PLAYER_WIDE_COLUMNS, RAW_MATCH, RAW_PLAYER
 
 
@@ -157,9 +157,12 @@ def lost_values(parsed: DataFrame) -> DataFrame:
             .groupBy("field").agg(F.count(F.lit(1)).alias("values")))
 
 
-def dedup_batch(parsed: DataFrame, known_keys: DataFrame | None = None) -> DataFrame:
+def dedup_batch(parsed: DataFrame, known_keys: DataFrame | None = None, stored: bool = False) -> DataFrame:
     """Accepted lines, one per match id, minus ids already in the warehouse.
 
+    ``stored`` says that ``parsed`` is a written table: its keys are read first, and only lines
+    of duplicated ids are compared, so documents are not shuffled for being single.
+
     "First" within the batch is the smallest (source file, line text): a
     total order that does not depend on how the input was split. Only these two
     enter the aggregate; ``match_key``, ``source_file``, ``value`` and the typed ``doc``
@@ -172,7 +175,7 @@ def dedup_batch(parsed: DataFrame, known_keys: DataFrame | None = None) -> DataF
     if known_keys is not None:
         known = known_keys.select(F.col(known_keys.columns[0]).alias("match_key"))
         good = good.join(known, "match_key", "left_anti")
-    one = first_per_key(good, ["match_key"], ["source_file", "value"])
+    one = (first_per_stored_key if stored else first_per_key)(good, ["match_key"], ["source_file", "value"])
     return one.withColumn("doc", typed(_raw_doc(F.col("value")), RAW_MATCH))
 
 

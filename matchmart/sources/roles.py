@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchmart.operators.dedup import first_per_key
+from matchmart.operators.dedup import first_per_stored_key
 
 LINE_ORDER = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
               "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -51,7 +51,7 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with (l_orderkey, l_linenumber) made unique, first by LINE_ORDER."""
     li = table(spark, sf_dir, "lineitem")
-    return first_per_key(li, ["l_orderkey", "l_linenumber"], LINE_ORDER)
+    return first_per_stored_key(li, ["l_orderkey", "l_linenumber"], LINE_ORDER)
 
 
 def players_from_lines(lines: DataFrame, supplier: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from matchmart.operators.dedup import duplicate_keys, first_per_key
+from matchmart.operators.dedup import duplicate_keys, first_per_key, first_per_stored_key
 
 
 def test_first_per_key_equals_row_number(spark):
@@ -36,3 +36,24 @@ def test_first_per_key_sorts_nulls_last_like_sql(spark):
                          ORDER BY s, x) AS rn FROM pdf) WHERE rn = 1""").fetchall()
     norm = lambda r: tuple(None if (isinstance(v, float) and v != v) else v for v in r)
     assert got == sorted(norm(r) for r in want)
+
+
+def test_stored_rows_give_the_same_and_single_keys_are_not_sorted(spark, tmp_dir):
+    rows = [(i % 50 if i % 10 else None, i % 3, f"t{i % 7}" if i % 4 else None, float(i)) for i in range(400)]
+    rows += [(1000 + i, 0, "single", 1.0) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, l int, s string, x double")
+    df.write.parquet(f"{tmp_dir}/t")
+    stored = spark.read.parquet(f"{tmp_dir}/t")
+    for keys, order in ((["k", "l"], None), (["k"], ["s", "x"]), (["l", "k"], ["x"])):
+        want = first_per_key(df, keys, order)
+        got = first_per_stored_key(stored, keys, order)
+        assert got.columns == want.columns
+        assert sorted(got.collect(), key=repr) == sorted(want.collect(), key=repr)
+    keys_only = first_per_stored_key(stored, ["k", "l"]).select("k", "l")
+    plan = keys_only._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[k#" in plan and "BroadcastHashJoin" in plan
+    single = plan[plan.index("LeftAnti"):plan.index("LeftSemi")]
+    assert "Sort" not in single
+    scans = [ln for ln in plan.splitlines() if "ReadSchema" in ln]
+    assert sum("x:double" not in ln for ln in scans) >= 2
+    assert first_per_stored_key(stored.where("false"), ["k"]).count() == 0
