@@ -25,5 +25,6 @@ QUERIES = {
 ORACLE = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
+    "op12_repair_chats": repair.ORACLE,
     "op13_phrases": phrases.ORACLE,
 }

@@ -368,3 +368,94 @@ def report(df: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op12: faults, cheapest edits and repaired text of every conversation."""
     return report(load(spark, sf_dir, "conversations"))
+
+
+def _oracle() -> str:
+    """The contract in DuckDB: CRCs from a table made by its rule, then the best list of edits per
+    state, row by row, in a recursive query. A state is the struct (cost, audit, lines)."""
+    def best(*options: str) -> str:
+        return f"list_sort([{', '.join(options)}])[1]"
+
+    def then(state: str, cost: str, letter: str, line: str | None, when: str = "true") -> str:
+        lines = f"{state}.t" if line is None else f"list_append({state}.t, {line})"
+        return (f"{{'c': CASE WHEN {when} THEN {state}.c + {cost} ELSE 1000000000 END, "
+                f"'a': {state}.a || '{letter}', 't': {lines}}}")
+
+    def insert(state: str, role: str) -> str:
+        return then(state, "3", "I", f"'{role}:'")
+
+    def delete(state: str) -> str:
+        return then(state, "4", "D", None)
+
+    keep = "role || ':' || text"
+
+    def kept(state: str, initial: str) -> str:
+        return then(state, "cut", "K", keep, f"NOT must AND initial = '{initial}'")
+
+    def rerole(state: str, role: str) -> str:
+        return then(state, "3 + cut", "R", f"'{role}:' || text", "NOT must")
+
+    def inserted(source: str) -> str:
+        return f"""SELECT * EXCLUDE (u1), u1 AS w2, {best("q3", insert("u1", "assistant"))} AS w3
+    FROM (SELECT *, {best("q2", *[insert(q, "user") for q in ("q0", "q1", "q3")])} AS u1 FROM {source})"""
+
+    after_u = [f(q, *x) for q in ("q0", "q1", "w3") for f, x in ((kept, "u"), (rerole, ("user",)))]
+    return rf"""
+WITH RECURSIVE steps AS (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                          lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256))::BIGINT AS i)
+), crcs AS (
+    SELECT list(c ORDER BY i) AS crc FROM steps
+), named AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+    FROM conversations
+), dealt AS (
+    SELECT * EXCLUDE (name, crc), xor(4294967295::BIGINT, list_reduce(
+        list_concat([4294967295::BIGINT], list_transform(range(1, len(name) + 1), lambda k: ascii(name[k])::BIGINT)),
+        lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]))) % 20 AS kind
+    FROM named, crcs
+), hurt AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+           CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM dealt WHERE kind <> 0
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS pos FROM hurt
+), told AS (
+    SELECT *, role[1] AS initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+           NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS open,
+           lag(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) AS former
+    FROM placed
+), marked AS (
+    SELECT *, blank OR again AS must, CASE WHEN NOT blank AND NOT again AND open THEN 3 ELSE 0 END AS cut FROM told
+), walked AS (
+    SELECT conv_id AS conv, 0::BIGINT AS done_rows, {{'c': 0, 'a': '', 't': []::VARCHAR[]}} AS q0,
+           {{'c': 1000000000, 'a': '', 't': []::VARCHAR[]}} AS q1, {{'c': 1000000000, 'a': '', 't': []::VARCHAR[]}} AS q2,
+           {{'c': 1000000000, 'a': '', 't': []::VARCHAR[]}} AS q3
+    FROM (SELECT DISTINCT conv_id FROM marked)
+    UNION ALL
+    SELECT conv, done_rows + 1, {delete("q0")}, {best(delete("q1"), kept("q0", "s"))},
+           {best(delete("w2"), *after_u)}, {best(delete("w3"), kept("w2", "a"), rerole("w2", "assistant"))}
+    FROM ({inserted("walked")}) JOIN marked ON conv IS NOT DISTINCT FROM conv_id AND pos = done_rows + 1
+), facts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate,
+           count(*) FILTER (cut > 0) AS truncated, max(pos) AS n,
+           count(*) FILTER (pos > 1 AND former || initial NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM marked GROUP BY conv_id
+), done AS (
+    SELECT f.*, {best("w.q0", "w.w3")} AS best
+    FROM facts f JOIN ({inserted("walked")}) w ON w.conv IS NOT DISTINCT FROM f.conv_id AND w.done_rows = f.n
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit,
+       sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+ORACLE = _oracle()

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchmart.llm import repair
-from tests.llm.helpers import SMALL, table
+from tests.llm.helpers import SMALL, same_as_sql, table
 
 SHAPE = "conv_id long, turn long, role string, text string"
 WHITE = "\x20\t\n\x0b\x0c\r"
@@ -203,3 +203,10 @@ def test_given_conversations(spark):
     from matchmart.llm.registry import QUERIES
     out = QUERIES["op12_repair_chats"](spark, SMALL)
     assert sorted((tuple(r) for r in out.collect()), key=repr) == plain_report(rows)
+    same_as_sql(out, repair.ORACLE)
+
+
+def test_sql_says_the_same_of_odd_rows(spark):
+    rows = random_rows(random.Random(11), [*range(40), None], 8)
+    df = spark.createDataFrame(rows, SHAPE)
+    same_as_sql(repair.report(df), repair.ORACLE, conversations=df.toArrow())
