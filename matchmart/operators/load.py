@@ -107,3 +107,20 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     if df is None:
         raise FileNotFoundError(f"no table at {path}")
     return df.drop(*[c for c in BOOKKEEPING if c in df.columns])
+
+
+#: catalogue database of tables that are stored side by side
+_DATABASE = "matchmart_stored"
+
+
+def by_match(df: DataFrame, path: str, buckets: int) -> DataFrame:
+    """``df`` as a catalogue table at ``path`` in ``buckets`` buckets of ``match_id``, a file each.
+
+    Tables with as many buckets join by match, and aggregate by it, without an exchange.
+    """
+    spark = df.sparkSession
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {_DATABASE}")
+    name = f"{_DATABASE}.t_{uuid.uuid4().hex}"
+    (df.repartition(buckets, "match_id").write.bucketBy(buckets, "match_id").sortBy("match_id")
+     .option("path", path).saveAsTable(name))
+    return spark.table(name)

@@ -28,7 +28,7 @@ from matchmart.operators.reshape import (
     unpivot_items,
 )
 from matchmart.schemas import KEYS  # noqa: F401  (re-exported)
-from matchmart.session import scratch_path
+from matchmart.session import scratch_path, size_shuffle_partitions
 from matchmart.sources.jsonl import (
     dedup_batch, explode_players, parse_lines, project_matches, raw_documents,
 )
@@ -147,7 +147,12 @@ def run_daily(spark: SparkSession, landing: str, root: str, marts_root: str,
         load_batch(spark, spark.createDataFrame([], "value string, source_file string"), root)
     tables = warehouse_tables(spark, root)
     tables["heroes"] = read_table(spark, f"{root.rstrip('/')}/heroes")
-    marts = refresh_marts(spark, marts_root, tables)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    size_shuffle_partitions(spark, [f"{root.rstrip('/')}/{name}" for name in tables])
+    try:
+        marts = refresh_marts(spark, marts_root, tables)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     loaded = spark.createDataFrame(list(added.items()), "step string, rows long")
     return (loaded.withColumn("status", F.lit("loaded"))
             .unionByName(marts.select(F.col("mart").alias("step"), "rows", "status")))

@@ -38,8 +38,16 @@ MART_NAMES = ("radiant_win_by_duration", "regions_stat", "win_factors", "heroes_
 # --------------------------------------------------------------------------- facts
 
 def player_stats(players: DataFrame, players_stat: DataFrame) -> DataFrame:
-    """``players ⟕ players_stat`` on the composite key (keys from the player side)."""
-    return players.join(players_stat, ["match_id", "player_slot"], "left")
+    """``players ⟕ players_stat`` on the composite key (keys from the player side).
+
+    The slot is compared by a difference, which is not a join key: both sides are then dealt
+    by the match alone, as all that follows is (sums per match and side, the join with matches),
+    so the joined rows, the widest there are, are not dealt again. A match meets at most a
+    slot's domain of rows. Tables that are bucketed by match are not dealt at all.
+    """
+    own = players_stat.withColumnsRenamed({"match_id": "_match", "player_slot": "_slot"})
+    slot = (F.col("player_slot").cast("long") - F.col("_slot").cast("long")) == 0
+    return players.join(own, (F.col("match_id") == F.col("_match")) & slot, "left").drop("_match", "_slot")
 
 
 HAS_PLAYER = "has_player"

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchmart.operators.dedup import first_per_stored_key
+from matchmart.operators.load import by_match
 
 LINE_ORDER = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
               "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -154,21 +155,32 @@ _STORED: dict[tuple[str, ...], tuple[str, Warehouse]] = {}
 _FIELDS = ("matches", "players", "players_stat", "player_items_wide", "heroes", "items")
 
 
+#: tables that are stored side by side, in buckets of match ids; a bucket's decoded size, and the fewest
+_BY_MATCH = ("matches", "players", "players_stat", "player_items_wide")
+BUCKET_BYTES, MIN_BUCKETS = 256 << 20, 8
+
+
+def _plain(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def stored_warehouse(spark: SparkSession, sf_dir: str, force: bool = False) -> Warehouse:
     """The role-mapped warehouse written once as Parquet tables, then read back.
 
     Marts in production read stored warehouse tables, not views over raw
     tables; this gives the test data the same shape. The de-duplicated line
     items are written first and the three player tables derived from the
-    stored copy, so the dedup runs once. Tables live in a fresh folder under
+    stored copy, so the dedup runs once; tables with a match id are bucketed by it
+    (``by_match``). Tables live in a fresh folder under
     the shared checkpoint dir and are reused while the given files stay as they
     are: names, lengths and modification times are part of the key.
     """
     from matchmart.operators.load import table_exists
-    from matchmart.session import files_stamp, scratch_path
+    from matchmart.session import files_stamp, input_bytes, scratch_path
 
-    key = (spark.sparkContext.applicationId, sf_dir, files_stamp(spark, [
-        f"{sf_dir.rstrip('/')}/{t}.parquet" for t in SOURCES]))
+    paths = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in SOURCES]
+    key = (spark.sparkContext.applicationId, sf_dir, files_stamp(spark, paths))
     hit = _STORED.get(key)
     if hit and not force and table_exists(spark, f"{hit[0]}/_DONE"):
         return hit[1]
@@ -183,9 +195,10 @@ def stored_warehouse(spark: SparkSession, sf_dir: str, force: bool = False) -> W
         heroes=heroes(spark, sf_dir),
         items=items(spark, sf_dir),
     )
-    for name in _FIELDS:
-        getattr(lazy, name).write.parquet(f"{root}/{name}")
+    buckets = max(MIN_BUCKETS, input_bytes(spark, paths) * 3 // BUCKET_BYTES)
+    found = {n: (by_match(getattr(lazy, n), f"{root}/{n}", buckets) if n in _BY_MATCH
+                 else _plain(getattr(lazy, n), f"{root}/{n}")) for n in _FIELDS}
     spark.createDataFrame([("ok",)], "s string").write.text(f"{root}/_DONE")
-    stored = Warehouse(**{n: spark.read.parquet(f"{root}/{n}") for n in _FIELDS})
+    stored = Warehouse(**found)
     _STORED[key] = (root, stored)
     return stored

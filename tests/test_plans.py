@@ -60,3 +60,28 @@ def test_size_shuffle_partitions(spark):
         assert n > 8 and spark.conf.get("spark.sql.shuffle.partitions") == str(n)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def _exchanges(df) -> list[str]:
+    return [ln.strip(" +-:*()0123456789") for ln in _plan(df).splitlines() if "Exchange hashpartitioning" in ln]
+
+
+def test_player_tables_are_dealt_once_by_match(spark, tmp_dir):
+    """Plain files are dealt by match, once each; stored side by side they are not dealt at all."""
+    w = stored_warehouse(spark, SF_SMALL)
+    names = ("matches", "players", "players_stat")
+    for name in names:
+        getattr(w, name).write.parquet(f"{tmp_dir}/{name}")
+    plain = [spark.read.parquet(f"{tmp_dir}/{name}") for name in names]
+    stored = [getattr(w, name) for name in names]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for make in (marts.match_player_facts, marts.team_stats):
+            assert len(_exchanges(make(*plain))) == 3 and _exchanges(make(*stored)) == []
+        for mart in (marts.win_factors, marts.unknown_players):
+            # what is left deals histograms, by group, metric and value
+            assert all("metric" in e or "match_id" not in e for e in _exchanges(mart(*stored)))
+            assert sorted(map(repr, mart(*stored).collect())) == sorted(map(repr, mart(*plain).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
