@@ -18,7 +18,8 @@ Defined cases: a result without a call is ``orphan``, a call without a result
 counts and the others are ``duplicate``; a result whose call is a duplicate id
 is linked to the one that counts; nodes on a cycle have depth null; arguments
 that are no JSON object fail validation; null texts count as empty; null roles
-make plain messages; an empty table gives an empty table; further columns are
+make plain messages; a message without a conversation or call id (a null turn gives none)
+is linked with nothing, so its call is ``open``, its result an ``orphan``, its depth 0; an empty table gives an empty table; further columns are
 left alone.
 """
 
@@ -141,7 +142,8 @@ def link(turns: DataFrame, schemas: Schemas) -> DataFrame:
     first = F.col("call_node") == F.col("node")
     status = (F.when(F.col("kind") == "plain", "plain")
               .when(F.col("kind") == "result", F.when(F.col("call_node").isNull(), "orphan").otherwise("linked"))
-              .when(~first | first.isNull(), "duplicate")
+              .when(F.col("call_node").isNull(), "open")
+              .when(~first, "duplicate")
               .when(F.col("answered"), "linked").otherwise("open"))
     parent = F.when(F.col("kind") == "result", F.col("call_node")).otherwise(F.col("after_node"))
     linked = stage(linked.withColumn("status", status).withColumn("parent", parent), "chat-linked")

@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from matchmart.llm import minhash
 
@@ -118,3 +119,14 @@ def test_bitmaps_bound_the_difference():
         x, y = (np.unique(r.integers(0, 3000, 400, dtype=np.uint64) * np.uint64(7919)) for _ in range(2))
         a, b = (np.frombuffer(minhash.bitmap(s), np.uint8) for s in (x, y))
         assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
+
+
+def test_columns_with_clashing_names(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, base), (2, base + " more"), (3, base), (4, "something else entirely, five words"), (5, None)]
+    df = docs_frame(spark, rows)
+    for name in ("n", "node", "sig", "bands", "part", "least_id", "component_id", "shingles", "wanted", "key"):
+        df = df.withColumn(name, F.lit("x"))
+    _check(minhash.near_groups(df).select("doc_id", "n_shingles", "component_id"), rows)
+    kept = minhash.survivors(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4, 5]

@@ -232,7 +232,7 @@ def test_chat_calls_results_and_schemas(spark):
     rows = [("a", 0, "user", '{"tool_call":{"id":"x","name":"f","arguments":{"z":1,"b":{"y":2,"a":"é"}}}}'),
             ("a", 1, "tool", '{"tool_result":{"id":"x","content":"ok"}}'), ("a", 2, "assistant", "plain"), ("a", 3, None, None),
             ("a", 4, "user", '{"tool_call":{"id":"x","name":"g","arguments":[1]}}')]
-    turns = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string").withColumnRenamed("text", "text")
+    turns = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
     got = {r.turn: r for r in chat.link(chat.read_turns(turns), {"f": {"z": ("string", True), "d": ("object", True)}}).collect()}
     assert [got[k].status for k in range(5)] == ["linked", "linked", "orphan", "plain", "duplicate"]
     assert got[0].errors == "b: unknown; d: missing; z: not string" and got[4].errors == "unknown tool: g"
@@ -247,3 +247,34 @@ def test_depths_of_chains_trees_and_cycles(spark):
     assert got[200] is got[201] is got[202] is None
 
 
+
+
+def test_chat_odd_rows(spark):
+    """Nulls in every column, repeated rows, empty and very long texts, columns with clashing names."""
+    rows = [(None, 0, "user", "q"), (None, 1, "assistant", "a"), (1, None, "user", "q"), (1, None, "assistant", "a"),
+            (2, 0, "user", "same"), (2, 0, "user", "same"), (2, 1, "assistant", None), (2, 1, "assistant", ""),
+            (3, 0, None, None), (4, 0, "user", "w " * 300_000), (4, 1, "assistant", "x" * 300_000), (5, 0, "user", "{not json")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    want = sorted(map(tuple, chat.link(chat.read_turns(turns), chat.REPLY).collect()), key=repr)
+    got = {}
+    for r in want:
+        got.setdefault((r[0], r[1], r[2]), []).append((r[5], r[6]))
+    assert got[None, 0, "user"] == [("open", 0)] and got[None, 1, "assistant"] == [("orphan", 0)]
+    assert got["1", None, "user"] == [("open", 0)] and got["1", None, "assistant"] == [("orphan", 0)]
+    assert sorted(s for s, _ in got["2", 0, "user"]) == ["duplicate", "linked"]
+    assert got["2", 1, "assistant"] == [("linked", 1)] * 2 and got["3", 0, None] == [("plain", 0)]
+    assert got["4", 1, "assistant"] == [("linked", 1)] and got["5", 0, "user"] == [("open", 0)]
+    for name in ("kind", "call_id", "node", "status", "said", "parent", "depth", "after", "errors", "json"):
+        turns = turns.withColumn(name, F.lit("x"))
+    assert sorted(map(tuple, chat.link(chat.read_turns(turns), chat.REPLY).collect()), key=repr) == want
+
+
+def test_depths_equal_a_plain_walk(spark):
+    rng = random.Random(3)
+    parents = {k: rng.choice([None, *range(k)]) if k else None for k in range(150)}
+
+    def walk(k):
+        return 0 if parents[k] is None else 1 + walk(parents[k])
+
+    got = {r.node: r.depth for r in chat.depths(spark.createDataFrame(list(parents.items()), "node long, parent long")).collect()}
+    assert got == {k: walk(k) for k in parents}

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from matchmart.llm import weighted_sampling as cws
 
@@ -78,3 +79,11 @@ def test_odd_rows(spark):
     assert cws.neighbours(docs_frame(spark, [])).count() == 0
     twice = cws.neighbours(docs_frame(spark, [(1, "a b"), (1, "a b"), (None, "c"), (None, None)])).toPandas()
     assert len(twice) == 4 and twice.doc_id.isna().sum() == 2
+
+
+def test_columns_with_clashing_names(spark):
+    rows = [(5, None), (9, "some words here"), (2, "other words there and here")]
+    df = docs_frame(spark, rows)
+    for name in ("row", "part", "place", "next", "print", "fingerprint", "edited", "near_next", "id"):
+        df = df.withColumn(name, F.lit("x"))
+    _check(cws.neighbours(df).toPandas(), rows)
