@@ -1133,6 +1133,19 @@ def q_csv_roundtrip(spark, d):
     return files.read_csv(spark, path, _PLAYERS_CSV_SCHEMA)
 
 
+@register("bag_union", W(["players", "players_stat"], """
+SELECT match_id, player_slot, steam_id, kills, gold_per_min FROM (
+  SELECT match_id, player_slot, steam_id FROM players
+  UNION ALL BY NAME SELECT match_id, player_slot, kills, gold_per_min FROM players_stat
+  UNION ALL BY NAME SELECT match_id, player_slot, steam_id FROM players) u"""))
+def q_bag_union(spark, d):
+    """Rows of several frames, repeats kept, columns by name, missing ones NULL."""
+    w = warehouse(spark, d)
+    p = w.players.select("match_id", "player_slot", "steam_id")
+    s = w.players_stat.select("match_id", "player_slot", "kills", "gold_per_min")
+    return p.unionByName(s, allowMissingColumns=True).unionByName(p, allowMissingColumns=True)
+
+
 @register("snapshot_merge", W(["players"], "SELECT * FROM players"))
 def q_snapshot_merge(spark, d):
     """Old snapshot ∪ new download, key dedup keeping the old row, rewrite."""
