@@ -30,7 +30,7 @@ from matchmart.operators.reshape import (
 from matchmart.schemas import KEYS  # noqa: F401  (re-exported)
 from matchmart.session import scratch_path, size_shuffle_partitions
 from matchmart.sources.jsonl import (
-    dedup_batch, explode_players, parse_lines, project_matches, raw_documents,
+    dedup_batch, explode_players, parse_lines, project_matches, typed_documents,
 )
 from matchmart.sources.jsonl import rejects as reject_rows
 
@@ -78,7 +78,7 @@ def load_batch(spark: SparkSession, lines: DataFrame, root: str,
     parsed = spark.read.schema(parsed.schema.add("rejected", "boolean")).parquet(f"{staging}/lines")
     # A known match is complete (matches are loaded last), so a second document of it
     # is skipped as a whole and adds no players.
-    (raw_documents(dedup_batch(parsed.where("NOT rejected"), known_match_keys(spark, root), stored=True))
+    (typed_documents(dedup_batch(parsed.where("NOT rejected"), known_match_keys(spark, root), stored=True))
      .write.mode("overwrite").parquet(f"{staging}/docs"))
     # insert-ignore here too: a retried batch must not list its rejects twice
     insert_ignore(spark, reject_rows(parsed.where("rejected")), f"{root.rstrip('/')}/_rejects",

@@ -11,10 +11,10 @@ cast could not take.
 
 Each line is read for its key and validity once (no value is built but the id), and
 for its fields once, with a schema of only the fields that are asked for, after
-duplicates are gone. A parsed value that several columns use comes out of a
-one-element ``inline``, which the optimizer does not merge into them; merged, each
-column would parse the line again. Players are exploded as text and typed as plain
-columns, in generated code.
+duplicates are gone. Fields are parsed straight into their types; only a line that has a
+value of another type is parsed again, as text. A parsed value that several
+columns use comes out of a one-element ``inline``, which the optimizer does not merge into
+them; merged, each column would parse the line again.
 """
 
 from __future__ import annotations
@@ -179,44 +179,51 @@ def dedup_batch(parsed: DataFrame, known_keys: DataFrame | None = None, stored:
     return one.withColumn("doc", typed(_raw_doc(F.col("value")), RAW_MATCH))
 
 
-def raw_documents(docs: DataFrame) -> DataFrame:
-    """``match_key`` and ``raw`` (all fields as text): the form that is written between stages."""
-    return docs.select("match_key", _raw_doc(F.col("value")).alias("raw"))
+_BAD = "_corrupt_record"
 
 
-def _fields(docs: DataFrame, schema: T.StructType) -> tuple[DataFrame, bool]:
-    """``match_key`` and the fields of ``schema``, and whether they are text still.
+def _typed_once(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """``lines`` (with ``value``) and ``_doc``, the line's fields of ``schema`` typed.
 
-    Documents come as lines (parsed here, for these fields alone), as written ``raw``
-    structs or as typed ones.
+    Nearly all lines have every scalar in its own type and are parsed straight into it. A
+    line with a value of another type (which the parser marks) is parsed again, as text.
     """
-    names = schema.fieldNames()
-    if "raw" in docs.columns:
-        return docs.select("match_key", *[F.col("raw")[n].alias(n) for n in names]), True
-    if "value" in docs.columns:
-        once = _once(docs.select("match_key", "value"), _doc=_raw_doc(F.col("value"), schema))
-        return once.select("match_key", *[F.col("_doc")[n].alias(n) for n in names]), True
-    return docs.select("match_key", *[F.col("doc")[n].alias(n) for n in names]), False
+    marked = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
+    plain = F.from_json(_trimmed(F.col("value")), marked, {"columnNameOfCorruptRecord": _BAD})
+    once = _once(lines, _plain=plain)
+    odd = F.col("_plain")[_BAD].isNotNull()
+    once = _once(once, _text=F.when(odd, _raw_doc(F.col("value"), schema)))
+    fields = [F.when(odd, typed(F.col("_text")[f.name], f.dataType)).otherwise(F.col("_plain")[f.name]).alias(f.name)
+              for f in schema.fields]
+    return once.select(*lines.columns, F.struct(*fields).alias("_doc"))
+
+
+def typed_documents(docs: DataFrame) -> DataFrame:
+    """``match_key`` and ``doc``, typed: the form that is written between stages."""
+    return _typed_once(docs.select("match_key", "value"), RAW_MATCH).select("match_key", F.col("_doc").alias("doc"))
+
+
+def _fields(docs: DataFrame, names: list[str]) -> DataFrame:
+    """``match_key`` and typed fields of documents that come as lines or as ``doc`` structs."""
+    if "value" not in docs.columns:
+        return docs.select("match_key", *[F.col("doc")[n].alias(n) for n in names])
+    some = T.StructType([f for f in RAW_MATCH.fields if f.name in names])
+    return _typed_once(docs.select("match_key", "value"), some).select(
+        "match_key", *[F.col("_doc")[n].alias(n) for n in names])
 
 
 def project_matches(docs: DataFrame) -> DataFrame:
     """Match-level fields; a missing field is NULL."""
-    schema = T.StructType([f for f in RAW_MATCH.fields if f.name in MATCH_COLUMNS[1:]])
-    rows, text = _fields(docs, schema)
-    return rows.select(F.col("match_key").alias("match_id"), *[
-        (typed(F.col(f.name), f.dataType) if text else F.col(f.name)).alias(f.name) for f in schema.fields])
+    return _fields(docs, MATCH_COLUMNS[1:]).withColumnRenamed("match_key", "match_id")
 
 
 def explode_players(docs: DataFrame) -> DataFrame:
     """One row per player carrying the match key; a missing, NULL or empty list gives no rows."""
-    rows, text = _fields(docs, T.StructType([RAW_MATCH["players"]]))
+    rows = _fields(docs, ["players"])
     p = rows.select(F.col("match_key").alias("match_id"), F.explode("players").alias("p"))
-    cols = [F.col("match_id")]
-    for f in RAW_PLAYER.fields:
-        name = {"account_id": "steam_id", "isRadiant": "is_radiant"}.get(f.name, f.name)
-        value = F.col("p")[f.name]
-        cols.append((typed(value, f.dataType) if text else value).alias(name))
-    return p.select(*cols).select(*PLAYER_WIDE_COLUMNS)
+    names = {"account_id": "steam_id", "isRadiant": "is_radiant"}
+    return p.select("match_id", *[F.col("p")[f.name].alias(names.get(f.name, f.name)) for f in RAW_PLAYER.fields]).select(
+        *PLAYER_WIDE_COLUMNS)
 
 
 def read_raw_matches(spark: SparkSession, path: str, known_keys: DataFrame | None = None,

@@ -126,3 +126,17 @@ def test_scalars_of_another_type_are_cast_or_reported(spark):
     p = jsonl.explode_players(docs).first()
     assert (p.player_slot, p.hero_id, p.win, p.hero_damage, p.kills, p.is_radiant) == (0, 5, 1, 3, None, False)
     assert {r.field: r["values"] for r in jsonl.lost_values(parsed).collect()} == {"duration": 1, "players[].kills": 1}
+
+
+def test_regular_and_odd_lines_give_the_same_values(spark):
+    """A line with one odd scalar goes the text way; its other fields are as in a regular one."""
+    plain = json.loads(EDGE_LINES[0])
+    odd = json.loads(EDGE_LINES[0])
+    odd["match_id"], odd["duration"], odd["players"][1]["kills"], odd["players"][0]["personaname"] = 2, "1500", 3.0, 7
+    docs = jsonl.dedup_batch(jsonl.parse_lines(_lines(spark, json.dumps(plain), json.dumps(odd))))
+    for form in (docs, jsonl.typed_documents(docs), docs.drop("value")):
+        m = {r.match_id: r for r in jsonl.project_matches(form).collect()}
+        assert m[1][1:] == m[2][1:] == (1500, None, True, 3)
+        p = {(r.match_id, r.player_slot): r for r in jsonl.explode_players(form).collect()}
+        assert p[1, 128][1:] == p[2, 128][1:] and (p[1, 0].personaname, p[2, 0].personaname) == (" Name0 ", "7")
+        assert p[1, 0].is_radiant is True and p[1, 0].kills == p[2, 0].kills == 3
