@@ -46,7 +46,7 @@ GRAMS = (3, 4, 5, 6)
 SAMPLE, SAMPLE_CHARS = 1500, 20_000
 THRESHOLD = 0.3
 #: bytes of text whose words are looked up together, windows per matrix step, words whose vectors are summed together
-SLICE, BATCH, WORDS = 4 << 20, 1024, 16_384
+SLICE, BATCH, WORDS = 2 << 20, 1024, 16_384
 _SEED = 7
 
 
@@ -68,6 +68,17 @@ class Features:
 
 
 def features(words: list[str]) -> Features:
+    """``WORDS`` words at a time, as their n-grams are many."""
+    parts = [_features(words[k:k + WORDS]) for k in range(0, len(words), WORDS)] or [_features([])]
+    if len(parts) == 1:
+        return parts[0]
+    before = np.cumsum([0] + [len(p.gram) for p in parts[:-1]])
+    return Features(np.concatenate([p.word for p in parts]), np.concatenate([p.gram for p in parts]),
+                    np.concatenate([p.start + b for p, b in zip(parts, before)]),
+                    np.concatenate([p.scale for p in parts]))
+
+
+def _features(words: list[str]) -> Features:
     raw = [w.encode() or b" " for w in words]
     word = np.fromiter((xxhash.xxh32_intdigest(w) for w in raw), np.int64, len(raw)) % WORD_ROWS
     flat = np.frombuffer(b"".join(b"^" + w + b"$" for w in raw), np.uint8).astype(np.uint64)
@@ -217,8 +228,11 @@ class Net:
 
     @staticmethod
     def window_codes(code: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-        step = np.arange(T)
-        return code[np.where(step < size[:, None], first[:, None] + step, len(code) - 1)]
+        step, out = np.arange(T), np.empty((len(first), T), np.int32)
+        for k in range(0, len(first), 8 * BATCH):
+            part = slice(k, k + 8 * BATCH)
+            out[part] = code[np.where(step < size[part, None], first[part, None] + step, len(code) - 1)]
+        return out
 
     def windows(self, texts: pa.Array):
         """(distinct words, codes by window, text of each window)."""
