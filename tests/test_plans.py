@@ -2,6 +2,7 @@
 
 import re
 
+from matchmart.operators.load import by_match
 from matchmart.plans import marts
 from matchmart.sources import jsonl
 from matchmart.sources.roles import stored_warehouse
@@ -74,7 +75,7 @@ def test_player_tables_are_dealt_once_by_match(spark, tmp_dir):
     for name in names:
         getattr(w, name).write.parquet(f"{tmp_dir}/{name}")
     plain = [spark.read.parquet(f"{tmp_dir}/{name}") for name in names]
-    stored = [getattr(w, name) for name in names]
+    stored = [by_match(getattr(w, name), f"{tmp_dir}/bucketed/{name}", 4) for name in names]
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
