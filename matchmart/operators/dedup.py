@@ -9,9 +9,9 @@ shuffles only one row per input partition (a window would move them all).
 
 An aggregate with text or structs in its buffer sorts its input, and shuffles whole
 rows. Where the rows are stored, ``first_per_stored_key`` does that for duplicated
-keys alone: a hash aggregate over the key columns finds these, and all other rows
-pass by, neither sorted nor (as few keys have duplicates, which AQE sees and
-broadcasts) shuffled.
+keys alone: a hash aggregate over the key columns finds and writes these, and all other
+rows pass by, neither sorted nor shuffled. With many duplicated keys, which no task can
+hold, all rows are shuffled, once.
 """
 
 from __future__ import annotations
@@ -23,6 +23,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchmart.session import written
+
+#: duplicated keys that every task may hold in memory
+MANY_KEYS = 500_000
+
 
 def distinct_rows(df: DataFrame) -> DataFrame:
     """Full-row dedup (``drop_duplicates()`` with no subset)."""
@@ -54,9 +59,16 @@ def first_per_key(df: DataFrame, keys: Sequence[str],
 
 def first_per_stored_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
     """The rows of ``first_per_key``, for frames that are cheap to read again: the keys are
-    read first, columns that the caller does not use only for duplicated keys."""
+    read first (at once), columns that the caller does not use only for duplicated keys."""
     names = [f"_key{i}" for i in range(len(keys))]
-    again = duplicate_keys(df, keys).select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
+    again = written(duplicate_keys(df, keys).select(*[F.col(k).alias(n) for k, n in zip(keys, names)]),
+                    "duplicate-keys")
+    many = again.count()
+    if many == 0:
+        return df
+    if many > MANY_KEYS:
+        return first_per_key(df, keys, order)
+    again = F.broadcast(again)
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
     first = first_per_key(df.join(again, same, "left_semi"), keys, order)
     return df.join(again, same, "left_anti").unionByName(first)

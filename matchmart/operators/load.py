@@ -53,9 +53,11 @@ def key_bucket(c, width: int = BUCKET_WIDTH):
 
 
 def new_rows(batch: DataFrame, target: DataFrame | None, keys: Sequence[str],
-             bucketed: bool = False) -> DataFrame:
+             bucketed: bool = False, unique: bool = False) -> DataFrame:
     """Rows of ``batch`` whose key is new: batch key-dedup, then anti join.
 
+    ``unique`` says that the batch has a row per key already, so it is not shuffled for that.
+
     With ``bucketed`` the batch carries ``_bucket`` and the target is partitioned by
     it. The batch's distinct buckets (at most one per partition folder and million ids)
     are broadcast, and dynamic partition pruning makes the target scan read the key
@@ -63,7 +65,7 @@ def new_rows(batch: DataFrame, target: DataFrame | None, keys: Sequence[str],
     range up to it.
     """
     keys = list(keys)
-    b = first_per_key(batch, keys)
+    b = batch if unique else first_per_key(batch, keys)
     if target is None:
         return b
     if not bucketed:
@@ -76,11 +78,12 @@ def new_rows(batch: DataFrame, target: DataFrame | None, keys: Sequence[str],
 
 def insert_ignore(spark: SparkSession, batch: DataFrame, path: str,
                   keys: Sequence[str], bucket_of: str | None = None,
-                  bucket_width: int = BUCKET_WIDTH) -> DataFrame:
+                  bucket_width: int = BUCKET_WIDTH, unique: bool = False) -> DataFrame:
     """Append the new rows of ``batch`` to the Parquet table at ``path``.
 
     ``bucket_of`` names an integer key column (e.g. ``match_id``) whose range
-    bucket partitions the table on disk (see :func:`new_rows`).
+    bucket partitions the table on disk, ``unique`` a batch without duplicated keys
+    (see :func:`new_rows`).
 
     Returns a one-row DataFrame ``(table, inserted)``; the rows are counted as they
     are written, the table is not listed or read again.
@@ -88,7 +91,7 @@ def insert_ignore(spark: SparkSession, batch: DataFrame, path: str,
     if bucket_of:
         batch = batch.withColumn(BUCKET_COL, key_bucket(bucket_of, bucket_width))
     target = _stored(spark, path)
-    rows = new_rows(batch, target, keys, bucketed=bool(bucket_of))
+    rows = new_rows(batch, target, keys, bucketed=bool(bucket_of), unique=unique)
     out = rows.withColumn("_load", F.lit(uuid.uuid4().hex))
     seen = Observation()
     w = out.observe(seen, F.count(F.lit(1)).alias("inserted")).write.mode("append")

@@ -40,18 +40,14 @@ LOAD_ORDER = ("players_stat", "players_items", "players", "matches")
 def build_tables(docs: DataFrame, staging: str | None = None) -> dict[str, DataFrame]:
     """Accepted documents → the four fact tables (matches FK-filtered).
 
-    With ``staging`` the exploded and the cleaned player frame are written once and the
+    With ``staging`` (and stored ``docs``) the cleaned player frame is written once and the
     three player tables and the FK filter read that copy, instead of exploding and
     de-duplicating the documents once per table.
     """
     matches = clean_matches(project_matches(docs))
-    wide = explode_players(docs)
-    if staging is None:
-        wide = clean_players(wide)
-    else:
-        wide.write.mode("overwrite").parquet(f"{staging}/players_raw")
-        wide = clean_players(docs.sparkSession.read.parquet(f"{staging}/players_raw"))
-        wide.write.mode("overwrite").parquet(f"{staging}/players_wide")
+    wide = clean_players(explode_players(docs))
+    if staging is not None:
+        wide.write.mode("overwrite").option("compression", "zstd").parquet(f"{staging}/players_wide")
         wide = docs.sparkSession.read.parquet(f"{staging}/players_wide")
     players = split_players(wide)
     return {
@@ -74,21 +70,22 @@ def load_batch(spark: SparkSession, lines: DataFrame, root: str,
     # The landing files are read once: lines with their key or reason, rejects apart.
     parsed = parse_lines(lines).drop("doc")
     (parsed.withColumn("rejected", F.col("reject").isNotNull())
-     .write.mode("overwrite").partitionBy("rejected").parquet(f"{staging}/lines"))
+     .write.mode("overwrite").option("compression", "zstd").partitionBy("rejected").parquet(f"{staging}/lines"))
     parsed = spark.read.schema(parsed.schema.add("rejected", "boolean")).parquet(f"{staging}/lines")
     # A known match is complete (matches are loaded last), so a second document of it
     # is skipped as a whole and adds no players.
     (typed_documents(dedup_batch(parsed.where("NOT rejected"), known_match_keys(spark, root), stored=True))
-     .write.mode("overwrite").parquet(f"{staging}/docs"))
+     .write.mode("overwrite").option("compression", "zstd").parquet(f"{staging}/docs"))
     # insert-ignore here too: a retried batch must not list its rejects twice
     insert_ignore(spark, reject_rows(parsed.where("rejected")), f"{root.rstrip('/')}/_rejects",
                   ["source_file", "value", "reject"]).collect()
     docs = spark.read.parquet(f"{staging}/docs")
+    # each of them has one row per key: documents by match, players by slot, items by item slot
     tables = build_tables(docs, staging)
     status = None
     for name in LOAD_ORDER:
         s = insert_ignore(spark, tables[name], f"{root.rstrip('/')}/{name}", KEYS[name],
-                          bucket_of="match_id")
+                          bucket_of="match_id", unique=True)
         status = s if status is None else status.unionByName(s)
     if own:
         storage.remove(spark, staging)

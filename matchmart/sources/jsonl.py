@@ -19,12 +19,15 @@ them; merged, each column would parse the line again.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchmart.operators.dedup import first_per_key, first_per_stored_key
+from matchmart.operators.dedup import MANY_KEYS, first_per_key, first_per_stored_key
 from matchmart.schemas import ITEM_SLOTS, MATCH_COLUMNS, PLAYER_WIDE_COLUMNS, RAW_MATCH, RAW_PLAYER
+from matchmart.session import written
 
 
 RUN_DATE = "run_date"
@@ -157,11 +160,18 @@ def lost_values(parsed: DataFrame) -> DataFrame:
             .groupBy("field").agg(F.count(F.lit(1)).alias("values")))
 
 
-def dedup_batch(parsed: DataFrame, known_keys: DataFrame | None = None, stored: bool = False) -> DataFrame:
+#: fields of a match without its players
+MATCH_FIELDS = tuple(MATCH_COLUMNS[1:])
+
+
+def dedup_batch(parsed: DataFrame, known_keys: DataFrame | None = None, stored: bool = False,
+                fields: Sequence[str] | None = None) -> DataFrame:
     """Accepted lines, one per match id, minus ids already in the warehouse.
 
     ``stored`` says that ``parsed`` is a written table: its keys are read first, and only lines
     of duplicated ids are compared, so documents are not shuffled for being single.
+    ``fields`` names the top-level fields that the caller needs: only these are shuffled, and
+    ``match_key``, ``source_file`` and ``doc`` (with these fields) come out.
 
     "First" within the batch is the smallest (source file, line text): a
     total order that does not depend on how the input was split. Only these two
@@ -174,11 +184,55 @@ def dedup_batch(parsed: DataFrame, known_keys: DataFrame | None = None, stored:
     good = good.select("match_key", "source_file", "value")
     if known_keys is not None:
         known = known_keys.select(F.col(known_keys.columns[0]).alias("match_key"))
-        good = good.join(known, "match_key", "left_anti")
+        good = _without_known(good, known) if stored else good.join(known, "match_key", "left_anti")
+    if fields is not None:
+        return _first_fields(good, fields)
     one = (first_per_stored_key if stored else first_per_key)(good, ["match_key"], ["source_file", "value"])
     return one.withColumn("doc", typed(_raw_doc(F.col("value")), RAW_MATCH))
 
 
+def _without_known(good: DataFrame, known: DataFrame) -> DataFrame:
+    """Lines whose id is not known. Ids are compared first, so the lines of a batch that is
+    all new or all known, but for some ids, are not shuffled."""
+    ids = good.select("match_key").distinct()
+    seen = written(known.join(ids, "match_key", "left_semi"), "known-ids")
+    n = seen.count()
+    if n == 0:
+        return good
+    if n <= MANY_KEYS:
+        return good.join(F.broadcast(seen), "match_key", "left_anti")
+    fresh = written(ids.join(seen, "match_key", "left_anti").withColumnRenamed("match_key", "_id"), "new-ids")
+    if fresh.count() <= MANY_KEYS:
+        return good.join(F.broadcast(fresh), F.col("match_key").eqNullSafe(F.col("_id")), "left_semi")
+    return good.join(seen, "match_key", "left_anti")
+
+
+def _first_fields(good: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``names`` of each id's first line by (source file, line text), without shuffling lines.
+
+    Two digests tell whether an id's lines in its first file are one text. Only where they
+    are not are the lines read again and compared.
+    """
+    some = T.StructType([f for f in RAW_MATCH.fields if f.name in names])
+    first_file = [F.col("source_file").isNull().alias("_none"), F.col("source_file")]
+    sums = {"_a": F.xxhash64("value"), "_b": F.xxhash64(F.lit(1), F.col("value"))}
+    rows = _typed_once(good, some).select("match_key", "source_file", *[F.col("_doc")[n].alias(n) for n in names],
+                                          *[h.alias(n) for n, h in sums.items()])
+    by_file = rows.groupBy("match_key", "source_file").agg(
+        *[F.min(n).alias(n) for n in names],
+        ((F.min("_a") != F.max("_a")) | (F.min("_b") != F.max("_b"))).alias("_differ"))
+    one = written(by_file.groupBy("match_key").agg(
+        F.min(F.struct(*first_file, "_differ", *names)).alias("_first")).select("match_key", "_first.*"), "first-lines")
+    plain = one.where("NOT _differ").select("match_key", "source_file", F.struct(*names).alias("doc"))
+    differ = one.where("_differ").select(F.col("match_key").alias("_key"), F.col("source_file").alias("_file"))
+    if differ.isEmpty():
+        return plain
+    same = F.col("match_key").eqNullSafe(F.col("_key")) & F.col("source_file").eqNullSafe(F.col("_file"))
+    again = first_per_key(good.join(differ, same, "left_semi"), ["match_key"], ["source_file", "value"])
+    return plain.unionByName(_typed_once(again, some).select(
+        "match_key", "source_file", F.struct(*[F.col("_doc")[n].alias(n) for n in names]).alias("doc")))
+
+
 _BAD = "_corrupt_record"
 
 
@@ -227,9 +281,9 @@ def explode_players(docs: DataFrame) -> DataFrame:
 
 
 def read_raw_matches(spark: SparkSession, path: str, known_keys: DataFrame | None = None,
-                     strict: bool = False) -> DataFrame:
+                     strict: bool = False, fields: Sequence[str] | None = None) -> DataFrame:
     """Landing folder → de-duplicated accepted documents (``match_key``, ``doc``)."""
-    return dedup_batch(parse_lines(read_lines(spark, path), strict), known_keys)
+    return dedup_batch(parse_lines(read_lines(spark, path), strict), known_keys, fields=fields)
 
 
 # --------------------------------------------------------------------------- writing
@@ -262,13 +316,14 @@ def documents_from_tables(matches: DataFrame, players_wide: DataFrame, keep: tup
 
 
 def land(lines: DataFrame, path: str, run_date: Column | str | None = None) -> None:
-    """Append lines to a landing folder (one JSON document per line).
+    """Append lines to a landing folder (one JSON document per line, files compressed).
 
     With ``run_date`` (a column of ``lines``, or a literal by ``F.lit``) they go into one
     folder per date, ``run_date=yyyy-MM-dd``.
     """
     if run_date is None:
-        lines.select("value").write.mode("append").text(path)
+        lines.select("value").write.mode("append").option("compression", "gzip").text(path)
         return
     date = F.col(run_date) if isinstance(run_date, str) else run_date
-    lines.select("value", date.cast("string").alias(RUN_DATE)).write.mode("append").partitionBy(RUN_DATE).text(path)
+    (lines.select("value", date.cast("string").alias(RUN_DATE))
+     .write.mode("append").option("compression", "gzip").partitionBy(RUN_DATE).text(path))
