@@ -140,7 +140,9 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     quotes of each split, a running sum over a file's splits says which of them begin inside
     quotes, and a running sum within a split says so for each line. A line that begins
     and ends outside quotes is a record; the others are put together by the split and
-    line in which their record begins, also across splits.
+    line in which their record begins, also across splits. The lines of a split that begins
+    outside quotes and has no line with an odd number of them are records each: they are not
+    numbered, sorted or shuffled.
 
     Quotes stand around a field, and doubled within it, as ``write_csv`` and pandas write
     them; a file with an odd number of quotes is an error.
@@ -152,7 +154,7 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     odd = F.col("quotes") % 2 == 1
     # A split that begins inside quotes has a line that begins outside if one follows its first odd line.
     splits = lines.groupBy("file", "block").agg(
-        (F.sum("quotes") % 2).alias("odd"), F.min("id").alias("low"),
+        (F.sum("quotes") % 2).alias("odd"), F.min("id").alias("low"), F.max(odd).alias("breaks"),
         (F.min(F.when(odd, F.col("id"))) < F.max("id")).alias("reopens"))
     ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file")
@@ -164,14 +166,19 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     # The split whose last record is still open when this one begins.
     splits = splits.withColumn("carry", F.last(F.when(begins, F.col("block")), True).over(ahead))
 
-    at = lines.join(splits, ["file", "block"])
+    # a row per split, so each task can hold them and the lines stay where they are
+    at = lines.join(F.broadcast(splits), ["file", "block"])
+    first = (F.col("block") == 0) & (F.col("id") == F.col("low"))
+    plain = (F.col("inside") == 0) & ~F.col("breaks")
+    whole_lines = at.where(plain).select("file", first.alias("first"), F.col("value").alias("record"))
+
+    at = at.where(~plain)
     split = Window.partitionBy("file", "block").orderBy("id")
     so_far = F.coalesce(F.sum("quotes").over(split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     at = at.withColumn("opens", (F.col("inside") + so_far) % 2 == 0)
     opener = F.when(F.col("opens"), F.col("id"))
     at = at.withColumn("opener", F.last(opener, True).over(split.rowsBetween(Window.unboundedPreceding, 0)))
     at = at.withColumn("last", F.max(opener).over(Window.partitionBy("file", "block")))
-    first = (F.col("block") == 0) & (F.col("id") == F.col("low"))
 
     alone = F.col("opens") & ~odd
     lone = at.where(alone).select("file", first.alias("first"), F.col("value").alias("record"))
@@ -182,7 +189,7 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
         F.when(F.col("opener") < F.col("last"), F.col("opener")).alias("line"))
     ordered = F.array_sort(F.collect_list(F.struct("block", "id", "value")))
     parts = parts.groupBy("file", "from", "line").agg(F.bool_or("first").alias("first"), ordered.alias("lines"))
-    return lone.union(parts.select("file", "first", F.array_join("lines.value", "\n").alias("record")))
+    return whole_lines.union(lone).union(parts.select("file", "first", F.array_join("lines.value", "\n").alias("record")))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType,

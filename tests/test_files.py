@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import types as T
@@ -150,3 +151,17 @@ def test_csv_with_crlf_blank_lines_and_broken_quotes(spark, tmp_dir):
         f.write('k,s\n4,"open\n')
     with pytest.raises(Exception, match="odd number of quotes"):
         files.read_csv(spark, f"{tmp_dir}/in", schema).collect()
+
+
+def test_lines_of_splits_without_broken_records_are_not_sorted(spark, tmp_dir):
+    """Commas in quotes are no reason: only a split with a record over several lines is."""
+    path = os.path.join(tmp_dir, "in")
+    os.makedirs(path)
+    for name, text in (("a", 'k,t\n1,"x, y"\n2,z\n'), ("b", 'k,t\n3,"two\nlines"\n4,w\n')):
+        with open(f"{path}/{name}.csv", "w") as f:
+            f.write(text)
+    records = files.csv_records(spark, path)
+    plain = records._jdf.queryExecution().optimizedPlan().children().apply(0).toString()
+    assert not re.search(r"windowspecdefinition\(file#\d+, block#\d+L?, ", plain)
+    got = files.read_csv(spark, path, T.StructType.fromDDL("k int, t string"))
+    assert sorted(map(tuple, got.collect())) == [(1, "x, y"), (2, "z"), (3, "two\nlines"), (4, "w")]
