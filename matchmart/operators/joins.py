@@ -48,3 +48,14 @@ def join_on_group(left: DataFrame, right: DataFrame, keys: Sequence[str],
         c = left[k].eqNullSafe(r[f"_r_{k}"])
         cond = c if cond is None else cond & c
     return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def left_join_slots(players: DataFrame, other: DataFrame) -> DataFrame:
+    """``players ⟕ other`` by (match_id, player_slot), dealt by the match alone.
+
+    The slot is compared by a difference, which is no join key, so what follows by match
+    (a second table by slot, sums or lists per match) deals no row again.
+    """
+    own = other.withColumnsRenamed({"match_id": "_match", "player_slot": "_slot"})
+    slot = (F.col("player_slot").cast("long") - F.col("_slot").cast("long")) == 0
+    return players.join(own, (F.col("match_id") == F.col("_match")) & slot, "left").drop("_match", "_slot")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchmart.functions.text import coerce_int, normalize_text, null_if_empty_list, parse_bool
 from matchmart.operators.dedup import distinct_rows, first_per_stored_key
+from matchmart.operators.joins import left_join_slots
 from matchmart.schemas import (
     ITEM_COLUMNS, ITEM_SLOTS, MATCH_COLUMNS, PLAYERS_COLUMNS, STAT_COLUMNS,
 )
@@ -37,8 +38,14 @@ def clean_players(players_wide: DataFrame, null_text: str | None = None) -> Data
     columns: deterministic on any partitioning. The frame is read three times (its keys,
     then single and duplicated rows); give it as stored rows.
     """
+    return clean_players_checked(players_wide, null_text)[0]
+
+
+def clean_players_checked(players_wide: DataFrame, null_text: str | None = None) -> tuple[DataFrame, bool]:
+    """``clean_players``, and whether any key was duplicated."""
     p = cast_player_types(normalize_text(players_wide, null_text))
-    return first_per_stored_key(p, ["match_id", "player_slot"])
+    one = first_per_stored_key(p, ["match_id", "player_slot"])
+    return one, one is not p
 
 
 def split_players(players_wide: DataFrame) -> DataFrame:
@@ -68,11 +75,12 @@ def rename_keys(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
 
 def players_wide_from_tables(players: DataFrame, players_stat: DataFrame,
                              items_wide: DataFrame) -> DataFrame:
-    """Re-assemble the flattened player frame from the three player tables."""
-    s = players_stat
+    """Re-assemble the flattened player frame from the three player tables.
+
+    The rows come out dealt by match, so lists of a match's players need no further exchange.
+    """
     i = items_wide.select("match_id", "player_slot", *ITEM_SLOTS)
-    j = (players.join(s, ["match_id", "player_slot"], "left")
-         .join(i, ["match_id", "player_slot"], "left"))
+    j = left_join_slots(left_join_slots(players, players_stat), i)
     return j.select(
         "match_id", "player_slot", "steam_id", "personaname", "assists", "deaths", "denies",
         "gold_per_min", F.col("hero_id").cast("int").alias("hero_id"), *ITEM_SLOTS, "kills",

@@ -26,7 +26,7 @@ from matchmart.functions.numeric import (
     minutes_double, pct2, per_minute, per_minute_hundredths, round2, safe_div, to_out,
     whole_minutes,
 )
-from matchmart.operators.joins import join_dim
+from matchmart.operators.joins import join_dim, left_join_slots
 from matchmart.operators.ntile import ntile
 from matchmart.operators.quantiles import metric_stats, scalar_quantile
 from matchmart.session import written
@@ -45,9 +45,7 @@ def player_stats(players: DataFrame, players_stat: DataFrame) -> DataFrame:
     so the joined rows, the widest there are, are not dealt again. A match meets at most a
     slot's domain of rows. Tables that are bucketed by match are not dealt at all.
     """
-    own = players_stat.withColumnsRenamed({"match_id": "_match", "player_slot": "_slot"})
-    slot = (F.col("player_slot").cast("long") - F.col("_slot").cast("long")) == 0
-    return players.join(own, (F.col("match_id") == F.col("_match")) & slot, "left").drop("_match", "_slot")
+    return left_join_slots(players, players_stat)
 
 
 HAS_PLAYER = "has_player"
