@@ -10,9 +10,10 @@ Stages (each a DataFrame step; boundaries are shuffles and file commits):
    first and ``matches`` last,
 6. refresh of the marts (``plans.publish``).
 
-The accepted documents are written once to a staging folder and read back,
-so the four table builds do not re-parse the raw text and a lost executor
-does not send the job back to the landing files.
+The lines and the exploded players are written once to a staging folder and read back,
+so the three player tables do not re-parse the raw text and a lost executor
+does not send the job back to the landing files. Typed documents are written only where
+lines fell away, by their id known or duplicated; else they would be a second copy.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ from matchmart import storage
 from matchmart.operators.integrity import with_children
 from matchmart.operators.load import insert_ignore, read_table
 from matchmart.operators.reshape import (
-    clean_heroes, clean_items, clean_matches, clean_players, split_players, split_stat,
+    clean_heroes, clean_items, clean_matches, clean_players_checked, split_players, split_stat,
     unpivot_items,
 )
 from matchmart.schemas import KEYS  # noqa: F401  (re-exported)
 from matchmart.session import scratch_path, size_shuffle_partitions
 from matchmart.sources.jsonl import (
-    dedup_batch, explode_players, parse_lines, project_matches, typed_documents,
+    dedup_batch, explode_players, parse_lines, project_matches,
 )
 from matchmart.sources.jsonl import rejects as reject_rows
 
@@ -40,15 +41,16 @@ LOAD_ORDER = ("players_stat", "players_items", "players", "matches")
 def build_tables(docs: DataFrame, staging: str | None = None) -> dict[str, DataFrame]:
     """Accepted documents → the four fact tables (matches FK-filtered).
 
-    With ``staging`` (and stored ``docs``) the cleaned player frame is written once and the
-    three player tables and the FK filter read that copy, instead of exploding and
-    de-duplicating the documents once per table.
+    With ``staging`` the player frame is written once and the three player tables and the FK
+    filter read that copy, instead of parsing and exploding the documents once per table; if it
+    has duplicated keys, the cleaned frame is written too.
     """
     matches = clean_matches(project_matches(docs))
-    wide = clean_players(explode_players(docs))
+    wide = explode_players(docs)
     if staging is not None:
-        wide.write.mode("overwrite").option("compression", "zstd").parquet(f"{staging}/players_wide")
-        wide = docs.sparkSession.read.parquet(f"{staging}/players_wide")
+        wide = _staged(wide, f"{staging}/players_wide")
+    cleaned, repeated = clean_players_checked(wide)
+    wide = _staged(cleaned, f"{staging}/players_clean") if staging is not None and repeated else cleaned
     players = split_players(wide)
     return {
         "matches": with_children(matches, players, "match_id"),
@@ -58,6 +60,11 @@ def build_tables(docs: DataFrame, staging: str | None = None) -> dict[str, DataF
     }
 
 
+def _staged(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def load_batch(spark: SparkSession, lines: DataFrame, root: str,
                staging: str | None = None) -> DataFrame:
     """Load one batch of raw lines into the warehouse at ``root``; status rows.
@@ -74,12 +81,11 @@ def load_batch(spark: SparkSession, lines: DataFrame, root: str,
     parsed = spark.read.schema(parsed.schema.add("rejected", "boolean")).parquet(f"{staging}/lines")
     # A known match is complete (matches are loaded last), so a second document of it
     # is skipped as a whole and adds no players.
-    (typed_documents(dedup_batch(parsed.where("NOT rejected"), known_match_keys(spark, root), stored=True))
-     .write.mode("overwrite").option("compression", "zstd").parquet(f"{staging}/docs"))
+    docs = dedup_batch(parsed.where("NOT rejected"), known_match_keys(spark, root), stored=True,
+                       staging=f"{staging}/docs")
     # insert-ignore here too: a retried batch must not list its rejects twice
     insert_ignore(spark, reject_rows(parsed.where("rejected")), f"{root.rstrip('/')}/_rejects",
                   ["source_file", "value", "reject"]).collect()
-    docs = spark.read.parquet(f"{staging}/docs")
     # each of them has one row per key: documents by match, players by slot, items by item slot
     tables = build_tables(docs, staging)
     status = None

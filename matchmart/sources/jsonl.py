@@ -165,9 +165,12 @@ MATCH_FIELDS = tuple(MATCH_COLUMNS[1:])
 
 
 def dedup_batch(parsed: DataFrame, known_keys: DataFrame | None = None, stored: bool = False,
-                fields: Sequence[str] | None = None) -> DataFrame:
+                fields: Sequence[str] | None = None, staging: str | None = None) -> DataFrame:
     """Accepted lines, one per match id, minus ids already in the warehouse.
 
+    With ``staging``, if lines fall away, the documents that stay are written there, typed, and
+    only ``match_key`` and ``doc`` come out.
+
     ``stored`` says that ``parsed`` is a written table: its keys are read first, and only lines
     of duplicated ids are compared, so documents are not shuffled for being single.
     ``fields`` names the top-level fields that the caller needs: only these are shuffled, and
@@ -181,13 +184,16 @@ def dedup_batch(parsed: DataFrame, known_keys: DataFrame | None = None, stored:
     good = accepted(parsed)
     if "source_file" not in good.columns:
         good = good.withColumn("source_file", F.lit(""))
-    good = good.select("match_key", "source_file", "value")
+    good = whole = good.select("match_key", "source_file", "value")
     if known_keys is not None:
         known = known_keys.select(F.col(known_keys.columns[0]).alias("match_key"))
         good = _without_known(good, known) if stored else good.join(known, "match_key", "left_anti")
     if fields is not None:
         return _first_fields(good, fields)
     one = (first_per_stored_key if stored else first_per_key)(good, ["match_key"], ["source_file", "value"])
+    if staging is not None and one is not whole:
+        typed_documents(one).write.mode("overwrite").option("compression", "zstd").parquet(staging)
+        return one.sparkSession.read.parquet(staging)
     return one.withColumn("doc", typed(_raw_doc(F.col("value")), RAW_MATCH))
 
 

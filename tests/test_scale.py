@@ -5,8 +5,12 @@ import os
 import pytest
 
 from conftest import SF_SMALL
+from matchmart import storage
 from matchmart.operators import dedup
 from matchmart.operators.load import new_rows
+from matchmart.operators.reshape import players_wide_from_tables
+from matchmart.plans import etl
+from matchmart.schemas import STAT_COLUMNS
 from matchmart.session import sized_for
 from matchmart.sources import jsonl
 from matchmart.sources.roles import stored_warehouse, warehouse
@@ -84,3 +88,49 @@ def test_sizes_are_set_for_the_jobs_within_only(spark):
         assert int(spark.conf.get(names[0])) > int(before[0])
         assert int(spark.conf.get(names[1])) == 16 << 20
     assert [spark.conf.get(n) for n in names] == before
+
+
+def test_partitions_are_put_together_to_a_split_at_most(spark):
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    with sized_for(spark, [SF_SMALL]):
+        assert int(spark.conf.get(name)) == 16 << 20
+    assert spark.conf.get(name) == before
+
+
+def test_documents_are_assembled_by_match_alone(spark):
+    rows = "match_id long, player_slot int, steam_id long, personaname string, hero_id long, is_radiant boolean, win boolean"
+    players = spark.createDataFrame([(1, 0, 5, "a", 2, True, True), (1, 1, 6, "b", 3, True, True),
+                                     (None, 0, 7, "c", 4, True, True)], rows)
+    stat = spark.createDataFrame([(1, 0, *range(10)), (None, 0, *range(10)), (1, None, *range(10))],
+                                 ", ".join(f"{c} {'long' if c == 'match_id' else 'int'}" for c in STAT_COLUMNS))
+    items = spark.createDataFrame([(1, 1, *range(6))], "match_id long, player_slot int, " + ", ".join(
+        f"item_{k} int" for k in range(6)))
+    matches = spark.createDataFrame([(1, 60, 1, True, 1)], "match_id long, duration long, first_blood_time long, "
+                                    "radiant_win boolean, region long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wide = players_wide_from_tables(players, stat, items)
+        plan = _plan(jsonl.documents_from_tables(matches, wide))
+        got = {(r.match_id, r.player_slot): (r.kills, r.item_5) for r in wide.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("Exchange hashpartitioning(") == 4 and "player_slot" not in "".join(
+        line for line in plan.splitlines() if "Exchange hashpartitioning(" in line)
+    assert got == {(1, 0): (0, None), (1, 1): (None, 5), (None, 0): (None, None)}
+
+
+def test_documents_are_staged_only_where_lines_fell_away(spark, tmp_dir):
+    def line(i):
+        return (f'{{"match_id": {i}, "duration": 60, "players": [{{"player_slot": 0}}]}}', "a")
+
+    def load(rows, name):
+        etl.load_batch(spark, spark.createDataFrame(rows, "value string, source_file string"),
+                       f"{tmp_dir}/wh", f"{tmp_dir}/{name}").collect()
+        return storage.exists(spark, f"{tmp_dir}/{name}/docs")
+
+    assert not load([line(1), line(2)], "new")
+    assert load([line(2), line(3)], "known") and load([line(4), line(4)], "twice")
+    assert sorted(r.match_id for r in etl.warehouse_tables(spark, f"{tmp_dir}/wh")["matches"].collect()) == [1, 2, 3, 4]
+    assert etl.warehouse_tables(spark, f"{tmp_dir}/wh")["players"].count() == 4
