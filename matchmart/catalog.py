@@ -1167,9 +1167,10 @@ def q_snapshot_merge(spark, d):
     w = warehouse(spark, d)
     old = w.players.withColumn("_src", F.lit(0))
     new = normalize_text(w.players).withColumn("_src", F.lit(1))
-    merged = first_per_stored_key(old.unionByName(new), KEYS["players"], ["_src", "steam_id", "personaname", "hero_id", "is_radiant", "win"])
     path = scratch_path(spark, "snapshot")
-    files.write_csv(merged.drop("_src"), path)
+    with sized_for(spark, _given(d)):
+        merged = first_per_stored_key(old.unionByName(new), KEYS["players"], ["_src", "steam_id", "personaname", "hero_id", "is_radiant", "win"])
+        files.write_csv(merged.drop("_src"), path)
     return files.read_csv(spark, path, _PLAYERS_CSV_SCHEMA)
 
 
@@ -1206,7 +1207,8 @@ def q_mart_refresh(spark, d):
     w = warehouse(spark, d)
     tables = {"matches": w.matches, "players": w.players, "players_stat": w.players_stat,
               "heroes": w.heroes}
-    status = refresh_marts(spark, scratch_path(spark, "marts"), tables)
+    with sized_for(spark, _given(d)):
+        status = refresh_marts(spark, scratch_path(spark, "marts"), tables)
     return status.select("mart", "rows", "status")
 
 
@@ -1216,8 +1218,10 @@ FROM matches m WHERE EXISTS (SELECT 1 FROM players p WHERE p.match_id = m.match_
 def q_daily_load(spark, d):
     """Landed documents → four tables (FK-filtered, insert-ignore); the matches table."""
     root = scratch_path(spark, "warehouse")
-    etl.load_batch(spark, _landed_lines(spark, d), root).collect()
-    etl.load_batch(spark, _landed_lines(spark, d), root).collect()   # rerun adds nothing
+    lines = _landed_lines(spark, d)
+    with sized_for(spark, _given(d)):
+        etl.load_batch(spark, lines, root).collect()
+        etl.load_batch(spark, lines, root).collect()   # rerun adds nothing
     return read_table(spark, f"{root}/matches")
 
 
@@ -1230,6 +1234,7 @@ def q_stream_ingest(spark, d):
     landing = _landing(spark, d)             # read only: the stream tracks files in ckpt
     root = scratch_path(spark, "warehouse")
     ckpt = scratch_path(spark, "stream-ckpt")
-    run_ingest(spark, landing, root, ckpt)
-    run_ingest(spark, landing, root, ckpt)   # nothing new: no batch, no rows
+    with sized_for(spark, _given(d)):
+        run_ingest(spark, landing, root, ckpt)
+        run_ingest(spark, landing, root, ckpt)   # nothing new: no batch, no rows
     return read_table(spark, f"{root}/matches")

@@ -28,7 +28,8 @@ def mart_builders(spark: SparkSession, tables: dict[str, DataFrame],
 
     def facts() -> DataFrame:
         if "facts" not in state:
-            marts.match_player_facts(m, p, s).write.mode("overwrite").parquet(staging)
+            marts.match_player_facts(m, p, s).write.mode("overwrite").option(
+                "compression", "zstd").parquet(staging)
             state["facts"] = spark.read.parquet(staging)
         return state["facts"]
 
