@@ -29,7 +29,7 @@ from matchmart.operators.reshape import (
     unpivot_items,
 )
 from matchmart.schemas import KEYS  # noqa: F401  (re-exported)
-from matchmart.session import scratch_path, size_shuffle_partitions
+from matchmart.session import broadcast_as_measured, scratch_path, size_shuffle_partitions
 from matchmart.sources.jsonl import (
     dedup_batch, explode_players, parse_lines, project_matches,
 )
@@ -70,10 +70,19 @@ def load_batch(spark: SparkSession, lines: DataFrame, root: str,
     """Load one batch of raw lines into the warehouse at ``root``; status rows.
 
     ``lines`` has a ``value`` column (and optionally ``source_file``). Staged frames go
-    when the tables are written, unless ``staging`` names a folder of the caller's.
+    when the tables are written, unless ``staging`` names a folder of the caller's. Known
+    ids and stored keys reach the driver, to be broadcast, only where they are measured to be few.
     """
     own = staging is None
     staging = staging or scratch_path(spark, "staging")
+    with broadcast_as_measured(spark):
+        status = _load(spark, lines, root, staging)
+    if own:
+        storage.remove(spark, staging)
+    return status
+
+
+def _load(spark: SparkSession, lines: DataFrame, root: str, staging: str) -> DataFrame:
     # The landing files are read once: lines with their key or reason, rejects apart.
     parsed = parse_lines(lines).drop("doc")
     (parsed.withColumn("rejected", F.col("reject").isNotNull())
@@ -93,8 +102,6 @@ def load_batch(spark: SparkSession, lines: DataFrame, root: str,
         s = insert_ignore(spark, tables[name], f"{root.rstrip('/')}/{name}", KEYS[name],
                           bucket_of="match_id", unique=True)
         status = s if status is None else status.unionByName(s)
-    if own:
-        storage.remove(spark, staging)
     return status
 
 

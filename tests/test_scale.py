@@ -3,14 +3,15 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from matchmart import storage
 from matchmart.operators import dedup
-from matchmart.operators.load import new_rows
+from matchmart.operators.load import insert_ignore, new_rows
 from matchmart.operators.reshape import players_wide_from_tables
 from matchmart.plans import etl
-from matchmart.schemas import STAT_COLUMNS
+from matchmart.schemas import KEYS, STAT_COLUMNS
 from matchmart.session import sized_for
 from matchmart.sources import jsonl
 from matchmart.sources.roles import stored_warehouse, warehouse
@@ -121,6 +122,27 @@ def test_documents_are_assembled_by_match_alone(spark):
     assert got == {(1, 0): (0, None), (1, 1): (None, 5), (None, 0): (None, None)}
 
 
+def test_a_load_broadcasts_no_ids_that_only_their_files_make_small(spark, tmp_dir, monkeypatch):
+    """Ids in order take less than the limit in a file, many times it in the driver."""
+    monkeypatch.setattr(jsonl, "MANY_KEYS", 10)
+    ids, root = spark.range(400_000).withColumnRenamed("id", "match_id"), f"{tmp_dir}/wh"
+    insert_ignore(spark, ids, f"{root}/matches", KEYS["matches"], bucket_of="match_id", unique=True)
+    ids.select(F.concat(F.lit('{"match_id":'), "match_id", F.lit("}")).alias("value"),
+               F.lit("a").alias("source_file")).write.parquet(f"{tmp_dir}/lines")
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "2m", "spark.sql.maxBroadcastTableSize": "8m"}
+    before = {n: spark.conf.get(n) for n in limits}
+    for n, limit in limits.items():
+        spark.conf.set(n, limit)
+    try:
+        status = etl.load_batch(spark, spark.read.parquet(f"{tmp_dir}/lines"), root).collect()
+        assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "2m"
+        assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
+    finally:
+        for n, limit in before.items():
+            spark.conf.set(n, limit)
+    assert {r.table: r.inserted for r in status} == dict.fromkeys(etl.LOAD_ORDER, 0)
+
+
 def test_documents_are_staged_only_where_lines_fell_away(spark, tmp_dir):
     def line(i):
         return (f'{{"match_id": {i}, "duration": 60, "players": [{{"player_slot": 0}}]}}', "a")
