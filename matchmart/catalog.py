@@ -119,7 +119,7 @@ def _given(d):
 
 def _raw_lines(spark, d):
     w = warehouse(spark, d)
-    return jsonl.documents_from_tables(w.matches, _wide(w))
+    return jsonl.documents_from_tables(w.matches, players_wide_from_tables(*w.players_by_match))
 
 
 _LANDED: dict[tuple[str, ...], str] = {}
@@ -1027,9 +1027,8 @@ def q_land_raw(spark, d):
     path = scratch_path(spark, "landing")
     lines = _raw_lines(spark, d)
     with sized_for(spark, _given(d)):
-        batch = written(lines, "raw-lines")
-    jsonl.land(batch, path)
-    jsonl.land(batch, path)
+        jsonl.land(lines, path)
+        jsonl.land(jsonl.read_lines(spark, path), path)   # the batch as it landed, not computed again
     return jsonl.project_matches(jsonl.read_raw_matches(spark, path, fields=jsonl.MATCH_FIELDS))
 
 

@@ -116,9 +116,11 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 _DATABASE = "matchmart_stored"
 
 
-def by_match(df: DataFrame, path: str, buckets: int) -> DataFrame:
+def by_match(df: DataFrame, path: str, buckets: int, key: str = "match_id") -> DataFrame:
     """``df`` as a catalogue table at ``path`` in ``buckets`` buckets of ``match_id``, a file each.
 
+    ``key`` is the match's column; rows that come dealt by it in as many partitions are not dealt again.
+
     Tables with as many buckets join by match, and aggregate by it, without an exchange.
     Not for frames that are united first: a keep-first over a union of two such tables kept
     both rows of a key under Spark 4.1, seemingly as the union counts as dealt by the bucket column.
@@ -126,6 +128,6 @@ def by_match(df: DataFrame, path: str, buckets: int) -> DataFrame:
     spark = df.sparkSession
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {_DATABASE}")
     name = f"{_DATABASE}.t_{uuid.uuid4().hex}"
-    (df.repartition(buckets, "match_id").write.bucketBy(buckets, "match_id").sortBy("match_id")
-     .option("path", path).saveAsTable(name))
+    (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+     .option("path", path).option("compression", "zstd").saveAsTable(name))
     return spark.table(name)

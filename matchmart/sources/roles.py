@@ -24,7 +24,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchmart.operators.dedup import first_per_stored_key
+from matchmart.operators.dedup import MANY_KEYS, first_per_key, first_per_stored_key
 
 LINE_ORDER = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
               "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -194,6 +194,26 @@ class StoredWarehouse:
     def player_items_wide(self) -> DataFrame:
         return items_wide_from_lines(self.line_one)
 
+    @cached_property
+    def players_by_match(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """``players``, ``players_stat`` and ``player_items_wide`` over line items that are stored by match.
+
+        The line items are shuffled once, by their order, which serves the dedup, the joins of these
+        three tables and lists of a match's players; no table is written but the line items. Not
+        for unions (see :func:`matchmart.operators.load.by_match`).
+        """
+        from matchmart.operators.load import by_match
+        from matchmart.session import sized_for
+        with sized_for(self._spark, [f"{self._dir.rstrip('/')}/{t}.parquet" for t in SOURCES]):
+            n = int(self._spark.conf.get("spark.sql.shuffle.partitions"))
+            dealt = table(self._spark, self._dir, "lineitem").repartition(n, "l_orderkey")
+            lines = by_match(first_per_key(dealt, ["l_orderkey", "l_linenumber"], LINE_ORDER),
+                             f"{self._root}/line_one_by_match", n, "l_orderkey")
+        supplier = table(self._spark, self._dir, "supplier")
+        if supplier.count() <= MANY_KEYS:
+            supplier = F.broadcast(supplier)
+        return players_from_lines(lines, supplier), stat_from_lines(lines), items_wide_from_lines(lines)
+
     @cached_property
     def heroes(self) -> DataFrame:
         return self._stored("heroes", lambda: heroes(self._spark, self._dir))

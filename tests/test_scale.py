@@ -6,14 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from matchmart import storage
+from matchmart import catalog, session, storage
 from matchmart.operators import dedup
 from matchmart.operators.load import insert_ignore, new_rows
 from matchmart.operators.reshape import players_wide_from_tables
 from matchmart.plans import etl
 from matchmart.schemas import KEYS, STAT_COLUMNS
 from matchmart.session import sized_for
-from matchmart.sources import jsonl
+from matchmart.sources import jsonl, roles
 from matchmart.sources.roles import stored_warehouse, warehouse
 
 
@@ -122,6 +122,53 @@ def test_documents_are_assembled_by_match_alone(spark):
     assert got == {(1, 0): (0, None), (1, 1): (None, 5), (None, 0): (None, None)}
 
 
+def _odd_lines(spark, d):
+    """Line items with repeated and NULL keys, a supplier that comes twice and one that is missing."""
+    rows = [(o, o and o * 7 + n, s, n, float(n), 1000.0 + n, 0.1, 0.02, "NAR"[n % 3], "FO"[n % 2], None)
+            for o in (1, 2, 3, None) for n in (1, 2, 3) for s in (10, 11, 12)]
+    names = ["l_orderkey long", "l_partkey long", "l_suppkey long", "l_linenumber int", "l_quantity double",
+             "l_extendedprice double", "l_discount double", "l_tax double", "l_returnflag string",
+             "l_linestatus string", "l_shipdate timestamp"]
+    spark.createDataFrame(rows + rows[:5], ", ".join(names)).write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(10, "a"), (10, "b"), (11, "c")], "s_suppkey long, s_name string").write.parquet(
+        f"{d}/supplier.parquet")
+
+
+def test_players_by_match_are_the_same_rows(spark, tmp_dir):
+    _odd_lines(spark, tmp_dir)
+    lines, supplier = roles.line_one(spark, tmp_dir), roles.table(spark, tmp_dir, "supplier")
+    want = players_wide_from_tables(roles.players_from_lines(lines, supplier), roles.stat_from_lines(lines),
+                                    roles.items_wide_from_lines(lines))
+    got = players_wide_from_tables(*stored_warehouse(spark, tmp_dir).players_by_match)
+    assert got.schema.names == want.schema.names and got.count() > 0
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_raw_documents_deal_the_matches_only(spark):
+    """Line items are stored by match: neither the players' tables nor the lists of a match are dealt."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(catalog._raw_lines(spark, SF_SMALL))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("Exchange hashpartitioning(") == 1
+
+
+def test_land_raw_appends_the_batch_twice_and_stores_no_other_copy(spark, monkeypatch):
+    landed, staged = [], []
+    land, written = jsonl.land, session.written
+    monkeypatch.setattr(jsonl, "land", lambda lines, path: (land(lines, path), landed.append(path)))
+    for module in (catalog, jsonl):
+        monkeypatch.setattr(module, "written", lambda df, name: (staged.append(name), written(df, name))[1])
+    matches = catalog.QUERIES["land_raw"](spark, SF_SMALL)
+    assert len(landed) == 2 and len(set(landed)) == 1 and "raw-lines" not in staged
+    copies = jsonl.read_lines(spark, landed[0]).groupBy("value").count().select("count").distinct().collect()
+    assert [r[0] for r in copies] == [2]
+    want = stored_warehouse(spark, SF_SMALL).matches.count()
+    assert matches.count() == want == matches.select("match_id").distinct().count()
+
+
 def test_a_load_broadcasts_no_ids_that_only_their_files_make_small(spark, tmp_dir, monkeypatch):
     """Ids in order take less than the limit in a file, many times it in the driver."""
     monkeypatch.setattr(jsonl, "MANY_KEYS", 10)
